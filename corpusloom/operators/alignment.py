@@ -41,8 +41,8 @@ def renumber(df: DataFrame, order: list[Column | str], num: str = "num", start:
 def renumber_all(tables: dict[str, DataFrame], key: str, order: list[str] | None = None) -> dict[str, DataFrame]:
     """Number the common keys once and give every table the same new numbers."""
     first = next(iter(tables.values()))
-    keys = renumber(first.select(*(order or [key]), key).distinct(), order or [key], "__new")
-    keys = keys.select(key, "__new")
+    columns = list(dict.fromkeys([*(order or []), key]))
+    keys = renumber(first.select(*columns).distinct(), columns, "__new").select(key, "__new")
     return {
         name: df.join(keys, key).withColumn(key, F.col("__new")).drop("__new") for name, df in tables.items()
     }

@@ -77,12 +77,16 @@ def chapter_title(chapter: Column) -> Column:
     return F.coalesce(blank_to_null(F.coalesce(*filled, F.lit("Chapter"))), F.lit("Chapter"))
 
 
-def chapter_members(documents: DataFrame, corpus: DataFrame, key: str = "num") -> DataFrame:
+def chapter_members(documents: DataFrame, corpus: DataFrame, key: str = "num", offset: str | None = None) -> DataFrame:
     """Membership rows of parsed chapter documents (column `doc`): entries that are no known number are skipped,
-    and a number stays in the first chapter that claims it."""
-    chapters = documents.select(F.posexplode("doc.chapters").alias("chapter_pos", "chapter"))
+    and a number stays in the first chapter that claims it.
+
+    `offset` names a column with the position of a document's first chapter, for chapters spread over documents.
+    """
+    base = F.col(offset) if offset else F.lit(0)
+    chapters = documents.select(base.alias("base"), F.posexplode("doc.chapters").alias("pos", "chapter"))
     rows = chapters.select(
-        F.col("chapter_pos").cast("long").alias("chapter_pos"), F.col("chapter.chapter_id").alias("chapter_id"),
+        (F.col("base") + F.col("pos")).cast("long").alias("chapter_pos"), F.col("chapter.chapter_id").alias("chapter_id"),
         chapter_title(F.col("chapter")).alias("title"),
         F.posexplode("chapter.num_list").alias("num_pos", "entry"),
     )

@@ -204,12 +204,8 @@ def _truthy(v: Column) -> Column:
 
 
 def _first_truthy(v: Column, *names: str) -> Column:
-    """The first field that is not empty, false, zero or null; else the last one."""
-    values = [_field(v, n) for n in names]
-    picked = values[-1]
-    for value in reversed(values[:-1]):
-        picked = F.when(_truthy(value), value).otherwise(picked)
-    return picked
+    """The first field that is not empty, false, zero or null; else null."""
+    return F.get(F.filter(F.array(*[_field(v, n) for n in names]), _truthy), F.lit(0))
 
 
 def _integer(v: Column) -> Column:
@@ -226,9 +222,21 @@ def _integer(v: Column) -> Column:
 
 
 def _code_field(v: Column, names: tuple[str, ...]) -> Column:
-    value = _first_truthy(v, *names)
-    listed = F.transform(F.try_variant_get(value, "$", "array<variant>"), _string)
-    return F.when(_kind(value).startswith("ARRAY"), coerce_code_list(listed)).otherwise(coerce_codes(_string(value)))
+
+    def strings(value: Column) -> Column:
+        listed = F.transform(F.try_variant_get(value, "$", "array<variant>"), _string)
+        return F.when(_kind(value).startswith("ARRAY"), listed).otherwise(F.array(_string(value)))
+
+    return coerce_code_list(let(_first_truthy(v, *names), strings))
+
+
+def _json_value(text: Column) -> Column:
+    """The text as one JSON value, null when it is none or when anything follows it.
+
+    The parser stops after the first value, so the text is closed in an object whose end must be read too.
+    """
+    framed = F.try_parse_json(F.concat(F.lit('{"value":'), text, F.lit(',"end":1}')))
+    return let(framed, lambda v: F.when(_field(v, "end").isNotNull(), _field(v, "value")))
 
 
 def json_records(c: Column | str) -> Column:
@@ -249,13 +257,13 @@ def json_records(c: Column | str) -> Column:
             F.transform(split_lines(text), lambda line: F.rtrim(strip(line), F.lit(","))), lambda x: x != ""
         )
         return let(
-            F.transform(candidates, F.try_parse_json),
+            F.transform(candidates, _json_value),
             lambda rows: F.when(~F.exists(rows, lambda r: r.isNull()), rows),
         )
 
     def records(text: Column) -> Column:
         return let(
-            F.try_parse_json(text),
+            _json_value(text),
             lambda whole: F.when(whole.isNotNull(), from_whole(whole)).when(text != "", from_lines(text)),
         )
 
@@ -263,24 +271,31 @@ def json_records(c: Column | str) -> Column:
     return F.filter(found, _is_object)
 
 
+def _resolved(row: Column, facets: dict[str, tuple[str, ...]]) -> Column:
+    """The row with codes found in header and text wherever none were given."""
+    codes = [
+        resolve_codes(row[f"{name}_codes"], row["header"], row["text"], name.upper()).alias(f"{name}_codes")
+        for name in facets
+    ]
+    return F.struct(row["num"].alias("num"), row["header"].alias("header"), row["text"].alias("text"), *codes)
+
+
 def json_texts(c: Column | str, facets: dict[str, tuple[str, ...]] | None = None) -> Column:
     """array<struct(num, header, text, <facet>…)> of JSON records with a non-blank text."""
     facets = facets or {"sn": ("sn", "SN", "sn_codes"), "de": ("de", "DE", "de_codes")}
 
-    def parsed(record: Column, i: Column) -> Column:
+    def basics(record: Column, i: Column) -> Column:
         position = i + 1
-        text = strip(_string(_first_truthy(record, "text", "Text")))
         headers = [blank_to_null(_string(_field(record, k))) for k in HEADER_KEYS]
-        header = F.coalesce(*headers, F.concat(F.lit("Text "), position.cast("string")))
-        num = F.coalesce(_integer(_first_truthy(record, "num", "Num")), position.cast("long"))
-        codes = [
-            resolve_codes(_code_field(record, keys), header, text, name.upper()).alias(f"{name}_codes")
-            for name, keys in facets.items()
-        ]
-        return F.struct(num.alias("num"), header.alias("header"), text.alias("text"), *codes)
+        return F.struct(
+            F.coalesce(_integer(_first_truthy(record, "num", "Num")), position.cast("long")).alias("num"),
+            F.coalesce(*headers, F.concat(F.lit("Text "), position.cast("string"))).alias("header"),
+            strip(_string(_first_truthy(record, "text", "Text"))).alias("text"),
+            *[_code_field(record, keys).alias(f"{name}_codes") for name, keys in facets.items()],
+        )
 
-    rows = F.transform(json_records(c), parsed)
-    return F.filter(rows, lambda r: ~is_blank(r["text"]))
+    rows = F.filter(F.transform(json_records(c), basics), lambda r: ~is_blank(r["text"]))
+    return F.transform(rows, lambda r: _resolved(r, facets))
 
 
 def parse_json_texts(df: DataFrame, raw: str, keys: list[str], **options) -> DataFrame:
@@ -324,22 +339,22 @@ def xml_nodes(c: Column | str) -> Column:
 def xml_rows(nodes: Column, facets: dict[str, tuple[str, ...]] | None = None) -> Column:
     facets = facets or {"sn": ("sn", "sn_codes"), "de": ("de", "de_codes")}
 
-    def parsed(node: Column, i: Column) -> Column:
+    def basics(node: Column, i: Column) -> Column:
         attr = lambda name: F.try_element_at(node["attributes"], F.lit(name))
         position = i + 1
-        text = strip(node["body"])
+        number = strip(F.coalesce(F.nullif(attr("num"), F.lit("")), attr("id")))
         header = F.coalesce(
             *[blank_to_null(attr(k)) for k in HEADER_KEYS], F.concat(F.lit("Text "), position.cast("string"))
         )
-        number = strip(F.coalesce(F.nullif(attr("num"), F.lit("")), attr("id")))
+        codes = [
+            coerce_codes(F.coalesce(*[F.nullif(attr(k), F.lit("")) for k in keys])).alias(f"{name}_codes")
+            for name, keys in facets.items()
+        ]
         num = F.coalesce(F.when(number.rlike(r"^[+-]?[0-9]+$"), number.try_cast("long")), position.cast("long"))
-        codes = []
-        for name, keys in facets.items():
-            value = F.coalesce(*[F.nullif(attr(k), F.lit("")) for k in keys])
-            codes.append(resolve_codes(coerce_codes(value), header, text, name.upper()).alias(f"{name}_codes"))
-        return F.struct(num.alias("num"), header.alias("header"), text.alias("text"), *codes)
+        return F.struct(num.alias("num"), header.alias("header"), strip(node["body"]).alias("text"), *codes)
 
-    return F.filter(F.transform(nodes, parsed), lambda r: r["text"] != "")
+    rows = F.filter(F.transform(nodes, basics), lambda r: r["text"] != "")
+    return F.transform(rows, lambda r: _resolved(r, facets))
 
 
 def parse_xml_texts(df: DataFrame, raw: str, keys: list[str]) -> DataFrame:
