@@ -1 +1,189 @@
+"""Prompts, model calls, fills and classification, with models that answer by rule."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import functions as F
+
+from corpusloom.functions import lexical as lx
+from corpusloom.functions import text as tx
+from corpusloom.operators import alignment as al
+from corpusloom.operators import chapters as ch
+from corpusloom.operators import generation as gn
+from corpusloom.registry.core import query, sql_strip, sql_tokens, table
+from corpusloom.session import scratch_path
+
+
+def _numbered(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    return gn.plan_batches(al.renumber(docs, ["doc_id"]), 5)
+
+
+NUMBERED = """n AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS num FROM documents),
+   b AS (SELECT *, (num - 1) // 5 AS batch_id FROM n)"""
+
+
+@query(
+    "build_prompts",
+    f"""WITH {NUMBERED} SELECT batch_id, 'STYLE' || chr(10) || chr(10) || string_agg('--- LINE ' || num || ' ---' || chr(10) || 'Topic: '
+          || source || chr(10) || 'Advice: ' || lang || chr(10) || 'Sentence: ' || text, chr(10) || chr(10) ORDER BY num) AS prompt, count(*) AS n_rows
+        FROM b GROUP BY 1""",
+)
+def build_prompts(spark, sf):
+    block = gn.line_block({"Topic": "source", "Advice": "lang", "Sentence": "text"}, "num")
+    return gn.build_prompts(_numbered(spark, sf), block, "STYLE")
+
+
+@query(
+    "prompt_budget",
+    f"""WITH {NUMBERED}, p AS (SELECT batch_id, string_agg('[INPUT_TEXT ' || (num - 1) % 5 + 1 || ' | Num=' || num || ']' || chr(10) || {sql_strip('text')},
+          chr(10) || chr(10) ORDER BY num) AS prompt, count(*) AS n FROM b GROUP BY 1)
+        SELECT batch_id, length(prompt) // 4 AS prompt_tokens, length(prompt) // 4 + n * 250 > 4000 * 0.8 AS over_budget FROM p""",
+)
+def prompt_budget(spark, sf):
+    prompts = gn.build_prompts(_numbered(spark, sf), tx.strip("text"), head=gn.input_head)
+    return gn.prompt_budget(prompts, 250, 4000).select("batch_id", "prompt_tokens", "over_budget")
+
+
+@query(
+    "table_as_text",
+    """SELECT 'n_nationkey;n_name;n_regionkey' || chr(10) || string_agg(n_nationkey || ';' || n_name || ';' || n_regionkey, chr(10)
+         ORDER BY n_nationkey) AS text FROM nation""",
+)
+def table_as_text(spark, sf):
+    return gn.table_as_text(table(spark, sf, "nation"), ["n_nationkey", "n_name", "n_regionkey"], ["n_nationkey"])
+
+
+@query(
+    "option_rules",
+    """SELECT o_orderkey, concat_ws(chr(10) || chr(10), 'STYLE', CASE o_orderstatus WHEN 'O' THEN 'marked' WHEN 'F' THEN 'plain' END,
+         'more', CASE o_orderpriority WHEN '1-URGENT' THEN 'no dialogue' WHEN '5-LOW' THEN 'one line' END) AS preamble FROM orders""",
+)
+def option_rules(spark, sf):
+    options = gn.PromptOptions(
+        "STYLE", {"1-URGENT": "no dialogue", "5-LOW": "one line"}, {"O": "marked", "F": "plain"}, " more "
+    )
+    return table(spark, sf, "orders").select(
+        "o_orderkey", gn.option_rules(options, "o_orderpriority", "o_orderstatus").alias("preamble")
+    )
+
+
+def make_echo():
+    """Answers with the number of lines of the prompt; the first call on each prompt with a hash sign fails."""
+    seen: set[str] = set()
+
+    def model(prompts):
+        out = []
+        for prompt in prompts:
+            if "#" in prompt and prompt not in seen:
+                seen.add(prompt)
+                raise RuntimeError("busy")
+            out.append(None if "$" in prompt else f"{len(prompt)} characters")
+        return out
+
+    return model
+
+
+@query(
+    "generate_batches",
+    """SELECT doc_id, CASE WHEN contains(text, '$') THEN 3 WHEN contains(text, '#') THEN 2 ELSE 1 END AS attempt,
+         CASE WHEN NOT contains(text, '$') THEN length(text) || ' characters' END AS raw,
+         CASE WHEN contains(text, '$') THEN 'no answer' END AS error FROM (SELECT DISTINCT ON (text) * FROM documents ORDER BY doc_id)""",
+)
+def generate_batches(spark, sf):
+    docs = table(spark, sf, "documents")
+    first = docs.groupBy(F.col("text").alias("prompt")).agg(F.min("doc_id").alias("doc_id"))
+    return gn.generate_batches(first, make_echo, ["doc_id"], backoff=0.0)
+
+
+def make_rewriter():
+    """Rewrites each input text by putting a mark in front; forgets French texts in the first round and never does
+    texts with a dollar sign."""
+    block = re.compile(r"\[INPUT_TEXT (\d+) \| Num=(\d+)\]\n(.*?)(?=\n\n\[INPUT_TEXT \d+ \| Num=|\Z)", re.DOTALL)
+
+    def model(prompts):
+        answers = []
+        for prompt in prompts:
+            parts, again, mark = [], "RETRY" in prompt.split("[INPUT_TEXT", 1)[0], prompt.split("\n", 1)[0]
+            for position, num, text in block.findall(prompt):
+                if "$" in text or (" une " in text and not again):
+                    continue
+                parts.append(f"[REWRITE {position} | Num={num}]\n{mark}: {text}\n")
+            answers.append("\n".join(parts))
+        return answers
+
+    return model
+
+
+@query(
+    "fill_missing",
+    f"""SELECT v.variant, doc_id AS num, CASE WHEN quality = 1 AND v.variant = 'DIRECT' THEN 'kept' WHEN contains(text, '$') THEN ''
+          ELSE v.variant || ': ' || {sql_strip('text')} END AS generated_text
+        FROM (SELECT unnest(['DIRECT', 'FORMAL']) AS variant) v, documents LEFT JOIN labels USING (doc_id)""",
+)
+def fill_missing(spark, sf):
+    corpus = table(spark, sf, "documents").select(F.col("doc_id").alias("num"), "text")
+    existing = table(spark, sf, "labels").select(
+        F.lit("DIRECT").alias("variant"), F.col("doc_id").alias("num"), F.when(F.col("quality") == 1, "kept").otherwise(" ").alias("generated_text")
+    )
+    specs = [gn.VariantSpec("DIRECT", "DIRECT"), gn.VariantSpec("FORMAL", "FORMAL")]
+    return gn.fill_missing(corpus, existing, specs, make_rewriter, retry_preamble="RETRY", backoff=0.0)
+
+
+@query(
+    "placeholder_failed",
+    f"""WITH {NUMBERED}, f AS (SELECT batch_id FROM b GROUP BY 1 HAVING bool_or(contains(text, '$')))
+        SELECT batch_id, num, '[GENERATION_FAILED for line ' || num || ']' AS text FROM b SEMI JOIN f USING (batch_id)""",
+)
+def placeholder_failed(spark, sf):
+    planned = _numbered(spark, sf)
+    prompts = gn.build_prompts(planned, "text")
+    path = scratch_path(spark, "responses")
+    responses = gn.generate_into(path, prompts, make_echo, ["batch_id"], attempts=2, backoff=0.0)
+    return gn.placeholder_failed(responses, gn.batch_bounds(planned), ["batch_id"])
+
+
+@query(
+    "redo_invalid",
+    """WITH st AS (SELECT DISTINCT l_linestatus AS code FROM lineitem),
+         f AS (SELECT o_custkey AS batch_id, count(*) FILTER (st.code IS NULL) AS n_invalid_o_orderstatus,
+           count(*) FILTER (o_orderpriority = '5-LOW') AS n_invalid_o_orderpriority
+         FROM orders LEFT JOIN st ON o_orderstatus = st.code GROUP BY 1)
+       SELECT *, 'Mapping' AS stage FROM f WHERE n_invalid_o_orderstatus + n_invalid_o_orderpriority > 0""",
+)
+def redo_invalid(spark, sf):
+    status = table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("code")).distinct()
+    kinds = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("code")).distinct().where("code <> '5-LOW'")
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("batch_id"), "o_orderstatus", "o_orderpriority")
+    flagged = al.validate_codes(orders, {"o_orderstatus": (status, "F"), "o_orderpriority": (kinds, "x")}, mode="flag")
+    return gn.redo_invalid(flagged, ["o_orderstatus", "o_orderpriority"], ["batch_id"], "Mapping")
+
+
+@query(
+    "choose_model",
+    """SELECT s_suppkey, 'NATION_' || s_nationkey AS role, coalesce('region ' || n_regionkey, 'default') AS model
+       FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) ON n_name = 'NATION_' || s_nationkey""",
+)
+def choose_model(spark, sf):
+    requests = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string")).alias("role"))
+    roles = table(spark, sf, "nation").where("n_regionkey <> 2").select(
+        F.col("n_name").alias("role"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("model")
+    )
+    return gn.choose_model(requests, roles, "default")
+
+
+@query(
+    "classify_batches",
+    f"""WITH k AS (SELECT DISTINCT 'item ' || item_id AS theme, unnest({sql_tokens('lower(text)')}) AS keyword FROM benchmark),
+          w AS (SELECT DISTINCT doc_id, unnest({sql_tokens('lower(text)')}) AS keyword FROM documents),
+          h AS (SELECT doc_id, theme, count(*) AS score FROM w JOIN k USING (keyword) GROUP BY ALL)
+        SELECT doc_id, theme, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, theme) AS rn FROM h) WHERE rn = 1""",
+)
+def classify_batches(spark, sf):
+    themes = table(spark, sf, "benchmark").select(
+        F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("theme"), F.explode(lx.tokens(F.lower("text"))).alias("keyword")
+    )
+    return ch.keyword_themes(table(spark, sf, "documents"), lx.tokens(F.lower("text")), ["doc_id"], themes)
+
 
