@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import ASCII_SPACE_CLASS, SPACE_CLASS, _col, fold_spaces, let, strip
+from corpusloom.functions.text import ASCII_SPACE_CLASS, _col, fold_spaces, let, strip
 
 HDD_DRAWS = 42
 MTLD_THRESHOLD = 0.72
@@ -15,7 +15,7 @@ MIN_TOKENS_ADVANCED = 5
 
 def normalized(c: Column | str) -> Column:
     """Lower case, letters, digits and spaces only: the optional second tokeniser."""
-    return F.regexp_replace(F.lower(_col(c)), rf"[^\p{{L}}\p{{N}}{SPACE_CLASS}]", "")
+    return F.regexp_replace(F.lower(fold_spaces(c)), rf"[^a-z\p{{L}}\p{{N}}{ASCII_SPACE_CLASS}]+", "")
 
 
 def _folded(c: Column | str) -> Column:
@@ -42,6 +42,24 @@ def sentence_count(c: Column | str) -> Column:
     return F.greatest(F.lit(1), F.regexp_count(_folded(c), F.lit(piece)))
 
 
+def token_counts(words: Column) -> Column:
+    """array<struct(token, n)> of the distinct tokens of an array, in token order."""
+
+    def ends_of_runs(s: Column) -> Column:
+        ends = F.transform(s, lambda x, i: F.when(~x.eqNullSafe(F.get(s, i + 1)), i + 1))
+        return let(F.filter(ends, lambda e: e.isNotNull()), lambda e: runs(s, e))
+
+    def runs(s: Column, ends: Column) -> Column:
+        return F.transform(
+            ends,
+            lambda e, k: F.struct(
+                F.get(s, e - 1).alias("token"), (e - F.coalesce(F.get(ends, k - 1), F.lit(0))).alias("n")
+            ),
+        )
+
+    return let(F.sort_array(words), ends_of_runs)
+
+
 def type_counts(words: Column) -> Column:
     """How often each distinct token of an array occurs, as an array of counts."""
 

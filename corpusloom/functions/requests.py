@@ -20,17 +20,24 @@ PROVIDER_PATTERNS = [
 ]
 DEFAULT_PROVIDER = "openai"
 
-# Secret shapes and their replacements, applied in this order.
+# Secret shapes and their replacements, applied in this order. The first entry lists lower-case
+# strings one of which a text must hold for the pattern to match at all.
 REDACTED = "***REDACTED***"
 SECRET_PATTERNS = [
-    (r"(?i)(authorization\s*[:=]\s*bearer\s+)([A-Za-z0-9._\-=/+]{16,})", 1, ""),
-    (r"(?i)(\bbearer\s+)([A-Za-z0-9._\-=/+]{16,})", 1, ""),
-    (r"\bsk-[A-Za-z0-9]{4,}\b", 0, "sk-"),
-    (r"\bsk-ant-[A-Za-z0-9\-_]{10,}\b", 0, "sk-ant-"),
-    (r"\bsk-or-v1-[A-Za-z0-9\-_]{10,}\b", 0, "sk-or-v1-"),
-    (r"\bAIza[0-9A-Za-z\-_]{30,}\b", 0, "AIza"),
-    (r"(?i)\b(api[_-]?key|x-api-key|token|secret)\b(\s*[:=]\s*)(['\"]?)([^\s'\",]{12,})", 3, ""),
+    (("bearer",), r"(?i)(authorization\s*[:=]\s*bearer\s+)([A-Za-z0-9._\-=/+]{16,})", 1, ""),
+    (("bearer",), r"(?i)(\bbearer\s+)([A-Za-z0-9._\-=/+]{16,})", 1, ""),
+    (("sk-",), r"\bsk-[A-Za-z0-9]{4,}\b", 0, "sk-"),
+    (("sk-ant-",), r"\bsk-ant-[A-Za-z0-9\-_]{10,}\b", 0, "sk-ant-"),
+    (("sk-or-v1-",), r"\bsk-or-v1-[A-Za-z0-9\-_]{10,}\b", 0, "sk-or-v1-"),
+    (("aiza",), r"\bAIza[0-9A-Za-z\-_]{30,}\b", 0, "AIza"),
     (
+        ("api", "token", "secret"),
+        r"(?i)\b(api[_-]?key|x-api-key|token|secret)\b(\s*[:=]\s*)(['\"]?)([^\s'\",]{12,})",
+        3,
+        "",
+    ),
+    (
+        ("key",),
         r"(?i)\b((?:OPENAI|ANTHROPIC|OPENROUTER|GOOGLE|GEMINI|MISTRAL|XAI|HUGGINGFACE|HF)_[A-Z0-9_]*KEY)\b"
         r"(\s*[:=]\s*)(['\"]?)([^\s'\",]{12,})",
         3,
@@ -92,12 +99,20 @@ def flatten_messages(messages: Column | str) -> Column:
 
 
 def redact_secrets(c: Column | str) -> Column:
-    """Tokens, keys and `key=value` secrets masked."""
+    """Tokens, keys and `key=value` secrets masked. A pattern runs only on texts that hold its key word."""
     text = F.coalesce(_col(c), F.lit(""))
-    for pattern, groups, literal in SECRET_PATTERNS:
-        kept = "".join(f"${i}" for i in range(1, groups + 1))
-        text = F.regexp_replace(text, pattern, kept + literal + REDACTED)
-    return text
+
+    def mask(low: Column) -> Column:
+        out = text
+        for words, pattern, groups, literal in SECRET_PATTERNS:
+            kept = "".join(f"${i}" for i in range(1, groups + 1))
+            present = low.contains(words[0])
+            for word in words[1:]:
+                present = present | low.contains(word)
+            out = let(out, lambda t: F.when(present, F.regexp_replace(t, pattern, kept + literal + REDACTED)).otherwise(t))
+        return out
+
+    return let(F.lower(text), mask)
 
 
 def extract_json_object(c: Column | str) -> Column:

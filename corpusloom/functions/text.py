@@ -20,7 +20,8 @@ SPACE_CLASS = ASCII_SPACE_CLASS + r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202
 WIDE_SPACES = "".join(ch for ch in SPACES if ord(ch) > 127)
 WS = f"[{SPACE_CLASS}]"
 NOT_WS = f"[^{SPACE_CLASS}]"
-LINE_BREAK = r"(?:\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029])"
+# Line breaks other than the newline.
+OTHER_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 # Typographic characters and their plain replacements, position by position.
 FANCY = "\u2018\u2019\u201c\u201d\u00b4\u0060\u2013\u2014\u00a0\u0091\u0092"
@@ -29,6 +30,9 @@ ELLIPSIS = "\u2026"
 # Dropped control characters, all below the space but newline and tab.
 CONTROLS = "".join(chr(i) for i in range(32) if chr(i) not in "\n\t")
 
+# Macros for the characters that have no backslash form.
+MACROS = {"\x01": r"\textbackslash{}", "\x02": r"\textasciitilde{}", "\x03": r"\textasciicircum{}"}
+
 # Tags a generated text may start with, and quote characters around it.
 TAGS = ("SN", "DE", "K", "STYLE", "VARIANT", "NEUTRAL")
 BODY_TRIM = ' \n"“”«»'
@@ -47,21 +51,35 @@ def strip(c: Column | str) -> Column:
 def fold_spaces(c: Column | str) -> Column:
     """Every non-ASCII space as a plain one, so that cheap ASCII classes can split the text; lengths are kept."""
     text = _col(c)
-    ascii_only = F.length(text) == F.octet_length(text)
-    return F.when(ascii_only, text).otherwise(F.translate(text, WIDE_SPACES, " " * len(WIDE_SPACES)))
+    # The range holds all wide spaces, and few texts hold anything of it.
+    return F.when(text.rlike("[\\x85\\xa0\\u1680-\\u3000]"), F.translate(text, WIDE_SPACES, " " * len(WIDE_SPACES))).otherwise(
+        text
+    )
 
 
 def is_blank(c: Column | str) -> Column:
-    return F.coalesce(strip(c), F.lit("")) == ""
+    """Null or nothing but white space; reads no further than the first other character."""
+    return ~F.coalesce(_col(c).rlike(NOT_WS), F.lit(False))
 
 
 def blank_to_null(c: Column | str) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
+def unix_lines(c: Column | str) -> Column:
+    """Every kind of line break as a newline."""
+    text = _col(c)
+    folded = F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), OTHER_BREAKS, "\n" * len(OTHER_BREAKS))
+    return F.when(text.rlike(f"[{OTHER_BREAKS}]"), folded).otherwise(text)
+
+
 def split_lines(c: Column | str) -> Column:
     """Lines without their breaks; a final break opens no further line."""
-    return F.split(F.regexp_replace(_col(c), LINE_BREAK + r"\z", ""), LINE_BREAK)
+
+    def lines(t: Column) -> Column:
+        return F.split(F.when(t.endswith("\n"), F.left(t, F.length(t) - 1)).otherwise(t), "\n")
+
+    return let(unix_lines(c), lines)
 
 
 def coalesce_text(variant: Column | str, neutral: Column | str) -> Column:
@@ -113,18 +131,24 @@ def dataset_name(kind: Column | str, stage: str, topic: Column | str) -> Column:
 
 
 def normalize_punct(c: Column | str) -> Column:
-    """Typographic punctuation to ASCII; control characters dropped."""
-    plain = F.translate(_col(c), FANCY + CONTROLS, PLAIN)
-    return F.replace(plain, F.lit(ELLIPSIS), F.lit("..."))
+    """Typographic punctuation to ASCII; control characters dropped. Texts without any are not touched."""
+    text = _col(c)
+    plain = F.replace(F.translate(text, FANCY + CONTROLS, PLAIN), F.lit(ELLIPSIS), F.lit("..."))
+    return F.when(text.rlike(rf"[\x00-\x08\x0b-\x1f{FANCY}{ELLIPSIS}]"), plain).otherwise(text)
 
 
 def latex_escape(c: Column | str) -> Column:
     """Plain text safe inside LaTeX. Control characters are gone by then, so three of them stand in."""
-    marked = F.translate(normalize_punct(c), "\\~^", "\x01\x02\x03")
-    escaped = F.regexp_replace(marked, r"([&%$#_{}])", r"\\$1")
-    for mark, macro in (("\x01", r"\textbackslash{}"), ("\x02", r"\textasciitilde{}"), ("\x03", r"\textasciicircum{}")):
-        escaped = F.replace(escaped, F.lit(mark), F.lit(macro))
-    return escaped
+
+    def escape(t: Column) -> Column:
+        marked = F.translate(t, "\\~^", "\x01\x02\x03")
+        for ch in "&%$#_{}":
+            marked = F.replace(marked, F.lit(ch), F.lit("\\" + ch))
+        for mark, macro in MACROS.items():
+            marked = F.replace(marked, F.lit(mark), F.lit(macro))
+        return F.when(t.rlike(r"[&%$#_{}\\~^]"), marked).otherwise(t)
+
+    return let(normalize_punct(c), escape)
 
 
 def clean_body(c: Column | str, tags: tuple[str, ...] = TAGS) -> Column:

@@ -195,9 +195,9 @@ def book_lines(
     codes = ["code_sn", "code_de"] if show_codes else []
     title = latex_escape(build_title("num", "advice", "topic", codes))
     heading = F.concat(F.col("num").cast("string"), F.lit(". "), title) if entry_numbers else title
-    texts = corpus.withColumn("__body", clean_body("body")).where(F.col("__body") != "").select(
-        "num", _section_lines(heading, F.col("__body")).alias("lines")
-    )
+    # A blank body gives no lines; a filter would be pushed down and clean every body twice.
+    section = let(clean_body("body"), lambda b: F.when(b != "", _section_lines(heading, b)))
+    texts = corpus.select("num", section.alias("lines"))
     if members is None:
         placed = texts.select(F.lit(0).cast("long").alias("chapter_pos"), F.col("num").alias("num_pos"), "lines")
         return _numbered_lines(placed)

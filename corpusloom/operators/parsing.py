@@ -19,13 +19,17 @@ MAX_SENTENCES = 7
 SENTENCE_BREAK = rf"(?<=[.!?]){WS}+(?=[A-ZÀ-ÖØ-Þ0-9])"
 PARAGRAPH_BREAK = rf"\n{WS}*\n"
 
-# The block shapes of generated texts.
-REWRITE_BLOCK = r"(?is)(\[REWRITE[^\]]*?\])\s*(.+?)(?=\[REWRITE[^\]]*?\]|\z)"
+# The block shapes of generated texts. A block runs to the next head of its kind or to the end; its
+# body is read in long stretches that stop only at the character a head begins with.
+REWRITE_HEAD = r"\[REWRITE[^\]]*?\]"
 REWRITE_NUMBER = r"(?i)Num\s*=\s*(\d+)"
-SECTION_BLOCK = r"\\sub(?:sub)?section\*?\{([^}]*)\}([\s\S]*?)(?=\\sub(?:sub)?section|\z)"
-SECTION_HEAD = r"(?i)\\sub(?:sub)?section\*?\{[^}]*\}"
-SECTION_ANY_CASE = rf"(?is)\\sub(?:sub)?section\*?\{{([^}}]*)\}}(.*?)(?={SECTION_HEAD}|\z)"
-TEXT_BLOCK = rf"(?is)(?:\A|\n){WS}*Text{WS}+\d+{WS}*[–-]{WS}*.*?(?=\n{WS}*Text{WS}+\d+{WS}*[–-]|\z)"
+REWRITE_BLOCK = rf"(?is){REWRITE_HEAD}\s*.[^\[]*+(?:\[(?!REWRITE[^\]]*?\])[^\[]*+)*+"
+SECTION_NAME = r"sub(?:sub)?section"
+SECTION_HEAD = rf"\\{SECTION_NAME}\*?\{{([^}}]*)\}}"
+SECTION_BLOCK = rf"{SECTION_HEAD}[^\\]*+(?:\\(?!{SECTION_NAME})[^\\]*+)*+"
+SECTION_ANY_CASE = rf"(?i){SECTION_HEAD}[^\\]*+(?:\\(?!{SECTION_NAME}\*?\{{[^}}]*\}})[^\\]*+)*+"
+TEXT_HEAD = rf"{WS}*Text{WS}+\d+{WS}*[–-]"
+TEXT_BLOCK = rf"(?i)(?:\A|\n){TEXT_HEAD}{WS}*[^\n]*+(?:\n(?!{TEXT_HEAD})[^\n]*+)*+"
 
 # The keys under which a header or a number may stand.
 HEADER_KEYS = ("header", "title", "topic", "advice", "name")
@@ -117,10 +121,13 @@ def parse_rewrites(df: DataFrame, raw: str, keys: list[str]) -> DataFrame:
     """(keys, num, text) of `[REWRITE k | Num=n]` blocks; blocks without number are skipped, the last of equals wins."""
 
     def parsed(block: Column) -> Column:
-        head = F.regexp_extract(block, REWRITE_BLOCK, 1)
-        return F.struct(
-            F.regexp_extract(head, REWRITE_NUMBER, 1).try_cast("long").alias("num"),
-            strip(F.regexp_extract(block, REWRITE_BLOCK, 2)).alias("text"),
+        head = F.regexp_extract(block, rf"(?i)\A{REWRITE_HEAD}", 0)
+        return let(
+            head,
+            lambda h: F.struct(
+                F.regexp_extract(h, REWRITE_NUMBER, 1).try_cast("long").alias("num"),
+                strip(F.substr(block, F.length(h) + 1)).alias("text"),
+            ),
         )
 
     def last_wins(blocks: Column) -> Column:
@@ -139,13 +146,15 @@ def section_blocks(c: Column | str, *, any_case: bool = False) -> Column:
     """array<struct(header, text)> of LaTeX sub(sub)sections."""
     pattern = SECTION_ANY_CASE if any_case else SECTION_BLOCK
     blocks = F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit(pattern), F.lit(0))
-    return F.transform(
-        blocks,
-        lambda b: F.struct(
-            strip(F.regexp_extract(b, pattern, 1)).alias("header"),
-            strip(F.regexp_extract(b, pattern, 2)).alias("text"),
-        ),
-    )
+
+    def parts(block: Column) -> Column:
+        head = rf"(?i)\A{SECTION_HEAD}"
+        return F.struct(
+            strip(F.regexp_extract(block, head, 1)).alias("header"),
+            strip(F.substr(block, F.length(F.regexp_extract(block, head, 0)) + 1)).alias("text"),
+        )
+
+    return F.transform(blocks, parts)
 
 
 def parse_sections(df: DataFrame, raw: str, keys: list[str]) -> DataFrame:

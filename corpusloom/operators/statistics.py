@@ -285,9 +285,10 @@ def lexicon_scores(
     df: DataFrame, text: str, keys: list[str], lexicon: DataFrame, labels: list[str], prefix: str
 ) -> DataFrame:
     """Sum of lexicon weights (token, label, weight) per text and label, 0 where nothing matches."""
-    words = df.where(~is_blank(text)).select(*keys, F.explode(lx.tokens(text)).alias("token"))
+    # One row per distinct token of a text: frequent words weigh no more than rare ones in the join.
+    words = df.where(~is_blank(text)).select(*keys, F.inline(lx.token_counts(lx.tokens(text))))
     sums = [
-        F.coalesce(F.sum(F.when(F.col("label") == name, F.col("weight"))), F.lit(0.0)).alias(f"{prefix}_{name}")
+        F.coalesce(F.sum(F.when(F.col("label") == name, F.col("weight") * F.col("n"))), F.lit(0.0)).alias(f"{prefix}_{name}")
         for name in labels
     ]
     return words.join(lexicon, "token", "left").groupBy(*keys).agg(*sums)

@@ -8,7 +8,7 @@ from corpusloom.functions import codes as cd
 from corpusloom.functions import requests as rq
 from corpusloom.functions import text as tx
 from corpusloom.registry.core import (
-    RE_SPACE, query, sql_blank, sql_latex, sql_lines, sql_punct, sql_strip, table,
+    RE_SPACE, query, sql_blank, sql_latex, sql_lines, sql_punct, sql_strip, table, texts,
 )
 
 S = f"[{RE_SPACE}]"
@@ -16,7 +16,7 @@ S = f"[{RE_SPACE}]"
 
 @query("non_blank", f"SELECT doc_id, text FROM documents WHERE NOT {sql_blank('text')}")
 def non_blank(spark, sf):
-    return table(spark, sf, "documents").where(~tx.is_blank("text")).select("doc_id", "text")
+    return texts(spark, sf, "documents").where(~tx.is_blank("text")).select("doc_id", "text")
 
 
 @query(
@@ -28,7 +28,7 @@ def non_blank(spark, sf):
         WHERE u.role = 'user'""",
 )
 def coalesce_text(spark, sf):
-    chat = table(spark, sf, "conversations")
+    chat = texts(spark, sf, "conversations")
     asked = chat.where("role = 'user'")
     answered = chat.where("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("generated")
@@ -60,7 +60,7 @@ def sql_slug(x: str, n: int = 30) -> str:
 
 @query("slugify", f"SELECT doc_id, {sql_slug('text')} AS slug FROM documents")
 def slugify(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.slugify("text").alias("slug"))
+    return texts(spark, sf, "documents").select("doc_id", tx.slugify("text").alias("slug"))
 
 
 @query(
@@ -74,12 +74,12 @@ def dataset_name(spark, sf):
 
 @query("normalize_punct", f"SELECT page_id, {sql_punct('html')} AS plain FROM pages")
 def normalize_punct(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.normalize_punct("html").alias("plain"))
+    return texts(spark, sf, "pages").select("page_id", tx.normalize_punct("html").alias("plain"))
 
 
 @query("latex_escape", f"SELECT page_id, {sql_latex('html')} AS escaped FROM pages")
 def latex_escape(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.latex_escape("html").alias("escaped"))
+    return texts(spark, sf, "pages").select("page_id", tx.latex_escape("html").alias("escaped"))
 
 
 TAG_NAMES = "SN|DE|K|STYLE|VARIANT|NEUTRAL"
@@ -124,7 +124,7 @@ def clean_body(spark, sf):
         .when(F.col("lang") == "de", F.concat(F.lit("Neutral - "), "text"))
         .otherwise(F.concat("text", F.lit("   ")))
     )
-    raw = table(spark, sf, "documents").select("doc_id", body.alias("body"))
+    raw = texts(spark, sf, "documents").select("doc_id", body.alias("body"))
     return raw.select("doc_id", tx.clean_body("body").alias("body"))
 
 
@@ -138,7 +138,7 @@ def clean_body(spark, sf):
         FROM raw""",
 )
 def filter_headers(spark, sf):
-    raw = table(spark, sf, "documents").select(
+    raw = texts(spark, sf, "documents").select(
         "doc_id", F.concat(F.lit("% "), "source", F.lit("\n### "), "lang", F.lit("\n"), "text").alias("t")
     )
     return raw.select(
@@ -178,7 +178,7 @@ def build_title(spark, sf):
 
 @query("excerpt_ends", "SELECT doc_id, left(text, 15) AS head, right(text, 15) AS tail FROM documents")
 def excerpt_ends(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         "doc_id", tx.excerpt_start("text").alias("head"), tx.excerpt_end("text").alias("tail")
     )
 
@@ -257,7 +257,7 @@ def natural_code_key(spark, sf):
 
 @query("match_search", "SELECT doc_id FROM documents WHERE contains(lower(source), 'tion') OR contains(lower(text), 'tion')")
 def match_search(spark, sf):
-    return table(spark, sf, "documents").where(cd.match_search(" TION ", "source", "text")).select("doc_id")
+    return texts(spark, sf, "documents").where(cd.match_search(" TION ", "source", "text")).select("doc_id")
 
 
 @query(
@@ -278,7 +278,7 @@ def facet_filter(spark, sf):
     "SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS n_tokens FROM documents",
 )
 def estimate_tokens(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", rq.estimate_tokens("text").alias("n_tokens"))
+    return texts(spark, sf, "documents").select("doc_id", rq.estimate_tokens("text").alias("n_tokens"))
 
 
 MODEL_SPEC = {
@@ -327,13 +327,13 @@ def guess_provider(spark, sf):
 )
 def flatten_messages(spark, sf):
     # An exchange is two turns, whatever the length of the conversation.
-    chat = table(spark, sf, "conversations").withColumn("exchange", F.floor(F.col("turn") / 2))
+    chat = texts(spark, sf, "conversations").withColumn("exchange", F.floor(F.col("turn") / 2))
     turns = F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
     return chat.groupBy("conv_id", "exchange").agg(rq.flatten_messages(turns).alias("prompt"))
 
 
 def sql_redact(x: str) -> str:
-    for pattern, groups, literal in rq.SECRET_PATTERNS:
+    for _, pattern, groups, literal in rq.SECRET_PATTERNS:
         kept = "".join(f"\\{i}" for i in range(1, groups + 1))
         escaped = pattern.replace("'", "''")
         x = f"regexp_replace({x}, '{escaped}', '{kept}{literal}{rq.REDACTED}', 'g')"
@@ -342,7 +342,7 @@ def sql_redact(x: str) -> str:
 
 @query("redact_secrets", f"SELECT doc_id, {sql_redact('text')} AS text FROM documents")
 def redact_secrets(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", rq.redact_secrets("text").alias("text"))
+    return texts(spark, sf, "documents").select("doc_id", rq.redact_secrets("text").alias("text"))
 
 
 @query(

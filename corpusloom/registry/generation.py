@@ -11,12 +11,12 @@ from corpusloom.functions import text as tx
 from corpusloom.operators import alignment as al
 from corpusloom.operators import chapters as ch
 from corpusloom.operators import generation as gn
-from corpusloom.registry.core import query, sql_strip, sql_tokens, table
+from corpusloom.registry.core import query, sql_strip, sql_tokens, table, texts
 from corpusloom.session import scratch_path
 
 
 def _numbered(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    docs = texts(spark, sf, "documents").select("doc_id", "lang", "source", "text")
     return gn.plan_batches(al.renumber(docs, ["doc_id"]), 5)
 
 
@@ -92,7 +92,7 @@ def make_echo():
          CASE WHEN contains(text, '$') THEN 'no answer' END AS error FROM (SELECT DISTINCT ON (text) * FROM documents ORDER BY doc_id)""",
 )
 def generate_batches(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     first = docs.groupBy(F.col("text").alias("prompt")).agg(F.min("doc_id").alias("doc_id"))
     return gn.generate_batches(first, make_echo, ["doc_id"], backoff=0.0)
 
@@ -123,7 +123,7 @@ def make_rewriter():
         FROM (SELECT unnest(['DIRECT', 'FORMAL']) AS variant) v, documents LEFT JOIN labels USING (doc_id)""",
 )
 def fill_missing(spark, sf):
-    corpus = table(spark, sf, "documents").select(F.col("doc_id").alias("num"), "text")
+    corpus = texts(spark, sf, "documents").select(F.col("doc_id").alias("num"), "text")
     existing = table(spark, sf, "labels").select(
         F.lit("DIRECT").alias("variant"), F.col("doc_id").alias("num"), F.when(F.col("quality") == 1, "kept").otherwise(" ").alias("generated_text")
     )
@@ -184,6 +184,6 @@ def classify_batches(spark, sf):
     themes = table(spark, sf, "benchmark").select(
         F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("theme"), F.explode(lx.tokens(F.lower("text"))).alias("keyword")
     )
-    return ch.keyword_themes(table(spark, sf, "documents"), lx.tokens(F.lower("text")), ["doc_id"], themes)
+    return ch.keyword_themes(texts(spark, sf, "documents"), lx.tokens(F.lower("text")), ["doc_id"], themes)
 
 

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from corpusloom.operators import alignment as al
 from corpusloom.operators import chapters as ch
 from corpusloom.operators import facets as fc
-from corpusloom.registry.core import query, sql_blank, table
+from corpusloom.registry.core import query, sql_blank, table, texts
 from corpusloom.schemas import CHAPTERS_JSON
 from corpusloom.sources.tables import parse_documents
 
 
 def _documents(spark, sf):
-    return table(spark, sf, "documents").withColumnRenamed("doc_id", "num")
+    return texts(spark, sf, "documents").withColumnRenamed("doc_id", "num")
 
 
 def _labels(spark, sf):
@@ -166,12 +166,12 @@ def invalid_counts(spark, sf):
 
 
 def _exchanges(spark, sf):
-    chat = table(spark, sf, "conversations").where("role <> 'system'")
+    chat = texts(spark, sf, "conversations").where("role <> 'system'")
     return chat.withColumn("exchange", F.floor(F.col("turn") / 2))
 
 
 def _pairs(spark, sf):
-    chat = table(spark, sf, "conversations")
+    chat = texts(spark, sf, "conversations")
     asked = chat.where("role = 'user'").select("conv_id", "turn", "text")
     answered = chat.where("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("generated_text")
@@ -374,7 +374,7 @@ def merge_catalogue(spark, sf):
         FROM conversations GROUP BY conv_id""",
 )
 def best_attempt(spark, sf):
-    attempts = table(spark, sf, "conversations").select(
+    attempts = texts(spark, sf, "conversations").select(
         "conv_id", F.col("turn").alias("attempt"), F.when(F.col("role") == "assistant", F.col("text")).otherwise(" ").alias("text")
     )
     return al.best_attempt(attempts, ["conv_id"])

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from corpusloom.operators import alignment as al
 from corpusloom.operators import facets as fc
 from corpusloom.operators import generation as gn
-from corpusloom.registry.core import query, table
+from corpusloom.registry.core import query, table, texts
 
 
 @query("renumber", "SELECT doc_id, lang, row_number() OVER (ORDER BY lang, doc_id) AS num FROM documents")
 def renumber(spark, sf):
-    return al.renumber(table(spark, sf, "documents").select("doc_id", "lang"), ["lang", "doc_id"])
+    return al.renumber(texts(spark, sf, "documents").select("doc_id", "lang"), ["lang", "doc_id"])
 
 
 @query(
@@ -38,7 +38,7 @@ def truncate_common(spark, sf):
        SELECT doc_id, num, (num - 1) // 20 AS batch_id FROM n""",
 )
 def plan_batches(spark, sf):
-    return gn.plan_batches(al.renumber(table(spark, sf, "documents").select("doc_id"), ["doc_id"]), 20)
+    return gn.plan_batches(al.renumber(texts(spark, sf, "documents").select("doc_id"), ["doc_id"]), 20)
 
 
 @query(
@@ -66,7 +66,7 @@ def order_batches(spark, sf):
 
 @query("sort_by_key", "SELECT doc_id, lang, source FROM documents")
 def sort_by_key(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "lang", "source").orderBy("doc_id")
+    return texts(spark, sf, "documents").select("doc_id", "lang", "source").orderBy("doc_id")
 
 
 @query(
@@ -75,7 +75,7 @@ def sort_by_key(spark, sf):
        WHERE contains(lower(text), 'th') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
 )
 def prev_next(spark, sf):
-    rows = table(spark, sf, "conversations").where(F.lower("text").contains("th"))
+    rows = texts(spark, sf, "conversations").where(F.lower("text").contains("th"))
     # A small block, so that the borders between blocks are exercised at any scale.
     return fc.prev_next(rows, ["conv_id"], ["turn"], block=50)
 
@@ -88,7 +88,7 @@ def prev_next(spark, sf):
 )
 def nav_list(spark, sf):
     kinds = F.when(F.col("n_chars") > 1000, F.array("lang", F.lit("long"))).otherwise(F.array("lang"))
-    rows = table(spark, sf, "documents").select(
+    rows = texts(spark, sf, "documents").select(
         "doc_id", F.col("source").alias("header"), kinds.alias("kinds"), F.array().cast("array<string>").alias("none")
     )
     chosen = table(spark, sf, "labels").where("quality = 1")

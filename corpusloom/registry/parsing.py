@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import parsing as ps
-from corpusloom.registry.core import query, sql_lines, sql_punct, sql_strip, table
+from corpusloom.registry.core import query, sql_lines, sql_punct, sql_strip, table, texts
 
 
 def _documents(spark, sf):
-    return table(spark, sf, "documents")
+    return texts(spark, sf, "documents")
 
 
 def sql_non_blank(items: str) -> str:
@@ -98,7 +98,7 @@ def parse_rewrites(spark, sf):
         F.col("role") == "assistant", F.concat(F.lit("[REWRITE] lost\n[rewrite 2 | num = "), number, F.lit("] again"))
     )
     raw = F.concat(F.lit("Here you are.\n"), once, F.coalesce(again, F.lit("")))
-    answers = table(spark, sf, "conversations").select("conv_id", raw.alias("raw"))
+    answers = texts(spark, sf, "conversations").select("conv_id", raw.alias("raw"))
     return ps.parse_rewrites(answers, "raw", ["conv_id"])
 
 

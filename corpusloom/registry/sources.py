@@ -9,7 +9,7 @@ from corpusloom.functions import text as tx
 from corpusloom.operators import chapters as ch
 from corpusloom.operators import facets as fc
 from corpusloom.registry.columns import sql_clean_body, sql_title, sql_untag
-from corpusloom.registry.core import query, sql_latex, sql_lines, sql_strip, table
+from corpusloom.registry.core import query, sql_latex, sql_lines, sql_strip, table, texts
 from corpusloom.schemas import THEMES_JSON
 from corpusloom.session import scratch_path
 from corpusloom.sources import sinks, tables
@@ -34,7 +34,7 @@ _PAGES = T.StructType([T.StructField(n, T.StringType()) for n in ("page_id", "ht
 @query("read_table_multi_line", "SELECT page_id, html FROM pages")
 def read_table_multi_line(spark, sf):
     path = scratch_path(spark, "pages")
-    sinks.write_table(table(spark, sf, "pages").select("page_id", "html"), path, format="csv")
+    sinks.write_table(texts(spark, sf, "pages").select("page_id", "html"), path, format="csv")
     return tables.read_table(spark, path, _PAGES, multi_line=True, types={"page_id": "long"}).drop("_corrupt")
 
 
@@ -91,7 +91,7 @@ def read_text_corpus(spark, sf):
 @query("read_json_lines", f"SELECT doc_id AS num, source AS header, {sql_strip('text')} AS text FROM documents")
 def read_json_lines(spark, sf):
     path = scratch_path(spark, "lines")
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("num"), F.col("source").alias("title"), "text")
+    rows = texts(spark, sf, "documents").select(F.col("doc_id").alias("num"), F.col("source").alias("title"), "text")
     sinks.write_json_doc(rows, path, ["num", "title", "text"])
     return tables.read_json_lines(spark, path)
 
@@ -99,7 +99,7 @@ def read_json_lines(spark, sf):
 @query("read_xml_texts")
 def read_xml_texts(spark, sf):
     path = scratch_path(spark, "xml")
-    rows = table(spark, sf, "documents").select(
+    rows = texts(spark, sf, "documents").select(
         F.col("doc_id").alias("_num"), F.col("source").alias("_header"), tx.normalize_punct("text").alias("_VALUE")
     )
     rows.write.format("xml").option("rowTag", "text").option("rootTag", "corpus").save(path)
@@ -166,7 +166,7 @@ SQL_MERGED = f"""m AS (SELECT doc_id, {sql_strip(f"array_to_string(list_filter({
 
 
 def _headed(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("% "), "source", F.lit("\n"), "text").alias("text"))
+    return texts(spark, sf, "documents").select("doc_id", F.concat(F.lit("% "), "source", F.lit("\n"), "text").alias("text"))
 
 
 @query(
@@ -194,14 +194,14 @@ def merge_texts(spark, sf):
 )
 def append_texts(spark, sf):
     path = scratch_path(spark, "appended")
-    chat = table(spark, sf, "conversations")
+    chat = texts(spark, sf, "conversations")
     for role in ("system", "user", "assistant"):
         sinks.append_texts(chat.where(F.col("role") == role), path)
     return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _slots(spark, sf):
-    chat = table(spark, sf, "conversations").where("role <> 'system'")
+    chat = texts(spark, sf, "conversations").where("role <> 'system'")
     header = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
     return chat.select(F.col("role").alias("slot"), "conv_id", F.floor(F.col("turn") / 2).alias("exchange"), header.alias("header"), "text")
 
@@ -239,7 +239,7 @@ def export_selection_files(spark, sf):
        FROM documents GROUP BY ALL""",
 )
 def chapter_documents(spark, sf):
-    members = table(spark, sf, "documents").select(
+    members = texts(spark, sf, "documents").select(
         F.col("lang").alias("chapter_id"), F.col("lang").alias("title"), F.col("doc_id").alias("num")
     )
     return sinks.chapter_documents(members, 100).withColumn("num_list", F.array_join("num_list", ","))
@@ -258,7 +258,7 @@ BOOK = f"""c AS (SELECT doc_id AS num, source AS topic, CASE WHEN lang = 'en' TH
 
 
 def _book_corpus(spark, sf):
-    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    docs, labels = texts(spark, sf, "documents"), table(spark, sf, "labels")
     advice = F.when(F.col("lang") == "en", "").otherwise(F.concat("lang", F.lit(" & "), F.col("doc_id").cast("string")))
     body = F.when(F.col("lang") == "de", F.concat(F.lit("STYLE: "), "text")).otherwise(F.col("text"))
     return docs.join(labels, "doc_id", "left").select(
@@ -287,7 +287,7 @@ def book_lines_flat(spark, sf):
         UNION ALL SELECT pos, -1, unnest(range(len(ls))), unnest(ls) FROM heads""",
 )
 def book_lines(spark, sf):
-    labelled = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    labelled = texts(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
     assigned = labelled.select(F.col("doc_id").alias("id"), F.col("source").alias("theme"))
     members = ch.chapters_from_themes(ch.theme_members(assigned))
     themes = table(spark, sf, "region").select(

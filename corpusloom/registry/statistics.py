@@ -10,14 +10,14 @@ from corpusloom.operators import chapters as ch
 from corpusloom.operators import facets as fc
 from corpusloom.operators import generation as gn
 from corpusloom.operators import statistics as st
-from corpusloom.registry.core import RE_SPACE, query, sql_blank, sql_sentences, sql_tokens, table
+from corpusloom.registry.core import RE_SPACE, query, sql_blank, sql_sentences, sql_tokens, table, texts
 from corpusloom.session import materialise
 
 DIRECT = st.DIRECT_METRICS
 
 
 def _documents(spark, sf):
-    return table(spark, sf, "documents")
+    return texts(spark, sf, "documents")
 
 
 # --- codes --------------------------------------------------------------------------------------------------------
@@ -233,7 +233,7 @@ def summary_wide(spark, sf):
         FROM conversations GROUP BY 1""",
 )
 def length_stats(spark, sf):
-    chat = table(spark, sf, "conversations").withColumnRenamed("role", "corpus")
+    chat = texts(spark, sf, "conversations").withColumnRenamed("role", "corpus")
     stats = st.length_stats(chat, "text", ["corpus"])
     return stats.select("corpus", "n_texts", *[F.round(c, 5).alias(c) for c in stats.columns[2:]])
 
@@ -513,7 +513,7 @@ VARIANTS = f"(SELECT role AS variant, conv_id, turn, CASE WHEN role = 'user' AND
 
 def _variants(spark, sf):
     text = F.when((F.col("role") == "user") & (F.length("text") < 60), " ").otherwise(F.col("text"))
-    return table(spark, sf, "conversations").select(F.col("role").alias("variant"), "conv_id", "turn", text.alias("generated_text"))
+    return texts(spark, sf, "conversations").select(F.col("role").alias("variant"), "conv_id", "turn", text.alias("generated_text"))
 
 
 @query(
