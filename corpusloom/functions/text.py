@@ -111,8 +111,8 @@ def slugify(c: Column | str, max_len: int = 30) -> Column:
     source = _col(c)
     foreign = source.rlike(r"[^\x00-\x7f]")
     folded = F.when(foreign, _fold_to_ascii(F.when(foreign, source))).otherwise(source)
-    words = F.regexp_replace(F.lower(folded), r"[^a-z0-9\t-\r\x1c-\x20-]", " ")
-    words = F.trim(F.regexp_replace(words, r"[\t-\r\x1c-\x20]+", " "))
+    # Everything between words, spaces included, shrinks to one space; outer ones go, inner ones become hyphens.
+    words = F.trim(F.regexp_replace(F.lower(folded), "[^a-z0-9-]+", " "))
     slug = F.replace(words, F.lit(" "), F.lit("-"))
 
     def shorten(s: Column) -> Column:

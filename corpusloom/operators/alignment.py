@@ -86,8 +86,8 @@ def kept_keys(tables: dict[str, DataFrame], key: str, bad: dict[str, Column] | N
 def sync_filter(
     tables: dict[str, DataFrame], key: str, bad: dict[str, Column] | None = None
 ) -> dict[str, DataFrame]:
-    """Every table reduced to the kept keys: one aggregate over the keys, then a semi join per table."""
-    keep = kept_keys(tables, key, bad)
+    """Every table reduced to the kept keys: one aggregate over the keys, written once, and a semi join per table."""
+    keep = materialise(kept_keys(tables, key, bad), "kept")
     return {name: df.join(keep, key, "left_semi") for name, df in tables.items()}
 
 
@@ -99,29 +99,41 @@ def truncate_common(tables: dict[str, DataFrame], num: str = "num") -> dict[str,
 
 
 def check_keys(tables: dict[str, DataFrame], key: str) -> DataFrame:
-    """One row per table: rows, null keys, distinct keys, duplicated keys, contiguous 1..N, same keys everywhere."""
-    parts = [df.select(F.lit(name).alias("table"), F.col(key).cast("long").alias("key")) for name, df in tables.items()]
-    per_key = reduce(DataFrame.unionAll, parts).groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"))
+    """One row per table: rows, null keys, distinct keys, duplicated keys, contiguous 1..N, same keys everywhere.
+
+    All tables are counted by key together, in one shuffle; the report is a single pass over those counts.
+    """
+    names = list(tables)
+    parts = [df.select(F.lit(i).alias("t"), F.col(key).cast("long").alias("key")) for i, df in enumerate(tables.values())]
+    counts = [F.count(F.when(F.col("t") == i, 1)).alias(f"c{i}") for i in range(len(names))]
+    per_key = reduce(DataFrame.unionAll, parts).groupBy("key").agg(*counts)
     valid = F.col("key").isNotNull()
-    report = per_key.groupBy("table").agg(
-        F.sum("n").alias("n_rows"),
-        F.sum(F.when(~valid, F.col("n")).otherwise(0)).alias("n_null"),
-        F.count(F.when(valid, 1)).alias("n_distinct"),
-        F.count(F.when(valid & (F.col("n") > 1), 1)).alias("n_duplicated"),
-        F.min("key").alias("min_key"),
-        F.max("key").alias("max_key"),
-    )
-    everywhere = (
-        per_key.where(valid).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.count(F.when(F.col("n") == len(tables), 1))).scalar()
-    )
+    everywhere = valid
+    for i in range(len(names)):
+        everywhere = everywhere & (F.col(f"c{i}") > 0)
+    stats = [F.count(F.when(everywhere, 1)).alias("everywhere")]
+    for i in range(len(names)):
+        c, here = F.col(f"c{i}"), valid & (F.col(f"c{i}") > 0)
+        stats.append(
+            F.struct(
+                F.lit(names[i]).alias("table"),
+                F.coalesce(F.sum(c), F.lit(0)).alias("n_rows"),
+                F.coalesce(F.sum(F.when(~valid, c)), F.lit(0)).alias("n_null"),
+                F.count(F.when(here, 1)).alias("n_distinct"),
+                F.count(F.when(here & (c > 1), 1)).alias("n_duplicated"),
+                F.min(F.when(here, F.col("key"))).alias("min_key"),
+                F.max(F.when(here, F.col("key"))).alias("max_key"),
+            ).alias(f"s{i}")
+        )
+    report = per_key.agg(*stats).select("everywhere", F.inline(F.array(*[F.col(f"s{i}") for i in range(len(names))])))
     contiguous = (
         (F.col("n_null") == 0) & (F.col("n_duplicated") == 0)
         & (F.col("min_key") == 1) & (F.col("max_key") == F.col("n_distinct"))
     )
     return report.select(
-        "*", F.coalesce(contiguous, F.lit(False)).alias("contiguous"),
-        (F.col("n_distinct") == everywhere).alias("same_keys"),
+        "table", "n_rows", "n_null", "n_distinct", "n_duplicated", "min_key", "max_key",
+        F.coalesce(contiguous, F.lit(False)).alias("contiguous"),
+        (F.col("n_distinct") == F.col("everywhere")).alias("same_keys"),
     )
 
 
@@ -190,7 +202,8 @@ def validate_codes(
     """
     out = df
     for column, (reference, default) in rules.items():
-        known = reference.select(F.col("code").alias("__code")).distinct()
+        # Written, so that the planner knows its size: a short list spares the rows a shuffle by code.
+        known = materialise(reference.select(F.col("code").alias("__code")).distinct(), "codes")
         out = out.join(known, F.col(column) == F.col("__code"), "left")
         out = out.withColumn(f"{column}_invalid", F.col("__code").isNull()).drop("__code")
         if mode == "repair":

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import blank_to_null, build_title, clean_body, is_blank, latex_escape, let, strip
 from corpusloom.operators.alignment import renumber
+from corpusloom.session import materialise
 
 # Titles and ids of the catch-all chapters.
 OTHER = "Other"
 ALL_TEXTS_ID, ALL_TEXTS_TITLE = "All_Texts", "All Texts"
 
+# Places after every numbered chapter: the catch-all of small themes, then the orphans.
+LAST_CHAPTER = 2**31 - 1
+ORPHANS_CHAPTER = 2**31
+
 
 def theme_members(assignments: DataFrame) -> DataFrame:
     """Distinct (theme, num); blank themes and ids that are no integers are skipped."""
@@ -36,22 +41,33 @@ def merge_small_groups(members: DataFrame, threshold: int, title: str = OTHER) -
     """Members of themes with fewer than `threshold` texts move to one catch-all theme; 0 moves none."""
     if threshold <= 0:
         return members.withColumn("merged", F.lit(False))
-    small = theme_sizes(members).where(F.col("n_texts") < threshold).select("theme", F.lit(True).alias("merged"))
-    flagged = members.join(small, "theme", "left").withColumn("merged", F.coalesce("merged", F.lit(False)))
+    # Written, so that the planner sees whether the list is small enough to spare the members a shuffle by theme.
+    small = materialise(theme_sizes(members).where(F.col("n_texts") < threshold).select("theme"), "small")
+    flagged = members.join(small.withColumn("merged", F.lit(True)), "theme", "left")
+    flagged = flagged.withColumn("merged", F.coalesce("merged", F.lit(False)))
     return flagged.withColumn("theme", F.when(F.col("merged"), title).otherwise(F.col("theme"))).distinct()
 
 
 def chapters_from_themes(members: DataFrame, threshold: int = 0, title: str = OTHER) -> DataFrame:
     """The chapter membership table; the catch-all chapter comes last."""
-    numbers = number_chapters(members)
-    merged = merge_small_groups(members, threshold, title)
-    joined = merged.join(numbers, "theme", "left")
-    last = F.lit(2**31 - 1).cast("long")
-    return joined.select(
-        F.when(F.col("merged"), last).otherwise(F.col("chapter_pos")).alias("chapter_pos"),
-        F.when(F.col("merged"), F.lit(OTHER)).otherwise(F.col("chapter_id")).alias("chapter_id"),
-        F.col("theme").alias("title"), "num", F.col("num").alias("num_pos"),
+    sized = number_chapters(theme_sizes(members)).join(theme_sizes(members), "theme")
+    merged = F.col("n_texts") < threshold
+    # One row per theme, written for its size to be known: the members need no shuffle if it is small.
+    chapters = materialise(
+        sized.select(
+            "theme",
+            F.when(merged, F.lit(LAST_CHAPTER).cast("long")).otherwise(F.col("chapter_pos")).alias("chapter_pos"),
+            F.when(merged, OTHER).otherwise(F.col("chapter_id")).alias("chapter_id"),
+            F.when(merged, title).otherwise(F.col("theme")).alias("title"),
+            merged.alias("merged"),
+        ),
+        "chapters",
+    )
+    placed = members.join(chapters, "theme").select(
+        "chapter_pos", "chapter_id", "title", "num", F.col("num").alias("num_pos"), "merged"
     )
+    # Members are distinct per theme; only the catch-all chapter can hold a number twice.
+    return placed.where("not merged").drop("merged").unionByName(placed.where("merged").drop("merged").distinct())
 
 
 def single_chapter(corpus: DataFrame, order: list[str]) -> DataFrame:
@@ -84,11 +100,12 @@ def chapter_members(documents: DataFrame, corpus: DataFrame, key: str = "num", o
     `offset` names a column with the position of a document's first chapter, for chapters spread over documents.
     """
     base = F.col(offset) if offset else F.lit(0)
-    chapters = documents.select(base.alias("base"), F.posexplode("doc.chapters").alias("pos", "chapter"))
-    rows = chapters.select(
+    # The outer form and a test afterwards: the plain form would test the parsed lists beforehand and parse twice.
+    chapters = documents.select(base.alias("base"), F.posexplode_outer("doc.chapters").alias("pos", "chapter"))
+    rows = chapters.where("pos is not null").select(
         (F.col("base") + F.col("pos")).cast("long").alias("chapter_pos"), F.col("chapter.chapter_id").alias("chapter_id"),
         chapter_title(F.col("chapter")).alias("title"),
-        F.posexplode("chapter.num_list").alias("num_pos", "entry"),
+        F.posexplode_outer("chapter.num_list").alias("num_pos", "entry"),
     )
     known = rows.withColumn(key, strip("entry").try_cast("long")).drop("entry").where(F.col(key).isNotNull())
     return first_claim(known.join(corpus.select(key), key, "left_semi"), key)
@@ -115,7 +132,7 @@ def orphans(corpus: DataFrame, members: DataFrame, key: str = "num") -> DataFram
     """Corpus rows in no chapter, as members of the last chapter."""
     rest = corpus.select(key).join(members.select(key), key, "left_anti")
     return rest.select(
-        F.lit(2**31).cast("long").alias("chapter_pos"), F.lit(OTHER).alias("chapter_id"), F.lit(OTHER).alias("title"),
+        F.lit(ORPHANS_CHAPTER).cast("long").alias("chapter_pos"), F.lit(OTHER).alias("chapter_id"), F.lit(OTHER).alias("title"),
         key, F.col(key).alias("num_pos"),
     )
 
@@ -133,7 +150,8 @@ def merge_catalogue(existing: DataFrame, proposed: DataFrame) -> DataFrame:
 def complete_variants(variants: DataFrame, text: str = "generated_text") -> DataFrame:
     """Rows of the variants that have no blank text at all."""
     whole = variants.groupBy("variant").agg(F.bool_and(~is_blank(text)).alias("whole")).where("whole")
-    return variants.join(whole.select("variant"), "variant", "left_semi")
+    # Written: a list of known size lets the variants, of which one may be very large, stay where they are.
+    return variants.join(materialise(whole.select("variant"), "whole"), "variant", "left_semi")
 
 
 def keyword_themes(items: DataFrame, text_tokens: Column, keys: list[str], themes: DataFrame) -> DataFrame:
@@ -142,7 +160,8 @@ def keyword_themes(items: DataFrame, text_tokens: Column, keys: list[str], theme
     Items without any keyword are absent.
     """
     words = items.select(*keys, F.explode(F.array_distinct(text_tokens)).alias("keyword"))
-    hits = words.join(themes.select("theme", "keyword").distinct(), "keyword").groupBy(*keys, "theme").agg(
+    catalogue = materialise(themes.select("theme", "keyword").distinct(), "keywords")
+    hits = words.join(catalogue, "keyword").groupBy(*keys, "theme").agg(
         F.count(F.lit(1)).alias("score")
     )
     best = F.min(F.struct((-F.col("score")).alias("s"), F.col("theme").alias("theme"))).alias("b")
@@ -201,8 +220,10 @@ def book_lines(
     if members is None:
         placed = texts.select(F.lit(0).cast("long").alias("chapter_pos"), F.col("num").alias("num_pos"), "lines")
         return _numbered_lines(placed)
+    columns = ["chapter_pos", "title", "num", "num_pos"]
+    members = materialise(members.select(*columns), "members")
     if orphans_chapter:
-        members = members.unionByName(orphans(corpus, members))
+        members = members.unionByName(orphans(corpus, members).select(*columns))
     named = members.select("chapter_pos", "title")
     if heads is not None:
         named = named.unionByName(heads.select("chapter_pos", "title"))

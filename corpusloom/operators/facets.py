@@ -116,8 +116,8 @@ def import_selection(corpus: DataFrame, headers: DataFrame, key: list[str]) -> D
         headers.select(F.trim("header").alias("header")).where("header <> ''")
         .groupBy("header").agg(F.count(F.lit(1)).alias("hits"))
     )
-    named = corpus.select(F.trim("header").alias("header"), F.struct(*key).alias("place"))
-    last = named.join(wanted, "header", "left_semi").groupBy("header").agg(F.max("place").alias("place"))
+    # The last place first: a header shared by very many rows is one row before anything is joined.
+    last = corpus.groupBy(F.trim("header").alias("header")).agg(F.max(F.struct(*key)).alias("place"))
     return last.join(wanted, "header").select("header", "place.*", "hits")
 
 

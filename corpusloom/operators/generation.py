@@ -293,9 +293,10 @@ def fill_missing(
     )
     for round_no in range(1, rounds + 1):
         pending = missing_rows(wanted, texts.select("variant", "num", F.col("text").alias("generated_text")), ["variant", "num"])
-        # Numbers run through all variants, so a batch is cut again at the border between two of them.
-        numbered = renumber(pending, ["variant", "num"], "__row")
-        planned = plan_batches(numbered, batch_size, "__row")
+        # Only the keys are sorted and numbered. Numbers run through all variants, so a batch is cut again at the
+        # border between two of them.
+        numbered = renumber(pending.select("variant", "num"), ["variant", "num"], "__row")
+        planned = plan_batches(wanted.join(numbered, ["variant", "num"]), batch_size, "__row")
         block = F.concat_ws("\n", blank_to_null(meta) if meta is not None else F.lit(None), strip("text"))
         preamble = F.lit("")
         for s in specs:

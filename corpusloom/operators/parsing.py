@@ -381,14 +381,20 @@ def parse_answers(df: DataFrame, raw: str, keys: list[str], schema: str = ASSIGN
     return df.select(*keys, F.from_json(extract_json_object(raw), schema, options).alias("doc"))
 
 
+def _listed(answers: DataFrame, keys: list[str], field: str) -> DataFrame:
+    # The outer form and a test afterwards: the plain form would test the parsed list beforehand and parse twice.
+    readable = F.when(F.col("doc._corrupt").isNull(), F.col(f"doc.{field}"))
+    return answers.select(*keys, F.posexplode_outer(readable).alias("pos", "item")).where("pos is not null")
+
+
 def assignments(answers: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, id, theme), both as text."""
-    return answers.where("doc._corrupt is null").select(*keys, F.inline("doc.assignments"))
+    return _listed(answers, keys, "assignments").select(*keys, "item.id", "item.theme")
 
 
 def new_themes(answers: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, name, description) proposed on the way."""
-    return answers.where("doc._corrupt is null").select(*keys, F.inline("doc.new_themes"))
+    return _listed(answers, keys, "new_themes").select(*keys, "item.name", "item.description")
 
 
 def rejected_answers(answers: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from corpusloom.functions import lexical as lx
 from corpusloom.functions.text import is_blank, mean_std_label
+from corpusloom.session import materialise
 
 # Metric names by source.
 DIRECT_METRICS = ["len_tokens", "len_chars", "word_count", "len_sentences"]
@@ -50,6 +51,7 @@ def _diversity(counts: DataFrame, *by: str) -> DataFrame:
     squares = F.sum(F.when(known, F.col("n") * F.col("n")))
     return counts.groupBy(*by).agg(
         F.sum("n").alias("n_rows"),
+        n_known.alias("n_known"),
         F.count("code").alias("n_codes"),
         (F.count("code") / F.sum("n") * 100).alias("diversity_pct"),
         (squares / (n_known * n_known)).alias("herfindahl"),
@@ -64,12 +66,12 @@ def diversity(df: DataFrame, code: str) -> DataFrame:
 
 def distribution_report(df: DataFrame, codes: list[str]) -> DataFrame:
     """Counts, shares and diversity of several code columns at once."""
-    counts = _per_code(df, codes)
+    counts = materialise(_per_code(df, codes), "counts")
     totals = _diversity(counts, "code_type")
-    joined = counts.where(F.col("code").isNotNull()).join(totals, "code_type")
-    known = counts.where(F.col("code").isNotNull()).groupBy("code_type").agg(F.sum("n").alias("__known"))
-    return joined.join(known, "code_type").select(
-        "code_type", "code", "n", F.bround(F.col("n") / F.col("__known") * 100, 2).alias("percentage"),
+    # One row per code column.
+    joined = counts.where(F.col("code").isNotNull()).join(F.broadcast(totals), "code_type")
+    return joined.select(
+        "code_type", "code", "n", F.bround(F.col("n") / F.col("n_known") * 100, 2).alias("percentage"),
         "diversity_pct", "herfindahl",
     )
 
@@ -151,7 +153,8 @@ def corpus_summary(metrics: DataFrame, corpus: list[str], names: list[str]) -> D
             F.min(m).alias(f"{m}__min"), F.max(m).alias(f"{m}__max"),
             F.percentile_approx(m, probes, _ACCURACY).alias(f"{m}__bracket"),
         ]
-    wide = clean.groupBy(*corpus).agg(F.count(F.lit(1)).alias("n_texts"), *aggregates)
+    # Written: both uses read it from there, and its known size lets the texts stay where they are.
+    wide = materialise(clean.groupBy(*corpus).agg(F.count(F.lit(1)).alias("n_texts"), *aggregates), "moments")
     cells = F.array(
         *[
             F.struct(
@@ -214,7 +217,7 @@ def length_stats(df: DataFrame, text: str, corpus: list[str]) -> DataFrame:
     blank = is_blank(text)
     sizes = df.groupBy(*corpus).agg(F.count(F.when(~blank, 1)).alias("n_texts"))
     names = ["len_tokens", "len_chars"]
-    metrics = length_metrics(df, text, corpus)
+    metrics = materialise(length_metrics(df, text, corpus).select(*corpus, *names), "lengths")
     summary = corpus_summary(metrics, corpus, names)
     cells = [
         F.max(F.when(F.col("metric") == m, F.col(s))).alias(f"{m}_{s}") for m in names for s in ("mean", "median", "std")
@@ -229,12 +232,11 @@ def common_metrics(summary: DataFrame, corpus: str, k: int) -> DataFrame:
     )
 
 
-def lacking_metrics(summary: DataFrame, corpus: str) -> DataFrame:
-    """(corpus, metric) pairs that are missing although another corpus has the metric."""
+def lacking_metrics(summary: DataFrame, corpus: str, names: list[str]) -> DataFrame:
+    """(corpus, metric) pairs that are missing although another corpus has the metric, for the given metrics."""
     have = summary.select(corpus, "metric").distinct()
-    per_metric = have.groupBy("metric").agg(F.collect_set(corpus).alias("owners"))
-    everyone = have.agg(F.sort_array(F.collect_set(corpus))).scalar()
-    return per_metric.select("metric", F.explode(F.array_except(everyone, F.col("owners"))).alias(corpus))
+    wanted = have.select(corpus).distinct().withColumn("metric", F.explode(F.array(*[F.lit(m) for m in names])))
+    return wanted.join(have, [corpus, "metric"], "left_anti").join(have.select("metric"), "metric", "left_semi")
 
 
 def compare_corpora(

@@ -17,7 +17,7 @@ from corpusloom.session import scratch_path
 
 def _numbered(spark, sf):
     docs = texts(spark, sf, "documents").select("doc_id", "lang", "source", "text")
-    return gn.plan_batches(al.renumber(docs, ["doc_id"]), 5)
+    return gn.plan_batches(docs.join(al.renumber(docs.select("doc_id"), ["doc_id"]), "doc_id"), 5)
 
 
 NUMBERED = """n AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS num FROM documents),

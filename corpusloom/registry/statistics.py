@@ -265,7 +265,7 @@ def _uneven(spark, sf):
        EXCEPT SELECT metric, corpus FROM have""",
 )
 def lacking_metrics(spark, sf):
-    return st.lacking_metrics(_uneven(spark, sf), "corpus")
+    return st.lacking_metrics(_uneven(spark, sf), "corpus", ["l_quantity", "l_discount", "l_tax"])
 
 
 LANGUAGES = ["en", "fr", "de", "es"]
@@ -300,7 +300,7 @@ def _lexicon(spark, sf):
     """A lexicon from the benchmark's words: long ones are "long", the others "short", weighted by their length."""
     words = table(spark, sf, "benchmark").select(F.explode(lx.tokens("text")).alias("token")).distinct()
     label = F.when(F.length("token") > 6, "long").otherwise("short")
-    return words.select("token", label.alias("label"), (F.length("token") / 4).alias("weight"))
+    return materialise(words.select("token", label.alias("label"), (F.length("token") / 4).alias("weight")), "lexicon")
 
 
 @query(

@@ -11,9 +11,14 @@ from corpusloom.operators.facets import selected_texts
 
 def write_table(
     df: DataFrame, path: str, *, partition_by: list[str] = (), format: str = "parquet", sep: str = ";",
-    mode: str = "overwrite",
+    mode: str = "overwrite", rebalance: bool = False,
 ) -> None:
-    """Write a table; with partition columns only the partitions at hand are replaced."""
+    """Write a table; with partition columns only the partitions at hand are replaced.
+
+    `rebalance` gathers the rows of a partition in few files; a partition that holds most rows is split again.
+    """
+    if rebalance:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode(mode).format(format)
     if partition_by:
         writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")

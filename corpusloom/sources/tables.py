@@ -104,7 +104,7 @@ def parse_documents(df: DataFrame, raw: str, keys: list[str], schema: str) -> Da
 
 def catalogue_rows(documents: DataFrame, keys: list[str] = ()) -> DataFrame:
     """(keys, seq, name, description, keywords) of parsed themes documents; themes without name are skipped."""
-    rows = documents.select(*keys, F.posexplode("doc.themes").alias("seq", "t"))
+    rows = documents.select(*keys, F.posexplode_outer("doc.themes").alias("seq", "t")).where("seq is not null")
     named = rows.select(*keys, "seq", strip("t.name").alias("name"), strip("t.description").alias("description"), "t.keywords")
     return named.where("name <> ''")
 
