@@ -19,7 +19,7 @@ def normalized(c: Column | str) -> Column:
 
 
 def _folded(c: Column | str) -> Column:
-    return fold_spaces(F.coalesce(_col(c), F.lit("")))
+    return F.coalesce(fold_spaces(c), F.lit(""))
 
 
 def tokens(c: Column | str, tokenizer: str = "whitespace") -> Column:

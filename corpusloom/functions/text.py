@@ -44,17 +44,30 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def bound(c: Column | str, body: Callable[[Column], Column]) -> Column:
+    """As `let`; a column name needs no binding."""
+    return body(F.col(c)) if isinstance(c, str) else let(c, body)
+
+
 def strip(c: Column | str) -> Column:
     return F.trim(_col(c), F.lit(SPACES))
 
 
 def fold_spaces(c: Column | str) -> Column:
     """Every non-ASCII space as a plain one, so that cheap ASCII classes can split the text; lengths are kept."""
-    text = _col(c)
-    # The range holds all wide spaces, and few texts hold anything of it.
-    return F.when(text.rlike("[\\x85\\xa0\\u1680-\\u3000]"), F.translate(text, WIDE_SPACES, " " * len(WIDE_SPACES))).otherwise(
-        text
-    )
+
+    def fold(text: Column) -> Column:
+        # The range holds all wide spaces, and few texts hold anything of it.
+        folded = F.translate(text, WIDE_SPACES, " " * len(WIDE_SPACES))
+        return F.when(text.rlike("[\\x85\\xa0\\u1680-\\u3000]"), folded).otherwise(text)
+
+    return bound(c, fold)
+
+
+def to_integer(c: Column | str) -> Column:
+    """A whole number written as text, blanks around it allowed; null when it is none."""
+    # The cast trims ASCII blanks by itself; only what it refuses is stripped of wider ones.
+    return bound(c, lambda t: F.coalesce(t.try_cast("long"), F.trim(t, F.lit(SPACES)).try_cast("long")))
 
 
 def is_blank(c: Column | str) -> Column:
@@ -68,9 +81,12 @@ def blank_to_null(c: Column | str) -> Column:
 
 def unix_lines(c: Column | str) -> Column:
     """Every kind of line break as a newline."""
-    text = _col(c)
-    folded = F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), OTHER_BREAKS, "\n" * len(OTHER_BREAKS))
-    return F.when(text.rlike(f"[{OTHER_BREAKS}]"), folded).otherwise(text)
+
+    def fold(text: Column) -> Column:
+        folded = F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), OTHER_BREAKS, "\n" * len(OTHER_BREAKS))
+        return F.when(text.rlike(f"[{OTHER_BREAKS}]"), folded).otherwise(text)
+
+    return bound(c, fold)
 
 
 def split_lines(c: Column | str) -> Column:
@@ -111,9 +127,8 @@ def slugify(c: Column | str, max_len: int = 30) -> Column:
     source = _col(c)
     foreign = source.rlike(r"[^\x00-\x7f]")
     folded = F.when(foreign, _fold_to_ascii(F.when(foreign, source))).otherwise(source)
-    # Everything between words, spaces included, shrinks to one space; outer ones go, inner ones become hyphens.
-    words = F.trim(F.regexp_replace(F.lower(folded), "[^a-z0-9-]+", " "))
-    slug = F.replace(words, F.lit(" "), F.lit("-"))
+    # Everything between words, spaces included, counts as one space, and inner spaces become hyphens.
+    slug = F.array_join(F.array_remove(F.split(F.lower(folded), "[^a-z0-9-]+"), ""), "-")
 
     def shorten(s: Column) -> Column:
         head = F.rtrim(F.substring(s, 1, max_len - 7), F.lit("-"))
@@ -132,9 +147,12 @@ def dataset_name(kind: Column | str, stage: str, topic: Column | str) -> Column:
 
 def normalize_punct(c: Column | str) -> Column:
     """Typographic punctuation to ASCII; control characters dropped. Texts without any are not touched."""
-    text = _col(c)
-    plain = F.replace(F.translate(text, FANCY + CONTROLS, PLAIN), F.lit(ELLIPSIS), F.lit("..."))
-    return F.when(text.rlike(rf"[\x00-\x08\x0b-\x1f{FANCY}{ELLIPSIS}]"), plain).otherwise(text)
+
+    def plain(text: Column) -> Column:
+        out = F.replace(F.translate(text, FANCY + CONTROLS, PLAIN), F.lit(ELLIPSIS), F.lit("..."))
+        return F.when(text.rlike(rf"[\x00-\x08\x0b-\x1f{FANCY}{ELLIPSIS}]"), out).otherwise(text)
+
+    return bound(c, plain)
 
 
 def latex_escape(c: Column | str) -> Column:
@@ -205,7 +223,7 @@ def build_title(
     n = _col(num).cast("string")
     title = F.coalesce(blank_to_null(advice), blank_to_null(topic), F.concat(F.lit("Text "), n))
     if tidy:
-        title = F.trim(_drop_list_mark(_drop_own_label(title, n)), F.lit(TITLE_TRIM))
+        title = F.trim(_drop_list_mark(let(title, lambda t: _drop_own_label(t, n))), F.lit(TITLE_TRIM))
     title = F.concat_ws(" - ", title, *[blank_to_null(code) for code in codes])
     return F.concat(n, F.lit(". "), title) if numbered else title
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import blank_to_null, build_title, clean_body, is_blank, latex_escape, let, strip
+from corpusloom.functions.text import blank_to_null, build_title, clean_body, is_blank, latex_escape, let, strip, to_integer
 from corpusloom.operators.alignment import renumber
 from corpusloom.session import materialise
 
@@ -20,7 +20,7 @@ ORPHANS_CHAPTER = 2**31
 
 def theme_members(assignments: DataFrame) -> DataFrame:
     """Distinct (theme, num); blank themes and ids that are no integers are skipped."""
-    rows = assignments.select(strip("theme").alias("theme"), strip(F.col("id").cast("string")).try_cast("long").alias("num"))
+    rows = assignments.select(strip("theme").alias("theme"), to_integer(F.col("id").cast("string")).alias("num"))
     return rows.where(~is_blank("theme") & F.col("num").isNotNull()).distinct()
 
 
@@ -107,7 +107,7 @@ def chapter_members(documents: DataFrame, corpus: DataFrame, key: str = "num", o
         chapter_title(F.col("chapter")).alias("title"),
         F.posexplode_outer("chapter.num_list").alias("num_pos", "entry"),
     )
-    known = rows.withColumn(key, strip("entry").try_cast("long")).drop("entry").where(F.col(key).isNotNull())
+    known = rows.withColumn(key, to_integer("entry")).drop("entry").where(F.col(key).isNotNull())
     return first_claim(known.join(corpus.select(key), key, "left_semi"), key)
 
 

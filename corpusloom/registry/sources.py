@@ -57,14 +57,19 @@ def read_responses(spark, sf):
     )
 
 
+ITEMS = f"""i AS (SELECT item_id // 32 AS folder, item_id, 'item ' || item_id AS name, {sql_strip('text')} AS text,
+     row_number() OVER (PARTITION BY item_id // 32 ORDER BY item_id) AS num FROM benchmark)"""
+
+
 @query(
     "read_text_corpus",
-    f"""SELECT item_id, 'json' AS shape, 1 AS num, 'item ' || item_id AS header, {sql_strip('text')} AS text FROM benchmark
-        UNION ALL SELECT item_id, 'xml', 1, 'item ' || item_id, {sql_strip('text')} FROM benchmark
-        UNION ALL SELECT item_id, 'tex', 1, 'item ' || item_id, {sql_strip('text')} FROM benchmark
-        UNION ALL SELECT item_id, 'tex', 2, 'empty', '' FROM benchmark
-        UNION ALL SELECT item_id, 'txt', 1, 'Text 5 – item ' || item_id, {sql_strip('text')} FROM benchmark
-        UNION ALL SELECT item_id, 'raw', 1, 'file', {sql_strip('text')} FROM benchmark""",
+    f"""WITH {ITEMS} SELECT folder, 'json' AS shape, num, name AS header, text FROM i
+        UNION ALL SELECT folder, 'xml', num, name, text FROM i
+        UNION ALL SELECT folder, 'tex', 2 * num - 1, name, text FROM i
+        UNION ALL SELECT folder, 'tex', 2 * num, 'empty', '' FROM i
+        UNION ALL SELECT folder, 'txt', num, 'Text 5 – ' || name, text FROM i
+        UNION ALL SELECT item_id // 32, 'raw', 1, 'file', {sql_strip('string_agg(text, chr(10) ORDER BY item_id)')}
+          FROM benchmark GROUP BY 1""",
 )
 def read_text_corpus(spark, sf):
     item = F.concat(F.lit("item "), F.col("item_id").cast("string"))
@@ -77,13 +82,16 @@ def read_text_corpus(spark, sf):
         "raw": F.col("text"),
     }
     cells = F.explode(F.array(*[F.struct(F.lit(s).alias("shape"), c.alias("value")) for s, c in shapes.items()]))
-    files = table(spark, sf, "benchmark").select("item_id", cells.alias("f")).select("item_id", "f.*")
+    # A file holds the items of one range of ids, so its size does not grow with the table.
+    items = table(spark, sf, "benchmark").withColumn("folder", F.floor(F.col("item_id") / 32))
+    rows = items.select("folder", "item_id", cells.alias("f")).select("folder", "item_id", "f.*")
     path = scratch_path(spark, "corpus")
-    files.repartition("item_id").write.partitionBy("shape", "item_id").text(path)
-    rows = tables.read_text_corpus(spark, f"{path}/*/*/*.txt")
+    placed = rows.repartition("shape", "folder").sortWithinPartitions("shape", "folder", "item_id")
+    placed.drop("item_id").write.partitionBy("shape", "folder").text(path)
+    found = tables.read_text_corpus(spark, f"{path}/*/*/*.txt")
     shape = F.regexp_extract("path", r"shape=(\w+)", 1)
-    return rows.select(
-        F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"), shape.alias("shape"), "num",
+    return found.select(
+        F.regexp_extract("path", r"folder=(\d+)", 1).cast("long").alias("folder"), shape.alias("shape"), "num",
         F.when(shape == "raw", "file").otherwise(F.col("header")).alias("header"), "text",
     )
 

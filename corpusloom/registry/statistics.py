@@ -156,14 +156,13 @@ def hdd(spark, sf):
 @query(
     "lexical_normalized",
     "WITH " + SQL_COUNTS.replace(sql_tokens("text"), sql_tokens(f"regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}{RE_SPACE}]', '', 'g')"))
-    + " SELECT doc_id, round(v / n, 6) AS ttr, n AS n_tokens FROM lex",
+    + " SELECT doc_id, round(v / n, 6) AS ttr, coalesce(n, 0) AS n_tokens FROM documents LEFT JOIN lex USING (doc_id)",
 )
 def lexical_normalized(spark, sf):
     profile = lx.lexical_profile("text", "normalized", hdd=False)
-    rows = _documents(spark, sf).select("doc_id", profile.alias("p")).where("p.n_tokens > 0")
-    return rows.select(
-        "doc_id", F.round(F.col("p.n_types") / F.col("p.n_tokens"), 6).alias("ttr"), F.col("p.n_tokens").cast("double").alias("n_tokens")
-    )
+    rows = texts(spark, sf, "documents").select("doc_id", profile.alias("p"))
+    v, n = F.col("p.n_types"), F.col("p.n_tokens")
+    return rows.select("doc_id", F.round(lx.ttr(v, n), 6).alias("ttr"), n.cast("double").alias("n_tokens"))
 
 
 @query("mtld")
