@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.functions.text import SPACES, strip
+from corpusloom.functions.text import SPACES, let, strip
 from corpusloom.operators.parsing import corpus_rows
 from corpusloom.schemas import check_columns
 
@@ -53,15 +53,23 @@ def union_batches(
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """(path, raw): raw answers, one file each."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+    """(path, raw): raw answers, one file each, with newlines as line ends."""
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), _newlines(F.col("value")).alias("raw"))
+
+
+def _newlines(text: Column) -> Column:
+    """The line ends of a text file as newlines, as reading it in text mode gives them."""
+    folded = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.when(text.contains("\r"), folded).otherwise(text)
 
 
 def decode_text(content: Column | str) -> Column:
-    """Bytes as UTF-8, as Latin-1 when they are no valid UTF-8."""
+    """Bytes as UTF-8, as Latin-1 when they are no valid UTF-8; line ends become newlines."""
     c = F.col(content) if isinstance(content, str) else content
     text = c.cast("string")
-    return F.when(F.is_valid_utf8(text), text).otherwise(F.decode(c, "ISO-8859-1"))
+    decoded = F.when(F.is_valid_utf8(text), text).otherwise(F.decode(c, "ISO-8859-1"))
+    return let(decoded, _newlines)
 
 
 def read_text_corpus(spark: SparkSession, path: str | list[str]) -> DataFrame:
