@@ -55,7 +55,7 @@ def _presence(tables: dict[str, DataFrame], key: str, bad: dict[str, Column] | N
         flag = (bad or {}).get(name, F.lit(False))
         parts.append(
             df.where(F.col(key).isNotNull()).select(
-                F.col(key).alias("key"), F.lit(1 << i).alias("bit"), F.coalesce(flag, F.lit(False)).alias("bad")
+                F.col(key).alias("key"), F.lit(1 << i).cast("long").alias("bit"), F.coalesce(flag, F.lit(False)).alias("bad")
             )
         )
     return reduce(DataFrame.unionAll, parts).groupBy("key").agg(

@@ -50,7 +50,8 @@ def merge_small_groups(members: DataFrame, threshold: int, title: str = OTHER) -
 
 def chapters_from_themes(members: DataFrame, threshold: int = 0, title: str = OTHER) -> DataFrame:
     """The chapter membership table; the catch-all chapter comes last."""
-    sized = number_chapters(theme_sizes(members)).join(theme_sizes(members), "theme")
+    sizes = materialise(theme_sizes(members), "themes")
+    sized = number_chapters(sizes).join(sizes, "theme")
     merged = F.col("n_texts") < threshold
     # One row per theme, written for its size to be known: the members need no shuffle if it is small.
     chapters = materialise(

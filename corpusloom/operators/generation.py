@@ -15,7 +15,7 @@ from corpusloom.functions.requests import budget_flag, estimate_tokens
 from corpusloom.functions.text import blank_to_null, is_blank, strip
 from corpusloom.operators.alignment import best_attempt, missing_rows, renumber
 from corpusloom.operators.parsing import parse_rewrites
-from corpusloom.session import scratch_path
+from corpusloom.session import materialise, scratch_path
 
 # Attempts per call and the pause between them, in seconds.
 ATTEMPTS = 3
@@ -305,8 +305,9 @@ def fill_missing(
         prompts = build_prompts(planned, block, preamble, by=["variant"], head=input_head)
         answers = generate_into(f"{store}/round={round_no}", prompts, make_model, ["variant", "batch_id"], **options)
         parsed = parse_rewrites(answers, "raw", ["variant", "batch_id"])
-        new = parsed.select("variant", "num", "text", F.lit(round_no).alias("attempt"))
-        texts = texts.unionByName(new.where(~is_blank("text")))
+        # Parsed once: the next round and the result read the texts, not the answers.
+        new = materialise(parsed.where(~is_blank("text")).select("variant", "num", "text"), "rewrites")
+        texts = texts.unionByName(new.withColumn("attempt", F.lit(round_no)))
     best = best_attempt(texts, ["variant", "num"]).withColumnRenamed("text", "generated_text")
     return wanted.select("variant", "num").join(best, ["variant", "num"], "left").withColumn(
         "generated_text", F.coalesce("generated_text", F.lit(""))

@@ -48,13 +48,15 @@ def _per_code(df: DataFrame, codes: list[str]) -> DataFrame:
 def _diversity(counts: DataFrame, *by: str) -> DataFrame:
     known = F.col("code").isNotNull()
     n_known = F.sum(F.when(known, F.col("n")))
-    squares = F.sum(F.when(known, F.col("n") * F.col("n")))
+    # As doubles: the square of a large count does not fit a long.
+    share = F.when(known, F.col("n").cast("double"))
+    squares, total = F.sum(share * share), F.sum(share)
     return counts.groupBy(*by).agg(
         F.sum("n").alias("n_rows"),
         n_known.alias("n_known"),
         F.count("code").alias("n_codes"),
         (F.count("code") / F.sum("n") * 100).alias("diversity_pct"),
-        (squares / (n_known * n_known)).alias("herfindahl"),
+        (squares / (total * total)).alias("herfindahl"),
     )
 
 

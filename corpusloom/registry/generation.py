@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from corpusloom.functions import lexical as lx
@@ -36,12 +34,12 @@ def build_prompts(spark, sf):
 
 
 @query(
-    "prompt_budget",
+    "budget_flag",
     f"""WITH {NUMBERED}, p AS (SELECT batch_id, string_agg('[INPUT_TEXT ' || (num - 1) % 5 + 1 || ' | Num=' || num || ']' || chr(10) || {sql_strip('text')},
           chr(10) || chr(10) ORDER BY num) AS prompt, count(*) AS n FROM b GROUP BY 1)
         SELECT batch_id, length(prompt) // 4 AS prompt_tokens, length(prompt) // 4 + n * 250 > 4000 * 0.8 AS over_budget FROM p""",
 )
-def prompt_budget(spark, sf):
+def budget_flag(spark, sf):
     prompts = gn.build_prompts(_numbered(spark, sf), tx.strip("text"), head=gn.input_head)
     return gn.prompt_budget(prompts, 250, 4000).select("batch_id", "prompt_tokens", "over_budget")
 
@@ -100,16 +98,18 @@ def generate_batches(spark, sf):
 def make_rewriter():
     """Rewrites each input text by putting a mark in front; forgets French texts in the first round and never does
     texts with a dollar sign."""
-    block = re.compile(r"\[INPUT_TEXT (\d+) \| Num=(\d+)\]\n(.*?)(?=\n\n\[INPUT_TEXT \d+ \| Num=|\Z)", re.DOTALL)
 
     def model(prompts):
         answers = []
         for prompt in prompts:
-            parts, again, mark = [], "RETRY" in prompt.split("[INPUT_TEXT", 1)[0], prompt.split("\n", 1)[0]
-            for position, num, text in block.findall(prompt):
+            lead, *inputs = prompt.split("[INPUT_TEXT ")
+            parts, again, mark = [], "RETRY" in lead, prompt.split("\n", 1)[0]
+            for one in inputs:
+                head, text = one.split("]\n", 1)
+                position, num = head.split(" | Num=")
                 if "$" in text or (" une " in text and not again):
                     continue
-                parts.append(f"[REWRITE {position} | Num={num}]\n{mark}: {text}\n")
+                parts.append(f"[REWRITE {position} | Num={num}]\n{mark}: {text.strip()}\n")
             answers.append("\n".join(parts))
         return answers
 

@@ -96,8 +96,8 @@ def nav_list(spark, sf):
 
 
 @query(
-    "sample_rows",
+    "sample_ops",
     "SELECT p_partkey, p_name, md5('7' || p_partkey) AS sample_order FROM part ORDER BY sample_order LIMIT 20",
 )
-def sample_rows(spark, sf):
+def sample_ops(spark, sf):
     return gn.sample_rows(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey", 20, "7")

@@ -131,11 +131,11 @@ def read_catalogue(spark, sf):
 
 
 @query(
-    "latest",
+    "latest_file",
     """SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
        FROM events) WHERE rn = 1""",
 )
-def latest(spark, sf):
+def latest_file(spark, sf):
     return tables.latest(table(spark, sf, "events"), ["user_id"], "event_id", ["ts", "event_id"])
 
 
