@@ -33,10 +33,8 @@ def repaired_table(table: RawTable, batch: str = "batch_id", sep: str = ";") ->
 def aligned_tables(tables: dict[str, RawTable], key: str = "num", sep: str = ";") -> dict[str, DataFrame]:
     """The tables reduced to the numbers that all of them hold and that are bad in none, numbered 1..N alike."""
     rows = {name: materialise(repaired_table(t, sep=sep), name) for name, t in tables.items()}
-    bad = {name: F.col("malformed") for name in rows}
-    kept = al.sync_filter(rows, key, bad)
-    numbered = al.renumber_all(kept, key)
-    return {name: df.select(*tables[name].fields) for name, df in numbered.items()}
+    kept = al.sync_filter({name: df.select(*tables[name].fields) for name, df in rows.items()}, key)
+    return al.renumber_all(kept, key)
 
 
 def narrate(

@@ -48,7 +48,12 @@ def check_columns(df: DataFrame, expected: list[str], mode: str = "raise") -> li
     mode "raise": exact list or ValueError; "require": every expected column present or ValueError;
     "warn": return the differences only.
     """
-    found = [name.lstrip("\ufeff").strip() for name in df.columns]
+    return check_names(df.columns, expected, mode)
+
+
+def check_names(columns: list[str], expected: list[str], mode: str = "raise") -> list[str]:
+    """As `check_columns`, for a list of names."""
+    found = [name.lstrip("\ufeff").strip() for name in columns]
     missing = [name for name in expected if name not in found]
     extra = [name for name in found if name not in expected]
     if mode == "raise" and found != expected:

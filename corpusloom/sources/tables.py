@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from corpusloom.functions.text import SPACES, let, strip
 from corpusloom.operators.parsing import corpus_rows
-from corpusloom.schemas import check_columns
+from corpusloom.schemas import check_names
 
 
 def read_table(
@@ -40,8 +40,7 @@ def read_header(spark: SparkSession, path: str, sep: str = ";") -> list[str]:
 
 def check_header(spark: SparkSession, path: str, expected: list[str], sep: str = ";") -> None:
     """ValueError unless the file's header is the expected one."""
-    names = read_header(spark, path, sep)
-    check_columns(spark.createDataFrame([], ",".join(f"`{n}` string" for n in names)), expected)
+    check_names(read_header(spark, path, sep), expected)
 
 
 def union_batches(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import schemas
+from corpusloom.operators import alignment as al
 from corpusloom.operators import chapters as ch
 from corpusloom.operators import facets as fc
 from corpusloom.operators import statistics as st
@@ -141,3 +142,57 @@ def test_plans(spark):
     summary = st.corpus_summary(docs.select("lang", F.col("n_chars").alias("m")), ["lang"], ["m"])
     # The texts are never shuffled by corpus: only partial aggregates and bracketed values are.
     assert "SortMergeJoin" not in plan_of(summary).split("Window")[1]
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    codes = orders.select(F.col("o_orderstatus").alias("code"))
+    checked = plan_of(al.validate_codes(orders, {"o_orderstatus": (codes, "F")}))
+    assert "BroadcastHashJoin" in checked and "SortMergeJoin" not in checked and "hashpartitioning" not in checked
+    members = orders.select(F.col("o_orderpriority").alias("theme"), F.col("o_orderkey").alias("num"))
+    placed = plan_of(ch.chapters_from_themes(members, 100).where("chapter_id <> 'Other'"))
+    assert "BroadcastHashJoin" in placed and "SortMergeJoin" not in placed
+    # The one window without partitions runs over the sizes of the ranges.
+    numbered = plan_of(al.renumber(orders.select("o_orderkey"), ["o_orderkey"]))
+    assert numbered.count("Window [") == 1 and "rangepartitioning" not in numbered
+
+
+def test_from_raw_answers_to_narratives(spark, tmp_path):
+    import sys
+
+    from pyspark import cloudpickle
+
+    from corpusloom.operators import generation as gn
+    from corpusloom.operators import parsing as ps
+    from corpusloom.plans import corpus
+    from corpusloom.session import scratch_path
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    codes = spark.createDataFrame([("SN1",), ("SN2",)], "code string")
+
+    def raw(*texts):
+        return spark.createDataFrame(list(enumerate(texts)), "batch_id int, raw string")
+
+    tables_in = {
+        "advice": corpus.RawTable(raw("Num;Advice\n1;walk\n2;run\n", "3;rest;x\n4;sleep"), ["Num", "Advice"]),
+        "mapping": corpus.RawTable(raw("1;SN2\n2;SN9\n3;SN1\n4;SN1\n5;SN1"), ["Num", "Code_SN"], {"Code_SN": (codes, "SN1")}),
+    }
+    found = corpus.aligned_tables(tables_in, "Num")
+    assert sorted(map(tuple, found["advice"].collect())) == [(1, "walk"), (2, "run"), (3, "sleep")]
+    assert sorted(map(tuple, found["mapping"].collect())) == [(1, "SN2"), (2, "SN1"), (3, "SN1")]
+
+    def model():
+        def answer(prompts):
+            return [None if "sleep" in p else p.splitlines()[-1] for p in prompts]
+
+        return answer
+
+    block = gn.line_block({"Advice": "Advice", "SN": "Code_SN"}, "Num")
+    texts = corpus.narrate(found, block, "HEAD", model, scratch_path(spark, "n"), key="Num", batch_size=2, backoff=0.0)
+    assert sorted(r["text"] for r in texts.collect()) == ["SN: SN1", "[GENERATION_FAILED for line 3]"]
+
+    (tmp_path / "a.json").write_text('{"assignments": [{"id": 1, "theme": "T"}, {"id": 2, "theme": "T"}], "new_themes": []}')
+    answers = ps.parse_answers(tables.read_responses(spark, f"{tmp_path}/a.json"), "raw", ["path"])
+    members = book.chapters_from_answers(answers, ["path"])
+    assert sorted((r["chapter_id"], r["num"]) for r in members.collect()) == [("Theme_1_T", 1), ("Theme_1_T", 2)]
+    (tmp_path / "c.json").write_text('{"chapters": [{"title": "A", "num_list": [2, "x", 9]}, {"name": "B", "num_list": ["1", 2]}]}')
+    documents = tables.read_json_document(spark, f"{tmp_path}/c.json", schemas.CHAPTERS_JSON)
+    listed = ch.chapter_members(documents, spark.range(1, 4).withColumnRenamed("id", "num")).collect()
+    assert sorted((r["title"], r["num"]) for r in listed) == [("A", 2), ("B", 1)]
