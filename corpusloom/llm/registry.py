@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import lines, search, sharding
+from corpusloom.llm import bpe, langid, lines, packing, quality, search, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+TOKENIZER = "byte_bpe_50k.json"
+CAPACITY = 2048
 SHARDS = 24
 TOP = 20
+FOLDS = 5
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,6 +27,35 @@ def text_bytes(text: str = "text"):
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
+def tokenizer() -> str:
+    return public_tokenizers.path(TOKENIZER)
+
+
+def held_out(key: str = "doc_id") -> Column:
+    """The rows that no model learns from."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
+
+
+def op2_hyperdimensional_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    profiles = langid.learn(docs, ~held_out())
+    return langid.predict(docs, profiles).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op4_adaptive_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(documents(spark, folder)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op5_simhash_anchors(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, folder), shingle=3, distance=3)
+
+
+def op6_vector_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_texts(documents(spark, folder), tokenizer(), CAPACITY)
+
+
 def op7_interleaved_shards(spark: SparkSession, folder: str) -> DataFrame:
     payload = {
         "doc_id": F.col("doc_id"), "size": (F.octet_length(text_bytes()) + 8).cast("long"), "text_crc32": F.crc32(text_bytes()),
@@ -43,6 +76,10 @@ def op8_line_windows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_tree_concatenation(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(documents(spark, folder), tokenizer())
+
+
 def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
     return search.top_k(vectors, F.col("vec_id") % 20 == 0, TOP)
@@ -106,7 +143,11 @@ qualify rank <= 20
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op7_interleaved_shards, op8_line_windows, op10_exact_top_k)
+    f.__name__: f
+    for f in (
+        op2_hyperdimensional_language, op4_adaptive_quality, op5_simhash_anchors, op6_vector_best_fit,
+        op7_interleaved_shards, op8_line_windows, op9_tree_concatenation, op10_exact_top_k,
+    )
 }
 
 SQL: dict[str, str] = {
