@@ -1,10 +1,83 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences, in five stages.
+
+Every stage takes (spark, docs, folder) and returns a table; all but the last return the columns of documents. Each is
+written and read again before the next one. `run` needs a folder shared by the cluster, as `corpusloom.session` says.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import lines, packing, quality, simhash, suffix
+from corpusloom.session import materialise
+
+TOKENIZER = "byte_bpe_50k.json"
+CAPACITY = 2048
+PASSAGE = 100
+SHINGLE = 3
+DISTANCE = 3
+
+# Fingerprints, components and packing are beyond SQL; tests hold the rows against plain Python.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _columns(docs: DataFrame, text) -> DataFrame:
+    """The columns of documents with another text; null texts stay null."""
+    return docs.select("doc_id", text.alias("text"), "lang", "source").withColumn(
+        "n_chars", F.length("text").cast("long")
+    ).select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    keys = keys.select(F.col("doc_id").alias("__key"))
+    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("__key")), "left_semi").select(
+        "doc_id", "text", "lang", "source", "n_chars"
+    )
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents within the fences of their language and source."""
+    return _only(docs, quality.judge(docs).where("kept"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Later copies of three lines in a row removed; a document that loses all its words goes."""
+    done = lines.dedup_lines(docs)
+    emptied = (F.col("lines_removed") > 0) & ~F.col("text").rlike(r"\S")
+    return _columns(done.where(~F.coalesce(emptied, F.lit(False))), F.col("text"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id."""
+    found = simhash.near_duplicates(docs, shingle=SHINGLE, distance=DISTANCE)
+    return _only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Passages of 100 bytes or more kept at their first place only; a document that loses all its words goes."""
+    done = suffix.dedup_passages(docs, length=PASSAGE, others=["lang", "source", "text"])
+    changed = F.when(F.col("n_spans") > 0, suffix.whole_characters(F.col("kept"))).otherwise(F.col("text"))
+    done = done.select("doc_id", changed.alias("text"), "lang", "source", "n_spans")
+    emptied = (F.col("n_spans") > 0) & ~F.col("text").rlike(r"\S")
+    return _columns(done.where(~F.coalesce(emptied, F.lit(False))), F.col("text"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Token pieces with their places in training sequences."""
+    return packing.pack_texts(docs, public_tokenizers.path(TOKENIZER), CAPACITY)
+
+
+STAGES = [
+    ("quality rules", quality_rules), ("line dedup", line_dedup), ("near copies", near_copies),
+    ("passage dedup", passage_dedup), ("packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed sequences of the documents below `sf_dir`; stages between are written once each."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, langid, lines, packing, quality, search, sharding, simhash
+from corpusloom.llm import bpe, langid, lines, packing, quality, search, sharding, simhash, suffix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 2048
+PASSAGE = 100
 SHARDS = 24
 TOP = 20
 FOLDS = 5
@@ -36,12 +37,27 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def op1_previous_factors(spark: SparkSession, folder: str) -> DataFrame:
+    kept = suffix.dedup_passages(documents(spark, folder), length=PASSAGE)
+    return kept.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_hyperdimensional_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     profiles = langid.learn(docs, ~held_out())
     return langid.predict(docs, profiles).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op3_string_kernel_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where(~held_out())
+    model = toxicity.train(docs, labels)
+    return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op4_adaptive_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(documents(spark, folder)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -145,8 +161,8 @@ qualify rank <= 20
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op2_hyperdimensional_language, op4_adaptive_quality, op5_simhash_anchors, op6_vector_best_fit,
-        op7_interleaved_shards, op8_line_windows, op9_tree_concatenation, op10_exact_top_k,
+        op1_previous_factors, op2_hyperdimensional_language, op3_string_kernel_toxicity, op4_adaptive_quality,
+        op5_simhash_anchors, op6_vector_best_fit, op7_interleaved_shards, op8_line_windows, op9_tree_concatenation, op10_exact_top_k,
     )
 }
 
