@@ -141,7 +141,7 @@ def slugify(c: Column | str, max_len: int = 30) -> Column:
 def dataset_name(kind: Column | str, stage: str, topic: Column | str) -> Column:
     """`<Kind>_<stage>_<slug>.csv`."""
     k = _col(kind)
-    head = F.concat(F.upper(F.substring(k, 1, 1)), F.lower(F.substring(k, 2, 1_000_000)))
+    head = F.concat(F.upper(F.substring(k, 1, 1)), F.lower(F.substr(k, F.lit(2))))
     return F.concat(head, F.lit(f"_{stage}_"), slugify(topic), F.lit(".csv"))
 
 

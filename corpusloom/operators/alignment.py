@@ -48,25 +48,34 @@ def renumber_all(tables: dict[str, DataFrame], key: str, order: list[str] | None
     }
 
 
+# Tables per mask column: bits of a long without its sign.
+MASK_BITS = 62
+
+
 def _presence(tables: dict[str, DataFrame], key: str, bad: dict[str, Column] | None = None) -> DataFrame:
-    """One row per key: a bit per table that holds it, and whether any table calls it bad."""
+    """One row per key: a bit per table that holds it, in as many mask columns as the tables need, and whether any
+    table calls it bad."""
+    words = -(-len(tables) // MASK_BITS)
     parts = []
     for i, (name, df) in enumerate(tables.items()):
         flag = (bad or {}).get(name, F.lit(False))
+        bits = [F.lit(1 << i % MASK_BITS if i // MASK_BITS == w else 0).cast("long").alias(f"bit{w}") for w in range(words)]
         parts.append(
             df.where(F.col(key).isNotNull()).select(
-                F.col(key).alias("key"), F.lit(1 << i).cast("long").alias("bit"), F.coalesce(flag, F.lit(False)).alias("bad")
+                F.col(key).alias("key"), *bits, F.coalesce(flag, F.lit(False)).alias("bad")
             )
         )
-    return reduce(DataFrame.unionAll, parts).groupBy("key").agg(
-        F.bit_or("bit").alias("mask"), F.max("bad").alias("bad")
-    )
+    masks = [F.bit_or(f"bit{w}").alias(f"mask{w}") for w in range(words)]
+    return reduce(DataFrame.unionAll, parts).groupBy("key").agg(*masks, F.max("bad").alias("bad"))
 
 
 def common_keys(tables: dict[str, DataFrame], key: str) -> DataFrame:
     """Keys every table holds."""
-    full = (1 << len(tables)) - 1
-    return _presence(tables, key).where(F.col("mask") == full).select(F.col("key").alias(key))
+    full = F.lit(True)
+    for w in range(-(-len(tables) // MASK_BITS)):
+        here = min(MASK_BITS, len(tables) - w * MASK_BITS)
+        full = full & (F.col(f"mask{w}") == F.lit((1 << here) - 1))
+    return _presence(tables, key).where(full).select(F.col("key").alias(key))
 
 
 def except_keys(keys: DataFrame, removed: DataFrame, key: str) -> DataFrame:
@@ -79,8 +88,10 @@ def kept_keys(tables: dict[str, DataFrame], key: str, bad: dict[str, Column] | N
     if bad is None:
         bad = {name: flag_bad(*df.columns) for name, df in tables.items()}
     seen = _presence(tables, key, bad)
-    filled = seen.agg(F.bit_or("mask")).scalar()
-    return seen.where((F.col("mask") == filled) & ~F.col("bad")).select(F.col("key").alias(key))
+    held = ~F.col("bad")
+    for mask in [c for c in seen.columns if c.startswith("mask")]:
+        held = held & (F.col(mask) == seen.agg(F.bit_or(mask)).scalar())
+    return seen.where(held).select(F.col("key").alias(key))
 
 
 def sync_filter(
@@ -137,11 +148,9 @@ def check_keys(tables: dict[str, DataFrame], key: str) -> DataFrame:
     )
 
 
-def duplicate_keys(df: DataFrame, keys: list[str], top: int = 20) -> DataFrame:
-    """The first duplicated keys in order, as the report shows them."""
-    return (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1").orderBy(*keys).limit(top)
-    )
+def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_rows) of every key that stands on several rows; a null is a key."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
 
 
 def assemble_corpus(
@@ -178,9 +187,24 @@ def lookup_codes(df: DataFrame, code: str, reference: DataFrame, default: str, a
     return out.drop("__code", *[f"__{a}" for a in attributes])
 
 
-def align_rows(mapping: DataFrame, advice: DataFrame, context: DataFrame, key: str = "num") -> DataFrame:
-    """Mapping rows with their advice and context; see `missing_keys` for the rows this would lose."""
-    return mapping.join(advice, key).join(context, key)
+def align_rows(mapping: DataFrame, others: dict[str, DataFrame], key: str = "num") -> DataFrame:
+    """All mapping rows with the columns of the other tables, and `missing_<table>` where a table lacks the number."""
+    out = mapping
+    for name, df in others.items():
+        flagged = df.withColumn(f"__has_{name}", F.lit(True))
+        out = out.join(flagged, key, "left").withColumn(f"missing_{name}", F.col(f"__has_{name}").isNull())
+        out = out.drop(f"__has_{name}")
+    return out
+
+
+def check_aligned(mapping: DataFrame, others: dict[str, DataFrame], key: str = "num", shown: int = 20) -> None:
+    """ValueError, with the number of missing rows per table and the first `shown` numbers, unless every mapping row has its
+    row in every other table. Runs a job."""
+    missing = missing_keys(mapping, others, key)
+    counts = {r["table"]: r["n"] for r in missing.groupBy("table").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if counts:
+        some = [r[key] for r in missing.orderBy(key).limit(shown).collect()]
+        raise ValueError(f"rows missing by table: {counts}; the first numbers are {some}")
 
 
 def missing_keys(mapping: DataFrame, others: dict[str, DataFrame], key: str = "num") -> DataFrame:

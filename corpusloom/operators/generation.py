@@ -15,14 +15,17 @@ from corpusloom.functions.requests import budget_flag, estimate_tokens
 from corpusloom.functions.text import blank_to_null, is_blank, strip
 from corpusloom.operators.alignment import best_attempt, missing_rows, renumber
 from corpusloom.operators.parsing import parse_rewrites
-from corpusloom.session import materialise, scratch_path
+from corpusloom.session import materialise
 
 # Attempts per call and the pause between them, in seconds.
 ATTEMPTS = 3
 BACKOFF_SECONDS = 1.5
-REFERENCE_ROWS = 10_000
+# Prompts handed to the model at a time, and prompts whose answers are appended by one job.
+LIST = 64
+CHUNK = 100_000
 
-Model = Callable[[list[str]], list[str | None]]
+# One answer per prompt in the same order: None or an exception for a prompt without an answer. Raising fails the list.
+Model = Callable[[list[str]], list[str | Exception | None]]
 
 
 @dataclass(frozen=True)
@@ -79,14 +82,18 @@ def order_batches(names: Column | str) -> Column:
     return F.coalesce(F.regexp_extract(c, r"_(\d+)_", 1).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
 
 
-def table_as_text(reference: DataFrame, columns: list[str], order: list[str], sep: str = ";") -> DataFrame:
-    """A small table as one text: header line and value lines. Tables over the row bound are refused."""
-    if reference.limit(REFERENCE_ROWS + 1).count() > REFERENCE_ROWS:
-        raise ValueError(f"a table for a prompt may hold at most {REFERENCE_ROWS} rows")
+def table_as_text(
+    reference: DataFrame, columns: list[str], order: list[str], sep: str = ";", block: int = 1000
+) -> DataFrame:
+    """(block_no, text): a table as texts of `block` value lines below the header line, in order. All rows stay; a table
+    of up to `block` rows is one text. `order` must be a key. Numbering the rows writes their keys."""
     line = F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    rows = F.sort_array(F.collect_list(F.struct(*order, line.alias("line"))))
-    body = F.array_join(F.transform(rows, lambda r: r["line"]), "\n")
-    return reference.agg(F.concat(F.lit(sep.join(columns) + "\n"), body).alias("text"))
+    lines = renumber(reference.select(*dict.fromkeys([*order, *columns])), order, "__no", start=0).select(
+        F.floor(F.col("__no") / block).alias("block_no"), "__no", line.alias("__line")
+    )
+    rows = F.sort_array(F.collect_list(F.struct("__no", "__line")))
+    body = F.array_join(F.transform(rows, lambda r: r["__line"]), "\n")
+    return lines.groupBy("block_no").agg(F.concat(F.lit(sep.join(columns) + "\n"), body).alias("text"))
 
 
 def input_head(position: Column, num: Column) -> Column:
@@ -139,72 +146,100 @@ def prompt_budget(prompts: DataFrame, target_words: int, limit: int) -> DataFram
     )
 
 
+def _ask(model: Model, prompts: list[str]) -> list[str | Exception | None]:
+    """The model's answers; a list that fails as a whole is asked again one by one, so that one prompt spoils no other."""
+    try:
+        answers = list(model(prompts))
+        if len(answers) != len(prompts):
+            raise ValueError(f"{len(answers)} answers to {len(prompts)} prompts")
+    except Exception as failure:  # noqa: BLE001 - the provider's errors are not ours to know
+        return [failure] if len(prompts) == 1 else [_ask(model, [p])[0] for p in prompts]
+    return answers
+
+
+def _answered(
+    model: Model, prompts: list[str], attempts: int, backoff: float, exponential: bool
+) -> list[tuple[int, str | None, str | None]]:
+    """(attempt, answer, error) of each prompt; only what has no answer yet is asked again."""
+    results: list[tuple[int, str | None, str | None]] = [(attempts, None, "no answer")] * len(prompts)
+    open_ = list(range(len(prompts)))
+    for attempt in range(1, attempts + 1):
+        still = []
+        for i, answer in zip(open_, _ask(model, [prompts[i] for i in open_])):
+            if isinstance(answer, str):
+                results[i] = (attempt, answer, None)
+            else:
+                error = "no answer" if answer is None else f"{type(answer).__name__}: {answer}"
+                results[i] = (attempts, None, error)
+                still.append(i)
+        open_ = still
+        if not open_:
+            break
+        if attempt < attempts:
+            time.sleep(backoff * (2 ** (attempt - 1) if exponential else attempt))
+    return results
+
+
+def _answers_schema(prompts: DataFrame, keys: list[str]) -> T.StructType:
+    return T.StructType(
+        [prompts.schema[k] for k in keys]
+        + [T.StructField("attempt", T.IntegerType()), T.StructField("raw", T.StringType()),
+           T.StructField("error", T.StringType())]
+    )
+
+
 def generate_batches(
     prompts: DataFrame,
     make_model: Callable[[], Model],
     keys: list[str],
     *,
+    tasks: int,
     attempts: int = ATTEMPTS,
     backoff: float = BACKOFF_SECONDS,
     exponential: bool = False,
-    parallelism: int | None = None,
+    list_size: int = LIST,
 ) -> DataFrame:
     """(keys, attempt, raw, error): the answer of each prompt, null with the last error after all attempts.
 
-    The model is built once per task. Write the result before parsing it (`generate_into`), or a second
-    evaluation repeats the calls.
+    Prompts are dealt by key to `tasks` tasks, whatever their size in bytes; as many calls run at a time as tasks do. The
+    model is built once per task and gets lists of up to `list_size` prompts. Write the result before parsing it
+    (`generate_into`), or a second evaluation repeats the calls.
     """
-    if parallelism:
-        prompts = prompts.repartition(parallelism, *keys)
-    inputs = prompts.select(*keys, "prompt")
-    schema = T.StructType(
-        [inputs.schema[k] for k in keys]
-        + [T.StructField("attempt", T.IntegerType()), T.StructField("raw", T.StringType()),
-           T.StructField("error", T.StringType())]
-    )
-
-    def call(model: Model, prompt: str) -> tuple[int, str | None, str | None]:
-        error = None
-        for attempt in range(1, attempts + 1):
-            try:
-                answer = model([prompt])[0]
-                if answer is not None:
-                    return attempt, answer, None
-                error = "no answer"
-            except Exception as failure:  # noqa: BLE001 - the provider's errors are not ours to know
-                error = f"{type(failure).__name__}: {failure}"
-            if attempt < attempts:
-                time.sleep(backoff * (2 ** (attempt - 1) if exponential else attempt))
-        return attempts, None, error
+    inputs = prompts.select(*keys, "prompt").repartition(tasks, *keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()
         for batch in batches:
-            results = [call(model, prompt) for prompt in batch["prompt"]]
+            listed, results = batch["prompt"].tolist(), []
+            for start in range(0, len(listed), list_size):
+                results += _answered(model, listed[start : start + list_size], attempts, backoff, exponential)
             out = batch[keys].copy()
             out["attempt"] = pd.Series([r[0] for r in results], index=out.index, dtype="int32")
             out["raw"] = pd.Series([r[1] for r in results], index=out.index, dtype="object")
             out["error"] = pd.Series([r[2] for r in results], index=out.index, dtype="object")
             yield out
 
-    return inputs.mapInPandas(run, schema)
+    return inputs.mapInPandas(run, _answers_schema(prompts, keys))
 
 
-def generate_into(path: str, prompts: DataFrame, make_model: Callable[[], Model], keys: list[str], **options) -> DataFrame:
+def generate_into(
+    path: str, prompts: DataFrame, make_model: Callable[[], Model], keys: list[str], *, tasks: int, chunk: int = CHUNK,
+    **options,
+) -> DataFrame:
     """Answer the prompts the table at `path` does not answer yet, append the raw answers there, return the table.
 
-    A repeated run after a failure calls the model only for what is still open.
+    A repeated run after a failure calls the model only for what is still open. Answers are appended in jobs of about
+    `chunk` prompts, so that a failed job repeats one chunk's calls at most. Runs the model, and jobs.
     """
     spark = prompts.sparkSession
-    schema = T.StructType(
-        [prompts.schema[k] for k in keys]
-        + [T.StructField("attempt", T.IntegerType()), T.StructField("raw", T.StringType()),
-           T.StructField("error", T.StringType())]
-    )
+    schema = _answers_schema(prompts, keys)
     spark.createDataFrame([], schema).write.mode("append").parquet(path)
     answered = spark.read.schema(schema).parquet(path).where("raw is not null")
-    todo = prompts.join(answered.select(*keys), keys, "left_anti")
-    generate_batches(todo, make_model, keys, **options).write.mode("append").parquet(path)
+    todo = materialise(prompts.select(*keys, "prompt").join(answered.select(*keys), keys, "left_anti"), "prompts")
+    chunks = max(1, -(-todo.count() // chunk))
+    for i in range(chunks):
+        part = todo.where(F.pmod(F.xxhash64(*keys), F.lit(chunks)) == i) if chunks > 1 else todo
+        generate_batches(part, make_model, keys, tasks=tasks, **options).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -264,52 +299,66 @@ def wanted_rows(corpus: DataFrame, names: list[str]) -> DataFrame:
     return corpus.where(~is_blank("text")).withColumn("variant", F.explode(F.array(*[F.lit(n) for n in names])))
 
 
+def _asks(planned: DataFrame, block: Column, preamble: Column) -> DataFrame:
+    """(ask, variant, nums, prompt) of each batch; `ask` is a digest of all that is asked: variant, numbers, prompt."""
+    batches = build_prompts(planned, block, preamble, by=["variant"], head=input_head)
+    nums = planned.groupBy("variant", "batch_id").agg(F.sort_array(F.collect_list("num")).alias("nums"))
+    listed = F.concat_ws(",", F.transform("nums", lambda n: n.cast("string")))
+    joined = batches.join(nums, ["variant", "batch_id"])
+    ask = F.sha2(F.concat_ws("\x1f", F.col("variant"), listed, F.col("prompt")), 256)
+    return joined.select(ask.alias("ask"), "variant", "nums", "prompt")
+
+
 def fill_missing(
     corpus: DataFrame,
     existing: DataFrame,
     specs: list[VariantSpec],
     make_model: Callable[[], Model],
     *,
+    store: str,
+    tasks: int,
     batch_size: int = 20,
     rounds: int = 2,
     overwrite: bool = False,
     retry_preamble: str = "",
-    store: str | None = None,
     meta: Column | None = None,
     **options,
 ) -> DataFrame:
     """(variant, num, generated_text) for every corpus row and variant, '' where the model never answered.
 
-    Each round asks only for what is missing, writes the raw answers to `store` and parses them from there.
-    Existing texts stay unless `overwrite`; a later non-blank answer wins over an earlier one.
+    Each round asks only for what is missing and appends the raw answers to the table at `store`, keyed by what was asked;
+    a later run with the same store repeats no prompt that has an answer there, and ignores answers to prompts it would
+    not ask. Of an answer only the numbers of its own batch are taken. Existing texts stay unless `overwrite`; among
+    the rounds of a run a later non-blank answer wins. The model is called in `tasks` tasks. Runs the model, and jobs.
     """
-    spark = corpus.sparkSession
-    store = store or scratch_path(spark, "responses")
     names = [s.name for s in specs]
-    wanted = wanted_rows(corpus, names)
+    wanted = wanted_rows(corpus.select("num", "text"), names).select("variant", "num")
     have = existing.where("false") if overwrite else existing
-    texts = have.where(~is_blank("generated_text")).select(
+    kept = have.where(~is_blank("generated_text")).select(
         "variant", "num", strip("generated_text").alias("text"), F.lit(0).alias("attempt")
     )
+    texts = kept
+    sources = corpus.select("num", *[c for c in corpus.columns if c != "num"])
     for round_no in range(1, rounds + 1):
         pending = missing_rows(wanted, texts.select("variant", "num", F.col("text").alias("generated_text")), ["variant", "num"])
-        # Only the keys are sorted and numbered. Numbers run through all variants, so a batch is cut again at the
-        # border between two of them.
-        numbered = renumber(pending.select("variant", "num"), ["variant", "num"], "__row")
-        planned = plan_batches(wanted.join(numbered, ["variant", "num"]), batch_size, "__row")
+        # Only keys are sorted and numbered; the texts join them once. Numbers run through all variants, so a batch is
+        # cut again at the border between two of them.
+        numbered = materialise(renumber(pending, ["variant", "num"], "__row"), "pending")
+        planned = plan_batches(sources.join(numbered, "num"), batch_size, "__row")
         block = F.concat_ws("\n", blank_to_null(meta) if meta is not None else F.lit(None), strip("text"))
         preamble = F.lit("")
         for s in specs:
             lead = s.preamble if round_no == 1 else "\n".join(p for p in (s.preamble, retry_preamble) if p)
             preamble = F.when(F.col("variant") == s.name, lead).otherwise(preamble)
-        prompts = build_prompts(planned, block, preamble, by=["variant"], head=input_head)
-        answers = generate_into(f"{store}/round={round_no}", prompts, make_model, ["variant", "batch_id"], **options)
-        parsed = parse_rewrites(answers, "raw", ["variant", "batch_id"])
+        asked = materialise(_asks(planned, block, preamble), "asked")
+        answers = generate_into(store, asked, make_model, ["ask"], tasks=tasks, **options)
+        mine = answers.where("raw is not null").join(asked.select("ask", "variant", "nums"), "ask")
+        parsed = parse_rewrites(mine, "raw", ["ask", "variant", "nums"]).where(F.array_contains("nums", F.col("num")))
         # Parsed once: the next round and the result read the texts, not the answers.
         new = materialise(parsed.where(~is_blank("text")).select("variant", "num", "text"), "rewrites")
         texts = texts.unionByName(new.withColumn("attempt", F.lit(round_no)))
     best = best_attempt(texts, ["variant", "num"]).withColumnRenamed("text", "generated_text")
-    return wanted.select("variant", "num").join(best, ["variant", "num"], "left").withColumn(
+    return wanted.join(best, ["variant", "num"], "left").withColumn(
         "generated_text", F.coalesce("generated_text", F.lit(""))
     )
 

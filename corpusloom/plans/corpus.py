@@ -46,6 +46,7 @@ def narrate(
     *,
     key: str = "num",
     batch_size: int = 5,
+    tasks: int,
     **options,
 ) -> DataFrame:
     """(batch_id, text): the answer of every batch of rows, placeholders for a batch that got none."""
@@ -55,7 +56,7 @@ def narrate(
         joined = joined.join(tables[name], key)
     planned = gn.plan_batches(joined, batch_size, key)
     prompts = gn.build_prompts(planned, block, preamble, num=key)
-    answers = gn.generate_into(store, prompts, make_model, ["batch_id"], **options)
+    answers = gn.generate_into(store, prompts, make_model, ["batch_id"], tasks=tasks, **options)
     good = answers.where("raw is not null").select("batch_id", F.lit(0).cast("long").alias("row"), F.col("raw").alias("text"))
     failed = gn.placeholder_failed(answers, gn.batch_bounds(planned, key), ["batch_id"])
     return good.unionByName(failed.select("batch_id", F.col("num").alias("row"), "text"))

@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpusloom.functions.text import CONTROLS, FANCY, PLAIN, SPACES
-from corpusloom.sources.tables import list_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,24 +30,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-# Keys of the text tables, and the size up to which a table is worth spreading.
+# Keys of the text tables.
 TEXT_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
-SMALL_BYTES = 256 << 20
-
-
-@cache
-def _folder_bytes(spark: SparkSession, path: str) -> int:
-    return list_files(spark, path).agg(F.sum("length")).first()[0]
 
 
 def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of texts. A small one comes in one piece that a single core would read and parse alone, so its rows
-    are hashed out over the cores; a large one consists of many pieces and stays as it is."""
-    path = f"{folder}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if _folder_bytes(spark, path) > SMALL_BYTES:
-        return df
-    return df.repartition(spark.sparkContext.defaultParallelism * 2, *TEXT_KEYS[name])
+    """A table of texts as it is stored; with the session setting `corpusloom.spread` = n its rows are dealt by key to n
+    partitions first, for tables stored in fewer pieces than there are cores. The size of the table decides nothing."""
+    df = table(spark, folder, name)
+    spread = spark.conf.get("corpusloom.spread", None)
+    return df.repartition(int(spread), *TEXT_KEYS[name]) if spread else df
 
 
 # --- SQL text shared by several checks ----------------------------------------------------------------------------

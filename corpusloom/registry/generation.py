@@ -13,6 +13,10 @@ from corpusloom.registry.core import query, sql_strip, sql_tokens, table, texts
 from corpusloom.session import scratch_path
 
 
+# Tasks that call the model.
+TASKS = 8
+
+
 def _numbered(spark, sf):
     docs = texts(spark, sf, "documents").select("doc_id", "lang", "source", "text")
     return gn.plan_batches(docs.join(al.renumber(docs.select("doc_id"), ["doc_id"]), "doc_id"), 5)
@@ -46,11 +50,12 @@ def budget_flag(spark, sf):
 
 @query(
     "table_as_text",
-    """SELECT 'n_nationkey;n_name;n_regionkey' || chr(10) || string_agg(n_nationkey || ';' || n_name || ';' || n_regionkey, chr(10)
-         ORDER BY n_nationkey) AS text FROM nation""",
+    """WITH n AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS no FROM orders)
+       SELECT no // 1000 AS block_no, 'o_orderkey;o_custkey;o_orderpriority' || chr(10) || string_agg(o_orderkey || ';' || o_custkey || ';'
+         || o_orderpriority, chr(10) ORDER BY no) AS text FROM n GROUP BY 1""",
 )
 def table_as_text(spark, sf):
-    return gn.table_as_text(table(spark, sf, "nation"), ["n_nationkey", "n_name", "n_regionkey"], ["n_nationkey"])
+    return gn.table_as_text(table(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderpriority"], ["o_orderkey"])
 
 
 @query(
@@ -68,19 +73,16 @@ def option_rules(spark, sf):
 
 
 def make_echo():
-    """Answers with the number of lines of the prompt; the first call on each prompt with a hash sign fails."""
+    """Answers with the length of the prompt; the first call on each prompt with a hash sign fails."""
     seen: set[str] = set()
 
-    def model(prompts):
-        out = []
-        for prompt in prompts:
-            if "#" in prompt and prompt not in seen:
-                seen.add(prompt)
-                raise RuntimeError("busy")
-            out.append(None if "$" in prompt else f"{len(prompt)} characters")
-        return out
+    def answer(prompt):
+        if "#" in prompt and prompt not in seen:
+            seen.add(prompt)
+            return RuntimeError("busy")
+        return None if "$" in prompt else f"{len(prompt)} characters"
 
-    return model
+    return lambda prompts: [answer(p) for p in prompts]
 
 
 @query(
@@ -93,18 +95,20 @@ def generate_batches(spark, sf):
     # The number in front keeps prompts apart: the model counts its calls by prompt.
     prompt = F.concat(F.col("doc_id").cast("string"), F.lit(": "), "text")
     prompts = texts(spark, sf, "documents").select("doc_id", prompt.alias("prompt"))
-    return gn.generate_batches(prompts, make_echo, ["doc_id"], backoff=0.0)
+    return gn.generate_batches(prompts, make_echo, ["doc_id"], tasks=TASKS, backoff=0.0)
 
 
 def make_rewriter():
-    """Rewrites each input text by putting a mark in front; forgets French texts in the first round and never does
-    texts with a dollar sign."""
+    """Rewrites each input text by putting a mark in front; forgets French texts in the first round, never does texts
+    with a dollar sign, and always adds rewrites of texts it was not asked for."""
 
     def model(prompts):
         answers = []
         for prompt in prompts:
             lead, *inputs = prompt.split("[INPUT_TEXT ")
-            parts, again, mark = [], "RETRY" in lead, prompt.split("\n", 1)[0]
+            again, mark = "RETRY" in lead, prompt.split("\n", 1)[0]
+            mine = {int(one.split("]\n", 1)[0].split(" | Num=")[1]) for one in inputs}
+            parts = [f"[REWRITE 9 | Num={n}]\nforeign\n" for n in range(6) if n not in mine]
             for one in inputs:
                 head, text = one.split("]\n", 1)
                 position, num = head.split(" | Num=")
@@ -128,8 +132,28 @@ def fill_missing(spark, sf):
     existing = table(spark, sf, "labels").select(
         F.lit("DIRECT").alias("variant"), F.col("doc_id").alias("num"), F.when(F.col("quality") == 1, "kept").otherwise(" ").alias("generated_text")
     )
-    specs = [gn.VariantSpec("DIRECT", "DIRECT"), gn.VariantSpec("FORMAL", "FORMAL")]
-    return gn.fill_missing(corpus, existing, specs, make_rewriter, retry_preamble="RETRY", backoff=0.0)
+    return gn.fill_missing(corpus, existing, SPECS, make_rewriter, store=scratch_path(spark, "answers"), **FILL)
+
+
+SPECS = [gn.VariantSpec("DIRECT", "DIRECT"), gn.VariantSpec("FORMAL", "FORMAL")]
+FILL = {"tasks": TASKS, "retry_preamble": "RETRY", "backoff": 0.0}
+
+
+@query(
+    "fill_resumed",
+    f"""SELECT v.variant, doc_id AS num, CASE WHEN quality = 1 AND v.variant = 'DIRECT' THEN 'kept' WHEN contains(text, '$') THEN ''
+          ELSE v.variant || ': ' || {sql_strip('text')} END AS generated_text
+        FROM (SELECT unnest(['DIRECT', 'FORMAL']) AS variant) v, documents LEFT JOIN labels USING (doc_id)""",
+)
+def fill_resumed(spark, sf):
+    """A run over the labelled texts, then one over all with the same store and other texts filled in between."""
+    corpus = texts(spark, sf, "documents").select(F.col("doc_id").alias("num"), "text")
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("num"), "quality")
+    store = scratch_path(spark, "answers")
+    none = spark.createDataFrame([], "variant string, num long, generated_text string")
+    gn.fill_missing(corpus.join(labels, "num", "left_semi"), none, SPECS, make_rewriter, store=store, **FILL)
+    filled = labels.where("quality = 1").select(F.lit("DIRECT").alias("variant"), "num", F.lit("kept").alias("generated_text"))
+    return gn.fill_missing(corpus, filled, SPECS, make_rewriter, store=store, **FILL)
 
 
 @query(
@@ -141,7 +165,7 @@ def placeholder_failed(spark, sf):
     planned = _numbered(spark, sf)
     prompts = gn.build_prompts(planned, "text")
     path = scratch_path(spark, "responses")
-    responses = gn.generate_into(path, prompts, make_echo, ["batch_id"], attempts=2, backoff=0.0)
+    responses = gn.generate_into(path, prompts, make_echo, ["batch_id"], tasks=TASKS, attempts=2, backoff=0.0)
     return gn.placeholder_failed(responses, gn.batch_bounds(planned), ["batch_id"])
 
 

@@ -68,13 +68,12 @@ def lookup_codes(spark, sf):
 
 @query(
     "align_rows",
-    """SELECT doc_id AS num, quality, toxic, lang, source, label FROM labels JOIN documents USING (doc_id)
-       JOIN embeddings ON vec_id = doc_id""",
+    """SELECT l.doc_id AS num, quality, toxic, lang, source, d.doc_id IS NULL AS missing_documents, label, vec_id IS NULL AS missing_vectors
+       FROM labels l LEFT JOIN documents d USING (doc_id) LEFT JOIN embeddings ON vec_id = doc_id""",
 )
 def align_rows(spark, sf):
-    return al.align_rows(
-        _labels(spark, sf), _documents(spark, sf).select("num", "lang", "source"), _vectors(spark, sf)
-    )
+    others = {"documents": _documents(spark, sf).select("num", "lang", "source"), "vectors": _vectors(spark, sf)}
+    return al.align_rows(_labels(spark, sf), others)
 
 
 @query(

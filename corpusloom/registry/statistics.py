@@ -584,8 +584,7 @@ def check_keys(spark, sf):
 
 @query(
     "duplicate_keys",
-    """SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY ALL HAVING count(*) > 1
-       ORDER BY ALL LIMIT 20""",
+    """SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY ALL HAVING count(*) > 1""",
 )
 def duplicate_keys(spark, sf):
     return al.duplicate_keys(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])

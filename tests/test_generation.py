@@ -26,9 +26,10 @@ def test_prompts_keep_row_order(spark):
     assert "--- LINE 5 ---\nTopic: \nAdvice: text 5" in [r["prompt"] for r in gn.build_prompts(planned, block).collect()]
 
 
-def test_large_tables_stay_out_of_prompts(spark):
-    with pytest.raises(ValueError):
-        gn.table_as_text(spark.range(gn.REFERENCE_ROWS + 1), ["id"], ["id"])
+def test_large_tables_become_blocks(spark):
+    rows = {r["block_no"]: r["text"] for r in gn.table_as_text(spark.range(2500).repartition(3), ["id"], ["id"]).collect()}
+    assert [len(rows[i].split("\n")) for i in range(3)] == [1001, 1001, 501]
+    assert rows[2].startswith("id\n2000\n2001\n")
 
 
 def flaky():
@@ -39,16 +40,47 @@ def flaky():
         for p in prompts:
             calls[p] = calls.get(p, 0) + 1
             if "never" in p or ("later" in p and calls[p] < 3):
-                raise RuntimeError("busy")
-            out.append(f"{calls[p]}: {p}")
+                out.append(RuntimeError("busy"))
+            else:
+                out.append(f"{calls[p]}: {p}")
         return out
 
     return model
 
 
+def spoiled():
+    def model(prompts):
+        if any("bad" in p for p in prompts):
+            raise RuntimeError("whole list")
+        return [p.upper() for p in prompts]
+
+    return model
+
+
+def test_one_bad_prompt_spoils_no_list(spark):
+    prompts = spark.createDataFrame([(i, "bad" if i == 3 else f"p{i}") for i in range(9)], "batch_id long, prompt string")
+    rows = {r["batch_id"]: r for r in gn.generate_batches(prompts, spoiled, ["batch_id"], tasks=2, backoff=0.0).collect()}
+    assert all(rows[i]["raw"] == f"P{i}" and rows[i]["attempt"] == 1 for i in range(9) if i != 3)
+    assert (rows[3]["raw"], rows[3]["error"]) == (None, "RuntimeError: whole list")
+
+
+def counting():
+    import uuid
+
+    me = uuid.uuid4().hex
+    return lambda prompts: [f"{me} {len(prompts)}"] * len(prompts)
+
+
+def test_calls_are_spread_and_listed(spark):
+    prompts = spark.range(2000).select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("prompt"))
+    rows = gn.generate_batches(prompts, counting, ["id"], tasks=6, list_size=50).collect()
+    models = {r["raw"].split()[0] for r in rows}
+    assert len(models) == 6 and max(int(r["raw"].split()[1]) for r in rows) == 50
+
+
 def test_attempts(spark):
     prompts = spark.createDataFrame([(1, "now"), (2, "later"), (3, "never")], "batch_id long, prompt string")
-    rows = {r["batch_id"]: r for r in gn.generate_batches(prompts, flaky, ["batch_id"], backoff=0.0).collect()}
+    rows = {r["batch_id"]: r for r in gn.generate_batches(prompts, flaky, ["batch_id"], tasks=2, backoff=0.0).collect()}
     assert (rows[1]["attempt"], rows[1]["raw"]) == (1, "1: now")
     assert (rows[2]["attempt"], rows[2]["raw"]) == (3, "3: later")
     assert (rows[3]["raw"], rows[3]["error"]) == (None, "RuntimeError: busy")
@@ -57,8 +89,8 @@ def test_attempts(spark):
 def test_a_second_run_asks_only_for_what_is_open(spark):
     prompts = spark.createDataFrame([(1, "now"), (3, "never")], "batch_id long, prompt string")
     path = scratch_path(spark, "answers")
-    assert gn.generate_into(path, prompts, flaky, ["batch_id"], backoff=0.0, attempts=1).count() == 2
-    again = gn.generate_into(path, prompts, flaky, ["batch_id"], backoff=0.0, attempts=1)
+    assert gn.generate_into(path, prompts, flaky, ["batch_id"], tasks=2, backoff=0.0, attempts=1).count() == 2
+    again = gn.generate_into(path, prompts, flaky, ["batch_id"], tasks=2, backoff=0.0, attempts=1)
     assert {r["batch_id"]: r["count"] for r in again.groupBy("batch_id").count().collect()} == {1: 1, 3: 2}
     bounds = spark.createDataFrame([(1, 1, 2), (3, 5, 6)], "batch_id long, first_num long, last_num long")
     lines = [r["text"] for r in gn.placeholder_failed(again, bounds, ["batch_id"]).orderBy("num").collect()]
@@ -84,12 +116,13 @@ def test_fill_resumes_and_retries(spark):
     corpus = corpus_of(spark, 7).union(spark.createDataFrame([(8, " ")], "num long, text string"))
     existing = spark.createDataFrame([("A", 1, " kept "), ("A", 2, " "), ("A", 99, "gone")], "variant string, num long, generated_text string")
     specs = [gn.VariantSpec("A", "A"), gn.VariantSpec("B", "B")]
-    options = dict(batch_size=3, retry_preamble="AGAIN", backoff=0.0)
-    rows = {(r["variant"], r["num"]): r["generated_text"] for r in gn.fill_missing(corpus, existing, specs, rewriter, **options).collect()}
+    options = dict(batch_size=3, retry_preamble="AGAIN", backoff=0.0, tasks=2)
+    store = scratch_path(spark, "answers")
+    rows = {(r["variant"], r["num"]): r["generated_text"] for r in gn.fill_missing(corpus, existing, specs, rewriter, store=store, **options).collect()}
     assert len(rows) == 14
     assert rows[("A", 1)] == "kept" and rows[("A", 2)] == "A text 2" and rows[("B", 3)] == "B text 3"
     assert rows[("A", 4)] == rows[("B", 4)] == ""
-    once = gn.fill_missing(corpus, existing, specs, rewriter, rounds=1, overwrite=True, **options)
+    once = gn.fill_missing(corpus, existing, specs, rewriter, rounds=1, overwrite=True, store=scratch_path(spark, "answers"), **options)
     rows = {(r["variant"], r["num"]): r["generated_text"] for r in once.collect()}
     assert rows[("A", 1)] == "A text 1" and rows[("A", 3)] == ""
     audit = {r["variant"]: r for r in gn.fill_audit(corpus, once, ["A", "B"]).collect()}
