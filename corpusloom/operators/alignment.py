@@ -38,6 +38,29 @@ def renumber(df: DataFrame, order: list[Column | str], num: str = "num", start:
     )
 
 
+def running_total(df: DataFrame, order: list[Column], amount: str, total: str) -> DataFrame:
+    """`total` = the sum of `amount` over all rows up to and with this one in the given order.
+
+    As in `renumber`, a range sort spreads the rows and is written; each row's sum runs within its range only, and the
+    sums of the ranges, one row per task, pass through a single window.
+    """
+    placed = materialise(df.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()), "totals")
+    placed = placed.withColumn("__range", F.shiftright("__place", 33))
+    sums = placed.groupBy("__range").agg(F.sum(amount).alias("__sum"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col("__range"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy("__range").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn("__inside", F.sum(amount).over(inside)).join(F.broadcast(offsets), "__range")
+    return summed.withColumn(total, F.col("__offset") + F.col("__inside")).drop("__range", "__place", "__offset", "__inside")
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on equal columns in which a null equals a null; the columns are the left side's."""
+    renamed = right.withColumnsRenamed({c: f"__right_{c}" for c in on})
+    condition = reduce(lambda a, b: a & b, [left[c].eqNullSafe(renamed[f"__right_{c}"]) for c in on], F.lit(True))
+    return left.join(renamed, condition, how).drop(*[f"__right_{c}" for c in on])
+
+
 def renumber_all(tables: dict[str, DataFrame], key: str, order: list[str] | None = None) -> dict[str, DataFrame]:
     """Number the common keys once and give every table the same new numbers."""
     first = next(iter(tables.values()))
@@ -148,6 +171,29 @@ def check_keys(tables: dict[str, DataFrame], key: str) -> DataFrame:
     )
 
 
+def same_key_lists(tables: dict[str, DataFrame], key: str, order: str) -> DataFrame:
+    """(table, n_rows, same_list): whether a table has the first table's keys in the same order, row by row.
+
+    `order` numbers the rows of each table densely from 1 (`renumber`). Rows are compared at their number, all tables
+    in one shuffle; repeated and null keys count like any others.
+    """
+    names = list(tables)
+    parts = [
+        df.select(F.lit(i).alias("t"), F.col(order).cast("long").alias("at"), F.col(key).cast("string").alias("key"))
+        for i, df in enumerate(tables.values())
+    ]
+    here = [F.max(F.when(F.col("t") == i, F.struct(F.lit(True).alias("there"), F.col("key").alias("key")))).alias(f"k{i}") for i in range(len(names))]
+    rows = reduce(DataFrame.unionAll, parts).groupBy("at").agg(*here)
+    cells = [
+        F.struct(
+            F.lit(name).alias("table"), F.count(f"k{i}").alias("n_rows"),
+            F.coalesce(F.every(F.col(f"k{i}").eqNullSafe(F.col("k0"))), F.lit(True)).alias("same_list"),
+        ).alias(f"s{i}")
+        for i, name in enumerate(names)
+    ]
+    return rows.agg(*cells).select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(names))])))
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n_rows) of every key that stands on several rows; a null is a key."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")

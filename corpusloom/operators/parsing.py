@@ -289,22 +289,41 @@ def _resolved(row: Column, facets: dict[str, tuple[str, ...]]) -> Column:
     return F.struct(row["num"].alias("num"), row["header"].alias("header"), row["text"].alias("text"), *codes)
 
 
+JSON_FACETS = {"sn": ("sn", "SN", "sn_codes"), "de": ("de", "DE", "de_codes")}
+XML_FACETS = {"sn": ("sn", "sn_codes"), "de": ("de", "de_codes")}
+
+
+def json_record(record: Column, position: Column, facets: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """struct(num, header, text, <facet>…) of one JSON object; its position, from 1, stands in for number and header."""
+    headers = [blank_to_null(_string(_field(record, k))) for k in HEADER_KEYS]
+    return F.struct(
+        F.coalesce(_integer(_first_truthy(record, "num", "Num")), position.cast("long")).alias("num"),
+        F.coalesce(*headers, F.concat(F.lit("Text "), position.cast("string"))).alias("header"),
+        strip(_string(_first_truthy(record, "text", "Text"))).alias("text"),
+        *[_code_field(record, keys).alias(f"{name}_codes") for name, keys in (facets or JSON_FACETS).items()],
+    )
+
+
 def json_texts(c: Column | str, facets: dict[str, tuple[str, ...]] | None = None) -> Column:
     """array<struct(num, header, text, <facet>…)> of JSON records with a non-blank text."""
-    facets = facets or {"sn": ("sn", "SN", "sn_codes"), "de": ("de", "DE", "de_codes")}
+    facets = facets or JSON_FACETS
+    records = F.transform(json_records(c), lambda record, i: json_record(record, i + 1, facets))
+    rows = F.filter(records, lambda r: ~is_blank(r["text"]))
+    return F.transform(rows, lambda r: _resolved(r, facets))
 
-    def basics(record: Column, i: Column) -> Column:
-        position = i + 1
-        headers = [blank_to_null(_string(_field(record, k))) for k in HEADER_KEYS]
-        return F.struct(
-            F.coalesce(_integer(_first_truthy(record, "num", "Num")), position.cast("long")).alias("num"),
-            F.coalesce(*headers, F.concat(F.lit("Text "), position.cast("string"))).alias("header"),
-            strip(_string(_first_truthy(record, "text", "Text"))).alias("text"),
-            *[_code_field(record, keys).alias(f"{name}_codes") for name, keys in facets.items()],
-        )
 
-    rows = F.filter(F.transform(json_records(c), basics), lambda r: ~is_blank(r["text"]))
-    return F.transform(rows, lambda r: _resolved(r, facets))
+def json_lines(lines: DataFrame, line: str) -> DataFrame:
+    """The lines with `record`: their JSON object (variant), null for a line that holds none; a comma may follow it.
+    Blank lines are dropped."""
+    candidate = F.rtrim(strip(line), F.lit(","))
+    parsed = lines.where(F.coalesce(candidate, F.lit("")) != "").withColumn("__value", _json_value(candidate))
+    return parsed.withColumn("record", F.when(_is_object(F.col("__value")), F.col("__value"))).drop("__value")
+
+
+def placed_texts(rows: DataFrame, row: Column, facets: dict[str, tuple[str, ...]], keys: list[str]) -> DataFrame:
+    """(keys, num, header, text, codes…) from one record per row, those without text left out."""
+    found = rows.select(*keys, row.alias("__row")).where(~is_blank("__row.text"))
+    return found.select(*keys, _resolved(F.col("__row"), facets).alias("__row")).select(*keys, "__row.*")
 
 
 def parse_json_texts(df: DataFrame, raw: str, keys: list[str], **options) -> DataFrame:
@@ -319,7 +338,8 @@ XML_NODES = "array<struct<body:string,attributes:map<string,string>>>"
 
 def _text_nodes(payload: str | None) -> list[dict] | None:
     stripped = (payload or "").strip()
-    if not stripped.startswith("<"):
+    # A document type may define entities that grow without bound, so such documents are refused.
+    if not stripped.startswith("<") or "<!doctype" in stripped.lower():
         return None
     root = None
     for candidate in (stripped, f"<root>{stripped}</root>"):
@@ -345,24 +365,24 @@ def xml_nodes(c: Column | str) -> Column:
     return nodes(_col(c))
 
 
+def xml_record(node: Column, position: Column, facets: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """struct(num, header, text, <facet>…) of one `<text>` node; its position, from 1, stands in for number and header."""
+    attr = lambda name: F.try_element_at(node["attributes"], F.lit(name))
+    number = strip(F.coalesce(F.nullif(attr("num"), F.lit("")), attr("id")))
+    header = F.coalesce(
+        *[blank_to_null(attr(k)) for k in HEADER_KEYS], F.concat(F.lit("Text "), position.cast("string"))
+    )
+    codes = [
+        coerce_codes(F.coalesce(*[F.nullif(attr(k), F.lit("")) for k in keys])).alias(f"{name}_codes")
+        for name, keys in (facets or XML_FACETS).items()
+    ]
+    num = F.coalesce(F.when(number.rlike(r"^[+-]?[0-9]+$"), number.try_cast("long")), position.cast("long"))
+    return F.struct(num.alias("num"), header.alias("header"), strip(node["body"]).alias("text"), *codes)
+
+
 def xml_rows(nodes: Column, facets: dict[str, tuple[str, ...]] | None = None) -> Column:
-    facets = facets or {"sn": ("sn", "sn_codes"), "de": ("de", "de_codes")}
-
-    def basics(node: Column, i: Column) -> Column:
-        attr = lambda name: F.try_element_at(node["attributes"], F.lit(name))
-        position = i + 1
-        number = strip(F.coalesce(F.nullif(attr("num"), F.lit("")), attr("id")))
-        header = F.coalesce(
-            *[blank_to_null(attr(k)) for k in HEADER_KEYS], F.concat(F.lit("Text "), position.cast("string"))
-        )
-        codes = [
-            coerce_codes(F.coalesce(*[F.nullif(attr(k), F.lit("")) for k in keys])).alias(f"{name}_codes")
-            for name, keys in facets.items()
-        ]
-        num = F.coalesce(F.when(number.rlike(r"^[+-]?[0-9]+$"), number.try_cast("long")), position.cast("long"))
-        return F.struct(num.alias("num"), header.alias("header"), strip(node["body"]).alias("text"), *codes)
-
-    rows = F.filter(F.transform(nodes, basics), lambda r: r["text"] != "")
+    facets = facets or XML_FACETS
+    rows = F.filter(F.transform(nodes, lambda node, i: xml_record(node, i + 1, facets)), lambda r: r["text"] != "")
     return F.transform(rows, lambda r: _resolved(r, facets))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from corpusloom.functions import lexical as lx
 from corpusloom.functions.text import is_blank, mean_std_label
+from corpusloom.operators.alignment import join_null_safe, running_total
 from corpusloom.session import materialise
 
 # Metric names by source.
@@ -139,70 +140,84 @@ def _finite(name: str) -> Column:
     return F.when(~bad, c)
 
 
-def corpus_summary(metrics: DataFrame, corpus: list[str], names: list[str]) -> DataFrame:
+STATISTICS = ["n_texts", "n", "mean", "median", "std", "min", "max"]
+
+
+def corpus_summary(metrics: DataFrame, corpus: list[str], names: list[str], *, median: bool = True) -> DataFrame:
     """Long form (corpus…, metric, n_texts, n, mean, median, std, min, max), one row per corpus and metric.
 
     Two passes over `metrics`, which should therefore be a written table. The first takes the moments and, for
     each metric, a narrow bracket that surely holds the median; the second counts what lies below the bracket and
-    the distinct values inside. No group is ever held whole: a corpus may own most of the texts.
+    the distinct values inside, and ranks these by ranges. No group is ever held whole: a corpus may own most of the
+    texts. Without `median` there is one pass and no such column. A null corpus is a corpus. A corpus column may be
+    called anything but `metric`; a statistic of the same name is then called `<name>_of_metric`. Writes tables.
     """
-    clean = metrics.select(*corpus, *[_finite(m).alias(m) for m in names])
+    if "metric" in corpus:
+        raise ValueError("a corpus column cannot be called metric")
+    groups = [f"__g{i}" for i in range(len(corpus))]
+    inner = [f"__m{i}" for i in range(len(names))]
+    clean = metrics.select(
+        *[F.col(c).alias(g) for c, g in zip(corpus, groups)], *[_finite(m).alias(i) for m, i in zip(names, inner)]
+    )
     probes = [0.5 - _MARGIN, 0.5 + _MARGIN]
-    aggregates = []
-    for m in names:
-        aggregates += [
-            F.count(m).alias(f"{m}__n"), F.avg(m).alias(f"{m}__mean"), F.stddev_samp(m).alias(f"{m}__std"),
-            F.min(m).alias(f"{m}__min"), F.max(m).alias(f"{m}__max"),
-            F.percentile_approx(m, probes, _ACCURACY).alias(f"{m}__bracket"),
-        ]
-    # Written: both uses read it from there, and its known size lets the texts stay where they are.
-    wide = materialise(clean.groupBy(*corpus).agg(F.count(F.lit(1)).alias("n_texts"), *aggregates), "moments")
-    cells = F.array(
-        *[
+    aggregates = [F.count(F.lit(1)).alias("__texts")]
+    for m in inner:
+        aggregates.append(
             F.struct(
-                F.lit(m).alias("metric"),
-                *[F.col(f"{m}__{s}").alias(s) for s in ("n", "mean", "std", "min", "max")],
-                F.get(F.col(f"{m}__bracket"), F.lit(0)).alias("lo"),
-                F.get(F.col(f"{m}__bracket"), F.lit(1)).alias("hi"),
-            )
-            for m in names
-        ]
-    )
-    long = wide.select(*corpus, "n_texts", F.inline(cells))
-    medians = _medians(clean, wide, long, corpus, names)
-    return long.drop("lo", "hi").join(medians, [*corpus, "metric"], "left").select(
-        *corpus, "metric", "n_texts", "n", "mean", "median", "std", "min", "max"
+                F.count(m).alias("n"), F.avg(m).alias("mean"), F.stddev_samp(m).alias("std"), F.min(m).alias("min"),
+                F.max(m).alias("max"), *([F.percentile_approx(m, probes, _ACCURACY).alias("bracket")] if median else []),
+            ).alias(f"{m}_s")
+        )
+    # Written: both uses read it from there, and its known size lets the texts stay where they are.
+    wide = materialise(clean.groupBy(*groups).agg(*aggregates), "moments")
+    cells = F.array(*[F.struct(F.lit(m).alias("__metric"), F.col(f"{i}_s").alias("__s")) for m, i in zip(names, inner)])
+    long = wide.select(*groups, "__texts", F.inline(cells))
+    if median:
+        long = join_null_safe(long, _medians(clean, wide, groups, names, inner), [*groups, "__metric"], "left")
+    values = {"n_texts": F.col("__texts"), "n": F.col("__s.n"), "mean": F.col("__s.mean")}
+    if median:
+        lost = (F.col("__s.n") > 0) & F.col("__median").isNull()
+        values["median"] = F.when(lost, F.raise_error(F.lit("the bracket does not hold the median")).cast("double")).otherwise(F.col("__median"))
+    values |= {s: F.col(f"__s.{s}") for s in ("std", "min", "max")}
+    return long.select(
+        *[F.col(g).alias(c) for c, g in zip(corpus, groups)], F.col("__metric").alias("metric"),
+        *[v.alias(f"{s}_of_metric" if s in corpus else s) for s, v in values.items()],
     )
 
 
-def _medians(clean: DataFrame, wide: DataFrame, long: DataFrame, corpus: list[str], names: list[str]) -> DataFrame:
-    brackets = wide.select(*corpus, *[f"{m}__bracket" for m in names])
-    keyed = clean.join(brackets, corpus)
+def _medians(clean: DataFrame, wide: DataFrame, groups: list[str], names: list[str], inner: list[str]) -> DataFrame:
+    """(groups, __metric, __median): the exact medians."""
+    brackets = wide.select(*groups, *[F.col(f"{i}_s.bracket").alias(f"{i}_b") for i in inner])
+    keyed = join_null_safe(clean, brackets, groups)
     cells = F.array(
         *[
             F.when(
-                F.col(m) <= F.get(F.col(f"{m}__bracket"), F.lit(1)),
+                F.col(i) <= F.get(F.col(f"{i}_b"), F.lit(1)),
                 F.struct(
-                    F.lit(m).alias("metric"),
-                    F.when(F.col(m) >= F.get(F.col(f"{m}__bracket"), F.lit(0)), F.col(m)).alias("value"),
+                    F.lit(m).alias("__metric"),
+                    F.when(F.col(i) >= F.get(F.col(f"{i}_b"), F.lit(0)), F.col(i)).alias("__value"),
                 ),
             )
-            for m in names
+            for m, i in zip(names, inner)
         ]
     )
-    values = keyed.select(*corpus, F.inline(F.filter(cells, lambda x: x.isNotNull())))
-    group = [*corpus, "metric"]
-    # value is null for everything below the bracket: one combined row per group.
-    counted = values.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(*group).orderBy(F.col("value").asc_nulls_first())
-    ranked = counted.withColumn("last", F.sum("c").over(upto)).withColumn("first", F.col("last") - F.col("c") + 1)
-    sized = ranked.join(long.select(*group, "n"), group)
+    values = keyed.select(*groups, F.inline(F.filter(cells, lambda x: x.isNotNull())))
+    group = [*groups, "__metric"]
+    # __value is null for everything below the bracket: one combined row per group.
+    counted = values.groupBy(*group, "__value").agg(F.count(F.lit(1)).alias("__c"))
+    ranked = running_total(counted, [*[F.col(g) for g in group], F.col("__value").asc_nulls_first()], "__c", "__last")
+    before = ranked.groupBy(*group).agg(F.min(F.col("__last") - F.col("__c")).alias("__before"))
+    sizes = wide.select(*groups, F.inline(F.array(*[
+        F.struct(F.lit(m).alias("__metric"), F.col(f"{i}_s.n").alias("__n")) for m, i in zip(names, inner)
+    ])))
+    sized = join_null_safe(ranked, join_null_safe(before, sizes, group), group)
+    last = F.col("__last") - F.col("__before")
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.col("value")))
+        return F.max(F.when((last - F.col("__c") < rank) & (rank <= last), F.col("__value")))
 
-    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    return sized.groupBy(*group).agg(((at(lower) + at(upper)) / 2).alias("median"))
+    lower, upper = F.floor((F.col("__n") + 1) / 2), F.floor(F.col("__n") / 2) + 1
+    return sized.groupBy(*group).agg(((at(lower) + at(upper)) / 2).alias("__median"))
 
 
 def summary_wide(summary: DataFrame, corpus: list[str], names: list[str]) -> DataFrame:
@@ -224,7 +239,7 @@ def length_stats(df: DataFrame, text: str, corpus: list[str]) -> DataFrame:
     cells = [
         F.max(F.when(F.col("metric") == m, F.col(s))).alias(f"{m}_{s}") for m in names for s in ("mean", "median", "std")
     ]
-    return sizes.join(summary.groupBy(*corpus).agg(*cells), corpus, "left")
+    return join_null_safe(sizes, summary.groupBy(*corpus).agg(*cells), corpus, "left")
 
 
 def common_metrics(summary: DataFrame, corpus: str, k: int) -> DataFrame:

@@ -26,7 +26,7 @@ def compared(
     everything = al.union_tables([al.neutral_variant(neutral), variants.select("variant", "num", "generated_text")])
     metrics = measured(everything, hdd=hdd, mtld=mtld)
     chosen = st.DIRECT_METRICS + LEXICAL + ["HDD"] * hdd + ["MTLD"] * mtld
-    summary = st.corpus_summary(metrics, ["variant"], chosen)
+    summary = st.corpus_summary(metrics, ["variant"], chosen, median=False)
     if digits is not None:
         summary = summary.withColumns({c: F.round(c, digits) for c in ("mean", "std")})
     return st.compare_corpora(

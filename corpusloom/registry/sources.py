@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom import schemas
 from corpusloom.functions import text as tx
+from corpusloom.operators import alignment as al
 from corpusloom.operators import chapters as ch
 from corpusloom.operators import facets as fc
 from corpusloom.registry.columns import sql_clean_body, sql_title, sql_untag
-from corpusloom.registry.core import query, sql_latex, sql_lines, sql_strip, table, texts
+from corpusloom.registry.core import query, sql_latex, sql_lines, sql_punct, sql_strip, table, texts
 from corpusloom.schemas import THEMES_JSON
 from corpusloom.session import scratch_path
 from corpusloom.sources import sinks, tables
@@ -96,22 +98,81 @@ def read_text_corpus(spark, sf):
     )
 
 
-@query("read_json_lines", f"SELECT doc_id AS num, source AS header, {sql_strip('text')} AS text FROM documents")
-def read_json_lines(spark, sf):
+def _written_lines(spark, sf):
+    """A file per language, ordered by id: English records by their own names, French ones spelled `Text` and followed by
+    a comma, Spanish ones without number or header; German lines are cut off behind the text."""
+    lang, text = F.col("lang"), F.col("text")
+    whole = F.to_json(F.struct(F.col("doc_id").alias("num"), F.col("source").alias("title"), text.alias("text"), F.lit("sn3B").alias("sn")))
+    french = F.concat(F.to_json(F.struct(text.alias("Text"), F.col("doc_id").cast("string").alias("Num"))), F.lit(","))
+    cut = F.concat(F.lit("broken "), F.col("doc_id").cast("string"), F.lit(' {"text": "'))
+    line = F.when(lang == "en", whole).when(lang == "fr", french).when(lang == "de", cut).otherwise(F.to_json(F.struct(text.alias("text"))))
     path = scratch_path(spark, "lines")
-    rows = texts(spark, sf, "documents").select(F.col("doc_id").alias("num"), F.col("source").alias("title"), "text")
-    sinks.write_json_doc(rows, path, ["num", "title", "text"])
-    return tables.read_json_lines(spark, path)
+    rows = texts(spark, sf, "documents").select("lang", "doc_id", line.alias("value"))
+    rows.repartition("lang").sortWithinPartitions("lang", "doc_id").drop("doc_id").write.partitionBy("lang").text(path)
+    return path
+
+
+@query(
+    "read_json_lines",
+    f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents WHERE lang <> 'de')
+        SELECT lang, CASE WHEN lang IN ('en', 'fr') THEN doc_id ELSE i END AS num,
+          CASE lang WHEN 'en' THEN source ELSE 'Text ' || i END AS header, {sql_strip('text')} AS text,
+          CASE lang WHEN 'en' THEN 'SN3b' ELSE '' END AS sn, '' AS de FROM p""",
+)
+def read_json_lines(spark, sf):
+    rows = tables.read_json_lines(spark, f"{_written_lines(spark, sf)}/*/*.txt")
+    return rows.select(
+        F.regexp_extract("path", r"lang=(\w+)", 1).alias("lang"), "num", "header", "text",
+        F.array_join("sn_codes", ",").alias("sn"), F.array_join("de_codes", ",").alias("de"),
+    )
+
+
+@query("read_json_lines_rejects", """SELECT 'broken ' || doc_id || ' {"text": "' AS line FROM documents WHERE lang = 'de'""")
+def read_json_lines_rejects(spark, sf):
+    return tables.read_json_lines_rejects(spark, f"{_written_lines(spark, sf)}/*/*.txt").select("line")
 
 
-@query("read_xml_texts")
+@query(
+    "read_xml_texts",
+    f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents)
+        SELECT lang, CASE lang WHEN 'en' THEN doc_id ELSE 2 * i - 1 END AS num, CASE lang WHEN 'en' THEN source ELSE 'Text ' || 2 * i - 1 END AS header,
+          {sql_strip(sql_punct('text'))} AS text, 'SN5' AS sn, '' AS de FROM p
+        UNION ALL SELECT lang, 2 * i, 'n' || doc_id, 'inner DE2 tail', '', 'DE2' FROM p""",
+)
 def read_xml_texts(spark, sf):
+    plain = tx.normalize_punct("text")
+    escaped = F.replace(F.replace(F.replace(plain, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    key = F.col("doc_id").cast("string")
+    head = F.when(F.col("lang") == "en", F.concat(F.lit(" num='"), key, F.lit("' title='"), "source", F.lit("'"))).otherwise(F.lit(" title=' '"))
+    value = F.concat(
+        F.lit("<part><text sn='sn5'"), head, F.lit(">"), escaped, F.lit("</text></part>\n<text name='n"), key,
+        F.lit("'>inner <b>DE2</b> tail</text>"),
+    )
     path = scratch_path(spark, "xml")
-    rows = texts(spark, sf, "documents").select(
-        F.col("doc_id").alias("_num"), F.col("source").alias("_header"), tx.normalize_punct("text").alias("_VALUE")
+    rows = texts(spark, sf, "documents").select("lang", "doc_id", value.alias("value"))
+    rows.repartition("lang").sortWithinPartitions("lang", "doc_id").drop("doc_id").write.partitionBy("lang").text(path)
+    found = tables.read_xml_texts(spark, f"{path}/*/*.txt")
+    return found.select(
+        F.regexp_extract("path", r"lang=(\w+)", 1).alias("lang"), "num", "header", "text",
+        F.array_join("sn_codes", ",").alias("sn"), F.array_join("de_codes", ",").alias("de"),
     )
-    rows.write.format("xml").option("rowTag", "text").option("rootTag", "corpus").save(path)
-    return tables.read_xml_texts(spark, path)
+
+
+@query(
+    "check_columns",
+    """SELECT 'labels' AS "table", count(*) AS n_rows, 'missing title;extra quality;extra toxic' AS differences FROM labels
+       UNION ALL SELECT 'pages', count(*), 'missing doc_id;extra page_id;extra url;extra html' FROM pages
+       UNION ALL SELECT 'documents', count(*), '' FROM documents""",
+)
+def check_columns(spark, sf):
+    """Rows of each table and how its header differs from an expected one."""
+    expected = {"labels": ["doc_id", "title"], "pages": ["doc_id"], "documents": ["doc_id", "text", "lang", "source", "n_chars"]}
+    found = []
+    for name, columns in expected.items():
+        df = table(spark, sf, name)
+        differences = ";".join(schemas.check_columns(df, columns, "warn"))
+        found.append(df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n_rows"), F.lit(differences).alias("differences")))
+    return al.union_tables(found)
 
 
 @query(

@@ -165,7 +165,26 @@ def lexical_normalized(spark, sf):
     return rows.select("doc_id", F.round(lx.ttr(v, n), 6).alias("ttr"), n.cast("double").alias("n_tokens"))
 
 
-@query("mtld")
+def _sql_factors(words: str) -> str:
+    """Factors of a list of words: the fold carries the full ones, the words seen since, and their number."""
+    zero = "{'w': '', 'full': 0::DOUBLE, 'seen': []::VARCHAR[], 'n': 0}"
+    seen = "CASE WHEN list_contains(a.seen, x.w) THEN a.seen ELSE list_append(a.seen, x.w) END"
+    return f"""list_reduce(list_prepend({zero}, list_transform({words},
+          lambda w: {{'w': w, 'full': 0::DOUBLE, 'seen': []::VARCHAR[], 'n': 0}})), lambda a, x:
+          CASE WHEN len({seen})::DOUBLE / (a.n + 1) <= 0.72 THEN {{'w': '', 'full': a.full + 1, 'seen': []::VARCHAR[], 'n': 0}}
+          ELSE {{'w': '', 'full': a.full, 'seen': {seen}, 'n': a.n + 1}} END)"""
+
+
+SQL_FACTORS = "CASE WHEN f = 0 THEN 1 ELSE f END"
+
+
+@query(
+    "mtld",
+    f"""WITH t AS (SELECT doc_id, {sql_tokens('text')} AS ws FROM documents),
+        s AS (SELECT doc_id, len(ws) AS n, unnest([{_sql_factors('ws')}, {_sql_factors('list_reverse(ws)')}]) AS a FROM t),
+        f AS (SELECT doc_id, n, a.full + CASE WHEN a.n > 0 THEN (1 - len(a.seen)::DOUBLE / a.n) / (1 - 0.72::DOUBLE) ELSE 0 END AS f FROM s)
+        SELECT doc_id, CASE WHEN any_value(n) >= 5 THEN round(sum(n / {SQL_FACTORS}) / 2, 6) END AS mtld FROM f GROUP BY 1""",
+)
 def mtld(spark, sf):
     return _documents(spark, sf).select("doc_id", F.round(lx.mtld("text"), 6).alias("mtld"))
 
@@ -182,7 +201,7 @@ def _sql_summary(names: list[str], source: str, corpus: str) -> str:
 
 
 def _rounded(summary):
-    return summary.withColumns({c: F.round(c, 5) for c in ("mean", "median", "std", "min", "max")})
+    return summary.withColumns({c: F.round(c, 5) for c in ("mean", "median", "std", "min", "max") if c in summary.columns})
 
 
 RICH = f"""m AS (SELECT d.*, v / n AS "TTR", h / n AS "HapaxRatio",
@@ -211,6 +230,17 @@ def corpus_summary_prices(spark, sf):
     return _rounded(st.corpus_summary(table(spark, sf, "lineitem"), ["l_returnflag"], ["l_extendedprice"]))
 
 
+@query(
+    "corpus_summary_null",
+    """WITH d AS (SELECT nullif(lang, 'es') AS n, n_chars::DOUBLE AS value FROM documents)
+       SELECT n, 'value' AS metric, count(*) AS n_texts, count(value) AS n_of_metric, round(avg(value), 5) AS mean, round(median(value), 5) AS median,
+         round(stddev_samp(value), 5) AS std, round(min(value), 5) AS min, round(max(value), 5) AS max FROM d GROUP BY 1""",
+)
+def corpus_summary_null(spark, sf):
+    rows = table(spark, sf, "documents").select(F.nullif("lang", F.lit("es")).alias("n"), F.col("n_chars").cast("double").alias("value"))
+    return _rounded(st.corpus_summary(rows, ["n"], ["value"]))
+
+
 @query(
     "summary_wide",
     f"""SELECT lang, count(*) AS n_texts, {', '.join(
@@ -277,7 +307,7 @@ LANGUAGES = ["en", "fr", "de", "es"]
         for c in LANGUAGES)} FROM s GROUP BY 1 HAVING count(DISTINCT lang) = 4""",
 )
 def compare_corpora(spark, sf):
-    summary = _rounded(st.corpus_summary(_rich(spark, sf), ["lang"], RICH_NAMES))
+    summary = _rounded(st.corpus_summary(_rich(spark, sf), ["lang"], RICH_NAMES, median=False))
     return st.compare_corpora(summary, LANGUAGES, corpus="lang", baseline="en")
 
 
@@ -289,7 +319,7 @@ def compare_corpora(spark, sf):
 )
 def compare_corpora_labels(spark, sf):
     metrics = materialise(st.length_metrics(_documents(spark, sf), "text", ["lang"]), "metrics")
-    summary = _rounded(st.corpus_summary(metrics, ["lang"], DIRECT))
+    summary = _rounded(st.corpus_summary(metrics, ["lang"], DIRECT, median=False))
     return st.compare_corpora(summary, LANGUAGES, corpus="lang", baseline="en", source="direct", labels=True)
 
 
@@ -582,6 +612,22 @@ def check_keys(spark, sf):
     return al.check_keys(tables, "k")
 
 
+@query(
+    "same_key_lists",
+    """WITH a AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id AS k FROM documents),
+         b AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id AS k FROM labels),
+         c AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id AS k FROM documents WHERE n_chars >= 0)
+       SELECT 'documents' AS "table", (SELECT count(*) FROM a) AS n_rows, true AS same_list
+       UNION ALL SELECT 'labels', (SELECT count(*) FROM b), (SELECT bool_and(a.k IS NOT DISTINCT FROM b.k) FROM a FULL JOIN b USING (i))
+       UNION ALL SELECT 'copy', (SELECT count(*) FROM c), (SELECT bool_and(a.k IS NOT DISTINCT FROM c.k) FROM a FULL JOIN c USING (i))""",
+)
+def same_key_lists(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    parts = {"documents": docs, "labels": labels, "copy": docs.where("n_chars >= 0")}
+    numbered = {name: al.renumber(df.select("doc_id"), ["doc_id"], "i") for name, df in parts.items()}
+    return al.same_key_lists(numbered, "doc_id", "i")
+
+
 @query(
     "duplicate_keys",
     """SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY ALL HAVING count(*) > 1""",

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.text import SPACES, let, strip
-from corpusloom.operators.parsing import corpus_rows
+from corpusloom.operators.alignment import renumber
+from corpusloom.operators.parsing import (
+    JSON_FACETS, XML_FACETS, corpus_rows, json_lines, json_record, placed_texts, xml_nodes, xml_record,
+)
 from corpusloom.schemas import check_names
+from corpusloom.session import materialise
 
 
 def read_table(
@@ -79,24 +83,57 @@ def read_text_corpus(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return files.select("path", F.inline(corpus_rows("content", name)))
 
 
-def read_json_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(header, text, num) of JSON lines files of any size; a line is a record."""
-    schema = "text string, header string, title string, topic string, advice string, name string, num string"
-    rows = spark.read.schema(schema).json(path)
-    header = F.coalesce(*[F.nullif(strip(k), F.lit("")) for k in ("header", "title", "topic", "advice", "name")])
-    return rows.select(
-        F.col("num").try_cast("long").alias("num"), header.alias("header"), strip("text").alias("text")
-    ).where("text <> ''")
-
-
-def read_xml_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(num, header, text, sn, de) of large XML files; they are split at the `<text>` rows."""
-    schema = "_header string, _title string, _num string, _id string, _sn string, _de string, _VALUE string"
-    rows = spark.read.format("xml").option("rowTag", "text").schema(schema).load(path)
-    return rows.select(
-        F.coalesce("_num", "_id").try_cast("long").alias("num"), F.coalesce("_header", "_title").alias("header"),
-        strip("_VALUE").alias("text"), F.col("_sn").alias("sn"), F.col("_de").alias("de"),
-    ).where("text <> ''")
+def _text_lines(spark: SparkSession, path: str | list[str], line_end: str | None = None) -> DataFrame:
+    """(path, block, row, line) of text files that are split for reading; (block, row) is the order within a file."""
+    reader = spark.read.option("lineSep", line_end) if line_end else spark.read
+    lines = reader.text(path).where("value is not null")
+    return lines.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"),
+    )
+
+
+def _positions(records: DataFrame) -> DataFrame:
+    """The records with `position`, from 1 in each file; only their keys are sorted."""
+    places = renumber(records.select("path", "block", "row"), ["path", "block", "row"], "position")
+    first = places.groupBy("path").agg(F.min("position").alias("first"))
+    numbered = places.join(first, "path").select("row", (F.col("position") - F.col("first") + 1).alias("position"))
+    return records.join(numbered, "row")
+
+
+def _json_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return json_lines(_text_lines(spark, path), "line")
+
+
+def read_json_lines(spark: SparkSession, path: str | list[str], facets: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(path, num, header, text, codes…) of JSON lines files of any size; a line is a record, a comma may follow it.
+
+    Fields are spelled and completed as in `parse_json_texts`: a record's position among the objects of its file stands
+    in for number and header. Lines that hold no object are rows of `read_json_lines_rejects`. Writes the records.
+    """
+    records = materialise(_json_lines(spark, path).where("record is not null").drop("line"), "records")
+    row = json_record(F.col("record"), F.col("position"), facets)
+    return placed_texts(_positions(records), row, facets or JSON_FACETS, ["path"])
+
+
+def read_json_lines_rejects(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, line) of the lines that are not blank and hold no JSON object."""
+    return _json_lines(spark, path).where("record is null").select("path", "line")
+
+
+def read_xml_texts(spark: SparkSession, path: str | list[str], facets: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(path, num, header, text, codes…) of large XML files, which are split behind their `</text>` tags.
+
+    Each `<text>` element is read as `parse_xml_texts` reads it, inner elements included; its position among the readable
+    elements of its file stands in for number and header. An element within another one is read alone. Writes the
+    elements.
+    """
+    lines = _text_lines(spark, path, "</text>")
+    element = F.regexp_extract("line", r"(?s)\A.*(<text(?=[\s>]).*)", 1)
+    whole = lines.withColumn("line", F.when(element != "", F.concat(element, F.lit("</text>")))).where("line is not null")
+    nodes = whole.withColumn("node", F.get(xml_nodes("line"), F.lit(0))).where("node is not null").drop("line")
+    row = xml_record(F.col("node"), F.col("position"), facets)
+    return placed_texts(_positions(materialise(nodes, "elements")), row, facets or XML_FACETS, ["path"])
 
 
 def read_json_document(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
