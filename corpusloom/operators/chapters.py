@@ -202,12 +202,12 @@ def _section_lines(heading: Column, body: Column) -> Column:
     )
 
 
-def book_lines(
+def book_sections(
     corpus: DataFrame, members: DataFrame | None, descriptions: DataFrame | None = None, *,
     heads: DataFrame | None = None, show_codes: bool = True, chapter_numbers: bool = True, entry_numbers: bool = True,
     orphans_chapter: bool = True,
 ) -> DataFrame:
-    """The book as lines in order of (chapter_pos, num_pos, line_no).
+    """The book as (chapter_pos, num_pos, lines): a row per chapter head, at num_pos -1, and per text.
 
     `corpus`: num, topic, advice, code columns code_sn and code_de, body. Without members the texts follow flat.
     `heads` (chapter_pos, title) adds the chapters that kept no text.
@@ -217,10 +217,8 @@ def book_lines(
     heading = F.concat(F.col("num").cast("string"), F.lit(". "), title) if entry_numbers else title
     # A blank body gives no lines; a filter would be pushed down and clean every body twice.
     section = let(clean_body("body"), lambda b: F.when(b != "", _section_lines(heading, b)))
-    texts = corpus.select("num", section.alias("lines"))
     if members is None:
-        placed = texts.select(F.lit(0).cast("long").alias("chapter_pos"), F.col("num").alias("num_pos"), "lines")
-        return _numbered_lines(placed)
+        return corpus.select(F.lit(0).cast("long").alias("chapter_pos"), F.col("num").alias("num_pos"), section.alias("lines"))
     columns = ["chapter_pos", "title", "num", "num_pos"]
     members = materialise(members.select(*columns), "members")
     if orphans_chapter:
@@ -236,9 +234,13 @@ def book_lines(
         "chapter_pos", F.lit(-1).cast("long").alias("num_pos"),
         _chapter_lines(F.col("title"), F.col("description"), chapter_numbers).alias("lines"),
     )
-    body_rows = members.join(texts, "num").select("chapter_pos", F.col("num_pos").cast("long").alias("num_pos"), "lines")
-    return _numbered_lines(head_rows.unionByName(body_rows))
+    # Raw texts are joined; their lines are made behind the join.
+    places = members.select("chapter_pos", "num", F.col("num_pos").cast("long").alias("num_pos"))
+    body_rows = places.join(corpus, "num").select("chapter_pos", "num_pos", section.alias("lines"))
+    return head_rows.unionByName(body_rows)
 
 
-def _numbered_lines(placed: DataFrame) -> DataFrame:
-    return placed.select("chapter_pos", "num_pos", F.posexplode("lines").alias("line_no", "line"))
+def book_lines(corpus: DataFrame, members: DataFrame | None, descriptions: DataFrame | None = None, **options) -> DataFrame:
+    """The book as lines in order of (chapter_pos, num_pos, line_no); see `book_sections`."""
+    sections = book_sections(corpus, members, descriptions, **options)
+    return sections.select("chapter_pos", "num_pos", F.posexplode("lines").alias("line_no", "line"))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from corpusloom.functions.requests import budget_flag, estimate_tokens
 from corpusloom.functions.text import blank_to_null, is_blank, strip
-from corpusloom.operators.alignment import best_attempt, missing_rows, renumber
+from corpusloom.operators.alignment import best_attempt, missing_rows, renumber, union_tables
 from corpusloom.operators.parsing import parse_rewrites
 from corpusloom.session import materialise
 
@@ -266,6 +266,42 @@ def redo_invalid(flagged: DataFrame, columns: list[str], keys: list[str], stage:
     return flagged.groupBy(*keys).agg(*counts).where(total > 0).withColumn("stage", F.lit(stage))
 
 
+def redo_batches(
+    prompts: DataFrame,
+    make_model: Callable[[], Model],
+    keys: list[str],
+    rejected: Callable[[DataFrame], DataFrame],
+    *,
+    store: str,
+    tasks: int,
+    stage: str,
+    rounds: int = 3,
+    retry_preamble: str = "",
+    **options,
+) -> tuple[DataFrame, DataFrame]:
+    """(accepted, failures): answers that pass, and the batches left without one after all rounds.
+
+    accepted has (keys, round, raw), failures (keys, stage, reason). Each round asks for the batches that are still open
+    and keeps the answers that `rejected` does not return: it takes (keys, raw) and gives (keys, reason), from
+    `row_count_guard` or `redo_invalid` for instance. From the second round on `retry_preamble` leads the prompt. The
+    answers of a round are a table below `store`, which a repeated run does not ask for again. Runs the model, and jobs.
+    """
+    open_, accepted = prompts.select(*keys, "prompt"), []
+    for round_no in range(1, rounds + 1):
+        lead = F.lit(retry_preamble if round_no > 1 else "")
+        asked = open_.withColumn("prompt", F.concat_ws("\n\n", F.nullif(lead, F.lit("")), F.col("prompt")))
+        answers = generate_into(f"{store}/round={round_no}", asked, make_model, keys, tasks=tasks, **options)
+        given = answers.where("raw is not null").select(*keys, "raw").join(open_.select(*keys), keys, "left_semi")
+        bad = materialise(rejected(given).select(*keys, F.col("reason").cast("string").alias("reason")), "rejected")
+        good = materialise(given.join(bad, keys, "left_anti"), "accepted")
+        accepted.append(good.select(*keys, F.lit(round_no).alias("round"), "raw"))
+        silent = open_.join(given.select(*keys), keys, "left_anti").select(*keys, F.lit("no answer").alias("reason"))
+        failures = bad.unionByName(silent)
+        open_ = materialise(prompts.select(*keys, "prompt").join(failures.select(*keys), keys, "left_semi"), "open")
+    failed = failures.groupBy(*keys).agg(F.max("reason").alias("reason")).withColumn("stage", F.lit(stage))
+    return union_tables(accepted), failed.select(*keys, "stage", "reason")
+
+
 def choose_model(requests: DataFrame, roles: DataFrame, default: str) -> DataFrame:
     """Requests with the model of their role, the default for an unlisted role."""
     listed = roles.select("role", F.col("model").alias("__model"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpusloom.operators import chapters as ch
 from corpusloom.operators import parsing as ps
@@ -19,5 +20,6 @@ def write_book(
     partitions: int | None = None, **options,
 ) -> None:
     """The book's lines as text files whose name order is the book's order."""
-    lines = ch.book_lines(corpus, members, descriptions, **options)
-    sinks.write_ordered_text(lines, path, ["chapter_pos", "num_pos", "line_no"], partitions)
+    sections = ch.book_sections(corpus, members, descriptions, **options).where("lines is not null")
+    rows = sections.select("chapter_pos", "num_pos", F.array_join("lines", "\n").alias("line"))
+    sinks.write_ordered_text(rows, path, ["chapter_pos", "num_pos"], partitions)

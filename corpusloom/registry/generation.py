@@ -9,6 +9,7 @@ from corpusloom.functions import text as tx
 from corpusloom.operators import alignment as al
 from corpusloom.operators import chapters as ch
 from corpusloom.operators import generation as gn
+from corpusloom.plans import themes
 from corpusloom.registry.core import query, sql_strip, sql_tokens, table, texts
 from corpusloom.session import scratch_path
 
@@ -206,9 +207,108 @@ def choose_model(spark, sf):
         SELECT doc_id, theme, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, theme) AS rn FROM h) WHERE rn = 1""",
 )
 def classify_batches(spark, sf):
-    themes = table(spark, sf, "benchmark").select(
+    words = table(spark, sf, "benchmark").select(
         F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("theme"), F.explode(lx.tokens(F.lower("text"))).alias("keyword")
     )
-    return ch.keyword_themes(texts(spark, sf, "documents"), lx.tokens(F.lower("text")), ["doc_id"], themes)
+    return ch.keyword_themes(texts(spark, sf, "documents"), lx.tokens(F.lower("text")), ["doc_id"], words)
 
 
+
+
+def make_lister():
+    """Answers with the input lines below the head; leaves out those of src7 unless asked again, and always those of src3."""
+
+    def answer(prompt):
+        lines = [line for line in prompt.split("\n") if ";" in line]
+        return "\n".join(x for x in lines if not x.endswith(";src3") and ("RETRY" in prompt or not x.endswith(";src7")))
+
+    return lambda prompts: [answer(p) for p in prompts]
+
+
+def _redone(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    planned = gn.plan_batches(docs.join(al.renumber(docs.select("doc_id"), ["doc_id"]), "doc_id"), 5)
+    prompts = gn.build_prompts(planned, F.concat_ws(";", "doc_id", "source"))
+    expected = prompts.select("batch_id", F.col("n_rows").alias("n_expected"))
+
+    def too_few(given):
+        rows = given.select("batch_id", F.explode(F.filter(F.split("raw", "\n"), lambda x: x != "")))
+        asked = expected.join(given.select("batch_id"), "batch_id", "left_semi")
+        reason = F.concat(F.col("n_rows"), F.lit(" of "), F.col("n_expected"))
+        return gn.row_count_guard(rows, asked, ["batch_id"]).withColumn("reason", reason)
+
+    return gn.redo_batches(
+        prompts, make_lister, ["batch_id"], too_few, store=scratch_path(spark, "redone"), tasks=TASKS, stage="Context",
+        rounds=2, retry_preamble="RETRY", backoff=0.0,
+    )
+
+
+SQL_REDONE = f"""WITH {NUMBERED}, r AS (SELECT batch_id, count(*) AS n, count(*) FILTER (source <> 'src3') AS kept,
+         bool_or(source = 'src7') AS again, string_agg(doc_id || ';' || source, chr(10) ORDER BY num) AS raw FROM b GROUP BY 1)"""
+
+
+@query("redo_batches", f"{SQL_REDONE} SELECT batch_id, CASE WHEN again THEN 2 ELSE 1 END AS round, raw FROM r WHERE kept = n")
+def redo_batches(spark, sf):
+    return _redone(spark, sf)[0]
+
+
+@query("failed_batches", f"{SQL_REDONE} SELECT batch_id, 'Context' AS stage, kept || ' of ' || n AS reason FROM r WHERE kept < n")
+def failed_batches(spark, sf):
+    return _redone(spark, sf)[1]
+
+
+def make_classifier():
+    """Gives each text the theme of its first word if that is listed; proposes one for words that end with an odd digit;
+    names the others by a theme nobody knows, and when asked again the first one listed. Also answers for others."""
+
+    def answer(prompt):
+        import json
+
+        lead, *inputs = prompt.split("[INPUT_TEXT ")
+        listed = [line[2:].split(": ")[0] for line in lead.split("\n") if line.startswith("- ")]
+        found, new = [{"id": "0", "theme": "src1"}, {"id": "1", "theme": "src1"}], []
+        mine = {int(x.split("Num=")[1].split("]")[0]) for x in inputs}
+        found = [x for x in found if int(x["id"]) not in mine]
+        for one in inputs:
+            num, word = one.split("Num=")[1].split("]")[0], one.split("]\n", 1)[1].split()[0]
+            if word in listed:
+                theme = word
+            elif word[-1] in "13579":
+                theme = word
+                new.append({"name": word, "description": "new"})
+            else:
+                theme = listed[0] if "RETRY" in lead else "nowhere"
+            found.append({"id": num, "theme": theme})
+        return "Sure: " + json.dumps({"assignments": found, "new_themes": new})
+
+    return lambda prompts: [answer(p) for p in prompts]
+
+
+def _classified(spark, sf):
+    corpus = texts(spark, sf, "documents").select(F.col("doc_id").alias("num"), F.concat_ws(" ", "source", "text").alias("text"))
+    catalogue = table(spark, sf, "region").select(
+        F.concat(F.lit("src"), F.col("r_regionkey").cast("string")).alias("name"), F.col("r_name").alias("description")
+    )
+    return themes.classify_model(
+        corpus, catalogue, make_classifier, store=scratch_path(spark, "themes"), tasks=TASKS, preamble="Sort.",
+        retry_preamble="RETRY", backoff=0.0,
+    )
+
+
+@query(
+    "classify_model",
+    """SELECT doc_id AS num, CASE WHEN 'src' || r_regionkey = source OR right(source, 1) IN ('1', '3', '5', '7', '9') THEN source ELSE 'src0' END AS theme
+       FROM documents LEFT JOIN region ON 'src' || r_regionkey = source""",
+)
+def classify_model(spark, sf):
+    return _classified(spark, sf)[0]
+
+
+@query(
+    "classify_model_catalogue",
+    """SELECT 'src' || r_regionkey AS name, r_name AS description, false AS is_new FROM region
+       UNION ALL SELECT DISTINCT source, 'new', true FROM documents ANTI JOIN region ON 'src' || r_regionkey = source
+         WHERE right(source, 1) IN ('1', '3', '5', '7', '9')""",
+)
+def classify_model_catalogue(spark, sf):
+    return _classified(spark, sf)[1]

@@ -8,6 +8,8 @@ from corpusloom.operators import alignment as al
 from corpusloom.operators import facets as fc
 from corpusloom.operators import generation as gn
 from corpusloom.registry.core import query, table, texts
+from corpusloom.session import scratch_path
+from corpusloom.sources import tables
 
 
 @query("renumber", "SELECT doc_id, lang, row_number() OVER (ORDER BY lang, doc_id) AS num FROM documents")
@@ -64,9 +66,12 @@ def order_batches(spark, sf):
     return al.renumber(named, ["key", "p_partkey"], "place").drop("key")
 
 
-@query("sort_by_key", "SELECT doc_id, lang, source FROM documents")
+@query("sort_by_key", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, doc_id || ';' || lang || ';' || source AS line FROM documents")
 def sort_by_key(spark, sf):
-    return texts(spark, sf, "documents").select("doc_id", "lang", "source").orderBy("doc_id")
+    rows = texts(spark, sf, "documents").select("doc_id", "lang", "source").orderBy("doc_id")
+    path = scratch_path(spark, "sorted")
+    rows.select(F.concat_ws(";", "doc_id", "lang", "source")).write.text(path)
+    return tables.read_ordered_text(spark, path).select("line_no", "line")
 
 
 @query(

@@ -12,6 +12,7 @@ from corpusloom.plans import book, corpus, variants
 from corpusloom.registry.core import query, sql_blank, sql_sentences, sql_tokens, table, texts
 from corpusloom.registry.sources import BOOK, _book_corpus
 from corpusloom.session import scratch_path
+from corpusloom.sources import tables
 
 
 def _raw(rows, key, *fields):
@@ -79,15 +80,16 @@ def compare_variants(spark, sf):
 
 @query(
     "write_book",
-    f"""WITH {BOOK}, hd AS (SELECT DISTINCT source FROM documents),
-        a AS (SELECT unnest(ls) AS line FROM lines
-              UNION ALL SELECT unnest(['\\chapter{{' || source || '}}', '']) FROM hd),
-        s AS (SELECT unnest(string_split(line, chr(10))) AS line FROM a)
-        SELECT line, count(*) AS n FROM s GROUP BY 1""",
+    f"""WITH {BOOK}, p AS (SELECT doc_id AS num, dense_rank() OVER (ORDER BY source) AS pos, source AS title FROM documents),
+        a AS (SELECT pos, num, range(len(ls)) AS i, ls FROM lines JOIN p USING (num)
+              UNION ALL SELECT DISTINCT pos, -1, [0, 1], ['\\chapter{{' || title || '}}', ''] FROM p),
+        u AS (SELECT pos, num, unnest(i) AS i, unnest(ls) AS line FROM a),
+        s AS (SELECT pos, num, i, unnest(range(len(string_split(line, chr(10))))) AS j, unnest(string_split(line, chr(10))) AS line FROM u)
+        SELECT row_number() OVER (ORDER BY pos, num, i, j) - 1 AS line_no, line FROM s""",
 )
 def write_book(spark, sf):
     rows = texts(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("theme"))
     members = ch.chapters_from_themes(ch.theme_members(rows))
     path = scratch_path(spark, "book")
     book.write_book(_book_corpus(spark, sf), members, path)
-    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    return tables.read_ordered_text(spark, path).select("line_no", "line")

@@ -248,12 +248,13 @@ def merged_lines(spark, sf):
 
 @query(
     "merge_texts",
-    f"WITH {SQL_MERGED}, r AS (SELECT unnest(ls) AS line FROM l) SELECT line, count(*) AS n FROM r GROUP BY 1",
+    f"""WITH {SQL_MERGED}, r AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM l)
+        SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS line_no, line FROM r""",
 )
 def merge_texts(spark, sf):
     path = scratch_path(spark, "merged")
     sinks.merge_texts(_headed(spark, sf), path, ["doc_id"], "simple")
-    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    return tables.read_ordered_text(spark, path).select("line_no", "line")
 
 
 @query(
@@ -289,17 +290,20 @@ def export_selection(spark, sf):
 
 @query(
     "export_selection_files",
-    """WITH s AS (SELECT role, '\\subsubsection{' || conv_id || '/' || turn || '}' || chr(10) || text || chr(10) AS t
+    """WITH s AS (SELECT role, conv_id, turn, '\\subsubsection{' || conv_id || '/' || turn || '}' || chr(10) || text || chr(10) AS t
          FROM conversations c WHERE role <> 'system' AND EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = c.conv_id
-         AND a.turn // 2 = c.turn // 2 AND a.role = 'assistant')), r AS (SELECT role AS slot, unnest(string_split(t, chr(10))) AS line FROM s)
-       SELECT slot, line, count(*) AS n FROM r GROUP BY ALL""",
+         AND a.turn // 2 = c.turn // 2 AND a.role = 'assistant')), r AS (SELECT role AS slot, conv_id, turn, unnest(range(len(string_split(t, chr(10))))) AS i, unnest(string_split(t, chr(10))) AS line FROM s)
+       SELECT slot, row_number() OVER (PARTITION BY slot ORDER BY conv_id, turn, i) - 1 AS line_no, line FROM r""",
 )
 def export_selection_files(spark, sf):
     path = scratch_path(spark, "selection")
     slots = _slots(spark, sf)
     sinks.export_selection(slots, slots.where("slot = 'assistant'"), path, ["conv_id", "exchange"])
-    lines = spark.read.text(f"{path}/texts")
-    return lines.groupBy("slot", F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    lines = tables.read_ordered_text(spark, f"{path}/texts").select(
+        "line_no", "line", F.regexp_extract("path", r"slot=(\w+)", 1).alias("slot")
+    )
+    first = lines.groupBy("slot").agg(F.min("line_no").alias("first"))
+    return lines.join(first, "slot").select("slot", (F.col("line_no") - F.col("first")).alias("line_no"), "line")
 
 
 @query(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import filter_headers, strip
 from corpusloom.operators.facets import selected_texts
+from corpusloom.session import materialise
 
 
 def write_table(
@@ -43,17 +44,37 @@ def merged_lines(df: DataFrame, order: list[str], header_style: str = "full") ->
     return df.select(*order, F.posexplode(lines).alias("line_no", "line"))
 
 
-def write_ordered_text(lines: DataFrame, path: str, order: list[Column | str], partitions: int | None = None) -> None:
-    """Write the column `line` in global order: the part files in name order are the document."""
-    placed = lines.repartitionByRange(partitions, *order) if partitions else lines.repartitionByRange(*order)
-    placed.sortWithinPartitions(*order).select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+def _in_ranges(df: DataFrame, order: list[str], partitions: int | None) -> DataFrame:
+    """The rows in global order: partitions are ranges of the order columns, sorted within.
+
+    The ranges are cut on the keys alone, which are written for it; the other columns are evaluated and shuffled once.
+    A row finds its range among one key per range.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = materialise(df.select(F.struct(*order).alias("key")), "keys")
+    first = keys.repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("range")).agg(F.min("key").alias("key"))
+    bounds = materialise(first, "bounds").agg(F.sort_array(F.collect_list("key")).alias("__bounds"))
+    # One row, as long as there are ranges.
+    both = df.withColumn("__one", F.lit(1)).join(F.broadcast(bounds.withColumn("__one", F.lit(1))), "__one")
+    key = F.struct(*order)
+    at = F.greatest(F.size(F.filter("__bounds", lambda b: b <= key)) - 1, F.lit(0))
+    placed = both.withColumn("__range", at).drop("__one", "__bounds")
+    return placed.repartitionById(n, F.col("__range")).sortWithinPartitions(*order).drop("__range")
+
+
+def write_ordered_text(texts: DataFrame, path: str, order: list[str], partitions: int | None = None) -> None:
+    """Write the column `line`, which may hold several lines, in global order: the part files in name order are the
+    document."""
+    _in_ranges(texts, order, partitions).select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 
 
 def merge_texts(
     df: DataFrame, path: str, order: list[str], header_style: str = "full", partitions: int | None = None
 ) -> None:
-    """Batch texts in numeric order as one ordered document."""
-    write_ordered_text(merged_lines(df, order, header_style), path, [*order, "line_no"], partitions)
+    """Batch texts in numeric order as one ordered document; a text is one row until it is written."""
+    text = F.concat(strip(filter_headers("text", header_style)), F.lit("\n"))
+    write_ordered_text(df.select(*order, text.alias("line")), path, order, partitions)
 
 
 def write_json_doc(df: DataFrame, path: str, columns: list[str]) -> None:
@@ -77,7 +98,6 @@ def export_selection(
     headers = chosen.groupBy(*key).agg(first).select(*key, F.col("h.header").alias("line"))
     write_ordered_text(headers, f"{path}/headers", key, partitions)
     order = ["slot", *key]
-    placed = chosen.repartitionByRange(partitions, *order) if partitions else chosen.repartitionByRange(*order)
-    placed.sortWithinPartitions(*order).select(
+    _in_ranges(chosen, order, partitions).select(
         "slot", F.concat("content", F.lit("\n")).alias("value")
     ).write.mode("overwrite").partitionBy("slot").text(f"{path}/texts")

@@ -101,6 +101,13 @@ def _positions(records: DataFrame) -> DataFrame:
     return records.join(numbered, "row")
 
 
+def read_ordered_text(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, path, line): the lines of an ordered document, numbered from 0 through its part files in name order."""
+    lines = materialise(_text_lines(spark, path), "lines")
+    places = renumber(lines.select("path", "block", "row"), ["path", "block", "row"], "line_no", start=0)
+    return lines.join(places.select("row", "line_no"), "row").select("line_no", "path", "line")
+
+
 def _json_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return json_lines(_text_lines(spark, path), "line")
 
