@@ -18,8 +18,10 @@ def load_slots(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     slots = {}
     for name, path in paths.items():
         rows = tables.read_text_corpus(spark, path)
-        numbered = rows.select("*", F.monotonically_increasing_id().alias("__row"))
-        slots[name] = al.renumber(materialise(numbered, name), ["path", "__row"], "ordinal").drop("__row")
+        # Parsed and written once; only the keys are sorted.
+        parsed = materialise(rows.select("*", F.monotonically_increasing_id().alias("__row")), name)
+        places = al.renumber(parsed.select("path", "__row"), ["path", "__row"], "ordinal").select("__row", "ordinal")
+        slots[name] = parsed.join(places, "__row").drop("__row")
     aligned = al.align_slots(slots)
     uneven = al.slot_sizes(aligned).where("not aligned")
     if not uneven.isEmpty():

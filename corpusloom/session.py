@@ -44,9 +44,27 @@ def _shared_root(spark: SparkSession) -> str:
     return _own_folder.name
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for a run: from here on the session's intermediate tables go below it, so that a caller can
+    drop all of them at once, by `drop_folder`, when the results have been written elsewhere."""
+    path = scratch_path(spark, name)
+    spark.conf.set("corpusloom.run.folder", path)
+    return path
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables, on whichever file system it is."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    if spark.conf.get("corpusloom.run.folder", None) == path:
+        spark.conf.unset("corpusloom.run.folder")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{_shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the run's folder, or below the shared one."""
+    root = spark.conf.get("corpusloom.run.folder", None) or _shared_root(spark)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:

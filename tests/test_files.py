@@ -1,8 +1,10 @@
 """Sources and sinks: file order, partitions, runs; chapters and the book; the reader; streams; plans."""
 
 import glob
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from corpusloom import schemas
@@ -14,6 +16,8 @@ from corpusloom.plans import book, reader
 from corpusloom.sources import sinks, tables
 from corpusloom.streaming.appends import append_stream
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def document(path):
     """The part files in name order, as one text."""
@@ -126,6 +130,70 @@ def test_row_wise_work_runs_on_a_stream(spark, tmp_path):
     assert got.count() == 3 and got.exceptAll(batch).isEmpty()
 
 
+def test_a_text_is_evaluated_once_for_an_ordered_document(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        calls.add(1)
+        return text
+
+    rows = spark.range(500).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("raw")).repartition(5)
+    marked = rows.select("id", F.udf(seen, "string")("raw").alias("text"))
+    sinks.merge_texts(marked, f"{tmp_path}/doc", ["id"], partitions=4)
+    assert calls.value == 500
+    lines = [r["line"] for r in tables.read_ordered_text(spark, f"{tmp_path}/doc").orderBy("line_no").collect()]
+    assert lines == [x for i in range(500) for x in (f"text {i}", "")]
+
+
+def test_run_folder(spark):
+    import os
+
+    from corpusloom.session import drop_folder, materialise, run_folder
+
+    path = run_folder(spark, "run")
+    materialise(spark.range(3))
+    assert os.listdir(path)
+    drop_folder(spark, path)
+    assert not os.path.exists(path) and materialise(spark.range(3)).count() == 3
+
+
+def test_streams(spark, tmp_path):
+    """A parser row by row, a fill per micro-batch, and a distribution over all that has come."""
+    from corpusloom.operators import generation as gn
+    from corpusloom.operators import parsing as ps
+
+    for i in range(3):
+        raw = f"[REWRITE 1 | Num={i}]\ntext {i}\n"
+        spark.createDataFrame([(i, raw, f"SN{i % 2}")], "id long, raw string, code string").write.mode("append").parquet(f"{tmp_path}/in")
+    read = lambda: spark.readStream.schema("id long, raw string, code string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    append_stream(ps.parse_rewrites(read(), "raw", ["id"]), f"{tmp_path}/out", f"{tmp_path}/c1").awaitTermination()
+    assert {(r["num"], r["text"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {(i, f"text {i}") for i in range(3)}
+
+    def fill(batch, epoch):
+        corpus = batch.select(F.col("id").alias("num"), F.col("raw").alias("text"))
+        none = batch.sparkSession.createDataFrame([], "variant string, num long, generated_text string")
+        done = gn.fill_missing(corpus, none, [gn.VariantSpec("A", "A")], upper, store=f"{tmp_path}/store", tasks=2, backoff=0.0)
+        done.write.mode("append").parquet(f"{tmp_path}/filled")
+
+    query = read().writeStream.foreachBatch(fill).option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
+    query.awaitTermination()
+    filled = spark.read.parquet(f"{tmp_path}/filled").collect()
+    assert sorted((r["num"], r["generated_text"]) for r in filled) == [(i, "DONE") for i in range(3)]
+
+    counts = st.code_counts(read(), "code")
+    query = counts.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).option(
+        "checkpointLocation", f"{tmp_path}/c3"
+    ).start()
+    query.awaitTermination()
+    assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, st.code_counts(spark.read.parquet(f"{tmp_path}/in"), "code").collect()))
+
+
+def upper():
+    import re
+
+    return lambda prompts: ["\n".join(f"[REWRITE 1 | Num={n}]\nDONE" for n in re.findall(r"INPUT_TEXT \d+ \| Num=(\d+)", p)) for p in prompts]
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -140,8 +208,9 @@ def test_plans(spark):
     pushed = plan_of(docs.where("lang = 'en'").select(F.length("text")))
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in pushed
     summary = st.corpus_summary(docs.select("lang", F.col("n_chars").alias("m")), ["lang"], ["m"])
-    # The texts are never shuffled by corpus: only partial aggregates and bracketed values are.
-    assert "SortMergeJoin" not in plan_of(summary).split("Window")[1]
+    # No window runs over a corpus: values are ranked within ranges, and the sums of the ranges have the other window.
+    windows = plan_of(summary).split("Window [")[1:]
+    assert windows and all("windowspecdefinition(__range" in w.split("specifiedwindowframe")[0] for w in windows)
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     codes = orders.select(F.col("o_orderstatus").alias("code"))
     checked = plan_of(al.validate_codes(orders, {"o_orderstatus": (codes, "F")}))
@@ -155,16 +224,11 @@ def test_plans(spark):
 
 
 def test_from_raw_answers_to_narratives(spark, tmp_path):
-    import sys
-
-    from pyspark import cloudpickle
-
     from corpusloom.operators import generation as gn
     from corpusloom.operators import parsing as ps
     from corpusloom.plans import corpus
     from corpusloom.session import scratch_path
 
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     codes = spark.createDataFrame([("SN1",), ("SN2",)], "code string")
 
     def raw(*texts):
@@ -185,7 +249,7 @@ def test_from_raw_answers_to_narratives(spark, tmp_path):
         return answer
 
     block = gn.line_block({"Advice": "Advice", "SN": "Code_SN"}, "Num")
-    texts = corpus.narrate(found, block, "HEAD", model, scratch_path(spark, "n"), key="Num", batch_size=2, backoff=0.0)
+    texts = corpus.narrate(found, block, "HEAD", model, scratch_path(spark, "n"), key="Num", batch_size=2, tasks=2, backoff=0.0)
     assert sorted(r["text"] for r in texts.collect()) == ["SN: SN1", "[GENERATION_FAILED for line 3]"]
 
     (tmp_path / "a.json").write_text('{"assignments": [{"id": 1, "theme": "T"}, {"id": 2, "theme": "T"}], "new_themes": []}')
