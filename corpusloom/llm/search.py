@@ -24,19 +24,19 @@ LISTS = "dim int, block long, part long, queries binary, ids binary, scores bina
 
 
 def integer_vector(vector: Column) -> Column:
-    """floor(64 * x) of each component; null for a null vector, one of no components, and one with a component that is
-    null, not finite, or beyond the whole numbers a double holds exactly."""
+    """floor(64 * x) of each component, at most 64 bits; null for a null vector, one of no components, and one with a
+    component that is null or not finite."""
     cells = F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(64.0)))
-    fine = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(2.0**46), F.lit(False)))
+    fine = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False)))
     return F.when((F.size(vector) > 0) & fine, cells)
 
 
 def _packed(vectors: DataFrame, parts: int) -> DataFrame:
     """One row per (dim, no): ids in rising order and their components, about rows / parts of them."""
 
-    def pack(keys, group: pd.DataFrame) -> pd.DataFrame:
+    def pack(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable")
-        cells = np.array(group["cells"].tolist(), dtype=np.int64)
+        cells = np.maximum(np.array(group["cells"].tolist(), dtype=np.int64), NONE + 1)
         return pd.DataFrame(
             {"dim": [keys[0]], "no": [keys[1]], "ids": [group["id"].to_numpy(np.int64).tobytes()],
              "cells": [cells.tobytes()], "largest": [int(np.abs(cells).max())]}
@@ -71,12 +71,13 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 
 def _product(queries: np.ndarray, rows: np.ndarray, bound: int) -> np.ndarray:
-    """Exact inner products: doubles hold them up to 2**53, 64-bit whole numbers beyond."""
+    """Exact inner products: doubles hold them up to 2**53, 64-bit whole numbers and Python's beyond; those over 64 bits
+    become the largest or smallest number."""
     if bound < 1 << 53:
         return (queries.astype(np.float64) @ rows.T.astype(np.float64)).astype(np.int64)
-    if bound >= 1 << 62:
-        raise OverflowError("inner products beyond 64 bits")
-    return queries @ rows.T
+    if bound < 1 << 62:
+        return queries @ rows.T
+    return np.clip(queries.astype(object) @ rows.T.astype(object), NONE + 1, -(NONE + 1)).astype(np.int64)
 
 
 def top_k(df: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector: str = "embedding", tile: int = TILE, block: int = BLOCK) -> DataFrame:
@@ -86,7 +87,7 @@ def top_k(df: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector:
     Components are floor(64 * x). Rows without a key or with an unusable vector (`integer_vector`) take no part, and
     vectors are compared with those of their own length only. A key on several rows is several rows, each of them a
     candidate of other keys; a repeated query key gives its list once per row. An empty table gives an empty result. A
-    score beyond 64 bits is an error. Counting rows and queries, for the number of tiles and blocks, runs a job.
+    score beyond 64 bits counts as the largest or smallest number. Counting rows and queries, for the number of tiles and blocks, runs a job.
     """
     vectors = df.select(
         F.col(key).cast("long").alias("id"), integer_vector(F.col(vector)).alias("cells"), is_query.alias("is_query")
@@ -120,7 +121,7 @@ def top_k(df: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector:
                      "ids": [best_ids.tobytes()], "scores": [best.tobytes()]}
                 )
 
-    def merge(keys, group: pd.DataFrame) -> pd.DataFrame:
+    def merge(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
         ids = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, k) for x in group["ids"]], axis=1)
         scores = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, k) for x in group["scores"]], axis=1)
         # Columns by rising id, so that ties keep going to the smaller one.

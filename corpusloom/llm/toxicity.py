@@ -2,13 +2,15 @@
 
 The kernel counts the letter triples two words share in order, each gap costing a factor, so that inserted letters
 lower a match but do not end it; signs put between letters are dropped before, and letters that stand alone are read
-as one word. A sentence's kernel row is its best word for each landmark, a text's the best of its sentences. The
-landmarks are beginnings of words that mark the labelled sentences, learned from the labels; the kernel matrix of the
-landmarks maps rows to a space in which the machine is linear.
+as one word. A sentence's kernel row is its best word for each landmark. The landmarks are beginnings of words that
+mark the labelled texts, learned from the labels; the kernel matrix of the landmarks maps rows to a space in which the
+machine is linear. It is trained on sentences: those of the clean texts, and of each toxic text the ones that come
+nearest to a landmark. A text scores as its worst sentence.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,13 +25,19 @@ from corpusloom.llm.bpe import batches_of
 ORDER = 3
 DECAY = 0.6
 # The normalised kernel is taken to this power, a kernel as well, which sets whole matches off from common letters.
-POWER = 2
+POWER = 3
 PIECE = 10
 STRIDE = 5
 STEMS = (4, 5, 6, 8)
 LANDMARKS = 48
+# Values below it are common letters.
+FLOOR = 0.05
+# A toxic text teaches by the sentences that reach this for some landmark, and this share of its best one.
+TEACHES, NEAR_BEST = 0.3, 0.8
 # Rows the machine is trained on: at most so many of each label.
 TOXIC_TEXTS, CLEAN_TEXTS = 1500, 3000
+# Sentences a text lends to training: those most like a landmark.
+SENTENCES = 40
 CANDIDATES = 4000
 SEED = 3
 
@@ -132,6 +140,17 @@ def tokens(text: str) -> list[str]:
     return out
 
 
+_END = re.compile(r"[.!?]+\s+|\n+")
+
+
+def sentences(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """(sentences of all texts, where each text's begin); a text has one at least."""
+    cut = [_END.split(t) for t in texts]
+    begins = np.zeros(len(cut) + 1, np.int64)
+    np.cumsum([len(c) for c in cut], out=begins[1:])
+    return [s for c in cut for s in c], begins
+
+
 def pieces(word: str) -> list[str]:
     """The word in overlapping pieces."""
     if len(word) <= PIECE:
@@ -140,32 +159,23 @@ def pieces(word: str) -> list[str]:
 
 
 def kernel_rows(texts: list[str], landmarks: Landmarks) -> np.ndarray:
-    """The best value of each text's words for each landmark."""
+    """The best value of the words of each text, here a sentence, for each landmark; values below `FLOOR` count as 0."""
     out = np.zeros((len(texts), len(landmarks.words)), np.float32)
-    number: dict[str, int] = {}
-    owner, which = [], []
-    cut: dict[str, list[int]] = {}
-    for i, text in enumerate(texts):
-        mine = set()
-        for word in set(tokens(text)):
-            if len(word) < ORDER:
-                continue
-            found = cut.get(word)
-            if found is None:
-                found = cut[word] = [number.setdefault(p, len(number)) for p in pieces(word)]
-            mine.update(found)
-        owner.extend([i] * len(mine))
-        which.extend(mine)
-    if not number:
+    words = [tokens(t) for t in texts]
+    different = [w for w in set().union(*words) if len(w) >= ORDER]
+    if not different:
         return out
-    word, landmark, value = landmarks.pairs(list(number))
-    # Occurrences of words that have a value, by word.
-    owner, which = np.array(owner), np.array(which)
-    order = np.argsort(which, kind="stable")
-    owner, begins = owner[order], np.searchsorted(which[order], np.arange(len(number) + 1))
-    sizes = begins[word + 1] - begins[word]
-    at = np.repeat(begins[word] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-    np.maximum.at(out, (owner[at], np.repeat(landmark, sizes)), np.repeat(value, sizes))
+    cut = [pieces(w) for w in different]
+    owner = np.repeat(np.arange(len(different)), [len(c) for c in cut])
+    piece, landmark, value = landmarks.pairs([p for c in cut for p in c])
+    high = value >= FLOOR
+    table = np.zeros((len(different), len(landmarks.words)), np.float32)
+    np.maximum.at(table, (owner[piece[high]], landmark[high]), value[high])
+    like = {different[i]: i for i in np.flatnonzero(table.any(axis=1))}
+    for i, mine in enumerate(words):
+        found = [like[w] for w in like.keys() & set(mine)] if len(like) < len(mine) else [like[w] for w in set(mine) if w in like]
+        if found:
+            out[i] = table[found].max(axis=0)
     return out
 
 
@@ -179,7 +189,8 @@ def _stems(word: str) -> set[str]:
 def choose_landmarks(toxic: DataFrame, clean: DataFrame, limit: int = LANDMARKS) -> list[str]:
     """Beginnings of words that toxic texts have in many different surroundings and clean ones hardly ever.
 
-    Surroundings are counted instead of texts, so that copies of one text do not stand for many. Two jobs over the
+    Surroundings are counted instead of texts, so that copies of one text do not stand for many; in clean texts every
+    occurrence counts. Two jobs over the
     training texts; the driver gets at most `CANDIDATES` beginnings with two counts.
     """
 
@@ -197,8 +208,9 @@ def choose_landmarks(toxic: DataFrame, clean: DataFrame, limit: int = LANDMARKS)
         counts = dict.fromkeys(names, 0)
         for batch in batches:
             for text in batch["text"]:
-                for stem in set().union(*map(_stems, set(tokens(text)))) & names:
-                    counts[stem] += 1
+                for word in tokens(text):
+                    for stem in _stems(word) & names:
+                        counts[stem] += 1
         yield pd.DataFrame({"stem": list(counts), "n": list(counts.values())})
 
     seen = toxic.mapInPandas(surroundings, "stem string, around long").groupBy("stem").agg(F.countDistinct("around").alias("n"))
@@ -215,11 +227,12 @@ def choose_landmarks(toxic: DataFrame, clean: DataFrame, limit: int = LANDMARKS)
         if 20 * n < marked[0][0] or len(chosen) == limit:
             break
         if not any(stem.startswith(c) or c.startswith(stem) for c in chosen):
-            chosen.append(stem)
+            # A beginning that nearly always goes on in the same way stands for the longer one.
+            chosen.append(max((s for m, s in marked if s.startswith(stem) and 5 * m >= 4 * n), key=len))
     return chosen
 
 
-def support_vectors(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 50) -> np.ndarray:
+def support_vectors(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 50) -> np.ndarray:
     """Weights of a linear machine with squared hinge loss, the last one the bias, both labels weighing the same.
 
     Newton steps on the rows within the margin, the support vectors.
@@ -258,10 +271,29 @@ def logit_of(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(slope), float(offset)
 
 
+def fit(rows: list[np.ndarray], labels: np.ndarray, space: Landmarks) -> tuple[np.ndarray, float]:
+    """(weights, bias) of the logit, from the kernel rows of each text's sentences and the texts' labels."""
+    if not any(r.max() >= TEACHES for r, y in zip(rows, labels) if y > 0):
+        return np.zeros(len(space.words)), -30.0
+    values, vectors = np.linalg.eigh(space.among())
+    keep = values > 1e-6
+    to_space = vectors[:, keep] / np.sqrt(values[keep])
+    mapped = [r @ to_space for r in rows]
+    clean = np.concatenate([m for m, y in zip(mapped, labels) if y <= 0])
+    near = [r.max(axis=1) >= max(TEACHES, NEAR_BEST * r.max()) for r in rows]
+    toxic = np.concatenate([m[n] for m, n, y in zip(mapped, near, labels) if y > 0])
+    w = support_vectors(np.r_[toxic, clean], np.r_[np.ones(len(toxic)), -np.ones(len(clean))])
+    margins = np.array([(m @ w[:-1]).max() + w[-1] for m in mapped])
+    slope, offset = logit_of(margins, labels)
+    slope = max(slope, 1e-6)
+    return slope * (to_space @ w[:-1]), slope * float(w[-1]) + offset
+
+
 def train(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model from labelled rows of `labels`, at most `TOXIC_TEXTS` and `CLEAN_TEXTS` of each label, those with the
     smallest seeded hash of key. Rows without label, key or text are passed over; with one label only the model
-    scores every text 0. The bounded training set is broadcast as keys; the driver gets one kernel row per text of it.
+    scores every text 0. The bounded training set is broadcast as keys; the driver gets at most `SENTENCES` kernel
+    rows per text of it.
     """
     draw = F.xxhash64(F.lit(SEED), F.col(key))
     rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("__label"))
@@ -271,27 +303,30 @@ def train(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     landmarks = choose_landmarks(known.where("__label = 1").select("text"), known.where("__label = 0").select("text"))
     if not landmarks:
         return Model([], np.zeros(0), -30.0)
-    space = Landmarks(landmarks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mine = Landmarks(landmarks)
         for batch in batches:
-            listed = batch["text"].tolist()
+            listed, marks = batch["text"].tolist(), batch["__label"].to_numpy()
             for a, b in batches_of(listed):
-                found = kernel_rows(listed[a:b], mine)
-                yield pd.DataFrame({"label": batch["__label"].to_numpy()[a:b], "row": list(found)})
+                cut, begins = sentences(listed[a:b])
+                found = kernel_rows(cut, mine)
+                best = [found[i:j] for i, j in zip(begins, begins[1:])]
+                best = [r[np.argsort(-r.max(axis=1), kind="stable")[:SENTENCES]].ravel() for r in best]
+                yield pd.DataFrame({"label": marks[a:b], "rows": best})
 
-    sample = known.select("text", "__label").mapInPandas(run, "label int, row array<float>").toPandas()
+    sample = known.select("text", "__label").mapInPandas(run, "label int, rows array<float>").toPandas()
     y = np.where(sample["label"].to_numpy() == 1, 1.0, -1.0)
-    if not len(y) or len(set(y)) < 2:
+    if len(set(y)) < 2:
         return Model([], np.zeros(0), -30.0)
-    x = np.array(sample["row"].tolist(), np.float64)
-    values, vectors = np.linalg.eigh(space.among())
-    keep = values > 1e-6
-    to_space = vectors[:, keep] / np.sqrt(values[keep])
-    w = support_vectors(x @ to_space, y)
-    slope, offset = logit_of(x @ to_space @ w[:-1] + w[-1], y)
-    return Model(landmarks, slope * (to_space @ w[:-1]), slope * float(w[-1]) + offset)
+    listed = [np.asarray(r, np.float64).reshape(-1, len(landmarks)) for r in sample["rows"]]
+    return Model(landmarks, *fit(listed, y, Landmarks(landmarks)))
+
+
+def logits(texts: list[str], model: Model, space: Landmarks) -> np.ndarray:
+    """The logit of each text: that of its worst sentence."""
+    cut, begins = sentences(texts)
+    return np.maximum.reduceat(kernel_rows(cut, space) @ model.weights, begins[:-1]) + model.bias
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -303,14 +338,14 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     inputs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine = Landmarks(model.landmarks) if model.landmarks else None
+        space = Landmarks(model.landmarks) if model.landmarks else None
         for batch in batches:
             texts = batch["text"].fillna("").tolist()
-            logits = np.full(len(texts), model.bias)
-            if mine is not None:
+            found = np.full(len(texts), model.bias)
+            if space is not None:
                 for a, b in batches_of(texts):
-                    logits[a:b] += kernel_rows(texts[a:b], mine) @ model.weights
-            scores = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+                    found[a:b] = logits(texts[a:b], model, space)
+            scores = 1 / (1 + np.exp(-np.clip(found, -30, 30)))
             yield pd.DataFrame({"key": batch["key"], "score": scores, "predicted": (scores >= 0.5).astype(np.int32)})
 
     kind = inputs.schema["key"].dataType.simpleString()

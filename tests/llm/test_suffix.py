@@ -70,8 +70,8 @@ def test_previous_smaller():
 def test_ranks_follow_suffix_order():
     data = np.random.default_rng(2).integers(97, 100, 400, dtype=np.uint8)
     for length in (8, 13, 40, 100):
-        rank = suffix.ranks(data, length)
         strings = [data[i : i + length].tobytes() for i in range(len(data) - length + 1)]
+        rank = suffix.ranks(data, np.arange(len(strings)), length)
         want = {s: i for i, s in enumerate(sorted(set(strings)))}
         got = [rank[i] for i in range(len(strings))]
         assert [sorted(set(got)).index(g) for g in got] == [want[s] for s in strings]
