@@ -26,7 +26,9 @@ from corpusloom.session import materialise
 LENGTH = 100
 GRAM = 24
 # Different contexts of one anchor up to which one task compares them.
-CONTEXTS = 1000
+CONTEXTS = 20_000
+# Bits for the number of starts of a run; a run has fewer starts than a string has bytes.
+SPAN_BITS = 12
 # Bytes of texts, or of contexts, handled at a time; a longer text is handled alone.
 BATCH = 1 << 20
 
@@ -107,23 +109,25 @@ def previous_smaller(order: np.ndarray) -> np.ndarray:
     return before
 
 
-def ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Rank of the `length` bytes from each place on, in suffix order, equal for equal ones; by doubling.
-
-    Only places from which `length` bytes follow have a meaningful rank.
-    """
+def ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Rank of the `length` bytes from each start on, in suffix order, equal for equal ones; by doubling or tripling the
+    known length. `length` bytes must follow every start."""
     padded = np.r_[data, np.zeros(length + 8, np.uint8)]
     word = np.zeros(len(data) + length, np.uint64)
     for i in range(8):
         word |= padded[i : i + len(word)].astype(np.uint64) << np.uint64(56 - 8 * i)
-    rank = np.unique(word, return_inverse=True)[1].astype(np.int64)
-    known = 8
+    rank, known = np.unique(word, return_inverse=True)[1].astype(np.int64), 8
     while known < length:
-        step = min(known, length - known)
-        pair = rank[: len(rank) - step] * (int(rank.max()) + 1) + rank[step:]
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        known += step
-    return rank[: len(data)]
+        top = int(rank.max()) + 1
+        parts = 3 if top**3 < 1 << 63 and 2 * known < length else 2
+        # The last part may overlap the one before.
+        steps = [known * i for i in range(parts - 1)] + [min(known * (parts - 1), length - known)]
+        places = np.arange(len(rank) - steps[-1]) if steps[-1] + known < length else starts
+        key = rank[places]
+        for step in steps[1:]:
+            key = key * top + rank[places + step]
+        rank, known = np.unique(key, return_inverse=True)[1].astype(np.int64), steps[-1] + known
+    return rank if len(rank) == len(starts) else rank[starts]
 
 
 def has_previous_factor(data: np.ndarray, starts: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -132,7 +136,7 @@ def has_previous_factor(data: np.ndarray, starts: np.ndarray, order: np.ndarray,
     The starts are sorted as suffixes of `length` bytes, equal ones by order. The nearest neighbours with a smaller
     order on either side share the longest prefixes of all earlier suffixes.
     """
-    rank = ranks(data, length)[starts]
+    rank = ranks(data, starts, length)
     suffixes = np.lexsort((order, rank))
     place = np.empty(len(order), np.int64)
     place[np.argsort(order, kind="stable")] = np.arange(len(order))
@@ -191,25 +195,48 @@ def _is_first(key: str = "key"):
     return F.col("first") & F.col(key).eqNullSafe(F.col("first_key"))
 
 
+def _packed(low: str = "low", high: str = "high"):
+    """A run of starts as one number: its first start, and how many follow."""
+    return F.shiftleft(F.col(low), SPAN_BITS) + F.col(high) - F.col(low)
+
+
+def _unpacked(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    low = runs >> SPAN_BITS
+    return low, low + (runs & ((1 << SPAN_BITS) - 1))
+
+
 def _contexts(texts: DataFrame, wanted: DataFrame, kind: str, length: int, apart: bool) -> DataFrame:
     """The wanted contexts (k1, key, low, high) with their bytes, or (apart) an OCCURRENCE row per string in them."""
-    listed = wanted.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("k1", "low", "high")).alias("parts"))
-    joined = texts.join(listed, F.col("key").eqNullSafe(F.col("__key"))).select("key", "text", "parts")
+    listed = wanted.groupBy(F.col("key").alias("__key")).agg(
+        F.collect_list(F.struct("k1", _packed().alias("run"))).alias("parts")
+    ).select("__key", F.transform("parts", lambda p: p["k1"]).alias("k1s"), F.transform("parts", lambda p: p["run"]).alias("runs"))
+    joined = texts.join(listed, F.col("key").eqNullSafe(F.col("__key"))).select("key", "text", "k1s", "runs")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, text, parts in zip(batch["key"], batch["text"], batch["parts"]):
+            owner, k1s, lows, highs, found, size = [], [], [], [], [], 0
+            for i, (text, k1, runs) in enumerate(zip(batch["text"], batch["k1s"], batch["runs"])):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                rows = [(p["k1"], p["low"], p["high"], raw[p["low"] : p["high"] + length]) for p in parts]
-                out = pd.DataFrame(rows, columns=["k1", "low", "high", "bytes"])
-                out.insert(1, "key", pd.Series([key] * len(rows), dtype=batch["key"].dtype))
-                yield out
+                low, high = _unpacked(np.asarray(runs))
+                parts = [raw[a:b] for a, b in zip(low.tolist(), (high + length).tolist())]
+                owner.append(np.full(len(low), i))
+                k1s.append(k1)
+                lows.append(low)
+                highs.append(high)
+                found += parts
+                size += sum(map(len, parts))
+                if size > 4 * BATCH or i == len(batch) - 1:
+                    yield pd.DataFrame(
+                        {"k1": np.concatenate(k1s), "key": batch["key"].iloc[np.concatenate(owner)].to_numpy(),
+                         "low": np.concatenate(lows), "high": np.concatenate(highs), "bytes": found}
+                    )
+                    owner, k1s, lows, highs, found, size = [], [], [], [], [], 0
 
     def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, text, parts in zip(batch["key"], batch["text"], batch["parts"]):
+            for key, text, runs in zip(batch["key"], batch["text"], batch["runs"]):
                 data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-                at = np.unique(np.concatenate([np.arange(p["low"], p["high"] + 1) for p in parts]))
+                at = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(*_unpacked(np.asarray(runs)))]))
                 k1, k2 = (_hash(_sums(data, mix), at, at + length).view(np.int64) for mix in _MIX)
                 order = np.lexsort((at, k2, k1))
                 first = np.ones(len(at), bool)
@@ -245,19 +272,19 @@ def _compared(contexts: DataFrame, kind: str, length: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for batch in batches:
-            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            # Anchors are solved together up to a batch of bytes; the last one may go on in the next rows.
-            while len(rest):
-                sizes = rest["bytes"].map(len).cumsum().to_numpy()
-                k1 = rest["k1"].to_numpy()
-                whole = int(np.searchsorted(k1, k1[-1], "left"))
-                take = int(np.searchsorted(sizes, BATCH, "right"))
-                if take >= len(k1) or not whole:
-                    break
-                cut = int(np.searchsorted(k1, k1[take], "left")) or int(np.searchsorted(k1, k1[take], "right"))
-                cut = min(cut, whole)
-                yield solve(rest.iloc[:cut])
-                rest = rest.iloc[cut:].reset_index(drop=True)
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            # Whole anchors are solved together up to a batch of bytes; the last one may go on in the next rows.
+            k1 = rows["k1"].to_numpy()
+            begins = np.flatnonzero(np.r_[True, k1[1:] != k1[:-1]])
+            upto = np.r_[0, np.cumsum(rows["bytes"].map(len).to_numpy())]
+            i = 0
+            while i < len(begins) - 1:
+                j = max(i + 1, int(np.searchsorted(upto[begins], upto[begins[i]] + BATCH, "right")) - 1)
+                yield solve(rows.iloc[begins[i] : begins[j]])
+                i = j
+            rest = rows.iloc[begins[-1] :]
         if rest is not None and len(rest):
             yield solve(rest)
 
@@ -285,11 +312,12 @@ def repeated_starts(df: DataFrame, key: str, text: str, length: int = LENGTH, gr
     return copies.unionAll(compared).unionAll(dealt)
 
 
-def without(raw: bytes, runs, length: int) -> tuple[bytes, int]:
+def without(raw: bytes, runs: np.ndarray, length: int) -> tuple[bytes, int]:
     """The bytes that no string starting in `runs` covers, and the number of maximal removed stretches."""
     edges = np.zeros(len(raw) + 1, np.int64)
-    np.add.at(edges, [r["low"] for r in runs], 1)
-    np.add.at(edges, [min(len(raw), r["high"] + length) for r in runs], -1)
+    low, high = _unpacked(np.asarray(runs))
+    np.add.at(edges, low, 1)
+    np.add.at(edges, np.minimum(len(raw), high + length), -1)
     gone = np.cumsum(edges[:-1]) > 0
     data = np.frombuffer(raw, np.uint8)
     spans = int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(gone) else 0
@@ -307,10 +335,10 @@ def dedup_passages(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     is left may begin or end within a character; an empty table gives an empty result. Building the result writes the
     anchors that occur more than once.
     """
-    if not 8 <= gram <= length:
-        raise ValueError("an anchor has at least 8 bytes and at most a string's")
+    if not 8 <= gram <= length < 1 << SPAN_BITS:
+        raise ValueError("an anchor has at least 8 bytes and at most a string's, which are fewer than 4096")
     runs = repeated_starts(df, key, text, length, gram, contexts)
-    listed = runs.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("low", "high")).alias("__runs"))
+    listed = runs.groupBy(F.col("key").alias("__key")).agg(F.collect_list(_packed()).alias("__runs"))
     passed = [F.struct(*others).alias("__others")] if others else []
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"), *passed)
     joined = texts.join(listed, F.col("key").eqNullSafe(F.col("__key")), "left")
