@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import public_tokenizers
@@ -101,6 +102,90 @@ def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return search.top_k(vectors, F.col("vec_id") % 20 == 0, TOP)
 
 
+SQL_PASSAGES = f"""
+with b as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (
+  select doc_id, unnest(list_transform(range(length(h) // 2 - {PASSAGE - 1}),
+    lambda i: {{'i': i, 's': md5_number(substr(h, 2 * i + 1, {2 * PASSAGE}))}})) as w from b),
+later as (
+  select doc_id, w.i as i from w qualify row_number() over (partition by w.s order by doc_id, w.i) > 1),
+cut as (
+  select doc_id, i, coalesce(i - lag(i) over (partition by doc_id order by i) > {PASSAGE}, true) as opens from later),
+runs as (
+  select doc_id, i, sum(opens::int) over (partition by doc_id order by i) as run from cut),
+spans as (select doc_id, run, min(i) as lo, max(i) + {PASSAGE} as hi from runs group by all),
+gaps as (
+  select doc_id, coalesce(lag(hi) over w, 0) as lo, lo as hi from spans window w as (partition by doc_id order by run)
+  union all select doc_id, max(hi), null from spans group by doc_id),
+kept as (
+  select doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (coalesce(hi, length(h) // 2) - lo)), '' order by lo) as k
+  from gaps join b using (doc_id) group by doc_id),
+sums as (select doc_id, sum(hi - lo)::bigint as n_removed, count(*) as n_spans from spans group by doc_id)
+select doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(k, h))) as kept_sha256
+from b left join kept using (doc_id) left join sums using (doc_id)
+"""
+
+
+def _sql_quality() -> str:
+    space, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+    shares = {
+        "word_length": ("word_chars", "n_words"), "symbols": ("n_symbols", "n_words"), "upper_case": ("n_upper", "word_chars"),
+        "punctuation": ("n_punct", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeated": ("n_repeat_words", "n_words"),
+    }
+    values = ", ".join(f"case when {b} > 0 then {a} * 1000 // {b} end as {s}" for s, (a, b) in shares.items())
+    cells = ", ".join(f"{{'signal': '{s}', 'value': {s}}}" for s in shares)
+    edges = ", ".join(
+        f"max(q75 + greatest((q75 - q25) * {quality.SPREADS}, {least})) filter (signal = '{s}') as {s}_high, "
+        + (f"max(q25 - greatest((q75 - q25) * {quality.SPREADS}, {least})) filter (signal = '{s}')" if low else "-1")
+        + f" as {s}_low"
+        for s, low, least in quality.SIGNALS
+    )
+
+    def level(groups: str) -> str:
+        by = groups + ", " if groups else ""
+        at = "min(case when upto >= ceil(rows * {}) then case when bucket < 0 then 0 else 2 * pow({}, bucket) / {} end end)"
+        q25, q75 = (at.format(q, quality.GAMMA, quality.GAMMA + 1) for q in (0.25, 0.75))
+        return f"""(select {by}max(rows) as rows, {edges} from (
+          select {by}signal, max(rows) as rows, {q25} as q25, {q75} as q75 from (
+            select *, sum(n) over (partition by {by}signal order by bucket) as upto, sum(n) over (partition by {by}signal) as rows
+            from (select {by}signal, bucket, sum(n) as n from sk group by all)) group by {by}signal)
+          {"group by " + groups if groups else ""})"""
+
+    fits = " and ".join(
+        f"coalesce(c.{s} between {{0}}.{s}_low and {{0}}.{s}_high, true)" for s in shares
+    )
+    return f"""
+with t as (
+  select doc_id, lang, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{word}+') as ws from documents),
+l as (select *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) as ls from t),
+r as (
+  select doc_id, unnest([w.i, w.i + 1, w.i + 2]) as i from (
+    select doc_id, w, count(*) over (partition by doc_id, w.s) as n from (
+      select doc_id, unnest(list_transform(range(1, len(ws) - 1),
+        lambda i: {{'i': i, 's': ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]}})) as w from t)) where n > 1),
+rep as (select doc_id, count(distinct i) as n from r group by 1),
+k as (
+  select doc_id, lang, source, len(ws) as n_words, length(regexp_replace(t, '{space}+', '', 'g')) as word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines,
+    coalesce(rep.n, 0) as n_repeat_words, len(ls) as n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) as n_upper,
+    length(regexp_replace(t, '[^!-/:-@\\[-`{{-~]', '', 'g')) as n_punct
+  from l left join rep using (doc_id)),
+c as (select *, {values} from k),
+sk as (
+  select lang, source, x.signal as signal, case when x.value > 0 then ceil(ln(x.value) / {math.log(quality.GAMMA)!r})::int else -1 end as bucket,
+    count(*) as n from (select lang, source, unnest([{cells}]) as x from c) where x.value is not null group by all),
+a as {level("lang, source")}, b as {level("lang")}, z as {level("")}
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEATED_PERCENT} * n_words as base_failed,
+  not (n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEATED_PERCENT} * n_words) and case
+    when a.rows >= {quality.GROUP_ROWS} then {fits.format("a")} when b.rows >= {quality.GROUP_ROWS} then {fits.format("b")}
+    else {fits.format("z")} end as kept
+from c left join a on c.lang is not distinct from a.lang and c.source is not distinct from a.source
+  left join b on c.lang is not distinct from b.lang, z
+"""
+
+
 SQL_LINES = """
 with cut as (select doc_id, coalesce(text, '') as text, string_split(text, chr(10)) as ls from documents),
 windows as (
@@ -167,6 +252,7 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_previous_factors": SQL_PASSAGES, "op4_adaptive_quality": _sql_quality(),
     "op7_interleaved_shards": SQL_SHARDS, "op8_line_windows": SQL_LINES, "op10_exact_top_k": SQL_TOP,
 }
 
