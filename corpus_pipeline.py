@@ -57,9 +57,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Passages of 100 bytes or more kept at their first place only; a document that loses all its words goes."""
-    done = suffix.dedup_passages(docs, length=PASSAGE, others=["lang", "source", "text"])
-    changed = F.when(F.col("n_spans") > 0, suffix.whole_characters(F.col("kept"))).otherwise(F.col("text"))
-    done = done.select("doc_id", changed.alias("text"), "lang", "source", "n_spans")
+    whole = docs.withColumn("no_text", F.col("text").isNull())
+    done = suffix.dedup_passages(whole, length=PASSAGE, others=["lang", "source", "no_text"], as_text=True)
+    done = done.withColumn("text", F.when(~F.col("no_text"), F.col("kept")))
     emptied = (F.col("n_spans") > 0) & ~F.col("text").rlike(r"\S")
     return _columns(done.where(~F.coalesce(emptied, F.lit(False))), F.col("text"))
 

@@ -324,7 +324,7 @@ def without(raw: bytes, runs: np.ndarray, length: int) -> tuple[bytes, int]:
     return data[~gone].tobytes(), spans
 
 
-def dedup_passages(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, contexts: int = CONTEXTS, others: list[str] = ()) -> DataFrame:
+def dedup_passages(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, contexts: int = CONTEXTS, others: list[str] = (), as_text: bool = False) -> DataFrame:
     """(key, n_bytes, kept, n_spans, others) of every row: the length of the text in UTF-8, the bytes that are left, how
     many maximal stretches were removed, and the other columns that are asked for.
 
@@ -332,7 +332,8 @@ def dedup_passages(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     in the same text. Strings are judged on the input, may overlap, and never cross texts. A null text counts as '';
     texts shorter than `length` stay whole. A row without a key counts as later than all others. A repeated row is the
     same text again: its copies have the same places and get the same result. Columns not asked for are not read. What
-    is left may begin or end within a character; an empty table gives an empty result. Building the result writes the
+    is left may begin or end within a character: `kept` is binary, or with `as_text` a string without characters of which
+    a part is missing. An empty table gives an empty result. Building the result writes the
     anchors that occur more than once.
     """
     if not 8 <= gram <= length < 1 << SPAN_BITS:
@@ -343,26 +344,19 @@ def dedup_passages(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"), *passed)
     joined = texts.join(listed, F.col("key").eqNullSafe(F.col("__key")), "left")
 
-    @F.pandas_udf("n_bytes long, kept binary, n_spans long")
+    @F.pandas_udf(f"n_bytes long, kept {'string' if as_text else 'binary'}, n_spans long")
     def applied(rows: pd.Series, found: pd.Series) -> pd.DataFrame:
-        raws = [(t or "").encode("utf-8", "surrogatepass") for t in rows]
-        kept = [(raw, 0) if r is None else without(raw, r, length) for raw, r in zip(raws, found)]
-        return pd.DataFrame(
-            {"n_bytes": [len(r) for r in raws], "kept": [k for k, _ in kept], "n_spans": [n for _, n in kept]}
-        ).astype({"n_bytes": "int64", "n_spans": "int64"})
+        sizes, kept, spans = [], [], []
+        for text, run in zip(rows, found):
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            rest, n = (raw, 0) if run is None else without(raw, run, length)
+            sizes.append(len(raw))
+            kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
+            spans.append(n)
+        return pd.DataFrame({"n_bytes": sizes, "kept": kept, "n_spans": spans}).astype({"n_bytes": "int64", "n_spans": "int64"})
 
     done = joined.withColumn("__done", applied("text", "__runs"))
     return done.select(
         F.col("key").alias(key), "__done.n_bytes", "__done.kept", "__done.n_spans",
         *[F.col("__others")[c].alias(c) for c in others],
     )
-
-
-def whole_characters(kept):
-    """The text of bytes, without characters of which a part is missing."""
-
-    @F.pandas_udf("string")
-    def run(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda raw: None if raw is None else bytes(raw).decode("utf-8", "ignore"))
-
-    return run(kept)
