@@ -90,6 +90,8 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
         ]
         return pd.DataFrame(rows, columns=["text", "removed"]).astype({"removed": "int32"})
 
+    # Not deterministic to the planner, or a filter on the result would be pushed below and run the function twice.
+    applied = applied.asNondeterministic()
     done = joined.withColumn("__done", applied(F.col(text), F.col("__starts")))
     return done.withColumn(text, F.col("__done")["text"]).withColumn("lines_removed", F.col("__done")["removed"]).drop(
         "__done", "__starts"

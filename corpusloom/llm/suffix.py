@@ -355,6 +355,8 @@ def dedup_passages(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
             spans.append(n)
         return pd.DataFrame({"n_bytes": sizes, "kept": kept, "n_spans": spans}).astype({"n_bytes": "int64", "n_spans": "int64"})
 
+    # Not deterministic to the planner, or a filter on the result would be pushed below and run the function twice.
+    applied = applied.asNondeterministic()
     done = joined.withColumn("__done", applied("text", "__runs"))
     return done.select(
         F.col("key").alias(key), "__done.n_bytes", "__done.kept", "__done.n_spans",
