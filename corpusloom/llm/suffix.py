@@ -275,6 +275,8 @@ def _compared(contexts: DataFrame, kind: str, length: int) -> DataFrame:
             rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             if not len(rows):
                 continue
+            # The copies of a repeated row cut the same contexts; a second one would count as later than the first.
+            rows = rows.drop_duplicates(["k1", "key", "low"], ignore_index=True)
             # Whole anchors are solved together up to a batch of bytes; the last one may go on in the next rows.
             k1 = rows["k1"].to_numpy()
             begins = np.flatnonzero(np.r_[True, k1[1:] != k1[:-1]])
@@ -288,7 +290,7 @@ def _compared(contexts: DataFrame, kind: str, length: int) -> DataFrame:
         if rest is not None and len(rest):
             yield solve(rest)
 
-    together = contexts.repartition("k1").sortWithinPartitions("k1")
+    together = contexts.repartition("k1").sortWithinPartitions("k1", "key", "low")
     return together.mapInPandas(run, f"key {kind}, low long, high long")
 
 
@@ -303,8 +305,8 @@ def repeated_starts(df: DataFrame, key: str, text: str, length: int = LENGTH, gr
     marked = places.join(firsts, ["k1", "k2"])
     copies = marked.where(~_is_first()).select("key", "low", "high")
     several = firsts.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Of each context the first place; only anchors with several contexts are left to compare.
-    open_ = materialise(marked.where(_is_first()).join(several, "k1").select("k1", "key", "low", "high", "n"), "open")
+    # Of each context the first place, once however often its row comes; only anchors with several contexts are left to compare.
+    open_ = materialise(marked.where(_is_first()).join(several, "k1").select("k1", "key", "low", "high", "n").distinct(), "open")
     few, many = open_.where(F.col("n") <= contexts).drop("n"), open_.where(F.col("n") > contexts).drop("n")
     compared = _compared(_contexts(texts, few, kind, length, apart=False), kind, length)
     strings = _contexts(texts, many, kind, length, apart=True)

@@ -59,6 +59,18 @@ def test_long_text_empty_table_and_clashing_names(spark):
     assert suffix.dedup_passages(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("contexts", [1000, 2])
+def test_a_repeated_row_holds_the_first_place(spark, contexts):
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = word(200)
+    rows = [(i, word(60 + i) + passage + word(80 + i)) for i in range(1, 6)]
+    rows += [rows[0]] * 3 + [rows[2]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = answer(suffix.dedup_passages(df, contexts=contexts))
+    assert got == brute(rows, 100) and sum(passage.encode() in kept for _, _, kept, _ in got) == 4
+
+
 def test_previous_smaller():
     rnd = np.random.default_rng(1)
     for n in (0, 1, 2, 50, 300):
