@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import lines, packing, quality, simhash, suffix
+from corpusloom.llm.rows import place, told_apart
 from corpusloom.session import materialise
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -30,16 +31,22 @@ def _columns(docs: DataFrame, text) -> DataFrame:
     ).select("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """With `part`: an id does not say which document it is where it is null or comes with several texts."""
+    return told_apart(docs, "doc_id", "text", "part")
+
+
 def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    keys = keys.select(F.col("doc_id").alias("__key"))
-    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("__key")), "left_semi").select(
-        "doc_id", "text", "lang", "source", "n_chars"
-    )
+    """The rows of `docs` whose columns named in `keys` are one of its rows."""
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys.columns]
+    keys = keys.select(*[F.col(c).alias(f"__{c}") for c in keys.columns])
+    return docs.join(keys, same, "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents within the fences of their language and source."""
-    return _only(docs, quality.judge(docs).where("kept"))
+    docs = _told_apart(docs)
+    return _only(docs, quality.judge(docs, others=["part"]).where("kept").select("doc_id", "part", "lang", "source"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -51,8 +58,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id."""
-    found = simhash.near_duplicates(docs, shingle=SHINGLE, distance=DISTANCE)
-    return _only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    docs = _told_apart(docs)
+    found = simhash.near_duplicates(docs, shingle=SHINGLE, distance=DISTANCE, others=["part"])
+    least = found.groupBy("root").agg(F.min(place("doc_id", "part")).alias("least"))
+    return _only(docs, least.select(F.col("least.key").alias("doc_id"), F.col("least.part").alias("part")))
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.rows import place, same, told_apart
+
 WINDOW = 3
 
 
@@ -28,35 +30,36 @@ def window_hashes(text: str, size: int = WINDOW) -> list[tuple[int, int, int]]:
     return out
 
 
-def later_windows(df: DataFrame, key: str, text: str, size: int = WINDOW) -> DataFrame:
-    """(key, starts): line numbers at which a window begins that also begins earlier: at a smaller key, or higher up in
+def later_windows(inputs: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(key, part, starts) of texts (key, part, text): line numbers at which a window begins that also begins earlier: at a smaller key, or higher up in
     the same text. Texts without such a window have no row.
 
     Windows are counted by hash with combination before the shuffle; what meets its group again is joined on the
     hash, so that a window in a third of all texts is a join key whose rows the planner may split.
     """
-    inputs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, rows = [], []
-            for k, t in zip(batch["key"], batch["text"]):
+            keys, parts, rows = [], [], []
+            for k, p, t in zip(batch["key"], batch["part"], batch["text"]):
                 if t is not None:
                     found = window_hashes(t, size)
                     keys.extend([k] * len(found))
+                    parts.extend([p] * len(found))
                     rows.extend(found)
             cells = np.array(rows, dtype=np.int64).reshape(-1, 3)
             yield pd.DataFrame(
-                {"key": pd.Series(keys, dtype=batch["key"].dtype), "place": cells[:, 0], "h1": cells[:, 1], "h2": cells[:, 2]}
+                {"key": pd.Series(keys, dtype=batch["key"].dtype), "part": pd.Series(parts, dtype=object), "place": cells[:, 0],
+                 "h1": cells[:, 1], "h2": cells[:, 2]}
             )
 
     kind = inputs.schema["key"].dataType.simpleString()
-    windows = inputs.mapInPandas(run, f"key {kind}, place long, h1 long, h2 long")
-    repeated = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).where("n > 1")
+    windows = inputs.mapInPandas(run, f"key {kind}, part string, place long, h1 long, h2 long")
+    repeated = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place("key", "part")).alias("first")).where("n > 1")
     met = windows.join(repeated.drop("n"), ["h1", "h2"])
     # In the first text only the first place of a window is kept; everywhere else, all of them are later ones.
-    later = met.where(~(F.col("key").eqNullSafe(F.col("first")) & (F.col("place") % 2 == 1)))
-    return later.groupBy("key").agg(F.collect_set(F.shiftright("place", 1)).alias("starts"))
+    later = met.where(~(same("key", "part", "first.key", "first.part") & (F.col("place") % 2 == 1)))
+    return later.groupBy("key", "part").agg(F.collect_set(F.shiftright("place", 1)).alias("starts"))
 
 
 def keep_lines(text: str, starts, size: int = WINDOW) -> tuple[str, int]:
@@ -76,12 +79,16 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
     text; all windows are judged on the input, and the positions they cover are merged. Windows of blank lines only are
     ignored, and texts of fewer lines than a window stay as they are. A text that loses all lines becomes ''. A null
     text stays null with 0 lines removed; rows without a key count as later than all others. A repeated row is the
-    same document again: all its copies get the same result. Other columns pass through; one called lines_removed is
-    replaced.
+    same document again: all its copies get the same result. Other texts under the same key, or without one, are documents
+    of their own, in the order of a digest. Other columns pass through; one called lines_removed is
+    replaced. Building the result writes the keys of several rows.
     """
-    starts = later_windows(df, key, text, size).select(F.col("key").alias("__key"), F.col("starts").alias("__starts"))
-    rest = df.drop("lines_removed")
-    joined = rest.join(starts, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+    rest = told_apart(df.drop("lines_removed"), key, text, "__mine")
+    inputs = rest.select(F.col(key).alias("key"), F.col("__mine").alias("part"), F.col(text).alias("text"))
+    starts = later_windows(inputs, size).select(
+        F.col("key").alias("__key"), F.col("part").alias("__part"), F.col("starts").alias("__starts")
+    )
+    joined = rest.join(starts, same(key, "__mine", "__key", "__part"), "left").drop("__key", "__part", "__mine")
 
     @F.pandas_udf("text string, removed int")
     def applied(texts: pd.Series, found: pd.Series) -> pd.DataFrame:

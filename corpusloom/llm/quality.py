@@ -158,19 +158,20 @@ def thresholds(sketches: DataFrame, lang: str, source: str, group_rows: int = GR
     return joined.select(lang, source, *chosen)
 
 
-def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(key, lang, source, COUNTS, base_failed, kept) of every row.
+def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", others: list[str] = ()) -> DataFrame:
+    """(key, lang, source, COUNTS, base_failed, kept, others) of every row; the others are columns that are asked for.
 
     base_failed: fewer than 50 words, or over half of the words in repeated windows; such rows are never kept, but count
     in the sketches. The others are kept if all signals lie within the fences of their language and source. Null
     languages and sources are groups of their own; a null or empty text fails. Repeated rows are counted and returned
-    as often as they come; other columns are not read; an empty table gives an empty result. Building the result writes
+    as often as they come; columns not asked for are not read; an empty table gives an empty result. Building the result writes
     the counts and the sketch.
     """
     rows = df.select(
-        F.col(key).alias("__key"), F.col(lang).alias("__lang"), F.col(source).alias("__source"), F.col(text).alias("__text")
+        F.col(key).alias("__key"), F.col(lang).alias("__lang"), F.col(source).alias("__source"), F.col(text).alias("__text"),
+        *others,
     )
-    rows = materialise(counts(rows, ["__key", "__lang", "__source"], "__text"), "counts")
+    rows = materialise(counts(rows, ["__key", "__lang", "__source", *others], "__text"), "counts")
     sketches = materialise(sketch(rows, ["__lang", "__source"]), "sketch")
     bars = thresholds(sketches, "__lang", "__source").withColumnsRenamed({"__lang": "__l", "__source": "__s"})
     joined = rows.join(
@@ -183,5 +184,5 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         within = within & F.coalesce(value.between(F.col(f"{name}_low"), F.col(f"{name}_high")), F.lit(True))
     return joined.select(
         F.col("__key").alias(key), F.col("__lang").alias(lang), F.col("__source").alias(source), *COUNTS,
-        failed.alias("base_failed"), (~failed & within).alias("kept"),
+        failed.alias("base_failed"), (~failed & within).alias("kept"), *others,
     )

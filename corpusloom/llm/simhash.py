@@ -47,17 +47,18 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(key, fingerprint long) of every row; a null text has no words."""
-    inputs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, others: list[str] = ()) -> DataFrame:
+    """(key, fingerprint long, others) of every row; a null text has no words."""
+    inputs = df.select(F.col(key).alias("key"), F.col(text).alias("text"), *others)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = np.array([fingerprint(t or "", shingle) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"key": batch["key"], "fingerprint": found.view(np.int64)})
+            yield pd.DataFrame({"key": batch["key"], "fingerprint": found.view(np.int64)} | {c: batch[c] for c in others})
 
-    kind = inputs.schema["key"].dataType.simpleString()
-    return inputs.mapInPandas(run, f"key {kind}, fingerprint long").withColumnRenamed("key", key)
+    kinds = {c: inputs.schema[c].dataType.simpleString() for c in ("key", *others)}
+    more = "".join(f", {c} {kinds[c]}" for c in others)
+    return inputs.mapInPandas(run, f"key {kinds['key']}, fingerprint long{more}").withColumnRenamed("key", key)
 
 
 # The parity checks of the code: bit k of the syndrome covers the positions whose number, from 1, has bit k.
@@ -199,23 +200,25 @@ def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
     return together.mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 3, others: list[str] = ()) -> DataFrame:
     """(key, fingerprint, component_id) of every row; fingerprint as 16 hex digits, component_id the smallest key that
-    is reachable by links of at most `distance` differing bits.
+    is reachable by links of at most `distance` differing bits. If other columns are asked for, they follow, and `root`,
+    a fingerprint of the component, which also tells components apart that have the same smallest key or none.
 
     Null and empty texts have fingerprint zero and are linked like any other. Rows of null keys belong to components
-    but do not name them, unless no other row is there (then null). Repeated rows give repeated results; other columns
-    are not read; an empty table gives an empty result. Equal fingerprints are one node, so copies make no pairs.
+    but do not name them, unless no other row is there (then null). Repeated rows give repeated results; columns
+    not asked for are not read; an empty table gives an empty result. Equal fingerprints are one node, so copies make no pairs.
     Building the result runs jobs.
     """
-    marked = materialise(fingerprints(df, key, text, shingle), "fingerprints")
+    marked = materialise(fingerprints(df, key, text, shingle, others), "fingerprints")
     nodes = materialise(marked.groupBy("fingerprint").agg(F.min(key).alias("__first")), "nodes")
     roots = components(materialise(links(nodes, distance), "links"))
     rooted = nodes.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
         "fingerprint", "__first", F.coalesce("root", "fingerprint").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("__first").alias("component_id"))
-    named = materialise(rooted.join(least, "root").select(F.col("fingerprint").alias("__f"), "component_id"), "classes")
+    named = materialise(rooted.join(least, "root").select(F.col("fingerprint").alias("__f"), "component_id", "root"), "classes")
     return marked.join(named, F.col("fingerprint") == F.col("__f")).select(
-        key, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+        key, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id",
+        *([*others, "root"] if others else []),
     )

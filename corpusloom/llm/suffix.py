@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import _powers
+from corpusloom.llm.rows import place, same, told_apart
 from corpusloom.session import materialise
 
 LENGTH = 100
@@ -152,7 +153,7 @@ def has_previous_factor(data: np.ndarray, starts: np.ndarray, order: np.ndarray,
 
 # --- jobs ---
 
-OCCURRENCE = "k1 long, k2 long, key {kind}, low long, high long, first boolean"
+OCCURRENCE = "k1 long, k2 long, key {kind}, part string, low long, high long, first boolean"
 
 
 def _batches(raws: list[bytes], limit: int = BATCH) -> Iterator[tuple[int, int]]:
@@ -180,6 +181,7 @@ def occurrences(texts: DataFrame, kind: str, length: int = LENGTH, gram: int = G
                 found = anchors(*_in_a_row(raws[a:b]), length, gram)
                 yield pd.DataFrame(
                     {"k1": found["h"], "k2": found["context"], "key": batch["key"].iloc[a + found["text"]].to_numpy(),
+                     "part": batch["part"].iloc[a + found["text"]].to_numpy(),
                      "low": found["low"], "high": found["high"], "first": found["first"].astype(bool)}
                 )
 
@@ -187,12 +189,14 @@ def occurrences(texts: DataFrame, kind: str, length: int = LENGTH, gram: int = G
 
 
 def _first_places(rows: DataFrame) -> DataFrame:
-    """(k1, k2, first_key): the smallest key at which each pair stands."""
-    return rows.groupBy("k1", "k2").agg(F.min("key").alias("first_key"))
+    """(k1, k2, first_key, first_part): the text with the smallest key, and of one key's the smallest digest, in which each
+    pair stands."""
+    firsts = rows.groupBy("k1", "k2").agg(F.min(place("key", "part")).alias("first"))
+    return firsts.select("k1", "k2", F.col("first.key").alias("first_key"), F.col("first.part").alias("first_part"))
 
 
-def _is_first(key: str = "key"):
-    return F.col("first") & F.col(key).eqNullSafe(F.col("first_key"))
+def _is_first():
+    return F.col("first") & same("key", "part", "first_key", "first_part")
 
 
 def _packed(low: str = "low", high: str = "high"):
@@ -206,11 +210,13 @@ def _unpacked(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contexts(texts: DataFrame, wanted: DataFrame, kind: str, length: int, apart: bool) -> DataFrame:
-    """The wanted contexts (k1, key, low, high) with their bytes, or (apart) an OCCURRENCE row per string in them."""
-    listed = wanted.groupBy(F.col("key").alias("__key")).agg(
+    """The wanted contexts (k1, key, part, low, high) with their bytes, or (apart) an OCCURRENCE row per string in them."""
+    listed = wanted.groupBy(F.col("key").alias("__key"), F.col("part").alias("__part")).agg(
         F.collect_list(F.struct("k1", _packed().alias("run"))).alias("parts")
-    ).select("__key", F.transform("parts", lambda p: p["k1"]).alias("k1s"), F.transform("parts", lambda p: p["run"]).alias("runs"))
-    joined = texts.join(listed, F.col("key").eqNullSafe(F.col("__key"))).select("key", "text", "k1s", "runs")
+    ).select(
+        "__key", "__part", F.transform("parts", lambda p: p["k1"]).alias("k1s"), F.transform("parts", lambda p: p["run"]).alias("runs")
+    )
+    joined = texts.join(listed, same("key", "part", "__key", "__part")).select("key", "part", "text", "k1s", "runs")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -228,13 +234,13 @@ def _contexts(texts: DataFrame, wanted: DataFrame, kind: str, length: int, apart
                 if size > 4 * BATCH or i == len(batch) - 1:
                     yield pd.DataFrame(
                         {"k1": np.concatenate(k1s), "key": batch["key"].iloc[np.concatenate(owner)].to_numpy(),
-                         "low": np.concatenate(lows), "high": np.concatenate(highs), "bytes": found}
+                         "part": batch["part"].iloc[np.concatenate(owner)].to_numpy(), "low": np.concatenate(lows), "high": np.concatenate(highs), "bytes": found}
                     )
                     owner, k1s, lows, highs, found, size = [], [], [], [], [], 0
 
     def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, text, runs in zip(batch["key"], batch["text"], batch["runs"]):
+            for key, part, text, runs in zip(batch["key"], batch["part"], batch["text"], batch["runs"]):
                 data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
                 at = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(*_unpacked(np.asarray(runs)))]))
                 k1, k2 = (_hash(_sums(data, mix), at, at + length).view(np.int64) for mix in _MIX)
@@ -243,19 +249,20 @@ def _contexts(texts: DataFrame, wanted: DataFrame, kind: str, length: int, apart
                 first[order[1:]] = (k1[order[1:]] != k1[order[:-1]]) | (k2[order[1:]] != k2[order[:-1]])
                 out = pd.DataFrame({"k1": k1, "k2": k2, "low": at, "high": at, "first": first})
                 out.insert(2, "key", pd.Series([key] * len(at), dtype=batch["key"].dtype))
+                out.insert(3, "part", part)
                 yield out
 
     if apart:
         return joined.mapInPandas(strings, OCCURRENCE.format(kind=kind))
-    return joined.mapInPandas(cut, f"k1 long, key {kind}, low long, high long, bytes binary")
+    return joined.mapInPandas(cut, f"k1 long, key {kind}, part string, low long, high long, bytes binary")
 
 
 def _compared(contexts: DataFrame, kind: str, length: int) -> DataFrame:
-    """(key, low, high): runs of starts with a previous factor among the contexts of the same anchor."""
+    """(key, part, low, high): runs of starts with a previous factor among the contexts of the same anchor."""
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         # Earlier contexts first: smaller key, or further up in the same text; a null key comes last.
-        rows = rows.sort_values(["key", "low"], kind="stable", na_position="last")
+        rows = rows.sort_values(["key", "part", "low"], kind="stable", na_position="last")
         data, ends = _in_a_row(rows["bytes"].tolist())
         begins = np.r_[0, ends[:-1]]
         counts = rows["high"].to_numpy() - rows["low"].to_numpy() + 1
@@ -267,7 +274,10 @@ def _compared(contexts: DataFrame, kind: str, length: int) -> DataFrame:
         cut = np.r_[True, (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)] if len(owner) else np.zeros(0, bool)
         at = np.flatnonzero(cut)
         last = np.r_[at[1:], len(owner)] - 1 if len(at) else at
-        return pd.DataFrame({"key": rows["key"].iloc[owner[at]].to_numpy(), "low": start[at], "high": start[last]})
+        return pd.DataFrame(
+            {"key": rows["key"].iloc[owner[at]].to_numpy(), "part": rows["part"].iloc[owner[at]].to_numpy(),
+             "low": start[at], "high": start[last]}
+        )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -276,7 +286,7 @@ def _compared(contexts: DataFrame, kind: str, length: int) -> DataFrame:
             if not len(rows):
                 continue
             # The copies of a repeated row cut the same contexts; a second one would count as later than the first.
-            rows = rows.drop_duplicates(["k1", "key", "low"], ignore_index=True)
+            rows = rows.drop_duplicates(["k1", "key", "part", "low"], ignore_index=True)
             # Whole anchors are solved together up to a batch of bytes; the last one may go on in the next rows.
             k1 = rows["k1"].to_numpy()
             begins = np.flatnonzero(np.r_[True, k1[1:] != k1[:-1]])
@@ -290,27 +300,27 @@ def _compared(contexts: DataFrame, kind: str, length: int) -> DataFrame:
         if rest is not None and len(rest):
             yield solve(rest)
 
-    together = contexts.repartition("k1").sortWithinPartitions("k1", "key", "low")
-    return together.mapInPandas(run, f"key {kind}, low long, high long")
+    together = contexts.repartition("k1").sortWithinPartitions("k1", "key", "part", "low")
+    return together.mapInPandas(run, f"key {kind}, part string, low long, high long")
 
 
-def repeated_starts(df: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM, contexts: int = CONTEXTS) -> DataFrame:
-    """(key, low, high): runs of starts, both ends included, of strings of `length` bytes that begin earlier as well."""
-    texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, contexts: int = CONTEXTS) -> DataFrame:
+    """(key, part, low, high): runs of starts, both ends included, of strings of `length` bytes that begin earlier as well,
+    in texts (key, text) told apart by `part`."""
     kind = texts.schema["key"].dataType.simpleString()
     all_places = occurrences(texts, kind, length, gram)
     repeated = all_places.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1")
     places = materialise(all_places.join(repeated, "k1"), "anchors")
     firsts = materialise(_first_places(places), "first_contexts")
     marked = places.join(firsts, ["k1", "k2"])
-    copies = marked.where(~_is_first()).select("key", "low", "high")
+    copies = marked.where(~_is_first()).select("key", "part", "low", "high")
     several = firsts.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Of each context the first place, once however often its row comes; only anchors with several contexts are left to compare.
-    open_ = materialise(marked.where(_is_first()).join(several, "k1").select("k1", "key", "low", "high", "n").distinct(), "open")
+    open_ = materialise(marked.where(_is_first()).join(several, "k1").select("k1", "key", "part", "low", "high", "n").distinct(), "open")
     few, many = open_.where(F.col("n") <= contexts).drop("n"), open_.where(F.col("n") > contexts).drop("n")
     compared = _compared(_contexts(texts, few, kind, length, apart=False), kind, length)
     strings = _contexts(texts, many, kind, length, apart=True)
-    dealt = strings.join(_first_places(strings), ["k1", "k2"]).where(~_is_first()).select("key", "low", "high")
+    dealt = strings.join(_first_places(strings), ["k1", "k2"]).where(~_is_first()).select("key", "part", "low", "high")
     return copies.unionAll(compared).unionAll(dealt)
 
 
@@ -333,18 +343,19 @@ def dedup_passages(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     A byte is removed if a string of `length` bytes that covers it also starts earlier: at a smaller key, or further up
     in the same text. Strings are judged on the input, may overlap, and never cross texts. A null text counts as '';
     texts shorter than `length` stay whole. A row without a key counts as later than all others. A repeated row is the
-    same text again: its copies have the same places and get the same result. Columns not asked for are not read. What
+    same text again: its copies have the same places and get the same result. Other texts under the same key, or without
+    one, are texts of their own, in the order of a digest. Columns not asked for are not read. What
     is left may begin or end within a character: `kept` is binary, or with `as_text` a string without characters of which
     a part is missing. An empty table gives an empty result. Building the result writes the
-    anchors that occur more than once.
+    keys of several rows and the anchors that occur more than once.
     """
     if not 8 <= gram <= length < 1 << SPAN_BITS:
         raise ValueError("an anchor has at least 8 bytes and at most a string's, which are fewer than 4096")
-    runs = repeated_starts(df, key, text, length, gram, contexts)
-    listed = runs.groupBy(F.col("key").alias("__key")).agg(F.collect_list(_packed()).alias("__runs"))
     passed = [F.struct(*others).alias("__others")] if others else []
-    texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"), *passed)
-    joined = texts.join(listed, F.col("key").eqNullSafe(F.col("__key")), "left")
+    texts = told_apart(df.select(F.col(key).alias("key"), F.col(text).alias("text"), *passed), "key", "text", "part")
+    runs = repeated_starts(texts.select("key", "part", "text"), length, gram, contexts)
+    listed = runs.groupBy(F.col("key").alias("__key"), F.col("part").alias("__part")).agg(F.collect_list(_packed()).alias("__runs"))
+    joined = texts.join(listed, same("key", "part", "__key", "__part"), "left")
 
     @F.pandas_udf(f"n_bytes long, kept {'string' if as_text else 'binary'}, n_spans long")
     def applied(rows: pd.Series, found: pd.Series) -> pd.DataFrame:

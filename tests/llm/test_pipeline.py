@@ -67,6 +67,18 @@ def test_stages(spark):
     assert packed.groupby("sequence_id").length.sum().max() <= 2048
 
 
+def test_rows_without_an_id_are_judged_each(spark):
+    rows = corpus()
+    good, copy, other = rows[1][1], rows[2][1], rows[3][1]
+    rows = rows[:200] + [(None, good + "\nmore of it", "en", "a"), (None, "few words", "en", "a"), (None, copy, "en", "a"), (None, other[::-1], "en", "b")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], f"{DOC}, n_chars long").repartition(3)
+    kept = pipeline.quality_rules(spark, docs, "")
+    assert sorted(t for k, t in texts_of(kept) if k is None) == sorted(r[1] for r, k in zip(rows, brute_kept(rows)) if k and r[0] is None)
+    assert sorted(t for k, t in texts_of(kept) if k is None and t == "few words") == []
+    assert [t for k, t in texts_of(pipeline.near_copies(spark, docs, "")) if k is None and t == copy] == []
+    assert other[::-1] in [t for k, t in texts_of(pipeline.near_copies(spark, docs, "")) if k is None]
+
+
 def test_the_query_runs_all_stages(spark, tmp_path):
     docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in corpus()[:60]], f"{DOC}, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")

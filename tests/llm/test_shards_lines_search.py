@@ -72,6 +72,13 @@ def test_lines_against_brute_force(spark):
     assert lines.dedup_lines(df.limit(0)).collect() == []
 
 
+def test_lines_of_texts_without_a_key_or_under_one_key(spark):
+    rows = [(1, "a\nb\nc"), (None, "a\nb\nc\nd\ne"), (None, "1\n2\n3\n4\n5\n6"), (4, "x\ny\nz\na\nb\nc"), (4, "p\nq\nr\ns\nt\nu")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["text"], r["lines_removed"]) for r in lines.dedup_lines(df).collect()}
+    assert got == {(1, "a\nb\nc", 0), (None, "d\ne", 3), (None, rows[2][1], 0), (4, "x\ny\nz", 3), (4, rows[4][1], 0)}
+
+
 # --- search -------------------------------------------------------------------------------------------------------
 
 

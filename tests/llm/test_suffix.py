@@ -71,6 +71,20 @@ def test_a_repeated_row_holds_the_first_place(spark, contexts):
     assert got == brute(rows, 100) and sum(passage.encode() in kept for _, _, kept, _ in got) == 4
 
 
+@pytest.mark.parametrize("contexts", [1000, 2])
+def test_texts_without_a_key_or_under_one_key_are_told_apart(spark, contexts):
+    rnd = random.Random(7)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = word(150)
+    short, long, clean = word(10) + passage, word(2000) + passage + word(40), word(2300)
+    rows = [(1, word(30) + passage + word(20)), (None, short), (None, long), (None, clean), (4, clean[:900]), (4, word(300) + passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    # The passage stands first in 1 whatever the order of the others, the clean text's beginning in 4.
+    numbered = [(i, t) for i, (_, t) in enumerate([rows[0], rows[4], rows[5], *rows[1:4]])]
+    want = [(rows[[t for _, t in rows].index(numbered[i][1])][0], n, kept, spans) for i, n, kept, spans in brute(numbered, 100)]
+    assert answer(suffix.dedup_passages(df, contexts=contexts)) == sorted(want, key=repr)
+
+
 def test_previous_smaller():
     rnd = np.random.default_rng(1)
     for n in (0, 1, 2, 50, 300):
