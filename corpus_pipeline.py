@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import lines, packing, quality, simhash, suffix
-from corpusloom.llm.rows import place, told_apart
+from corpusloom.llm.rows import place, same, told_apart
 from corpusloom.session import materialise
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,9 +38,9 @@ def _told_apart(docs: DataFrame) -> DataFrame:
 
 def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of `docs` whose columns named in `keys` are one of its rows."""
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys.columns]
+    equal = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys.columns]
     keys = keys.select(*[F.col(c).alias(f"__{c}") for c in keys.columns])
-    return docs.join(keys, same, "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
+    return docs.join(keys, equal, "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -57,11 +57,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
+    """Of each group of near copies the document with the smallest id, once; of its repeated rows, and without an id, one."""
     docs = _told_apart(docs)
     found = simhash.near_duplicates(docs, shingle=SHINGLE, distance=DISTANCE, others=["part"])
     least = found.groupBy("root").agg(F.min(place("doc_id", "part")).alias("least"))
-    return _only(docs, least.select(F.col("least.key").alias("doc_id"), F.col("least.part").alias("part")))
+    least = least.select(F.col("least.key").alias("doc_id"), F.col("least.part").alias("part"))
+    # Only rows with a digest can be repeated; the others need no shuffle of their texts.
+    single = _only(docs.where("part = ''"), least)
+    first = least.withColumnsRenamed({"doc_id": "__id", "part": "__part"})
+    again = docs.where("part != ''").join(first, same("doc_id", "part", "__id", "__part"), "left_semi")
+    one = again.groupBy("doc_id", "part").agg(F.min(F.struct("lang", "source", "text", "n_chars")).alias("row"))
+    return single.unionAll(one.select("doc_id", "row.text", "row.lang", "row.source", "row.n_chars"))
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -79,6 +79,16 @@ def test_rows_without_an_id_are_judged_each(spark):
     assert other[::-1] in [t for k, t in texts_of(pipeline.near_copies(spark, docs, "")) if k is None]
 
 
+def test_of_repeated_rows_one_stays(spark):
+    rows = [r for r in corpus()[:40]]
+    rows += [rows[0], rows[0], rows[5], (None, rows[7][1][::-1], "en", "a"), (None, rows[7][1][::-1], "en", "b")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], f"{DOC}, n_chars long").repartition(3)
+    kept = pipeline.near_copies(spark, docs, "")
+    assert kept.columns == COLUMNS
+    got = texts_of(kept)
+    assert len(got) == len(set(got)) and rows[0][:2] in got and (None, rows[7][1][::-1]) in got
+
+
 def test_the_query_runs_all_stages(spark, tmp_path):
     docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in corpus()[:60]], f"{DOC}, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
