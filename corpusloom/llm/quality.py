@@ -162,7 +162,8 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """(key, lang, source, COUNTS, base_failed, kept, others) of every row; the others are columns that are asked for.
 
     base_failed: fewer than 50 words, or over half of the words in repeated windows; such rows are never kept, but count
-    in the sketches. The others are kept if all signals lie within the fences of their language and source. Null
+    in the sketches. The others are kept if all signals lie within the fences of their language and source, which lie
+    no nearer to the quartiles than the least distances of SIGNALS, however narrow the sketch. Null
     languages and sources are groups of their own; a null or empty text fails. Repeated rows are counted and returned
     as often as they come; columns not asked for are not read; an empty table gives an empty result. Building the result writes
     the counts and the sketch.
