@@ -101,9 +101,10 @@ def word_starts(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """A tokenizer file of byte-level BPE, as the tokenizers library applies it without special tokens added."""
+    """A tokenizer file of byte-level BPE, as the tokenizers library applies it without special tokens added. With `plain`
+    special tokens written out in a text are ordinary text."""
 
-    def __init__(self, path: str, leaf: int = LEAF):
+    def __init__(self, path: str, leaf: int = LEAF, plain: bool = False):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -113,7 +114,7 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special = special
+        self.special = {} if plain else special
         spelled = self.library.get_vocab(with_added_tokens=False)
         to_byte = byte_of_char()
         size = max([*spelled.values(), *special.values()]) + 1

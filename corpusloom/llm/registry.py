@@ -9,11 +9,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, langid, lines, packing, quality, search, sharding, simhash, suffix, toxicity
+from corpusloom.llm import (
+    bpe, collocations, cross_tokens, langid, lines, ngram_join, packing, quality, search, sharding, simhash, suffix, toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER = "byte_bpe_50k.json"
+OTHER_TOKENIZER = "piece_bpe_32k.model"
 CAPACITY = 2048
 PASSAGE = 100
 SHARDS = 24
@@ -102,6 +105,18 @@ def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return search.top_k(vectors, F.col("vec_id") % 20 == 0, TOP)
 
 
+def op11_collocation_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(documents(spark, folder))
+
+
+def op12_grouped_prefix_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, folder))
+
+
+def op13_aligned_tokenizers(spark: SparkSession, folder: str) -> DataFrame:
+    return cross_tokens.alignment(documents(spark, folder), tokenizer(), public_tokenizers.path(OTHER_TOKENIZER))
+
+
 SQL_PASSAGES = f"""
 with b as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
 w as (
@@ -242,18 +257,67 @@ from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
 qualify rank <= 20
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL_COLLOCATIONS = f"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\n\\x0b\\x0c\\r]')) as piece from documents),
+split as (select lang, regexp_extract_all(piece, '[^ \\t]+') as ws from pieces),
+f as (
+  select lang, m, p as phrase, count(*) as a from (
+    select lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) as p
+    from split, range(1, {collocations.LONGEST + 1}) as t(m)) group by all),
+totals as (select lang, sum(a) as n from f where m = 1 group by lang),
+c as (select lang, m, phrase, a, string_split(phrase, ' ') as ws from f where m > 1 and a >= {collocations.LEAST}),
+cuts as (select *, unnest(range(1, m)) as k from c),
+scored as (
+  select cuts.lang, cuts.phrase, cuts.a, min({{'score': ({collocations.SCALE}::hugeint * cuts.a) // (x.a + y.a), 'k': k, 'l': x.a, 'r': y.a}}) as best
+  from cuts join f x on x.lang = cuts.lang and x.phrase = array_to_string(ws[1:k], ' ')
+    join f y on y.lang = cuts.lang and y.phrase = array_to_string(ws[k + 1:], ' ') group by all),
+inner_ as (select lang, ws, m, a, unnest(range(2, m)) as s from c where m > 2),
+longer as (
+  select lang, phrase, max(a) as longest from (
+    select lang, a, unnest(list_transform(range(1, m - s + 2), lambda i: array_to_string(ws[i:i + s - 1], ' '))) as phrase from inner_)
+  group by all)
+select lang, row_number() over w as rank, phrase, a, best.l::bigint as l, best.r::bigint as r, n::bigint as n, best.score::bigint as score
+from scored left join longer using (lang, phrase) join totals using (lang)
+where longest is null or 100::hugeint * longest < {collocations.COVERED_PERCENT}::hugeint * a
+window w as (partition by lang order by best.score desc, a desc, phrase)
+qualify rank <= {collocations.TOP}
+"""
+
+SQL_NGRAM_JOIN = f"""
+with recursive cut as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as ws from documents),
+sets as (
+  select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+    else list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) end) as g from cut),
+grams as (select doc_id, len(g) as n, unnest(g) as gram from sets),
+links as (
+  select a.doc_id as a, b.doc_id as b from grams a join grams b using (gram)
+  group by a.doc_id, b.doc_id, a.n, b.n
+  having 100 * count(*) >= {ngram_join.SIMILAR[0]} * (a.n + b.n - count(*))),
+reached as (
+  select a, b from links
+  union
+  select r.a, l.b from reached r join links l on r.b = l.a),
+least as (select a as doc_id, min(b) as component_id from reached group by a)
+select doc_id, len(g) as n_shingles, coalesce(component_id, doc_id) as component_id from sets left join least using (doc_id)
+"""
+
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_previous_factors, op2_hyperdimensional_language, op3_string_kernel_toxicity, op4_adaptive_quality,
         op5_simhash_anchors, op6_vector_best_fit, op7_interleaved_shards, op8_line_windows, op9_tree_concatenation, op10_exact_top_k,
+        op11_collocation_tiles, op12_grouped_prefix_join, op13_aligned_tokenizers,
     )
 }
 
 SQL: dict[str, str] = {
     "op1_previous_factors": SQL_PASSAGES, "op4_adaptive_quality": _sql_quality(),
     "op7_interleaved_shards": SQL_SHARDS, "op8_line_windows": SQL_LINES, "op10_exact_top_k": SQL_TOP,
+    "op11_collocation_tiles": SQL_COLLOCATIONS, "op12_grouped_prefix_join": SQL_NGRAM_JOIN,
 }
 
 
