@@ -8,13 +8,15 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key with more than one in SHARE rows is dealt out; the sketch that finds such keys follows TRACKED of them.
+# A key with more than one in SHARE rows, and more than LEAST, is dealt out; the sketch that finds such keys follows
+# TRACKED of them.
 SHARE = 512
+LEAST = 64
 TRACKED = 4096
 
 
 def frequent_keys(df: DataFrame, on: list[str], share: int = SHARE) -> dict[int, int]:
-    """{hash of key: pieces} of the keys that hold more than one in `share` rows, at most `share` of them.
+    """{hash of key: pieces} of the keys that hold more than one in `share` rows (and `LEAST`), at most `share` of them.
 
     Found by a sketch of frequent items: one pass, a sketch of fixed size per task, merged without a shuffle of the
     keys. A key of n rows gets as many pieces as leave about rows / share in each. Runs one job.
@@ -22,7 +24,8 @@ def frequent_keys(df: DataFrame, on: list[str], share: int = SHARE) -> dict[int,
     hashed = df.select(F.xxhash64(*on).alias("h"))
     found = hashed.agg(F.expr(f"approx_top_k(h, {share}, {max(TRACKED, 4 * share)})").alias("top"), F.count(F.lit(1)).alias("n"))
     row = found.first()
-    return {r["item"]: ceil(r["count"] * share / row["n"]) for r in row["top"] or [] if r["count"] * share > row["n"]}
+    piece = max(row["n"] / share, LEAST)
+    return {r["item"]: ceil(r["count"] / piece) for r in row["top"] or [] if r["count"] > piece}
 
 
 def join_hot(
