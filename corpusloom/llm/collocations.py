@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import words as W
+from corpusloom.llm.bitmaps import BITS, bitmap, may_hold
 from corpusloom.operators.skew import join_hot
 from corpusloom.session import materialise
 
@@ -34,10 +35,9 @@ SCALE = 2_000_000
 COVERED_PERCENT = 80
 TOP = 2000
 RANKED = 1 << 16
-BITS = 1 << 24
 SIDE = 1024  # ranks per side of a tile
 CROWDED = SIDE * SIDE // 16
-CHUNK = 1 << 22
+CHUNK = (1 << 20) - 1
 PARTS = 64
 TURN = 13
 
@@ -64,16 +64,12 @@ def _code(columns: list[str]) -> Column:
 
 
 class Symbols:
-    """The frequent phrases of a level, as far as a task knows them."""
+    """The frequent phrases of a level, as far as a task knows them: the codes of the first ranks, and a bitmap of all."""
 
     def __init__(self, ranked: np.ndarray, bits: np.ndarray):
         self.order = np.argsort(ranked, kind="stable")
         self.sorted = ranked[self.order]
         self.bits = bits
-        self.shift = np.uint64(64 - (len(bits).bit_length() - 1))
-
-    def may_be_frequent(self, codes: np.ndarray) -> np.ndarray:
-        return self.bits[(codes >> self.shift).astype(np.int64)]
 
     def numbers(self, codes: np.ndarray) -> np.ndarray:
         """The rank of each symbol, or a number of its own behind the ranks."""
@@ -170,35 +166,24 @@ def symbols(frequent: DataFrame, columns: list[str], ranked: int = RANKED, bits:
     """What tasks need to know of the frequent phrases (code columns, n): the driver gets `ranked` codes and `bits` bits."""
     codes = frequent.select(_code(columns).alias("code"), "n")
     top = codes.orderBy(F.desc("n"), "code").limit(ranked).select("code").toPandas()["code"].to_numpy(np.int64)
-    place = F.shiftrightunsigned("code", 64 - (bits.bit_length() - 1)) + 1
-    parts = codes.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
-    marks = np.zeros(bits, bool)
-    for row in parts.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("marks")).collect():
-        found = np.unpackbits(np.frombuffer(row["marks"], np.uint8), bitorder="little").astype(bool)
-        begin = (row["bucket"] - 1) * len(found)
-        marks[begin : begin + len(found)] = found[: bits - begin]
-    return Symbols(top.view(np.uint64), marks)
+    return Symbols(top.view(np.uint64), bitmap(codes, F.col("code"), bits))
 
 
 def phrase_counts(texts: DataFrame, seed: int, words: int, known: Symbols, least: int, side: int = SIDE, crowded: int = CROWDED) -> DataFrame:
     """(c0 …, n): the phrases of so many words, as their words' codes, that occur `least` times or more."""
     columns = [f"c{i}" for i in range(words)]
-    packed = np.packbits(known.bits), known.sorted, known.order
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = Symbols(np.zeros(0, np.uint64), np.unpackbits(packed[0]).astype(bool))
-        mine.sorted, mine.order = packed[1], packed[2]
         for batch in batches:
             for _, _, _, codes, pieces, _ in _words(batch, seed):
                 n = len(codes) - words + 1
                 if n <= 0:
                     continue
                 parts = phrase_codes([codes[i : len(codes) - words + 2 + i] for i in range(words - 1)])
-                frequent = mine.may_be_frequent(parts)
+                frequent = may_hold(known.bits, parts)
                 at = np.flatnonzero((pieces[:n] == pieces[words - 1 :]) & frequent[:n] & frequent[1 : n + 1])
                 if not len(at):
                     continue
-                numbers = mine.numbers(np.r_[parts[at], parts[at + 1]])
+                numbers = known.numbers(np.r_[parts[at], parts[at + 1]])
                 left, right = numbers[: len(at)], numbers[len(at) :]
                 where, often = tile_counts(left, right, side, crowded)
                 listed = [codes[at[where] + i] for i in range(words)]

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 
-from corpusloom.llm.bpe import _powers
+from corpusloom.llm.arrow import chunks, cut, raw_values  # noqa: F401 - used as parts of this module
 from corpusloom.llm.suffix import _MIX, _hash, _scatter, _sums
 
 # The white space that ends words.
@@ -27,34 +24,6 @@ def kinds(spaces: bytes = SPACES, breaks: bytes = b"") -> np.ndarray:
     return out
 
 
-def raw_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of all values of a binary column in a row, where each value ends); a null counts as empty."""
-    column = column.cast(pa.binary()).fill_null(b"")
-    _, offsets, data = column.buffers()
-    if not len(column):
-        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
-    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    if data is None:
-        return np.zeros(0, np.uint8), at[1:] - at[0]
-    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at[1:] - at[0]
-
-
-def chunks(ends: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of values of at most `limit` bytes, or of one longer value."""
-    begin = 0
-    while begin < len(ends):
-        done = ends[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(ends, done + limit, "right")))
-        yield begin, end
-        begin = end
-
-
-def cut(data: np.ndarray, ends: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The values begin … end-1 of those in `data`."""
-    first = ends[begin - 1] if begin else 0
-    return data[first : ends[end - 1]], ends[begin:end] - first
-
-
 def lowered(data: np.ndarray) -> np.ndarray:
     """A to Z as a to z."""
     return _LOWER[data]
@@ -73,7 +42,6 @@ def word_bounds(kind: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hashes of the words, the same wherever they stand."""
-    _powers(max(20, len(data).bit_length()))
     mix = _MIX[0] if not seed else np.random.default_rng((11, seed)).integers(0, 1 << 64, 256, dtype=np.uint64)
     return _hash(_sums(data, mix), starts, stops) if len(starts) else np.zeros(0, np.uint64)
 

@@ -50,7 +50,7 @@ def answer(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("limits", [{}, {"side": 8, "crowded": 5, "ranked": 6, "bits": 1 << 16, "top": 20}])
+@pytest.mark.parametrize("limits", [{}, {"side": 8, "crowded": 5, "ranked": 6, "bits": 1 << 15, "top": 20}])
 def test_against_plain_counts(spark, limits, monkeypatch):
     monkeypatch.setattr(C, "CHUNK", 3000)
     rows = corpus(300) * 2
