@@ -2,8 +2,9 @@
 
 1. Every text becomes the set of its n-grams, as hashes; equal sets are one class.
 2. All n-grams have one order, rare ones first. Two sets that are alike share an n-gram in their prefixes, the first
-   n - ceil(share * n) + 1 in that order. The order comes from counts in a table of fixed size, so that it can be known in
-   every task; any order gives the same links, a good one keeps frequent n-grams out of prefixes.
+   n - ceil(share * n) + 1 in that order. The order comes from a bitmap of the n-grams that stand in several places and from
+   counts in buckets, both of a fixed size, so that it can be known in every task; any order gives the same links, a good
+   one keeps repeated n-grams out of prefixes.
 3. Classes of the same prefix and size are one group. Groups meet at the n-grams of their prefixes, if their sizes and the
    places there leave room for enough common n-grams.
 4. First every group meets only the group that stands first at an n-gram, and a group's members meet its first member:
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import words as W
+from corpusloom.llm.bitmaps import bitmap, may_hold
 from corpusloom.llm.components import components
 from corpusloom.operators.skew import join_hot
 from corpusloom.session import materialise
@@ -31,9 +33,10 @@ WORDS = 4
 SIMILAR = (85, 100)
 BUCKETS = 1 << 20
 BLOCK = 4096  # buckets per row of counts
-CHUNK = 1 << 22  # bytes of text at a time
+GRAM_BITS = 1 << 27
+CHUNK = (1 << 20) - 1  # bytes of text at a time
 FEW = 64  # groups at one n-gram up to which a join lets them meet
-TILE = 4096  # groups of one block where there are more
+TILE = 1024  # groups of one block where there are more
 SLAB = 1 << 21
 
 
@@ -110,12 +113,28 @@ def bucket_counts(texts: DataFrame, size: int = WORDS) -> np.ndarray:
     return out.ravel()
 
 
+def repeated_grams(texts: DataFrame, size: int = WORDS) -> np.ndarray:
+    """A bitmap of the n-grams that stand in several places of all texts: counted on the cluster, combined before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = W.raw_values(batch.column(0))
+            for a, b in W.chunks(ends, CHUNK):
+                hashes, n = np.unique(_shingles(*W.cut(data, ends, a, b), size)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n > 1)], ["token", "again"])
+
+    tokens = texts.select("text").mapInArrow(run, "token long, again boolean")
+    several = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where("n > 1 or again")
+    return bitmap(several, F.col("token"), GRAM_BITS)
+
+
 def _prefix_size(n: int, similar: tuple[int, int]) -> int:
     return n - -(-n * similar[0] // similar[1]) + 1
 
 
-def described(texts: DataFrame, kind: str, size: int, similar: tuple[int, int]) -> DataFrame:
-    """(key, n, h1, h2, prefix) of every text: the size of its set, a digest of the set, and its rarest n-grams in order."""
+def described(texts: DataFrame, kind: str, size: int, similar: tuple[int, int], several: np.ndarray) -> DataFrame:
+    """(key, n, h1, h2, prefix) of every text: the size of its set, a digest of the set, and its rarest n-grams in
+    order: those that stand nowhere else, then by the counts of their buckets."""
     counts = bucket_counts(texts, size)
     shift = np.uint64(64 - (BUCKETS.bit_length() - 1))
 
@@ -126,7 +145,7 @@ def described(texts: DataFrame, kind: str, size: int, similar: tuple[int, int])
                 for hashes in sets:
                     n = len(hashes)
                     rows.append((n, *_digest(hashes)))
-                    order = np.lexsort((hashes, counts[(hashes >> shift).astype(np.int64)]))
+                    order = np.lexsort((hashes, counts[(hashes >> shift).astype(np.int64)], may_hold(several, hashes)))
                     prefixes.append(hashes[order[: _prefix_size(n, similar)]] if n else hashes)
             table = np.array(rows, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays(
@@ -138,27 +157,49 @@ def described(texts: DataFrame, kind: str, size: int, similar: tuple[int, int])
 
 
 def _sets_of(texts: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(cls, n, grams) of the wanted classes: made again from the texts of their first documents."""
-    needed = materialise(classes.join(wanted.select("cls").distinct(), "cls", "left_semi").select("cls", "h1", "h2", "n", "first"), "needed")
-    ids = needed.select(F.col("first").alias("__first")).distinct()
+    """(cls, n, grams) of the wanted classes: made again from the texts of their first documents, which a bitmap of these
+    documents' keys finds; no text is shuffled."""
+    needed = classes.join(wanted.select("cls").distinct(), "cls", "left_semi").select("cls", "h1", "h2", "n", "first")
+    needed = materialise(needed, "needed")
+    marks = bitmap(needed, F.xxhash64("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            mine = may_hold(marks, batch.column("hash").to_numpy())
             digests, kept = [], []
-            for _, sets in _sets(batch.column("text"), size):
+            for _, sets in _sets(batch.column("text").filter(pa.array(mine)), size):
                 digests += [_digest(s) for s in sets]
                 kept += sets
             table = np.array(digests, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(table[:, 0].copy()), pa.array(table[:, 1].copy()), _longs(kept)], ["h1", "h2", "grams"])
 
-    mine = texts.join(ids, F.col("key").eqNullSafe(F.col("__first")), "left_semi").select("text")
-    made = mine.mapInArrow(run, "h1 long, h2 long, grams array<long>")
+    made = texts.select(F.xxhash64("key").alias("hash"), "text").mapInArrow(run, "h1 long, h2 long, grams array<long>")
     # A key may stand in several rows: each class takes one set, whichever row it comes from.
     return materialise(
         made.join(needed.select("cls", "h1", "h2", "n"), ["h1", "h2"]).groupBy("cls", "n").agg(F.any_value("grams").alias("grams")), "sets"
     )
 
 
+def _repeated_places(groups: DataFrame, several: np.ndarray) -> DataFrame:
+    """(token, at, gid, n, members): the places of prefixes whose n-gram stands elsewhere too, and a few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column("prefix")
+            sizes = np.diff(prefix.offsets.to_numpy())
+            token = prefix.flatten().to_numpy()
+            kept = np.flatnonzero(may_hold(several, token))
+            owner = np.repeat(np.arange(len(sizes)), sizes)[kept]
+            at = kept - (np.cumsum(sizes) - sizes)[owner]
+            rows = pa.array(owner)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(token[kept]), pa.array(at.astype(np.int64)), *[batch.column(c).take(rows) for c in ("gid", "n", "members")]],
+                ["token", "at", "gid", "n", "members"],
+            )
+
+    return groups.mapInArrow(run, "token long, at long, gid long, n long, members long")
+
+
 def _enough(n_x: Column, n_y: Column, similar: tuple[int, int]) -> Column:
     """The least number of common n-grams, times the sum of both terms of the ratio, that makes two sets alike."""
     return (n_x + n_y) * similar[0]
@@ -236,7 +277,8 @@ def near_duplicates(
     """
     texts = df.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
     kind = texts.schema["key"].dataType.simpleString()
-    marked = materialise(described(texts, kind, size, similar), "described")
+    several = repeated_grams(texts, size)
+    marked = materialise(described(texts, kind, size, similar, several), "described")
     single = marked.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("key").alias("first"), F.any_value("prefix").alias("prefix"))
     classes = materialise(single.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
@@ -246,15 +288,15 @@ def near_duplicates(
     shared = materialise(shared.select("cls", "gid"), "members")
 
     # The n-grams that stand in several prefixes, and of each the place nearest to the front of its prefix.
-    order = F.shiftleft(F.col("at").cast("long"), 33) + F.shiftleft("n", 1) + (F.col("members") > 1).cast("int")
-    postings = groups.select("gid", "n", "members", F.posexplode("prefix").alias("at", "token")).withColumn("order", order)
+    order = F.shiftleft("at", 33) + F.shiftleft("n", 1) + (F.col("members") > 1).cast("int")
+    postings = materialise(_repeated_places(groups, several).withColumn("order", order), "postings")
     tokens = postings.groupBy("token").agg(
         F.count(F.lit(1)).alias("size"), F.min("order").alias("first_order"), F.min_by("gid", "order").alias("first_gid")
     ).where("size > 1")
     tokens = materialise(tokens, "tokens")
     size_of = F.shiftright(F.col("first_order").bitwiseAND(F.lit((1 << 33) - 1)), 1)
     places = join_hot(postings.drop("order"), tokens.drop("size"), ["token"], ["gid"]).select(
-        "token", "gid", "n", F.col("at").cast("long").alias("at"), "first_gid", F.shiftright("first_order", 33).alias("first_at"),
+        "token", "gid", "n", "at", "first_gid", F.shiftright("first_order", 33).alias("first_at"),
         size_of.alias("first_n"), ((F.col("members") > 1) | (F.col("first_order") % 2 == 1)).alias("several"),
     )
     places = materialise(places.where("gid <> first_gid"), "places")
