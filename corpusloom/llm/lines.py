@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.arrow import map_rows
 from corpusloom.llm.rows import place, same, told_apart
 
 WINDOW = 3
@@ -38,23 +39,15 @@ def later_windows(inputs: DataFrame, size: int = WINDOW) -> DataFrame:
     hash, so that a window in a third of all texts is a join key whose rows the planner may split.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys, parts, rows = [], [], []
-            for k, p, t in zip(batch["key"], batch["part"], batch["text"]):
-                if t is not None:
-                    found = window_hashes(t, size)
-                    keys.extend([k] * len(found))
-                    parts.extend([p] * len(found))
-                    rows.extend(found)
-            cells = np.array(rows, dtype=np.int64).reshape(-1, 3)
-            yield pd.DataFrame(
-                {"key": pd.Series(keys, dtype=batch["key"].dtype), "part": pd.Series(parts, dtype=object), "place": cells[:, 0],
-                 "h1": cells[:, 1], "h2": cells[:, 2]}
-            )
-
-    kind = inputs.schema["key"].dataType.simpleString()
-    windows = inputs.mapInPandas(run, f"key {kind}, part string, place long, h1 long, h2 long")
+    def start():
+        def work(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, pd.DataFrame]]:
+            found = [window_hashes(t, size) if t is not None else [] for t in batch["text"]]
+            cells = np.array([row for rows in found for row in rows], dtype=np.int64).reshape(-1, 3)
+            yield np.repeat(np.arange(len(found)), [len(rows) for rows in found]), pd.DataFrame(cells, columns=["place", "h1", "h2"])
+
+        return work
+
+    windows = map_rows(inputs, ["key", "part"], start, "place long, h1 long, h2 long")
     repeated = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place("key", "part")).alias("first")).where("n > 1")
     met = windows.join(repeated.drop("n"), ["h1", "h2"])
     # In the first text only the first place of a window is kept; everywhere else, all of them are later ones.
@@ -80,7 +73,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
     ignored, and texts of fewer lines than a window stay as they are. A text that loses all lines becomes ''. A null
     text stays null with 0 lines removed; rows without a key count as later than all others. A repeated row is the
     same document again: all its copies get the same result. Other texts under the same key, or without one, are documents
-    of their own, in the order of a digest. Other columns pass through; one called lines_removed is
+    of their own, in the order of a digest. Equal windows are told by 128-bit hashes. Other columns pass through; one called lines_removed is
     replaced. Building the result writes the keys of several rows.
     """
     rest = told_apart(df.drop("lines_removed"), key, text, "__mine")

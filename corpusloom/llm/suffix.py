@@ -4,7 +4,7 @@ A byte goes if a string of `length` bytes around it begins earlier in the corpus
 anchor: its smallest hash of `GRAM` bytes, chosen alike wherever the string stands; the strings with the same anchor
 make a run of starts, whose text is the anchor's context. Strings can be equal only if their anchors are, so:
 
-1. anchors whose hash occurs once drop out (counts, combined before the shuffle);
+1. anchors whose hash occurs once drop out (counts, combined before the shuffle, and a bitmap of the repeated ones);
 2. of equal contexts the first is kept, all starts of the others have an earlier match;
 3. the different contexts of an anchor are compared by suffix order: their starts are sorted as suffixes, and the
    previous and the next smaller position in that order give the longest previous factor;
@@ -17,11 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.arrow import chunks, cut, raw_values
+from corpusloom.llm.bitmaps import bitmap, may_hold
 from corpusloom.llm.bpe import _powers
 from corpusloom.llm.rows import place, same, told_apart
+from corpusloom.operators.skew import join_hot
 from corpusloom.session import materialise
 
 LENGTH = 100
@@ -153,174 +157,176 @@ def has_previous_factor(data: np.ndarray, starts: np.ndarray, order: np.ndarray,
 
 # --- jobs ---
 
-OCCURRENCE = "k1 long, k2 long, key {kind}, part string, low long, high long, first boolean"
 
+def _packed(low: np.ndarray, high: np.ndarray, later: np.ndarray | int = 0) -> np.ndarray:
+    """A run of starts as one number: its first start, how many follow, and whether its context stands earlier in the text."""
+    return (low << (SPAN_BITS + 1)) | ((high - low) << 1) | later
 
-def _batches(raws: list[bytes], limit: int = BATCH) -> Iterator[tuple[int, int]]:
-    begin = size = 0
-    for i, raw in enumerate(raws):
-        if i > begin and size + len(raw) > limit:
-            yield begin, i
-            begin, size = i, 0
-        size += len(raw)
-    if begin < len(raws):
-        yield begin, len(raws)
 
-
-def _in_a_row(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(raws), np.uint8), np.cumsum([len(r) for r in raws])
+def _unpacked(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    low = runs >> (SPAN_BITS + 1)
+    return low, low + ((runs >> 1) & ((1 << SPAN_BITS) - 1))
 
 
-def occurrences(texts: DataFrame, kind: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """An OCCURRENCE row per anchor: k1 the anchor's hash, k2 its context's."""
+def occurrences(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, marks: np.ndarray | None = None, only_hash: bool = False) -> DataFrame:
+    """(k1, k2, key, part, run) of every anchor of (key, part, text): k1 its hash, k2 its context's; with `marks` only those
+    whose k1 the bitmap of its lower bits may hold, with `only_hash` k1 alone."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raws = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"]]
-            for a, b in _batches(raws):
-                found = anchors(*_in_a_row(raws[a:b]), length, gram)
-                yield pd.DataFrame(
-                    {"k1": found["h"], "k2": found["context"], "key": batch["key"].iloc[a + found["text"]].to_numpy(),
-                     "part": batch["part"].iloc[a + found["text"]].to_numpy(),
-                     "low": found["low"], "high": found["high"], "first": found["first"].astype(bool)}
+            data, ends = raw_values(batch.column("text"))
+            for a, b in chunks(ends, BATCH):
+                found = anchors(*cut(data, ends, a, b), length, gram)
+                if only_hash:
+                    yield pa.RecordBatch.from_arrays([pa.array(found["h"])], ["k1"])
+                    continue
+                kept = np.flatnonzero(may_hold(marks, found["h"] << 40)) if marks is not None else np.arange(len(found["h"]))
+                owner = pa.array(a + found["text"][kept])
+                runs = _packed(found["low"][kept], found["high"][kept], 1 - found["first"][kept].astype(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found["h"][kept]), pa.array(found["context"][kept]), batch.column("key").take(owner),
+                     batch.column("part").take(owner), pa.array(runs)], ["k1", "k2", "key", "part", "run"],
                 )
 
-    return texts.mapInPandas(run, OCCURRENCE.format(kind=kind))
+    if only_hash:
+        return texts.select("text").mapInArrow(run, "k1 long")
+    kind = texts.schema["key"].dataType.simpleString()
+    return texts.select("key", "part", "text").mapInArrow(run, f"k1 long, k2 long, key {kind}, part long, run long")
 
 
 def _first_places(rows: DataFrame) -> DataFrame:
-    """(k1, k2, first_key, first_part): the text with the smallest key, and of one key's the smallest digest, in which each
+    """(k1, k2, first_key, first_part): the text with the smallest key, and of one key's the smallest number, in which each
     pair stands."""
     firsts = rows.groupBy("k1", "k2").agg(F.min(place("key", "part")).alias("first"))
     return firsts.select("k1", "k2", F.col("first.key").alias("first_key"), F.col("first.part").alias("first_part"))
 
 
 def _is_first():
-    return F.col("first") & same("key", "part", "first_key", "first_part")
+    return (F.col("run") % 2 == 0) & same("key", "part", "first_key", "first_part")
 
 
-def _packed(low: str = "low", high: str = "high"):
-    """A run of starts as one number: its first start, and how many follow."""
-    return F.shiftleft(F.col(low), SPAN_BITS) + F.col(high) - F.col(low)
-
-
-def _unpacked(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = runs >> SPAN_BITS
-    return low, low + (runs & ((1 << SPAN_BITS) - 1))
+def _contexts(texts: DataFrame, wanted: DataFrame, length: int, apart: bool) -> DataFrame:
+    """The wanted contexts (k1, key, part, low, high) with their bytes, or (apart) a row of `occurrences` per string in them."""
+    kind = texts.schema["key"].dataType.simpleString()
+    # Copies of a repeated row want the same contexts.
+    listed = wanted.groupBy(F.col("key").alias("__key"), F.col("part").alias("__part")).agg(F.collect_set(F.struct("k1", "run")).alias("parts"))
+    listed = listed.select("__key", "__part", F.col("parts.k1").alias("k1s"), F.col("parts.run").alias("runs"))
+    joined = texts.join(listed, same("key", "part", "__key", "__part")).select("key", "part", "text", "k1s", "runs")
 
+    def texts_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        data, ends = raw_values(batch.column("text"))
+        begins = np.r_[0, ends]
+        for i, (k1s, runs) in enumerate(zip(batch.column("k1s"), batch.column("runs"))):
+            yield i, data[begins[i] : ends[i]], k1s.values.to_numpy(), runs.values.to_numpy()
 
-def _contexts(texts: DataFrame, wanted: DataFrame, kind: str, length: int, apart: bool) -> DataFrame:
-    """The wanted contexts (k1, key, part, low, high) with their bytes, or (apart) an OCCURRENCE row per string in them."""
-    listed = wanted.groupBy(F.col("key").alias("__key"), F.col("part").alias("__part")).agg(
-        F.collect_list(F.struct("k1", _packed().alias("run"))).alias("parts")
-    ).select(
-        "__key", "__part", F.transform("parts", lambda p: p["k1"]).alias("k1s"), F.transform("parts", lambda p: p["run"]).alias("runs")
-    )
-    joined = texts.join(listed, same("key", "part", "__key", "__part")).select("key", "part", "text", "k1s", "runs")
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(batch, rows):
+            owner = pa.array(np.concatenate([np.full(len(r[1]), r[0]) for r in rows]))
+            k1, low, high = (pa.array(np.concatenate([r[j] for r in rows])) for j in (1, 2, 3))
+            found = pa.array([x for r in rows for x in r[4]], pa.binary())
+            columns = [k1, batch.column("key").take(owner), batch.column("part").take(owner), low, high, found]
+            return pa.RecordBatch.from_arrays(columns, ["k1", "key", "part", "low", "high", "bytes"])
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            owner, k1s, lows, highs, found, size = [], [], [], [], [], 0
-            for i, (text, k1, runs) in enumerate(zip(batch["text"], batch["k1s"], batch["runs"])):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                low, high = _unpacked(np.asarray(runs))
-                parts = [raw[a:b] for a, b in zip(low.tolist(), (high + length).tolist())]
-                owner.append(np.full(len(low), i))
-                k1s.append(k1)
-                lows.append(low)
-                highs.append(high)
-                found += parts
+            rows, size = [], 0
+            for i, data, k1s, runs in texts_of(batch):
+                low, high = _unpacked(runs)
+                raw = data.tobytes()
+                parts = [raw[x:y] for x, y in zip(low.tolist(), (high + length).tolist())]
+                rows.append((i, k1s, low, high, parts))
                 size += sum(map(len, parts))
-                if size > 4 * BATCH or i == len(batch) - 1:
-                    yield pd.DataFrame(
-                        {"k1": np.concatenate(k1s), "key": batch["key"].iloc[np.concatenate(owner)].to_numpy(),
-                         "part": batch["part"].iloc[np.concatenate(owner)].to_numpy(), "low": np.concatenate(lows), "high": np.concatenate(highs), "bytes": found}
-                    )
-                    owner, k1s, lows, highs, found, size = [], [], [], [], [], 0
-
-    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                if size > 4 * BATCH:
+                    yield made(batch, rows)
+                    rows, size = [], 0
+            if rows:
+                yield made(batch, rows)
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, part, text, runs in zip(batch["key"], batch["part"], batch["text"], batch["runs"]):
-                data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-                at = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(*_unpacked(np.asarray(runs)))]))
+            for i, data, _, runs in texts_of(batch):
+                at = np.unique(np.concatenate([np.arange(x, y + 1) for x, y in zip(*_unpacked(runs))]))
                 k1, k2 = (_hash(_sums(data, mix), at, at + length).view(np.int64) for mix in _MIX)
                 order = np.lexsort((at, k2, k1))
-                first = np.ones(len(at), bool)
-                first[order[1:]] = (k1[order[1:]] != k1[order[:-1]]) | (k2[order[1:]] != k2[order[:-1]])
-                out = pd.DataFrame({"k1": k1, "k2": k2, "low": at, "high": at, "first": first})
-                out.insert(2, "key", pd.Series([key] * len(at), dtype=batch["key"].dtype))
-                out.insert(3, "part", part)
-                yield out
+                later = np.zeros(len(at), np.int64)
+                later[order[1:]] = (k1[order[1:]] == k1[order[:-1]]) & (k2[order[1:]] == k2[order[:-1]])
+                owner = pa.array(np.full(len(at), i))
+                columns = [pa.array(k1), pa.array(k2), batch.column("key").take(owner), batch.column("part").take(owner), pa.array(_packed(at, at, later))]
+                yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "key", "part", "run"])
 
     if apart:
-        return joined.mapInPandas(strings, OCCURRENCE.format(kind=kind))
-    return joined.mapInPandas(cut, f"k1 long, key {kind}, part string, low long, high long, bytes binary")
+        return joined.mapInArrow(strings, f"k1 long, k2 long, key {kind}, part long, run long")
+    return joined.mapInArrow(contexts, f"k1 long, key {kind}, part long, low long, high long, bytes binary")
 
 
-def _compared(contexts: DataFrame, kind: str, length: int) -> DataFrame:
-    """(key, part, low, high): runs of starts with a previous factor among the contexts of the same anchor."""
+def _compared(contexts: DataFrame, length: int) -> DataFrame:
+    """(key, part, run): runs of starts with a previous factor among the contexts of the same anchor."""
+    kind = contexts.schema["key"].dataType.simpleString()
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        # Earlier contexts first: smaller key, or further up in the same text; a null key comes last.
-        rows = rows.sort_values(["key", "part", "low"], kind="stable", na_position="last")
-        data, ends = _in_a_row(rows["bytes"].tolist())
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        # Earlier contexts come first: smaller key, or further up in the same text; a null key comes last.
+        data, ends = raw_values(rows.column("bytes").combine_chunks())
         begins = np.r_[0, ends[:-1]]
-        counts = rows["high"].to_numpy() - rows["low"].to_numpy() + 1
-        owner = np.repeat(np.arange(len(rows)), counts)
+        low, high = (rows.column(c).to_numpy() for c in ("low", "high"))
+        counts = high - low + 1
+        owner = np.repeat(np.arange(len(low)), counts)
         within = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-        start = rows["low"].to_numpy()[owner] + within
+        start = low[owner] + within
         found = has_previous_factor(data, begins[owner] + within, np.arange(len(owner)), length)
         owner, start = owner[found], start[found]
-        cut = np.r_[True, (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)] if len(owner) else np.zeros(0, bool)
-        at = np.flatnonzero(cut)
+        cuts = np.r_[True, (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)] if len(owner) else np.zeros(0, bool)
+        at = np.flatnonzero(cuts)
         last = np.r_[at[1:], len(owner)] - 1 if len(at) else at
-        return pd.DataFrame(
-            {"key": rows["key"].iloc[owner[at]].to_numpy(), "part": rows["part"].iloc[owner[at]].to_numpy(),
-             "low": start[at], "high": start[last]}
-        )
+        chosen = pa.array(owner[at])
+        columns = [rows.column(c).combine_chunks().take(chosen) for c in ("key", "part")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(_packed(start[at], start[last]))], ["key", "part", "run"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
             if not len(rows):
                 continue
             # The copies of a repeated row cut the same contexts; a second one would count as later than the first.
-            rows = rows.drop_duplicates(["k1", "key", "part", "low"], ignore_index=True)
+            key = rows.column("key").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            named = np.c_[key, *[rows.column(c).to_numpy() for c in ("k1", "part", "low")]]
+            rows = rows.filter(pa.array(np.r_[True, (named[1:] != named[:-1]).any(axis=1)]))
             # Whole anchors are solved together up to a batch of bytes; the last one may go on in the next rows.
-            k1 = rows["k1"].to_numpy()
+            k1 = rows.column("k1").to_numpy()
             begins = np.flatnonzero(np.r_[True, k1[1:] != k1[:-1]])
-            upto = np.r_[0, np.cumsum(rows["bytes"].map(len).to_numpy())]
+            upto = np.r_[0, raw_values(rows.column("bytes").combine_chunks())[1]]
             i = 0
             while i < len(begins) - 1:
                 j = max(i + 1, int(np.searchsorted(upto[begins], upto[begins[i]] + BATCH, "right")) - 1)
-                yield solve(rows.iloc[begins[i] : begins[j]])
+                yield solve(rows.slice(begins[i], begins[j] - begins[i]))
                 i = j
-            rest = rows.iloc[begins[-1] :]
+            rest = rows.slice(begins[-1])
         if rest is not None and len(rest):
             yield solve(rest)
 
-    together = contexts.repartition("k1").sortWithinPartitions("k1", "key", "part", "low")
-    return together.mapInPandas(run, f"key {kind}, part string, low long, high long")
+    together = contexts.repartition("k1").sortWithinPartitions("k1", F.col("key").asc_nulls_last(), "part", "low")
+    return together.mapInArrow(run, f"key {kind}, part long, run long")
 
 
 def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, contexts: int = CONTEXTS) -> DataFrame:
-    """(key, part, low, high): runs of starts, both ends included, of strings of `length` bytes that begin earlier as well,
-    in texts (key, text) told apart by `part`."""
-    kind = texts.schema["key"].dataType.simpleString()
-    all_places = occurrences(texts, kind, length, gram)
-    repeated = all_places.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1")
-    places = materialise(all_places.join(repeated, "k1"), "anchors")
+    """(key, part, run): runs of starts, both ends included, of strings of `length` bytes that begin earlier as well, in
+    texts (key, part, text) told apart by `part`."""
+    hashes = occurrences(texts, length, gram, only_hash=True)
+    repeated = hashes.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # A bitmap of the anchors that occur twice or more leaves them, and a few others that do no harm, before any shuffle. It
+    # goes by the lower bits: an anchor is a smallest hash, so its upper bits are mostly 0.
+    places = materialise(occurrences(texts, length, gram, bitmap(repeated, F.shiftleft("k1", 40))), "anchors")
     firsts = materialise(_first_places(places), "first_contexts")
-    marked = places.join(firsts, ["k1", "k2"])
-    copies = marked.where(~_is_first()).select("key", "part", "low", "high")
-    several = firsts.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Of each context the first place, once however often its row comes; only anchors with several contexts are left to compare.
-    open_ = materialise(marked.where(_is_first()).join(several, "k1").select("k1", "key", "part", "low", "high", "n").distinct(), "open")
+    marked = join_hot(places, firsts, ["k1", "k2"], ["key", "run"]).select("k1", "key", "part", "run", _is_first().alias("first"))
+    marked = materialise(marked, "places")
+    copies = marked.where("not first").select("key", "part", "run")
+    several = materialise(firsts.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
+    # Of each context the first place; only anchors with several contexts are left to compare.
+    open_ = materialise(join_hot(marked.where("first").drop("first"), several, ["k1"], ["key", "run"]), "open")
     few, many = open_.where(F.col("n") <= contexts).drop("n"), open_.where(F.col("n") > contexts).drop("n")
-    compared = _compared(_contexts(texts, few, kind, length, apart=False), kind, length)
-    strings = _contexts(texts, many, kind, length, apart=True)
-    dealt = strings.join(_first_places(strings), ["k1", "k2"]).where(~_is_first()).select("key", "part", "low", "high")
+    compared = _compared(_contexts(texts, few, length, apart=False), length)
+    strings = _contexts(texts, many, length, apart=True)
+    dealt = strings.join(_first_places(strings), ["k1", "k2"]).where(~_is_first()).select("key", "part", "run")
     return copies.unionAll(compared).unionAll(dealt)
 
 
@@ -353,8 +359,8 @@ def dedup_passages(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
         raise ValueError("an anchor has at least 8 bytes and at most a string's, which are fewer than 4096")
     passed = [F.struct(*others).alias("__others")] if others else []
     texts = told_apart(df.select(F.col(key).alias("key"), F.col(text).alias("text"), *passed), "key", "text", "part")
-    runs = repeated_starts(texts.select("key", "part", "text"), length, gram, contexts)
-    listed = runs.groupBy(F.col("key").alias("__key"), F.col("part").alias("__part")).agg(F.collect_list(_packed()).alias("__runs"))
+    runs = repeated_starts(texts.select("key", "part", F.col("text").cast("binary").alias("text")), length, gram, contexts)
+    listed = runs.groupBy(F.col("key").alias("__key"), F.col("part").alias("__part")).agg(F.collect_list("run").alias("__runs"))
     joined = texts.join(listed, same("key", "part", "__key", "__part"), "left")
 
     @F.pandas_udf(f"n_bytes long, kept {'string' if as_text else 'binary'}, n_spans long")
