@@ -12,7 +12,6 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -21,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from corpusloom.llm.arrow import map_rows, remembered
+
 LEAF = 512
 THREADS = 2
 # Code points handled at a time (a longer text is a batch of its own), and different words remembered by a task.
@@ -33,7 +34,7 @@ WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
 
 
-@cache
+@remembered
 def _classes() -> np.ndarray:
     kinds = {"L": LETTER, "N": NUMBER}
     out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
@@ -41,13 +42,13 @@ def _classes() -> np.ndarray:
     return out
 
 
-@cache
+@remembered
 def _mixed() -> np.ndarray:
     """A random 64-bit number per code point."""
     return np.random.default_rng(7).integers(0, 1 << 64, 0x110000, dtype=np.uint64)
 
 
-@cache
+@remembered
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2**64, and of its inverse."""
     base = 0x9E3779B97F4A7C15
@@ -280,7 +281,7 @@ class Encoder:
         return expand(*self.bytes_of, np.asarray(ids, np.int64))[0].tobytes().decode("utf-8", "replace")
 
 
-@cache
+@remembered
 def encoder(path: str, leaf: int = LEAF) -> Encoder:
     """One per Python worker."""
     return Encoder(path, leaf)
@@ -331,28 +332,26 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
     result; other columns are not read. A very long text is a batch of its own; memory grows with the longest text.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         enc = encoder(path)
-        for batch in batches:
+
+        def work(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, pd.DataFrame]]:
             texts = batch["text"].fillna("").tolist()
-            counts, id_hashes, text_hashes = [], [], []
             for a, b in batches_of(texts):
                 ids, begins = enc.encode(texts[a:b])
-                counts.append(np.diff(begins))
                 digits, digit_ends = expand(*enc.digits_of, ids)
                 raw, byte_ends = expand(*enc.bytes_of, ids)
                 digit_ends, byte_ends = np.r_[0, digit_ends][begins], np.r_[0, byte_ends][begins]
+                id_hashes, text_hashes = [], []
                 for i in range(b - a):
                     listed = digits[digit_ends[i] : max(digit_ends[i], digit_ends[i + 1] - 1)]
                     id_hashes.append(hashlib.sha256(listed).hexdigest())
                     back = raw[byte_ends[i] : byte_ends[i + 1]].tobytes().decode("utf-8", "replace")
                     text_hashes.append(hashlib.sha256(back.encode()).hexdigest())
-            yield pd.DataFrame(
-                {"key": batch["key"], "n_tokens": np.concatenate(counts) if counts else np.zeros(0, np.int64),
-                 "ids_sha256": id_hashes, "decoded_sha256": text_hashes}
-            )
+                out = {"n_tokens": np.diff(begins).astype(np.int64), "ids_sha256": id_hashes, "decoded_sha256": text_hashes}
+                yield np.arange(a, b), pd.DataFrame(out)
+
+        return work
 
     inputs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = inputs.schema["key"].dataType.simpleString()
-    out = inputs.mapInPandas(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return out.withColumnRenamed("key", key)
+    return map_rows(inputs, ["key"], start, "n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)

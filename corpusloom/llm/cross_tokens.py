@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import words as W
+from corpusloom.llm.arrow import remembered
 from corpusloom.llm.bpe import CACHE_WORDS, Encoder, _runs, expand
 from corpusloom.operators.skew import join_hot
 from corpusloom.session import materialise
@@ -28,9 +29,6 @@ CHUNK = 1 << 20
 # Fixed value: how the piece model writes a space.
 BLANK = "▁"
 
-_made: dict = {}
-
-
 class Pieces:
     """A sentencepiece model, applied to each different stretch of a batch once.
 
@@ -148,11 +146,10 @@ class Aligner:
         return [hashlib.sha256(listed[a : b - 1]).hexdigest() if b > a else "" for a, b in zip(upto, upto[1:])]
 
 
+@remembered
 def aligner(path_a: str, path_b: str) -> Aligner:
     """One per Python worker."""
-    if (path_a, path_b) not in _made:
-        _made[path_a, path_b] = Aligner(path_a, path_b)
-    return _made[path_a, path_b]
+    return Aligner(path_a, path_b)
 
 
 def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.arrow import map_rows, remembered
 from corpusloom.llm.bpe import LETTER, _classes, batches_of
 
 DIMENSIONS = 512
@@ -34,7 +34,7 @@ class Profiles:
     vectors: np.ndarray  # a row of unit length per language
 
 
-@cache
+@remembered
 def letter_vector(point: int, dimensions: int = DIMENSIONS, seed: int = SEED) -> np.ndarray:
     """The random vector of a letter; the same on every machine."""
     return (np.random.default_rng((seed, point)).integers(0, 2, dimensions, dtype=np.int8) * 2 - 1).astype(np.float32)
@@ -144,8 +144,8 @@ def predict(df: DataFrame, profiles: Profiles, key: str = "doc_id", text: str =
     dimensions = profiles.vectors.shape[1]
     matrix = profiles.vectors.T.copy()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def start():
+        def work(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, pd.DataFrame]]:
             texts = batch["text"].fillna("").tolist()
             best, scores = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
             if len(names) > 1:
@@ -156,7 +156,8 @@ def predict(df: DataFrame, profiles: Profiles, key: str = "doc_id", text: str =
                     chosen = near.argmax(axis=1)
                     best[a:b] = np.where(norms > 0, chosen, len(names) - 1)
                     scores[a:b] = np.where(norms > 0, np.clip(near[np.arange(b - a), chosen], 0, 1), 0)
-            yield pd.DataFrame({"key": batch["key"], "lang_pred": names[best], "score": scores})
+            yield np.arange(len(texts)), pd.DataFrame({"lang_pred": names[best], "score": scores})
+
+        return work
 
-    kind = inputs.schema["key"].dataType.simpleString()
-    return inputs.mapInPandas(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    return map_rows(inputs, ["key"], start, "lang_pred string, score double").withColumnRenamed("key", key)

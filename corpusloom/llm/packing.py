@@ -14,9 +14,12 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.arrow import map_rows
 from corpusloom.llm.bpe import batches_of, encoder
 from corpusloom.session import materialise
 
@@ -32,29 +35,32 @@ def token_pieces(df: DataFrame, path: str, capacity: int, key: str = "doc_id", t
     read.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         enc = encoder(path)
-        for batch in batches:
-            texts, keys = batch["text"].fillna("").tolist(), batch["key"].tolist()
+
+        def work(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, pd.DataFrame]]:
+            texts = batch["text"].fillna("").tolist()
             for a, b in batches_of(texts):
                 ids, begins = enc.encode(texts[a:b])
-                rows = []
+                owner, rows, parts = [], [], []
                 for i in range(b - a):
                     whole = np.append(ids[begins[i] : begins[i + 1]], np.uint32(END)).astype("<u4")
                     first = (len(whole) - 1) % capacity + 1
                     bounds = [0, *range(first, len(whole) + 1, capacity)]
                     for piece, (s, e) in enumerate(zip(bounds, bounds[1:])):
                         part = whole[s:e]
-                        row = (keys[a + i], piece, s, e - s, zlib.crc32(part.tobytes()))
-                        rows.append((*row, part.astype(np.int32)) if keep_ids else row)
-                names = ["key", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids]
-                out = pd.DataFrame(rows, columns=names)
-                yield out.astype({"key": batch["key"].dtype, "piece": "int32"})
+                        owner.append(a + i)
+                        rows.append((piece, s, e - s, zlib.crc32(part.tobytes())))
+                        if keep_ids:
+                            parts.append(part.astype(np.int32))
+                out = pd.DataFrame(rows, columns=["piece", "start", "length", "ids_crc32"]).astype("int64").astype({"piece": "int32"})
+                yield np.array(owner), out.assign(ids=parts) if keep_ids else out
+
+        return work
 
     inputs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = inputs.schema["key"].dataType.simpleString()
-    schema = f"key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return inputs.mapInPandas(run, schema).withColumnRenamed("key", key)
+    results = "piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
+    return map_rows(inputs, ["key"], start, results).withColumnRenamed("key", key)
 
 
 def best_fit(lengths: np.ndarray, capacity: int, documents: int, attention: int, rule: str = "norm", weights=(1.0, 1.0, 1.0)) -> tuple[np.ndarray, np.ndarray]:
@@ -117,18 +123,19 @@ def pack(pieces: DataFrame, capacity: int, documents: int | None = None, attenti
     blocks = max(1, ceil(pieces.count() / block))
     dealt = pieces.withColumn("__block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
     columns = pieces.columns
+    sorts = [(c, "ascending") for c in [*(c for c in ("length", "ids_crc32", "start") if c in columns), *columns[:2]]]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    # Whole columns stay Arrow's: in pandas a null would make doubles of a column of ids.
+    def run(group: pa.Table) -> pa.Table:
         # A retried task may receive its rows in another order.
-        group = group.sort_values([c for c in ("length", "ids_crc32", "start") if c in group] + columns[:2], kind="stable")
-        bins, offsets = best_fit(group["length"].to_numpy(), capacity, documents, attention, rule, weights)
-        out = group[columns].copy()
-        out["sequence_id"] = (group["__block"].to_numpy(np.int64) << 32) + bins
-        out["offset"] = offsets
-        return out
+        group = group.take(pc.sort_indices(group, sort_keys=list(dict(sorts).items())))
+        bins, offsets = best_fit(group.column("length").to_numpy(), capacity, documents, attention, rule, weights)
+        block = group.column("__block").to_numpy().astype(np.int64)
+        out = group.select(columns).append_column("sequence_id", pa.array((block << 32) + bins))
+        return out.append_column("offset", pa.array(offsets))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.groupBy("__block").applyInPandas(run, f"{fields}, sequence_id long, offset long")
+    return dealt.groupBy("__block").applyInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
 def pack_texts(df: DataFrame, path: str, capacity: int, key: str = "doc_id", text: str = "text", keep_ids: bool = False, **limits) -> DataFrame:

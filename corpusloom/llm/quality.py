@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.arrow import map_rows
 from corpusloom.session import materialise
 
 ACCURACY = 0.01
@@ -66,16 +67,14 @@ def counts(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, COUNTS) of every row; a null text has no words."""
     inputs = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(text).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def start():
+        def work(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, pd.DataFrame]]:
             found = np.array([text_counts(t or "") for t in batch["text"]], np.int64).reshape(-1, len(COUNTS))
-            out = batch.drop(columns="text")
-            for i, name in enumerate(COUNTS):
-                out[name] = found[:, i]
-            yield out
+            yield np.arange(len(batch)), pd.DataFrame(found, columns=COUNTS)
 
-    kinds = [f"k{i} {inputs.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keys))]
-    done = inputs.mapInPandas(run, ", ".join(kinds + [f"{c} long" for c in COUNTS]))
+        return work
+
+    done = map_rows(inputs, [f"k{i}" for i in range(len(keys))], start, ", ".join(f"{c} long" for c in COUNTS))
     return done.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], *COUNTS)
 
 

@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.arrow import map_rows
 from corpusloom.llm.components import components
 from corpusloom.session import materialise
 
@@ -51,14 +52,15 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     """(key, fingerprint long, others) of every row; a null text has no words."""
     inputs = df.select(F.col(key).alias("key"), F.col(text).alias("text"), *others)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def start():
+        def work(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, pd.DataFrame]]:
             found = np.array([fingerprint(t or "", shingle) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"key": batch["key"], "fingerprint": found.view(np.int64)} | {c: batch[c] for c in others})
+            yield np.arange(len(batch)), pd.DataFrame({"fingerprint": found.view(np.int64)})
+
+        return work
 
-    kinds = {c: inputs.schema[c].dataType.simpleString() for c in ("key", *others)}
-    more = "".join(f", {c} {kinds[c]}" for c in others)
-    return inputs.mapInPandas(run, f"key {kinds['key']}, fingerprint long{more}").withColumnRenamed("key", key)
+    done = map_rows(inputs, ["key", *others], start, "fingerprint long")
+    return done.select(F.col("key").alias(key), "fingerprint", *others)
 
 
 # The parity checks of the code: bit k of the syndrome covers the positions whose number, from 1, has bit k.

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.arrow import map_rows
 from corpusloom.llm.bpe import batches_of
 
 ORDER = 3
@@ -338,16 +339,18 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     """
     inputs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         space = Landmarks(model.landmarks) if model.landmarks else None
-        for batch in batches:
+
+        def work(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, pd.DataFrame]]:
             texts = batch["text"].fillna("").tolist()
             found = np.full(len(texts), model.bias)
             if space is not None:
                 for a, b in batches_of(texts):
                     found[a:b] = logits(texts[a:b], model, space)
             scores = 1 / (1 + np.exp(-np.clip(found, -30, 30)))
-            yield pd.DataFrame({"key": batch["key"], "score": scores, "predicted": (scores >= 0.5).astype(np.int32)})
+            yield np.arange(len(texts)), pd.DataFrame({"score": scores, "predicted": (scores >= 0.5).astype(np.int32)})
+
+        return work
 
-    kind = inputs.schema["key"].dataType.simpleString()
-    return inputs.mapInPandas(run, f"key {kind}, score double, predicted int").withColumnRenamed("key", key)
+    return map_rows(inputs, ["key"], start, "score double, predicted int").withColumnRenamed("key", key)
