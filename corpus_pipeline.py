@@ -62,10 +62,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     found = simhash.near_duplicates(docs, shingle=SHINGLE, distance=DISTANCE, others=["part"])
     least = found.groupBy("root").agg(F.min(place("doc_id", "part")).alias("least"))
     least = least.select(F.col("least.key").alias("doc_id"), F.col("least.part").alias("part"))
-    # Only rows with a digest can be repeated; the others need no shuffle of their texts.
-    single = _only(docs.where("part = ''"), least)
+    # Only numbered rows can be repeated; the others need no shuffle of their texts.
+    single = _only(docs.where("part = 0"), least)
     first = least.withColumnsRenamed({"doc_id": "__id", "part": "__part"})
-    again = docs.where("part != ''").join(first, same("doc_id", "part", "__id", "__part"), "left_semi")
+    again = docs.where("part != 0").join(first, same("doc_id", "part", "__id", "__part"), "left_semi")
     one = again.groupBy("doc_id", "part").agg(F.min(F.struct("lang", "source", "text", "n_chars")).alias("row"))
     return single.unionAll(one.select("doc_id", "row.text", "row.lang", "row.source", "row.n_chars"))
 
