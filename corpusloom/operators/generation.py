@@ -226,21 +226,26 @@ def generate_into(
     path: str, prompts: DataFrame, make_model: Callable[[], Model], keys: list[str], *, tasks: int, chunk: int = CHUNK,
     **options,
 ) -> DataFrame:
-    """Answer the prompts the table at `path` does not answer yet, append the raw answers there, return the table.
+    """(keys, attempt, raw, error): the answers of the table at `path` to these prompts, after the model answered those that
+    have none there and the raw answers were appended.
 
-    A repeated run after a failure calls the model only for what is still open. Answers are appended in jobs of about
-    `chunk` prompts, so that a failed job repeats one chunk's calls at most. Runs the model, and jobs.
+    An answer is stored with a digest of its keys and its prompt, and counts for that prompt only: a store may be used again
+    after tables or prompts changed, then only what changed is asked. A repeated run after a failure calls the model only for
+    what is still open. Answers are appended in jobs of about `chunk` prompts, so that a failed job repeats one chunk's calls
+    at most. Runs the model, and jobs.
     """
     spark = prompts.sparkSession
-    schema = _answers_schema(prompts, keys)
+    request = F.sha2(F.to_json(F.struct(*keys, F.col("prompt"))), 256)
+    asked = materialise(prompts.select(*keys, "prompt").withColumn("request", request), "prompts")
+    schema = _answers_schema(asked, [*keys, "request"])
     spark.createDataFrame([], schema).write.mode("append").parquet(path)
     answered = spark.read.schema(schema).parquet(path).where("raw is not null")
-    todo = materialise(prompts.select(*keys, "prompt").join(answered.select(*keys), keys, "left_anti"), "prompts")
+    todo = materialise(asked.join(answered.select("request"), "request", "left_anti"), "open_prompts")
     chunks = max(1, -(-todo.count() // chunk))
     for i in range(chunks):
-        part = todo.where(F.pmod(F.xxhash64(*keys), F.lit(chunks)) == i) if chunks > 1 else todo
-        generate_batches(part, make_model, keys, tasks=tasks, **options).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+        part = todo.where(F.pmod(F.xxhash64("request"), F.lit(chunks)) == i) if chunks > 1 else todo
+        generate_batches(part, make_model, [*keys, "request"], tasks=tasks, **options).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path).join(asked.select("request"), "request", "left_semi").drop("request")
 
 
 def placeholder_failed(responses: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
@@ -284,7 +289,8 @@ def redo_batches(
     accepted has (keys, round, raw), failures (keys, stage, reason). Each round asks for the batches that are still open
     and keeps the answers that `rejected` does not return: it takes (keys, raw) and gives (keys, reason), from
     `row_count_guard` or `redo_invalid` for instance. From the second round on `retry_preamble` leads the prompt. The
-    answers of a round are a table below `store`, which a repeated run does not ask for again. Runs the model, and jobs.
+    answers of a round are a table below `store`; a repeated run asks only for prompts without an answer there, and ignores
+    answers to other prompts. Runs the model, and jobs.
     """
     open_, accepted = prompts.select(*keys, "prompt"), []
     for round_no in range(1, rounds + 1):

@@ -49,7 +49,8 @@ def narrate(
     tasks: int,
     **options,
 ) -> DataFrame:
-    """(batch_id, text): the answer of every batch of rows, placeholders for a batch that got none."""
+    """(batch_id, row, text): the answer of every batch of rows (row 0), or a placeholder per row of a batch that got none. Answers in `store` count
+    for the prompts they were given to, so that it may be used again after the tables changed."""
     names = list(tables)
     joined = tables[names[0]]
     for name in names[1:]:

@@ -9,6 +9,7 @@ from corpusloom.functions import text as tx
 from corpusloom.operators import alignment as al
 from corpusloom.operators import chapters as ch
 from corpusloom.operators import generation as gn
+from corpusloom.plans import corpus as corpus_plan
 from corpusloom.plans import themes
 from corpusloom.registry.core import query, sql_strip, sql_tokens, table, texts
 from corpusloom.session import scratch_path
@@ -225,8 +226,8 @@ def make_lister():
     return lambda prompts: [answer(p) for p in prompts]
 
 
-def _redone(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source")
+def _redone(spark, sf, store=None, source=None):
+    docs = table(spark, sf, "documents").select("doc_id", "source" if source is None else source.alias("source"))
     planned = gn.plan_batches(docs.join(al.renumber(docs.select("doc_id"), ["doc_id"]), "doc_id"), 5)
     prompts = gn.build_prompts(planned, F.concat_ws(";", "doc_id", "source"))
     expected = prompts.select("batch_id", F.col("n_rows").alias("n_expected"))
@@ -238,7 +239,7 @@ def _redone(spark, sf):
         return gn.row_count_guard(rows, asked, ["batch_id"]).withColumn("reason", reason)
 
     return gn.redo_batches(
-        prompts, make_lister, ["batch_id"], too_few, store=scratch_path(spark, "redone"), tasks=TASKS, stage="Context",
+        prompts, make_lister, ["batch_id"], too_few, store=store or scratch_path(spark, "redone"), tasks=TASKS, stage="Context",
         rounds=2, retry_preamble="RETRY", backoff=0.0,
     )
 
@@ -252,6 +253,32 @@ def redo_batches(spark, sf):
     return _redone(spark, sf)[0]
 
 
+@query("redo_resumed", f"{SQL_REDONE} SELECT batch_id, CASE WHEN again THEN 2 ELSE 1 END AS round, raw FROM r WHERE kept = n")
+def redo_resumed(spark, sf):
+    # The store holds answers to other prompts of the same batches.
+    store = scratch_path(spark, "redone")
+    _redone(spark, sf, store, F.concat(F.lit("old"), "source"))
+    return _redone(spark, sf, store)[0]
+
+
+@query(
+    "narrate",
+    f"""WITH {NUMBERED}, f AS (SELECT batch_id FROM b GROUP BY 1 HAVING bool_or(contains(text, '$')))
+        SELECT batch_id, 0 AS row, length('Tell.' || string_agg(chr(10) || chr(10) || source || ': ' || text, '' ORDER BY num)) || ' characters' AS text
+          FROM b ANTI JOIN f USING (batch_id) GROUP BY 1
+        UNION ALL SELECT batch_id, num, '[GENERATION_FAILED for line ' || num || ']' FROM b SEMI JOIN f USING (batch_id)""",
+)
+def narrate(spark, sf):
+    numbered = _numbered(spark, sf).drop("batch_id")
+    new = {"texts": numbered.select("num", "text"), "sources": numbered.select("num", "source")}
+    old = {name: df.where("num <= 10") for name, df in new.items()} | {"sources": numbered.select("num", F.lit("old").alias("source"))}
+    store, block = scratch_path(spark, "narratives"), F.concat_ws(": ", "source", "text")
+    # The store holds answers to other prompts of the same batches, and batches that are no more.
+    for tables in (old, new):
+        told = corpus_plan.narrate(tables, block, "Tell.", make_echo, store, tasks=TASKS, attempts=2, backoff=0.0)
+    return told
+
+
 @query("failed_batches", f"{SQL_REDONE} SELECT batch_id, 'Context' AS stage, kept || ' of ' || n AS reason FROM r WHERE kept < n")
 def failed_batches(spark, sf):
     return _redone(spark, sf)[1]

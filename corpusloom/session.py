@@ -76,3 +76,10 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that `materialise` wrote, once nothing will read it any more."""
+    files = df.inputFiles()
+    if files:
+        drop_folder(df.sparkSession, files[0].rsplit("/", 1)[0])

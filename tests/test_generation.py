@@ -97,6 +97,19 @@ def test_a_second_run_asks_only_for_what_is_open(spark):
     assert lines == ["[GENERATION_FAILED for line 5]", "[GENERATION_FAILED for line 6]"]
 
 
+def test_answers_belong_to_their_prompts(spark):
+    path = scratch_path(spark, "answers")
+    ask = lambda rows: {
+        r["batch_id"]: r["raw"]
+        for r in gn.generate_into(
+            path, spark.createDataFrame(rows, "batch_id long, prompt string"), flaky, ["batch_id"], tasks=2, backoff=0.0
+        ).collect()
+    }
+    assert ask([(1, "now"), (2, "now too")]) == {1: "1: now", 2: "1: now too"}
+    assert ask([(1, "now changed"), (2, "now too")]) == {1: "1: now changed", 2: "1: now too"}
+    assert ask([(2, "now")]) == {2: "1: now"}
+
+
 def rewriter():
     def model(prompts):
         out = []
