@@ -26,7 +26,7 @@ from corpusloom.llm.bitmaps import bitmap, may_hold
 from corpusloom.llm.bpe import _powers
 from corpusloom.llm.rows import place, same, told_apart
 from corpusloom.operators.skew import join_hot
-from corpusloom.session import materialise
+from corpusloom.session import drop_table, materialise
 
 LENGTH = 100
 GRAM = 24
@@ -317,10 +317,13 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, co
     # goes by the lower bits: an anchor is a smallest hash, so its upper bits are mostly 0.
     places = materialise(occurrences(texts, length, gram, bitmap(repeated, F.shiftleft("k1", 40))), "anchors")
     firsts = materialise(_first_places(places), "first_contexts")
-    marked = join_hot(places, firsts, ["k1", "k2"], ["key", "run"]).select("k1", "key", "part", "run", _is_first().alias("first"))
-    marked = materialise(marked, "places")
+    marked = join_hot(places, firsts, ["k1", "k2"], ["key", "run"]).withColumn("first", _is_first())
+    # A copy is known by its run alone.
+    marked = materialise(marked.select(F.when(F.col("first"), F.col("k1")).alias("k1"), "key", "part", "run", "first"), "places")
     copies = marked.where("not first").select("key", "part", "run")
     several = materialise(firsts.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
+    drop_table(places)
+    drop_table(firsts)
     # Of each context the first place; only anchors with several contexts are left to compare.
     open_ = materialise(join_hot(marked.where("first").drop("first"), several, ["k1"], ["key", "run"]), "open")
     few, many = open_.where(F.col("n") <= contexts).drop("n"), open_.where(F.col("n") > contexts).drop("n")
