@@ -48,7 +48,7 @@ def _in_ranges(df: DataFrame, order: list[str], partitions: int | None) -> DataF
     """The rows in global order: partitions are ranges of the order columns, sorted within.
 
     The ranges are cut on the keys alone, which are written for it; the other columns are evaluated and shuffled once.
-    A row finds its range among one key per range.
+    A row finds its range by halves among one key per range.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -58,7 +58,8 @@ def _in_ranges(df: DataFrame, order: list[str], partitions: int | None) -> DataF
     # One row, as long as there are ranges.
     both = df.withColumn("__one", F.lit(1)).join(F.broadcast(bounds.withColumn("__one", F.lit(1))), "__one")
     key = F.struct(*order)
-    at = F.greatest(F.size(F.filter("__bounds", lambda b: b <= key)) - 1, F.lit(0))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, n.bit_length())))])
+    at = F.aggregate(steps, F.lit(0), lambda i, step: F.when(F.get("__bounds", i + step) <= key, i + step).otherwise(i))
     placed = both.withColumn("__range", at).drop("__one", "__bounds")
     return placed.repartitionById(n, F.col("__range")).sortWithinPartitions(*order).drop("__range")
 
