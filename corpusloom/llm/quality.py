@@ -2,7 +2,8 @@
 
 The sketch of a signal is the number of rows per logarithmic bucket: counts add up, so sketches of files, days or
 sources merge by a sum, in any order and with the same result. Quantiles are right to 1 % of their value. Each
-language and source gets its own fences; a small group takes those of its language, a small language those of all.
+language and source gets its own fences from its own spread; its quantiles are drawn towards those of its language, and
+these towards those of all rows, the more the fewer rows it has, without a size at which the rule changes.
 """
 
 from __future__ import annotations
@@ -23,12 +24,16 @@ GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
-GROUP_ROWS = 200
-SPREADS = 4.0
-# Signals in thousandths: name, whether a low value is bad as well, least distance of a fence from its quartile.
+# A fence lies so many times the distance from the median to the outer quantile beyond that quantile. A quarter of a
+# group's rows may be junk before the outer quantile is one of theirs.
+LOW, HIGH = 0.25, 0.75
+SPREADS = 10.0
+# A group of so many rows has the same weight as what it is drawn towards.
+PRIOR_ROWS = 200
+# Signals in thousandths, and whether a low value is bad as well.
 SIGNALS = [
-    ("word_length", True, 1500), ("symbols", False, 100), ("upper_case", False, 150), ("punctuation", False, 80),
-    ("dup_lines", False, 500), ("repeated", False, 400),
+    ("word_length", True), ("symbols", False), ("upper_case", False), ("punctuation", False), ("dup_lines", False),
+    ("repeated", False),
 ]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_punct"]
 
@@ -110,59 +115,60 @@ def merge(sketches: DataFrame, groups: list[str]) -> DataFrame:
     return sketches.groupBy(*groups, "signal", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketches: DataFrame, groups: list[str]) -> DataFrame:
-    """(groups, signal, rows, q25, q75). The window runs over the buckets of one sketch, whose number is bounded by the
-    logarithm of the largest value."""
+def quantiles(sketches: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, a struct of rows, low, mid and high for each signal): the outer quantiles and the median of the values above
+    0, a value that most rows of some signals have. The window runs over the buckets of one sketch, whose number is
+    bounded by the logarithm of the largest value."""
     one = Window.partitionBy(*groups, "signal")
-    upto = F.sum("n").over(one.orderBy("bucket"))
-    placed = sketches.withColumn("upto", upto).withColumn("rows", F.sum("n").over(one))
-    value = F.when(F.col("bucket") < 0, 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / F.lit(GAMMA + 1))
+    counted = F.when(F.col("bucket") >= 0, F.col("n")).otherwise(0)
+    placed = sketches.withColumn("upto", F.sum(counted).over(one.orderBy("bucket"))).withColumn("rows", F.sum(counted).over(one))
+    value = 2 * F.pow(F.lit(GAMMA), F.col("bucket")) / F.lit(GAMMA + 1)
 
     def at(q: float) -> Column:
-        return F.min(F.when(F.col("upto") >= F.ceil(F.col("rows") * q), value))
+        return F.min(F.when((F.col("bucket") >= 0) & (F.col("upto") >= F.ceil(F.col("rows") * q)), value))
 
-    return placed.groupBy(*groups, "signal").agg(
-        F.max("rows").alias("rows"), at(0.25).alias("q25"), at(0.75).alias("q75")
+    found = placed.groupBy(*groups, "signal").agg(
+        F.max("rows").alias("rows"), at(LOW).alias("low"), at(0.5).alias("mid"), at(HIGH).alias("high")
     )
+    mine = F.struct("rows", "low", "mid", "high")
+    return found.groupBy(*groups).agg(*[F.max(F.when(F.col("signal") == s, mine)).alias(s) for s, _ in SIGNALS])
 
 
-def fences(sketches: DataFrame, groups: list[str], spreads: float = SPREADS) -> DataFrame:
-    """One row per group: its rows and, for each signal, the lowest and the highest value that pass: the quartiles moved
-    outwards by `spreads` interquartile ranges, and by the signal's least distance at least."""
-    q = quartiles(sketches, groups)
-    spread = (F.col("q75") - F.col("q25")) * spreads
-    columns = [F.max("rows").alias("rows")]
-    for name, low_is_bad, least in SIGNALS:
-        mine = F.col("signal") == name
-        by = F.greatest(spread, F.lit(float(least)))
-        columns.append(F.max(F.when(mine, F.col("q75") + by)).alias(f"{name}_high"))
-        columns.append(F.max(F.when(mine, F.col("q25") - by if low_is_bad else F.lit(-1.0))).alias(f"{name}_low"))
-    return q.groupBy(*groups).agg(*columns)
-
-
-def thresholds(sketches: DataFrame, lang: str, source: str, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(lang, source, fences): those of the group, of its language, or of all, the first with `group_rows` rows."""
-    names = [f"{s}_{side}" for s, _, _ in SIGNALS for side in ("high", "low")]
-    levels = [[lang, source], [lang], []]
-    own, wide, whole = (fences(sketches if len(g) == 2 else merge(sketches, g), g) for g in levels)
-    wide = wide.select(F.col(lang).alias("__wide_lang"), F.struct("rows", *names).alias("wide"))
-    whole = whole.select(F.lit(1).alias("__all"), F.struct("rows", *names).alias("whole"))
+def drawn(own: str, towards: dict[str, Column], prior_rows: int = PRIOR_ROWS) -> dict[str, Column]:
+    """The quantiles of the struct `own`, as a mean with others that weigh as much as `prior_rows` rows."""
+    n = F.col(f"{own}.rows")
+    return {
+        q: F.when(n > 0, (n * F.col(f"{own}.{q}") + prior_rows * other) / (n + prior_rows)).otherwise(other)
+        for q, other in towards.items()
+    }
+
+
+def thresholds(sketches: DataFrame, lang: str, source: str, spreads: float = SPREADS) -> DataFrame:
+    """(lang, source, lowest and highest value that pass for each signal): a row per group, from its quantiles drawn towards
+    those of its language, drawn towards those of all. 1 % and a thousandth, what sketch and signals round, are let pass;
+    a signal that is 0 in all rows has no fence."""
+    own, wide, whole = (quantiles(sketches if len(g) == 2 else merge(sketches, g), g) for g in ([lang, source], [lang], []))
+    every = [s for s, _ in SIGNALS]
+    wide = wide.select(F.col(lang).alias("__wide_lang"), F.struct(*every).alias("wide"))
+    whole = whole.select(F.lit(1).alias("__all"), F.struct(*every).alias("whole"))
     joined = own.join(wide, F.col(lang).eqNullSafe(F.col("__wide_lang")), "left").withColumn("__one", F.lit(1))
     joined = joined.join(whole, F.col("__one") == F.col("__all"), "left")
-    chosen = [
-        F.when(F.col("rows") >= group_rows, F.col(n)).when(F.col("wide.rows") >= group_rows, F.col(f"wide.{n}"))
-        .otherwise(F.col(f"whole.{n}")).alias(n)
-        for n in names
-    ]
-    return joined.select(lang, source, *chosen)
+    columns = []
+    for name, low_is_bad in SIGNALS:
+        q = {k: F.col(f"whole.{name}.{k}") for k in ("low", "mid", "high")}
+        for level in (f"wide.{name}", name):
+            q = drawn(level, q)
+        high = (q["high"] + spreads * (q["high"] - q["mid"])) * (1 + ACCURACY) + 1
+        low = (q["low"] - spreads * (q["mid"] - q["low"])) * (1 - ACCURACY) - 1
+        columns += [high.alias(f"{name}_high"), (low if low_is_bad else F.lit(-1.0)).alias(f"{name}_low")]
+    return joined.select(lang, source, *columns)
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", others: list[str] = ()) -> DataFrame:
     """(key, lang, source, COUNTS, base_failed, kept, others) of every row; the others are columns that are asked for.
 
-    base_failed: fewer than 50 words, or over half of the words in repeated windows; such rows are never kept, but count
-    in the sketches. The others are kept if all signals lie within the fences of their language and source, which lie
-    no nearer to the quartiles than the least distances of SIGNALS, however narrow the sketch. Null
+    base_failed: fewer than 50 words, or over half of the words in repeated windows; such rows are never kept and do not
+    count in the sketches. The others are kept if all signals lie within the fences of their language and source. Null
     languages and sources are groups of their own; a null or empty text fails. Repeated rows are counted and returned
     as often as they come; columns not asked for are not read; an empty table gives an empty result. Building the result writes
     the counts and the sketch.
@@ -172,13 +178,13 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         *others,
     )
     rows = materialise(counts(rows, ["__key", "__lang", "__source", *others], "__text"), "counts")
-    sketches = materialise(sketch(rows, ["__lang", "__source"]), "sketch")
+    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED_PERCENT)
+    sketches = materialise(sketch(rows.where(~failed), ["__lang", "__source"]), "sketch")
     bars = thresholds(sketches, "__lang", "__source").withColumnsRenamed({"__lang": "__l", "__source": "__s"})
     joined = rows.join(
         bars,
         F.col("__lang").eqNullSafe(F.col("__l")) & F.col("__source").eqNullSafe(F.col("__s")), "left",
     )
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED_PERCENT)
     within = F.lit(True)
     for name, value in signals().items():
         within = within & F.coalesce(value.between(F.col(f"{name}_low"), F.col(f"{name}_high")), F.lit(True))

@@ -150,26 +150,33 @@ def _sql_quality() -> str:
     }
     values = ", ".join(f"case when {b} > 0 then {a} * 1000 // {b} end as {s}" for s, (a, b) in shares.items())
     cells = ", ".join(f"{{'signal': '{s}', 'value': {s}}}" for s in shares)
+    def level(groups: str) -> str:
+        by = groups + ", " if groups else ""
+        at = "min(case when bucket >= 0 and upto >= ceil(rows * {}) then 2 * pow({}, bucket) / {} end)"
+        low, mid, high = (at.format(q, quality.GAMMA, quality.GAMMA + 1) for q in (quality.LOW, 0.5, quality.HIGH))
+        return f"""(select {by}signal, max(rows) as rows, {low} as low, {mid} as mid, {high} as high from (
+            select *, sum(m) over (partition by {by}signal order by bucket) as upto, sum(m) over (partition by {by}signal) as rows
+            from (select {by}signal, bucket, sum(case when bucket >= 0 then n else 0 end) as m from sk group by all))
+          group by {by}signal)"""
+
+    def drawn(own: str, other: str) -> str:
+        c = quality.PRIOR_ROWS
+        return ", ".join(
+            f"case when {own}.rows > 0 then ({own}.rows * {own}.{q} + {c} * {other}.{q}) / ({own}.rows + {c}) else {other}.{q} end as {q}"
+            for q in ("low", "mid", "high")
+        )
+
+    mine = "filter (signal = '{}')"
     edges = ", ".join(
-        f"max(q75 + greatest((q75 - q25) * {quality.SPREADS}, {least})) filter (signal = '{s}') as {s}_high, "
-        + (f"max(q25 - greatest((q75 - q25) * {quality.SPREADS}, {least})) filter (signal = '{s}')" if low else "-1")
+        f"max((high + {quality.SPREADS} * (high - mid)) * {1 + quality.ACCURACY} + 1) {mine.format(s)} as {s}_high, "
+        + (f"max((low - {quality.SPREADS} * (mid - low)) * {1 - quality.ACCURACY} - 1) {mine.format(s)}" if low else "-1")
         + f" as {s}_low"
-        for s, low, least in quality.SIGNALS
+        for s, low in quality.SIGNALS
     )
-
-    def level(groups: str) -> str:
-        by = groups + ", " if groups else ""
-        at = "min(case when upto >= ceil(rows * {}) then case when bucket < 0 then 0 else 2 * pow({}, bucket) / {} end end)"
-        q25, q75 = (at.format(q, quality.GAMMA, quality.GAMMA + 1) for q in (0.25, 0.75))
-        return f"""(select {by}max(rows) as rows, {edges} from (
-          select {by}signal, max(rows) as rows, {q25} as q25, {q75} as q75 from (
-            select *, sum(n) over (partition by {by}signal order by bucket) as upto, sum(n) over (partition by {by}signal) as rows
-            from (select {by}signal, bucket, sum(n) as n from sk group by all)) group by {by}signal)
-          {"group by " + groups if groups else ""})"""
-
     fits = " and ".join(
-        f"coalesce(c.{s} between {{0}}.{s}_low and {{0}}.{s}_high, true)" for s in shares
+        f"coalesce(c.{s} between f.{s}_low and f.{s}_high, true)" for s in shares
     )
+    failed = f"(n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEATED_PERCENT} * n_words)"
     return f"""
 with t as (
   select doc_id, lang, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{word}+') as ws from documents),
@@ -189,15 +196,15 @@ k as (
 c as (select *, {values} from k),
 sk as (
   select lang, source, x.signal as signal, case when x.value > 0 then ceil(ln(x.value) / {math.log(quality.GAMMA)!r})::int else -1 end as bucket,
-    count(*) as n from (select lang, source, unnest([{cells}]) as x from c) where x.value is not null group by all),
-a as {level("lang, source")}, b as {level("lang")}, z as {level("")}
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEATED_PERCENT} * n_words as base_failed,
-  not (n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEATED_PERCENT} * n_words) and case
-    when a.rows >= {quality.GROUP_ROWS} then {fits.format("a")} when b.rows >= {quality.GROUP_ROWS} then {fits.format("b")}
-    else {fits.format("z")} end as kept
-from c left join a on c.lang is not distinct from a.lang and c.source is not distinct from a.source
-  left join b on c.lang is not distinct from b.lang, z
+    count(*) as n from (select lang, source, unnest([{cells}]) as x from c where not {failed}) where x.value is not null group by all),
+a as {level("lang, source")}, b as {level("lang")}, z as {level("")},
+bz as (select b.lang, b.signal, {drawn("b", "z")} from b join z using (signal)),
+abz as (
+  select a.lang, a.source, a.signal, {drawn("a", "bz")}
+  from a join bz on a.lang is not distinct from bz.lang and a.signal = bz.signal),
+f as (select lang, source, {edges} from abz group by lang, source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} as base_failed, not {failed} and {fits} as kept
+from c left join f on c.lang is not distinct from f.lang and c.source is not distinct from f.source
 """
 
 
