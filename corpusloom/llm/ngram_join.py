@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import words as W
-from corpusloom.llm.bitmaps import bitmap, may_hold
+from corpusloom.llm.bitmaps import bitmap, may_hold, repeated
 from corpusloom.llm.components import components
 from corpusloom.operators.skew import join_hot
 from corpusloom.session import materialise
@@ -114,18 +114,14 @@ def bucket_counts(texts: DataFrame, size: int = WORDS) -> np.ndarray:
 
 
 def repeated_grams(texts: DataFrame, size: int = WORDS) -> np.ndarray:
-    """A bitmap of the n-grams that stand in several places of all texts: counted on the cluster, combined before the shuffle."""
+    """A bitmap of the n-grams that stand in several places of all texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, ends = W.raw_values(batch.column(0))
-            for a, b in W.chunks(ends, CHUNK):
-                hashes, n = np.unique(_shingles(*W.cut(data, ends, a, b), size)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n > 1)], ["token", "again"])
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        data, ends = W.raw_values(batch.column(0))
+        for a, b in W.chunks(ends, CHUNK):
+            yield _shingles(*W.cut(data, ends, a, b), size)[0]
 
-    tokens = texts.select("text").mapInArrow(run, "token long, again boolean")
-    several = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where("n > 1 or again")
-    return bitmap(several, F.col("token"), GRAM_BITS)
+    return repeated(texts.select("text"), hashes, GRAM_BITS)
 
 
 def _prefix_size(n: int, similar: tuple[int, int]) -> int:

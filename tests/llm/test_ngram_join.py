@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
-from corpusloom.llm import ngram_join
+from corpusloom.llm import bitmaps, ngram_join
 
 
 def grams(text, size=4):
@@ -97,3 +99,17 @@ def test_one_large_group_of_near_copies_makes_few_pairs(spark):
     finally:
         ngram_join.verified = original
     assert sum(made) < 30 * len(rows)
+
+
+def test_the_bitmap_marks_every_repeated_hash(spark):
+    draw = np.random.default_rng(4)
+    once = np.unique(draw.integers(0, 1 << 64, 40_000, dtype=np.uint64))
+    draw.shuffle(once)
+    twice, hot = once[:3000], once[3000]
+    values = np.r_[once, twice, np.full(9000, hot)].view(np.int64)
+    df = spark.createDataFrame(pd.DataFrame({"h": values})).repartition(5)
+    marks = bitmaps.repeated(df, lambda batch: iter([batch.column("h").to_numpy()]), 1 << 27, room=1500)
+    assert bitmaps.may_hold(marks, np.r_[twice, hot]).all()
+    assert bitmaps.may_hold(marks, once[3001:]).sum() < 20
+    none = bitmaps.repeated(df.limit(0), lambda batch: iter([batch.column("h").to_numpy()]), 1 << 20)
+    assert not none.any()
