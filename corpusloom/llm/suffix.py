@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrow import chunks, cut, raw_values
-from corpusloom.llm.bitmaps import bitmap, may_hold
+from corpusloom.llm.bitmaps import may_hold, repeated
 from corpusloom.llm.bpe import _powers
 from corpusloom.llm.rows import place, same, told_apart
 from corpusloom.operators.skew import join_hot
@@ -34,6 +34,9 @@ GRAM = 24
 CONTEXTS = 20_000
 # Bits for the number of starts of a run; a run has fewer starts than a string has bytes.
 SPAN_BITS = 12
+# The bitmap of repeated anchors, and by how much their hashes are shifted for it.
+MARK_BITS = 1 << 27
+LOWER = 24
 # Bytes of texts, or of contexts, handled at a time; a longer text is handled alone.
 BATCH = 1 << 20
 
@@ -168,19 +171,16 @@ def _unpacked(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, low + ((runs >> 1) & ((1 << SPAN_BITS) - 1))
 
 
-def occurrences(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, marks: np.ndarray | None = None, only_hash: bool = False) -> DataFrame:
+def occurrences(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, marks: np.ndarray | None = None) -> DataFrame:
     """(k1, k2, key, part, run) of every anchor of (key, part, text): k1 its hash, k2 its context's; with `marks` only those
-    whose k1 the bitmap of its lower bits may hold, with `only_hash` k1 alone."""
+    whose k1 the bitmap of its lower bits may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = raw_values(batch.column("text"))
             for a, b in chunks(ends, BATCH):
                 found = anchors(*cut(data, ends, a, b), length, gram)
-                if only_hash:
-                    yield pa.RecordBatch.from_arrays([pa.array(found["h"])], ["k1"])
-                    continue
-                kept = np.flatnonzero(may_hold(marks, found["h"] << 40)) if marks is not None else np.arange(len(found["h"]))
+                kept = np.flatnonzero(may_hold(marks, found["h"] << LOWER)) if marks is not None else np.arange(len(found["h"]))
                 owner = pa.array(a + found["text"][kept])
                 runs = _packed(found["low"][kept], found["high"][kept], 1 - found["first"][kept].astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
@@ -188,12 +188,22 @@ def occurrences(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, marks:
                      batch.column("part").take(owner), pa.array(runs)], ["k1", "k2", "key", "part", "run"],
                 )
 
-    if only_hash:
-        return texts.select("text").mapInArrow(run, "k1 long")
     kind = texts.schema["key"].dataType.simpleString()
     return texts.select("key", "part", "text").mapInArrow(run, f"k1 long, k2 long, key {kind}, part long, run long")
 
 
+def repeated_anchors(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """A bitmap of the anchors that occur twice or more: it leaves them, and a few others that do no harm, before any shuffle.
+    It goes by the lower bits: an anchor is a smallest hash, so its upper bits are mostly 0."""
+
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        data, ends = raw_values(batch.column("text"))
+        for a, b in chunks(ends, BATCH):
+            yield anchors(*cut(data, ends, a, b), length, gram)["h"] << LOWER
+
+    return repeated(texts.select("text"), hashes, MARK_BITS)
+
+
 def _first_places(rows: DataFrame) -> DataFrame:
     """(k1, k2, first_key, first_part): the text with the smallest key, and of one key's the smallest number, in which each
     pair stands."""
@@ -311,11 +321,7 @@ def _compared(contexts: DataFrame, length: int) -> DataFrame:
 def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, contexts: int = CONTEXTS) -> DataFrame:
     """(key, part, run): runs of starts, both ends included, of strings of `length` bytes that begin earlier as well, in
     texts (key, part, text) told apart by `part`."""
-    hashes = occurrences(texts, length, gram, only_hash=True)
-    repeated = hashes.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # A bitmap of the anchors that occur twice or more leaves them, and a few others that do no harm, before any shuffle. It
-    # goes by the lower bits: an anchor is a smallest hash, so its upper bits are mostly 0.
-    places = materialise(occurrences(texts, length, gram, bitmap(repeated, F.shiftleft("k1", 40))), "anchors")
+    places = materialise(occurrences(texts, length, gram, repeated_anchors(texts, length, gram)), "anchors")
     firsts = materialise(_first_places(places), "first_contexts")
     marked = join_hot(places, firsts, ["k1", "k2"], ["key", "run"]).withColumn("first", _is_first())
     # A copy is known by its run alone.
