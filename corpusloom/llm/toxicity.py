@@ -1,11 +1,12 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a support vector machine.
 
-The kernel counts the letter triples two words share in order, each gap costing a factor, so that inserted letters
-lower a match but do not end it; signs put between letters are dropped before, and letters that stand alone are read
-as one word. A sentence's kernel row is its best word for each landmark. The landmarks are beginnings of words that
-mark the labelled texts, learned from the labels; the kernel matrix of the landmarks maps rows to a space in which the
-machine is linear. It is trained on sentences: those of the clean texts, and of each toxic text the ones that come
-nearest to a landmark. A text scores as its worst sentence.
+The kernel counts the letter triples two words share in order, each gap costing a factor. A word is held against a landmark
+by the letters it shares with it, and every other letter between these costs a small factor more, so that inserted letters
+lower a match but do not end it; signs put between letters are dropped before, and short pieces in a row are read as one word
+as well. A sentence's kernel row is its best word for each landmark. The landmarks are words, and beginnings of longer words,
+that mark the labelled texts, learned from the labels, and the shorter words of clean texts that these begin with; the
+kernel matrix of the landmarks maps rows to a space in which the machine is linear. It is trained on sentences: those of the
+clean texts, and of each toxic text the ones that come nearest to a landmark. A text scores as its worst sentence.
 """
 
 from __future__ import annotations
@@ -22,15 +23,26 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.arrow import map_rows
 from corpusloom.llm.bpe import batches_of
+from corpusloom.session import materialise
 
 ORDER = 3
 DECAY = 0.6
 # The normalised kernel is taken to this power, a kernel as well, which sets whole matches off from common letters.
 POWER = 3
-PIECE = 10
-STRIDE = 5
-STEMS = (4, 5, 6, 8)
-LANDMARKS = 48
+# What a letter costs that a landmark does not have, between letters that it has.
+GAP = 0.97
+PIECE = 24
+STRIDE = 12
+STEMS = (4, 5, 6, 7, 8)
+WORD = 12
+# Landmarks that mark toxic texts; each toxic text of the training set gets so many of them.
+LANDMARKS, DEEP = 64, 3
+# Words of clean texts that marks begin with.
+BARE = 16
+# A landmark that stands for longer words only; words are coded between two signs of their own.
+OPEN, BEGIN, END = "-", "\x01", "\x02"
+# Occurrences in toxic texts for one in clean texts.
+MARKS = 10
 # Values below it are common letters.
 FLOOR = 0.05
 # A toxic text teaches by the sentences that reach this for some landmark, and this share of its best one.
@@ -79,21 +91,15 @@ def kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECA
     return sum((level[i][j] for i in range(a) for j in range(b)), zero)
 
 
-def _marks(points: np.ndarray) -> np.ndarray:
-    """The set of letters of each row, as bits."""
-    bits = np.where(points != 0, np.uint64(1) << (points.astype(np.uint64) % np.uint64(61)), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1)
-
-
 class Landmarks:
     """The kernel with fixed landmarks. A word that lacks more than a quarter of a landmark's letters counts as 0."""
 
     def __init__(self, words: list[str]):
         self.words = words
-        self.points = coded(words)
-        self.marks = _marks(self.points)
+        ends = [BEGIN + (w[:-1] if w.endswith(OPEN) else w + END) for w in words]
+        self.points = coded(ends, max(map(len, ends)))
         self.norms = np.sqrt(kernel(self.points, self.points))
-        self.slack = np.bitwise_count(self.marks) // 4
+        self.letters = [np.unique(row[row > 2]) for row in self.points]
 
     def among(self) -> np.ndarray:
         n = len(self.words)
@@ -101,47 +107,76 @@ class Landmarks:
         value = kernel(self.points[i], self.points[j]) / (self.norms[i] * self.norms[j])
         return (value**POWER).reshape(n, n).astype(np.float64)
 
+    def likeness(self, points: np.ndarray, landmark: int) -> np.ndarray:
+        """The normalised kernel of coded words with one landmark, by the letters it has."""
+        own = self.points[landmark]
+        own = own[own != 0]
+        shared = np.isin(points, own)
+        n = shared.sum(axis=1)
+        width = points.shape[1]
+        first, last = shared.argmax(axis=1), width - 1 - shared[:, ::-1].argmax(axis=1)
+        order = np.argsort(~shared, axis=1, kind="stable")[:, : int(n.max(initial=1))]
+        letters = np.where(np.arange(order.shape[1]) < n[:, None], np.take_along_axis(points, order, axis=1), 0)
+        norms = np.sqrt(kernel(letters, letters)) * self.norms[landmark]
+        value = kernel(letters, np.broadcast_to(own, (len(letters), len(own)))) / np.maximum(norms, 1e-12)
+        return value * np.float32(GAP) ** (last - first + 1 - n).astype(np.float32)
+
     def pairs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, landmark, normalised kernel) where it is not 0."""
-        points = coded(words)
-        marks = _marks(points)
-        near = [np.flatnonzero(np.bitwise_count(m & ~marks) <= s) for m, s in zip(self.marks, self.slack)]
-        word = np.concatenate(near)
-        landmark = np.repeat(np.arange(len(near)), [len(x) for x in near])
-        value = np.zeros(len(word), np.float32)
-        own = np.zeros(len(words), np.float32)
-        used = np.unique(word)
-        for k in range(0, len(used), 20_000):
-            part = used[k : k + 20_000]
-            own[part] = np.sqrt(kernel(points[part], points[part]))
-        for k in range(0, len(word), 20_000):
-            w, m = word[k : k + 20_000], landmark[k : k + 20_000]
-            value[k : k + 20_000] = kernel(points[w], self.points[m]) / np.maximum(own[w] * self.norms[m], 1e-12)
-        found = value > 0
-        return word[found], landmark[found], value[found] ** POWER
+        word, landmark, value = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        sizes = np.array([len(w) for w in words])
+        for low, high in zip((0, 8, 12, 16), (8, 12, 16, PIECE + 2)):
+            mine = np.flatnonzero((sizes > low) & (sizes <= high))
+            if not len(mine):
+                continue
+            points = coded([words[i] for i in mine], high)
+            has = {c: (points == c).any(axis=1) for c in np.unique(np.concatenate(self.letters)).tolist()}
+            for k, letters in enumerate(self.letters):
+                lacks = sum((~has[c]).astype(np.int8) for c in letters.tolist())
+                near = np.flatnonzero(lacks <= len(letters) // 4)
+                for a in range(0, len(near), 20_000):
+                    part = near[a : a + 20_000]
+                    found = self.likeness(points[part], k)
+                    some = np.flatnonzero(found > 0)
+                    word.append(mine[part[some]])
+                    landmark.append(np.full(len(some), k))
+                    value.append(found[some] ** POWER)
+        return np.concatenate(word), np.concatenate(landmark), np.concatenate(value)
 
 
 # --- texts ---
 
 
+def _joined(run: list[str]) -> Iterator[str]:
+    """The words that a run of pieces of one or two letters may be: its single letters in a row, and, if it has any, the
+    pieces from each one on."""
+    for letters in re.findall(r"(?:(?<= )|^)\w(?: \w)+(?= |$)", " ".join(run)):
+        if len(letters) > 4:
+            yield letters.replace(" ", "")
+    if min(map(len, run)) < max(map(len, run)):
+        for i in range(len(run) - 2):
+            yield "".join(run[i : i + WORD])[:WORD]
+
+
 def tokens(text: str) -> list[str]:
-    """Lower-cased words without signs; a run of three or more single letters becomes one word as well."""
+    """Lower-cased words without signs; what a run of three or more pieces of one or two letters may be as words as well."""
     out, run = [], []
     for token in text.lower().split():
         word = token if token.isalpha() else "".join(filter(str.isalpha, token))
         out.append(word)
-        if len(word) == 1:
-            run.append(word)
-        elif run:
+        if len(word) > 2:
             if len(run) > 2:
-                out.append("".join(run))
+                out.extend(_joined(run))
             run = []
+        elif word:
+            run.append(word)
     if len(run) > 2:
-        out.append("".join(run))
+        out.extend(_joined(run))
     return out
 
 
-_END = re.compile(r"[.!?]+\s+|\n+")
+# A sentence ends behind a word of two letters at least, so that letters which stand alone stay together.
+_END = re.compile(r"(?<=\w\w)(?:[^\w\s]*\n+|[^\w\s]*[.!?][^\w\s]*\s+)")
 
 
 def sentences(texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -153,8 +188,9 @@ def sentences(texts: list[str]) -> tuple[list[str], np.ndarray]:
 
 
 def pieces(word: str) -> list[str]:
-    """The word in overlapping pieces."""
-    if len(word) <= PIECE:
+    """The word in overlapping pieces, the first with a sign of its begin, the last with one of its end."""
+    word = BEGIN + word + END
+    if len(word) <= PIECE + 2:
         return [word]
     return [word[i : i + PIECE] for i in [*range(0, len(word) - PIECE, STRIDE), len(word) - PIECE]]
 
@@ -184,63 +220,100 @@ def kernel_rows(texts: list[str], landmarks: Landmarks) -> np.ndarray:
 
 
 def _stems(word: str) -> set[str]:
-    return {word[:n] for n in STEMS if len(word) >= n} | ({word} if 4 <= len(word) <= 8 else set())
+    return {word[:n] + OPEN for n in STEMS if len(word) > n} | ({word} if 4 <= len(word) <= WORD else set())
+
+
+def _follows(mark: str, other: str) -> bool:
+    return mark.rstrip(OPEN).startswith(other.rstrip(OPEN))
+
 
+def cover(marks: dict[str, int], texts: list[set[str]], limit: int = LANDMARKS, deep: int = DEEP) -> list[str]:
+    """Marks such that each text has `deep` of them, if it has so many: always the one that serves most texts still in need."""
+    need = [deep] * len(texts)
+    holds: dict[str, list[int]] = {m: [] for m in marks}
+    for i, mine in enumerate(texts):
+        for m in mine & marks.keys():
+            holds[m].append(i)
+    chosen: list[str] = []
+    left = set(marks)
+    while left and len(chosen) < limit:
+        gain, _, best = max((sum(need[i] > 0 for i in holds[m]), marks[m], m) for m in left)
+        if gain < 2:
+            break
+        # A beginning that nearly always goes on in the same way stands for the longer one.
+        best = max((m for m in left if _follows(m, best) and 5 * marks[m] >= 4 * marks[best]), key=lambda m: (len(m.rstrip(OPEN)), m))
+        chosen.append(best)
+        for i in holds[best]:
+            need[i] -= 1
+        left -= {m for m in left if _follows(m, best) or _follows(best, m)}
+    return chosen
 
-def choose_landmarks(toxic: DataFrame, clean: DataFrame, limit: int = LANDMARKS) -> list[str]:
-    """Beginnings of words that toxic texts have in many different surroundings and clean ones hardly ever.
+
+def choose_landmarks(texts: DataFrame, limit: int = LANDMARKS) -> tuple[list[str], list[str]]:
+    """(marks, words of clean texts): words, and beginnings of longer words, that toxic texts (text, __label) have in many different
+    surroundings and clean ones hardly ever; and words that clean texts have and marks begin with.
 
     Surroundings are counted instead of texts, so that copies of one text do not stand for many; in clean texts every
-    occurrence counts. Two jobs over the
-    training texts; the driver gets at most `CANDIDATES` beginnings with two counts.
+    occurrence counts. Two jobs over the training texts; both counts meet on the cluster, and the driver gets at most
+    `CANDIDATES` marks, all of them good ones, and which of these each toxic training text has.
     """
 
-    def surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text in batch["text"]:
+            clean: dict[str, int] = {}
+            for text, label in zip(batch["text"], batch["__label"]):
                 words = ["", *tokens(text), ""]
-                rows = {
-                    (stem, xxhash.xxh64_intdigest(f"{words[i - 1]} {words[i]} {words[i + 1]}") >> 1)
-                    for i in range(1, len(words) - 1) for stem in _stems(words[i])
-                }
-                yield pd.DataFrame(list(rows), columns=["stem", "around"]).astype({"around": "int64"})
-
-    def containing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = dict.fromkeys(names, 0)
+                if label == 1:
+                    rows = {
+                        (stem, xxhash.xxh64_intdigest(f"{words[i - 1]} {words[i]} {words[i + 1]}") >> 1)
+                        for i in range(1, len(words) - 1) for stem in _stems(words[i])
+                    }
+                    yield pd.DataFrame(list(rows), columns=["stem", "around"]).astype({"around": "int64"}).assign(n=0)
+                else:
+                    for word in words:
+                        for stem in _stems(word):
+                            clean[stem] = clean.get(stem, 0) + 1
+            yield pd.DataFrame({"stem": list(clean), "around": 0, "n": list(clean.values())}).astype({"around": "int64", "n": "int64"})
+
+    once = texts.mapInPandas(found, "stem string, around long, n long").groupBy("stem", "around").agg(F.sum("n").alias("n"))
+    counted = once.groupBy("stem").agg(F.count_if(F.col("around") != 0).alias("toxic"), F.sum("n").alias("clean"))
+    counted = materialise(counted, "marks")
+    good = counted.where(f"toxic >= 4 and {MARKS} * clean <= toxic").orderBy(F.desc("toxic"), "stem").limit(CANDIDATES)
+    marks = {r["stem"]: r["toxic"] for r in good.collect()}
+    if not marks:
+        return [], []
+
+    def holding(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text in batch["text"]:
-                for word in tokens(text):
-                    for stem in _stems(word) & names:
-                        counts[stem] += 1
-        yield pd.DataFrame({"stem": list(counts), "n": list(counts.values())})
-
-    seen = toxic.mapInPandas(surroundings, "stem string, around long").groupBy("stem").agg(F.countDistinct("around").alias("n"))
-    found = [(r["n"], r["stem"]) for r in seen.where("n >= 4").orderBy(F.desc("n"), "stem").limit(CANDIDATES).collect()]
-    if not found:
-        return []
-    names = {s for _, s in found}
-    counted = clean.mapInPandas(containing, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).collect()
-    in_clean = {r["stem"]: r["n"] for r in counted}
-    marked = [(n, s) for n, s in found if 20 * in_clean.get(s, 0) <= n]
-    marked.sort(key=lambda x: (-x[0], -len(x[1]), x[1]))
-    chosen: list[str] = []
-    for n, stem in marked:
-        if 20 * n < marked[0][0] or len(chosen) == limit:
-            break
-        if not any(stem.startswith(c) or c.startswith(stem) for c in chosen):
-            # A beginning that nearly always goes on in the same way stands for the longer one.
-            chosen.append(max((s for m, s in marked if s.startswith(stem) and 5 * m >= 4 * n), key=len))
-    return chosen
+            yield pd.DataFrame({"marks": [sorted({s for w in set(tokens(t)) for s in _stems(w) if s in marks}) for t in batch["text"]]})
+
+    holds = texts.where("__label = 1").select("text").mapInPandas(holding, "marks array<string>").collect()
+    chosen = cover(marks, [set(r["marks"]) for r in holds], limit)
+    begins = sorted({m[:k] for m in chosen for k in range(4, len(m))} - set(chosen))
+    known = counted.where(F.col("stem").isin(begins) & (F.col("clean") >= MARKS)) if begins else counted.limit(0)
+    return chosen, [r["stem"] for r in known.orderBy(F.desc("clean"), "stem").limit(BARE).collect()]
+
+
+def disguised(mark: str, seed: int = SEED) -> list[str]:
+    """The mark with letters it does not have put into one gap, into two, and into all."""
+    draw = np.random.default_rng([seed, *map(ord, mark)])
+    word = mark.rstrip(OPEN)
+    others = [c for c in "abcdefghijklmnopqrstuvwxyz" if c not in word]
+    out = []
+    for n in (1, 1, 2, 2, len(word) - 1, len(word) - 1):
+        gaps = set(draw.choice(np.arange(1, len(word)), min(n, len(word) - 1), replace=False).tolist())
+        out.append("".join(others[draw.integers(len(others))] * (i in gaps) + c for i, c in enumerate(word)))
+    return out
 
 
-def support_vectors(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 50) -> np.ndarray:
-    """Weights of a linear machine with squared hinge loss, the last one the bias, all rows weighing the same, so that a
-    landmark of clean rows too counts less.
+def support_vectors(x: np.ndarray, y: np.ndarray, penalty: float = 1e-6, steps: int = 50) -> np.ndarray:
+    """Weights of a linear machine with squared hinge loss, the last one the bias. Rows of a label weigh the same, so that a
+    landmark of clean rows too counts less; the toxic ones together weigh a quarter of the clean ones, however few they are.
 
     Newton steps on the rows within the margin, the support vectors.
     """
     x = np.c_[x, np.ones(len(x))]
-    share = np.full(len(x), 1 / len(x))
+    share = np.where(y > 0, 0.2 / max(1, (y > 0).sum()), 0.8 / max(1, (y <= 0).sum()))
     ridge = penalty * np.eye(x.shape[1])
     ridge[-1, -1] = 1e-9
     w = np.zeros(x.shape[1])
@@ -273,22 +346,36 @@ def logit_of(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(slope), float(offset)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, space: Landmarks) -> tuple[np.ndarray, float]:
-    """(weights, bias) of the logit, from the kernel rows of each text's sentences and the texts' labels."""
-    if not any(r.max() >= TEACHES for r, y in zip(rows, labels) if y > 0):
+def least_errors(margins: np.ndarray, y: np.ndarray) -> float:
+    """The lowest cut between two margins with the fewest errors."""
+    order = np.argsort(margins, kind="stable")
+    sorted_margins, toxic = margins[order], y[order] > 0
+    errors = np.r_[0, np.cumsum(toxic)] + np.r_[np.cumsum(~toxic[::-1])[::-1], 0]
+    edges = np.r_[sorted_margins[0] - 1, (sorted_margins[1:] + sorted_margins[:-1]) / 2, sorted_margins[-1] + 1]
+    real = np.r_[True, sorted_margins[1:] > sorted_margins[:-1], True]
+    return float(edges[np.argmin(np.where(real, errors, len(y) + 1))])
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, space: Landmarks, marks: int, hidden: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weights, bias) of the logit, from the kernel rows of each text's sentences and the texts' labels; the first
+    landmarks, `marks` in number, are those of toxic texts; `hidden` are toxic rows besides, of disguised words, which weigh as
+    much as those of the texts together."""
+    if not any(r[:, :marks].max() >= TEACHES for r, y in zip(rows, labels) if y > 0):
         return np.zeros(len(space.words)), -30.0
     values, vectors = np.linalg.eigh(space.among())
     keep = values > 1e-6
     to_space = vectors[:, keep] / np.sqrt(values[keep])
     mapped = [r @ to_space for r in rows]
     clean = np.concatenate([m for m, y in zip(mapped, labels) if y <= 0])
-    near = [r.max(axis=1) >= max(TEACHES, NEAR_BEST * r.max()) for r in rows]
+    likest = [r[:, :marks].max(axis=1) for r in rows]
+    near = [r >= max(TEACHES, NEAR_BEST * r.max()) for r in likest]
     toxic = np.concatenate([m[n] for m, n, y in zip(mapped, near, labels) if y > 0])
+    many = max(1, round(len(toxic) / len(hidden)))
+    toxic = np.r_[toxic, np.tile(hidden @ to_space, (many, 1))]
     w = support_vectors(np.r_[toxic, clean], np.r_[np.ones(len(toxic)), -np.ones(len(clean))])
     margins = np.array([(m @ w[:-1]).max() + w[-1] for m in mapped])
-    slope, offset = logit_of(margins, labels)
-    slope = max(slope, 1e-6)
-    return slope * (to_space @ w[:-1]), slope * float(w[-1]) + offset
+    slope = max(logit_of(margins, labels)[0], 1e-6)
+    return slope * (to_space @ w[:-1]), slope * (float(w[-1]) - least_errors(margins, labels))
 
 
 def train(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -302,27 +389,29 @@ def train(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     parts = [rows.where(F.col("__label") == v).orderBy(draw, key).limit(n) for v, n in ((1, TOXIC_TEXTS), (0, CLEAN_TEXTS))]
     drawn = parts[0].unionAll(parts[1])
     known = texts.select(key, F.col(text).alias("text")).where("text is not null").join(F.broadcast(drawn), key)
-    landmarks = choose_landmarks(known.where("__label = 1").select("text"), known.where("__label = 0").select("text"))
-    if not landmarks:
+    marks, bare = choose_landmarks(known)
+    landmarks = marks + bare
+    if not marks:
         return Model([], np.zeros(0), -30.0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mine = Landmarks(landmarks)
         for batch in batches:
-            listed, marks = batch["text"].tolist(), batch["__label"].to_numpy()
+            listed, labels = batch["text"].tolist(), batch["__label"].to_numpy()
             for a, b in batches_of(listed):
                 cut, begins = sentences(listed[a:b])
                 found = kernel_rows(cut, mine)
                 best = [found[i:j] for i, j in zip(begins, begins[1:])]
-                best = [r[np.argsort(-r.max(axis=1), kind="stable")[:SENTENCES]].ravel() for r in best]
-                yield pd.DataFrame({"label": marks[a:b], "rows": best})
+                best = [r[np.argsort(-r[:, : len(marks)].max(axis=1), kind="stable")[:SENTENCES]].ravel() for r in best]
+                yield pd.DataFrame({"label": labels[a:b], "rows": best})
 
     sample = known.select("text", "__label").mapInPandas(run, "label int, rows array<float>").toPandas()
     y = np.where(sample["label"].to_numpy() == 1, 1.0, -1.0)
     if len(set(y)) < 2:
         return Model([], np.zeros(0), -30.0)
     listed = [np.asarray(r, np.float64).reshape(-1, len(landmarks)) for r in sample["rows"]]
-    return Model(landmarks, *fit(listed, y, Landmarks(landmarks)))
+    space = Landmarks(landmarks)
+    return Model(landmarks, *fit(listed, y, space, len(marks), kernel_rows([d for m in marks for d in disguised(m)], space)))
 
 
 def logits(texts: list[str], model: Model, space: Landmarks) -> np.ndarray:

@@ -93,6 +93,32 @@ def test_gaps_and_signs_keep_their_likeness():
     assert 0.2 < rows[2, 0] < 1 and rows[3].max() < 0.05 and not rows[4].any()
 
 
+def test_likeness_against_plain_python():
+    marks = ["idiot", "achlich-", "scum", "pathetic"]
+    words = ["idiot", "idxiot", "ixdxixoxt", "achlichung", "achlich", "scamus", "pathetically", "hepatitc", "idio", "the"]
+    words += ["disinvitation" * 3, "ò" * 30 + "idiot"]
+
+    def brute(word, mark):
+        own = toxicity.BEGIN + (mark[:-1] if mark.endswith("-") else mark + toxicity.END)
+        letters = set(own) - {toxicity.BEGIN, toxicity.END}
+        if len(letters - set(word)) > len(letters) // 4:
+            return 0.0
+        at = [i for i, c in enumerate(word) if c in own]
+        shared = "".join(word[i] for i in at)
+        norm = (brute_kernel(shared, shared) * brute_kernel(own, own)) ** 0.5
+        gaps = at[-1] - at[0] + 1 - len(at)
+        return (brute_kernel(shared, own) / norm * toxicity.GAP**gaps) ** toxicity.POWER if norm else 0.0
+
+    expected = [[max(brute(p, m) for p in toxicity.pieces(w)) for m in marks] for w in words]
+    expected = [[v if v >= toxicity.FLOOR else 0 for v in row] for row in expected]
+    assert np.allclose(toxicity.kernel_rows(words, toxicity.Landmarks(marks)), expected, atol=1e-4)
+
+
+def test_least_errors():
+    margins, y = np.array([0.0, 1.0, 2.0, 3.0, 3.0]), np.array([-1, 1, -1, 1, 1])
+    assert toxicity.least_errors(margins, y) == 0.5 and toxicity.least_errors(margins, -np.ones(5)) == 4.0
+
+
 def test_toxic_texts_are_found(spark):
     rnd = random.Random(3)
     word = lambda: "".join(rnd.choice(["ba", "ne", "to", "li", "ku", "ra"]) for _ in range(rnd.randint(1, 3)))
@@ -116,6 +142,9 @@ def test_toxic_texts_are_found(spark):
     found = sorted(((r["doc_id"], r["predicted"]) for r in toxicity.score(edge, model).collect()), key=repr)
     assert found == [(1, 1), (1, 1), (2, 1), (3, 0), (4, 0), (None, 1)]
     assert toxicity.score(edge.limit(0), model).collect() == []
+    hidden = ["verxmin", "vexrmxin", "vxexrxmxixn", "j - a - c - k - a - s - s", "j. a. c. k. a. s. s", "v\ne\nr\nm\ni\nn", "ja ck as s", "wreqtch"]
+    disguised = spark.createDataFrame([(i, f"ba ne ku {w} tobali kura") for i, w in enumerate(hidden)], "doc_id long, text string")
+    assert [r["doc_id"] for r in toxicity.score(disguised, model).where("predicted = 0").collect()] == []
     blank = toxicity.train(docs, marks.where("toxic = 0"))
     assert {r["predicted"] for r in toxicity.score(docs, blank).collect()} == {0}
 
