@@ -50,7 +50,7 @@ TEACHES, NEAR_BEST = 0.3, 0.8
 # Rows the machine is trained on: at most so many of each label.
 TOXIC_TEXTS, CLEAN_TEXTS = 1500, 3000
 # Sentences a text lends to training: those most like a landmark.
-SENTENCES = 40
+SENTENCES = 16
 CANDIDATES = 4000
 SEED = 3
 
@@ -364,7 +364,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, space: Landmarks, marks: int
         return np.zeros(len(space.words)), -30.0
     values, vectors = np.linalg.eigh(space.among())
     keep = values > 1e-6
-    to_space = vectors[:, keep] / np.sqrt(values[keep])
+    to_space = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
     mapped = [r @ to_space for r in rows]
     clean = np.concatenate([m for m, y in zip(mapped, labels) if y <= 0])
     likest = [r[:, :marks].max(axis=1) for r in rows]
@@ -409,7 +409,8 @@ def train(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     y = np.where(sample["label"].to_numpy() == 1, 1.0, -1.0)
     if len(set(y)) < 2:
         return Model([], np.zeros(0), -30.0)
-    listed = [np.asarray(r, np.float64).reshape(-1, len(landmarks)) for r in sample["rows"]]
+    listed = [np.asarray(r, np.float32).reshape(-1, len(landmarks)) for r in sample["rows"]]
+    del sample
     space = Landmarks(landmarks)
     return Model(landmarks, *fit(listed, y, space, len(marks), kernel_rows([d for m in marks for d in disguised(m)], space)))
 
