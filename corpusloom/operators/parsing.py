@@ -142,19 +142,21 @@ def parse_rewrites(df: DataFrame, raw: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.inline(let(numbered, last_wins)))
 
 
+def section_parts(block: Column) -> Column:
+    """struct(header, text) of one section."""
+    head = rf"(?i)\A{SECTION_HEAD}"
+    return F.struct(
+        strip(F.regexp_extract(block, head, 1)).alias("header"),
+        strip(F.substr(block, F.length(F.regexp_extract(block, head, 0)) + 1)).alias("text"),
+    )
+
+
 def section_blocks(c: Column | str, *, any_case: bool = False) -> Column:
     """array<struct(header, text)> of LaTeX sub(sub)sections."""
     pattern = SECTION_ANY_CASE if any_case else SECTION_BLOCK
     blocks = F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit(pattern), F.lit(0))
 
-    def parts(block: Column) -> Column:
-        head = rf"(?i)\A{SECTION_HEAD}"
-        return F.struct(
-            strip(F.regexp_extract(block, head, 1)).alias("header"),
-            strip(F.substr(block, F.length(F.regexp_extract(block, head, 0)) + 1)).alias("text"),
-        )
-
-    return F.transform(blocks, parts)
+    return F.transform(blocks, section_parts)
 
 
 def parse_sections(df: DataFrame, raw: str, keys: list[str]) -> DataFrame:
@@ -163,20 +165,22 @@ def parse_sections(df: DataFrame, raw: str, keys: list[str]) -> DataFrame:
     return rows.where(F.col("s.text") != "").select(*keys, (F.col("pos") + 1).alias("num"), "s.header", "s.text")
 
 
+def block_parts(block: Column) -> Column:
+    """struct(header, text) of one `Text N – …` block: the first line, then the rest."""
+    return let(
+        split_lines(strip(block)),
+        lambda lines: F.struct(
+            strip(F.coalesce(F.get(lines, F.lit(0)), F.lit(""))).alias("header"),
+            strip(F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))), "\n")).alias("text"),
+        ),
+    )
+
+
 def text_blocks(c: Column | str) -> Column:
     """array<struct(header, text)> of `Text N – …` blocks: the first line, then the rest."""
     blocks = F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit(TEXT_BLOCK), F.lit(0))
 
-    def split_head(block: Column) -> Column:
-        return let(
-            split_lines(strip(block)),
-            lambda lines: F.struct(
-                strip(F.coalesce(F.get(lines, F.lit(0)), F.lit(""))).alias("header"),
-                strip(F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))), "\n")).alias("text"),
-            ),
-        )
-
-    return F.transform(blocks, split_head)
+    return F.transform(blocks, block_parts)
 
 
 def parse_text_blocks(df: DataFrame, raw: str, keys: list[str]) -> DataFrame:

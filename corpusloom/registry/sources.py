@@ -14,7 +14,7 @@ from corpusloom.registry.columns import sql_clean_body, sql_title, sql_untag
 from corpusloom.registry.core import query, sql_latex, sql_lines, sql_punct, sql_strip, table, texts
 from corpusloom.schemas import THEMES_JSON
 from corpusloom.session import scratch_path
-from corpusloom.sources import sinks, tables
+from corpusloom.sources import large_texts, sinks, tables
 
 _ORDERS = T.StructType([T.StructField(n, T.StringType()) for n in ("o_orderkey", "o_orderstatus", "o_orderpriority")])
 
@@ -132,6 +132,50 @@ def read_json_lines_rejects(spark, sf):
     return tables.read_json_lines_rejects(spark, f"{_written_lines(spark, sf)}/*/*.txt").select("line")
 
 
+def _file_per_language(spark, sf, value):
+    """One file per language, its records ordered by id."""
+    path = scratch_path(spark, "files")
+    rows = texts(spark, sf, "documents").select("lang", "doc_id", value.alias("value"))
+    rows.repartition("lang").sortWithinPartitions("lang", "doc_id").drop("doc_id").write.partitionBy("lang").text(path)
+    return f"{path}/*/*.txt"
+
+
+def _lang():
+    return F.regexp_extract("path", r"lang=(\w+)", 1).alias("lang")
+
+
+@query(
+    "read_text_blocks",
+    f"""SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS num, 'Text ' || doc_id || ' – ' || source AS header,
+        {sql_strip('text')} AS text FROM documents""",
+)
+def read_text_blocks(spark, sf):
+    value = F.concat(F.lit("\n Text "), F.col("doc_id").cast("string"), F.lit(" – "), "source", F.lit("\n"), "text")
+    return large_texts.read_text_blocks(spark, _file_per_language(spark, sf, value)).select(_lang(), "num", "header", "text")
+
+
+@query(
+    "read_sections",
+    f"""SELECT lang, 2 * row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS num, source AS header,
+        {sql_strip('text')} || chr(10) || '\\subset ' || doc_id AS text FROM documents""",
+)
+def read_sections(spark, sf):
+    value = F.concat(
+        F.lit("\\subsubsection*{"), "source", F.lit("}"), tx.strip("text"), F.lit("\n\\subset "), F.col("doc_id").cast("string"),
+        F.lit("\n\\subsection{empty}\n\\subsections are none"),
+    )
+    return large_texts.read_sections(spark, _file_per_language(spark, sf, value)).select(_lang(), "num", "header", "text")
+
+
+@query(
+    "read_segments",
+    f"""SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS X, {sql_strip('text')} AS segment FROM documents""",
+)
+def read_segments(spark, sf):
+    value = F.concat(F.lit(" >||< \n>||<"), "text", F.lit("\n"))
+    return large_texts.read_segments(spark, _file_per_language(spark, sf, value)).select(_lang(), "X", "segment")
+
+
 @query(
     "read_xml_texts",
     f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents)
