@@ -20,9 +20,10 @@ from corpusloom.session import materialise
 # Attempts per call and the pause between them, in seconds.
 ATTEMPTS = 3
 BACKOFF_SECONDS = 1.5
-# Prompts handed to the model at a time, and prompts whose answers are appended by one job.
+# Prompts handed to the model at a time.
 LIST = 64
-CHUNK = 100_000
+# A task's answers move into the table when the task ends, not when its whole job does.
+COMMIT_BY_TASK = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 
 # One answer per prompt in the same order: None or an exception for a prompt without an answer. Raising fails the list.
 Model = Callable[[list[str]], list[str | Exception | None]]
@@ -206,6 +207,14 @@ def generate_batches(
     (`generate_into`), or a second evaluation repeats the calls.
     """
     inputs = prompts.select(*keys, "prompt").repartition(tasks, *keys)
+    return _call(inputs, make_model, keys, attempts, backoff, exponential, list_size)
+
+
+def _call(
+    inputs: DataFrame, make_model: Callable[[], Model], keys: list[str], attempts: int = ATTEMPTS,
+    backoff: float = BACKOFF_SECONDS, exponential: bool = False, list_size: int = LIST,
+) -> DataFrame:
+    """The answers to prompts that lie in their tasks already."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()
@@ -219,20 +228,22 @@ def generate_batches(
             out["error"] = pd.Series([r[2] for r in results], index=out.index, dtype="object")
             yield out
 
-    return inputs.mapInPandas(run, _answers_schema(prompts, keys))
+    return inputs.mapInPandas(run, _answers_schema(inputs, keys))
 
 
 def generate_into(
-    path: str, prompts: DataFrame, make_model: Callable[[], Model], keys: list[str], *, tasks: int, chunk: int = CHUNK,
-    **options,
+    path: str, prompts: DataFrame, make_model: Callable[[], Model], keys: list[str], *, tasks: int, list_size: int = LIST,
+    lists: int = 1, **options,
 ) -> DataFrame:
     """(keys, attempt, raw, error): the answers of the table at `path` to these prompts, after the model answered those that
     have none there and the raw answers were appended.
 
     An answer is stored with a digest of its keys and its prompt, and counts for that prompt only: a store may be used again
     after tables or prompts changed, then only what changed is asked. A repeated run after a failure calls the model only for
-    what is still open. Answers are appended in jobs of about `chunk` prompts, so that a failed job repeats one chunk's calls
-    at most. Runs the model, and jobs.
+    what is still open. The open prompts are numbered and go to jobs of `tasks` tasks with `lists` lists of `list_size` prompts
+    each; a task's answers are in the table as soon as it ends, so that a run that fails loses the tasks then at work and
+    no more. (Where the file system's committer moves files only at the end of a job, that job.) More lists a task mean fewer
+    jobs, whose slowest list the others wait for. Runs the model, and jobs.
     """
     spark = prompts.sparkSession
     request = F.sha2(F.to_json(F.struct(*keys, F.col("prompt"))), 256)
@@ -240,11 +251,15 @@ def generate_into(
     schema = _answers_schema(asked, [*keys, "request"])
     spark.createDataFrame([], schema).write.mode("append").parquet(path)
     answered = spark.read.schema(schema).parquet(path).where("raw is not null")
-    todo = materialise(asked.join(answered.select("request"), "request", "left_anti"), "open_prompts")
-    chunks = max(1, -(-todo.count() // chunk))
-    for i in range(chunks):
-        part = todo.where(F.pmod(F.xxhash64("request"), F.lit(chunks)) == i) if chunks > 1 else todo
-        generate_batches(part, make_model, [*keys, "request"], tasks=tasks, **options).write.mode("append").parquet(path)
+    open_ = asked.join(answered.select("request"), "request", "left_anti")
+    todo = materialise(renumber(open_, ["request"], "__no", start=0), "open_prompts")
+    share = tasks * lists * list_size
+    for first in range(0, todo.count(), share):
+        # In order of numbers, so that a job reads little beside its own prompts; task by task dealt evenly.
+        part = todo.where(F.col("__no").between(first, first + share - 1))
+        dealt = part.repartitionById(tasks, (F.col("__no") % tasks).cast("int")).select(*keys, "request", "prompt")
+        answers = _call(dealt, make_model, [*keys, "request"], list_size=list_size, **options)
+        answers.write.mode("append").options(**COMMIT_BY_TASK).parquet(path)
     return spark.read.schema(schema).parquet(path).join(asked.select("request"), "request", "left_semi").drop("request")
 
 

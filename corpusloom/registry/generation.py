@@ -138,7 +138,7 @@ def fill_missing(spark, sf):
 
 
 SPECS = [gn.VariantSpec("DIRECT", "DIRECT"), gn.VariantSpec("FORMAL", "FORMAL")]
-FILL = {"tasks": TASKS, "retry_preamble": "RETRY", "backoff": 0.0}
+FILL = {"tasks": TASKS, "lists": 16, "retry_preamble": "RETRY", "backoff": 0.0}
 
 
 @query(

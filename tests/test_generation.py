@@ -1,10 +1,16 @@
 """Prompts, calls, retries and fills."""
 
+import os
 import re
 import sys
+import time
+import uuid
+from collections import Counter
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark import cloudpickle
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from corpusloom.operators import generation as gn
@@ -97,6 +103,41 @@ def test_a_second_run_asks_only_for_what_is_open(spark):
     assert lines == ["[GENERATION_FAILED for line 5]", "[GENERATION_FAILED for line 6]"]
 
 
+def dying_once(folder):
+    """Notes each prompt it is asked; the first time, the process that is given `p5` ends, after the others are done."""
+
+    def make():
+        def model(prompts):
+            for p in prompts:
+                open(f"{folder}/{p}.{uuid.uuid4().hex}", "w").close()
+            if "p5" in prompts and not os.path.exists(f"{folder}/died"):
+                open(f"{folder}/died", "w").close()
+                time.sleep(6)
+                os._exit(1)
+            return [p.upper() for p in prompts]
+
+        return model
+
+    return make
+
+
+def test_a_lost_list_repeats_its_own_calls_only(spark, tmp_path):
+    prompts = spark.range(40).select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("prompt"))
+    ask = lambda: gn.generate_into(f"{tmp_path}/store", prompts, make, ["id"], tasks=4, list_size=5)
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    make = dying_once(str(notes))
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        ask()
+    asked = {f.split(".")[0] for f in os.listdir(notes)} - {"died"}
+    answered = {r["raw"].lower() for r in spark.read.parquet(f"{tmp_path}/store").collect()}
+    lost = asked - answered
+    assert "p5" in lost and len(lost) == 5
+    assert {r["id"]: r["raw"] for r in ask().collect()} == {i: f"P{i}" for i in range(40)}
+    calls = Counter(f.split(".")[0] for f in os.listdir(notes) if f != "died")
+    assert calls == {f"p{i}": 2 if f"p{i}" in lost else 1 for i in range(40)}
+
+
 def test_answers_belong_to_their_prompts(spark):
     path = scratch_path(spark, "answers")
     ask = lambda rows: {
