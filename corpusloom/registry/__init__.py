@@ -1,6 +1,6 @@
 """All registered queries, by family."""
 
-from corpusloom.registry import columns, core, generation, joins, ordering, parsing, plans, sources, statistics  # noqa: F401
+from corpusloom.registry import columns, core, generation, joins, ordering, parsing, plans, sources, statistics, streams  # noqa: F401
 
 
 def queries():
