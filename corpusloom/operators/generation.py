@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -22,8 +23,12 @@ ATTEMPTS = 3
 BACKOFF_SECONDS = 1.5
 # Prompts handed to the model at a time.
 LIST = 64
+# Jobs of model calls in a run, at most: the more prompts, the more lists a task asks.
+JOBS = 32
 # A task's answers move into the table when the task ends, not when its whole job does.
 COMMIT_BY_TASK = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+# Prompts and answers are most of what a run writes.
+PACKED = {"compression": "zstd"}
 
 # One answer per prompt in the same order: None or an exception for a prompt without an answer. Raising fails the list.
 Model = Callable[[list[str]], list[str | Exception | None]]
@@ -119,8 +124,10 @@ def build_prompts(
     by: list[str] = (),
     num: str = "num",
     head: Callable[[Column, Column], Column] | None = None,
+    nums: str | None = None,
 ) -> DataFrame:
-    """One prompt per batch: preamble, then the blocks in row order, each below `head(position, num)` if given.
+    """One prompt per batch: preamble, then the blocks in row order, each below `head(position, num)` if given. The column
+    `nums`, if named, lists the batch's numbers in that order.
 
     A batch has a fixed size, so its list is small.
     """
@@ -135,8 +142,9 @@ def build_prompts(
         return b["block"] if head is None else F.concat_ws("\n", head(i + 1, b["num"]), b["block"])
 
     joined = F.array_join(F.transform("__blocks", shown), "\n\n")
+    listed = [F.transform("__blocks", lambda b: b["num"]).alias(nums)] if nums else []
     return grouped.select(
-        *by, "batch_id", F.concat_ws("\n\n", F.nullif("__preamble", F.lit("")), joined).alias("prompt"), "n_rows"
+        *by, "batch_id", F.concat_ws("\n\n", F.nullif("__preamble", F.lit("")), joined).alias("prompt"), "n_rows", *listed
     )
 
 
@@ -233,34 +241,50 @@ def _call(
 
 def generate_into(
     path: str, prompts: DataFrame, make_model: Callable[[], Model], keys: list[str], *, tasks: int, list_size: int = LIST,
-    lists: int = 1, **options,
+    lists: int = 1, carry: list[str] = (), **options,
 ) -> DataFrame:
-    """(keys, attempt, raw, error): the answers of the table at `path` to these prompts, after the model answered those that
-    have none there and the raw answers were appended.
+    """(keys, carry, attempt, raw, error): the answers of the table at `path` to these prompts, after the model answered those
+    that have none there and the raw answers were appended.
 
     An answer is stored with a digest of its keys and its prompt, and counts for that prompt only: a store may be used again
     after tables or prompts changed, then only what changed is asked. A repeated run after a failure calls the model only for
     what is still open. The open prompts are numbered and go to jobs of `tasks` tasks with `lists` lists of `list_size` prompts
-    each; a task's answers are in the table as soon as it ends, so that a run that fails loses the tasks then at work and
-    no more. (Where the file system's committer moves files only at the end of a job, that job.) More lists a task mean fewer
-    jobs, whose slowest list the others wait for. Runs the model, and jobs.
+    each, or with so many more that there are at most `JOBS` jobs; a task's answers are in the table as soon as it ends, so that
+    a run that fails loses the tasks then at work and no more. (Where the file system's committer moves files only at the end
+    of a job, that job.) More lists a task mean fewer jobs, whose slowest list the others wait for. `carry` are columns of
+    `prompts` that hang on the keys. Runs the model, and jobs.
     """
-    spark = prompts.sparkSession
+    spark, run = prompts.sparkSession, uuid.uuid4().hex
     request = F.sha2(F.to_json(F.struct(*keys, F.col("prompt"))), 256)
-    asked = materialise(prompts.select(*keys, "prompt").withColumn("request", request), "prompts")
-    schema = _answers_schema(asked, [*keys, "request"])
+    place = F.monotonically_increasing_id()
+    # A prompt is written here, and moves once more to its task. All else needs its digest and its place in this table.
+    asked = materialise(prompts.select(*keys, *carry, "prompt").withColumns({"request": request, "__at": place}), "prompts", **PACKED)
+    # An answer names its run and brings its prompt's columns with it, so that those of this run join nothing.
+    marked = asked.withColumn("run", F.lit(run))
+    brought = [*keys, *carry, "request", "run"]
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in _answers_schema(marked, brought).fields])
     spark.createDataFrame([], schema).write.mode("append").parquet(path)
-    answered = spark.read.schema(schema).parquet(path).where("raw is not null")
-    open_ = asked.join(answered.select("request"), "request", "left_anti")
-    todo = materialise(renumber(open_, ["request"], "__no", start=0), "open_prompts")
-    share = tasks * lists * list_size
-    for first in range(0, todo.count(), share):
-        # In order of numbers, so that a job reads little beside its own prompts; task by task dealt evenly.
-        part = todo.where(F.col("__no").between(first, first + share - 1))
-        dealt = part.repartitionById(tasks, (F.col("__no") % tasks).cast("int")).select(*keys, "request", "prompt")
-        answers = _call(dealt, make_model, [*keys, "request"], list_size=list_size, **options)
-        answers.write.mode("append").options(**COMMIT_BY_TASK).parquet(path)
-    return spark.read.schema(schema).parquet(path).join(asked.select("request"), "request", "left_semi").drop("request")
+    before = spark.read.schema(schema).parquet(path)
+    known = materialise(asked.select("request", *carry).join(before.select("request"), "request", "left_semi"), "known")
+    places = asked.select("request", "__at")
+    open_ = places.join(before.where("raw is not null").select("request"), "request", "left_anti").select("__at")
+    todo = materialise(renumber(open_, ["__at"], "__no", start=0), "open_prompts")
+    share = tasks * list_size * max(lists, -(-todo.count() // (tasks * list_size * JOBS)))
+    jobs = todo.groupBy(F.floor(F.col("__no") / share).alias("job")).agg(F.min("__at").alias("first"), F.max("__at").alias("last"))
+    for job in jobs.orderBy("job").collect():
+        # Numbers follow places, so a job reads little beside its own prompts; task by task dealt evenly.
+        numbers = todo.where(F.col("__no").between(job["job"] * share, (job["job"] + 1) * share - 1))
+        part = marked.where(F.col("__at").between(job["first"], job["last"])).join(F.broadcast(numbers), "__at")
+        dealt = part.repartitionById(tasks, (F.col("__no") % tasks).cast("int")).select(*brought, "prompt")
+        answers = _call(dealt, make_model, brought, list_size=list_size, **options)
+        answers.write.mode("append").options(**COMMIT_BY_TASK, **PACKED).parquet(path)
+    store, columns = spark.read.schema(schema).parquet(path), [*keys, *carry, "attempt", "raw", "error"]
+    new = store.where(F.col("run") == run).select(columns)
+    if known.isEmpty():
+        return new
+    # What a store held before may lack the columns carried.
+    earlier = store.where(~F.col("run").eqNullSafe(run)).drop(*carry)
+    return new.unionByName(earlier.join(known.dropDuplicates(["request"]), "request").select(columns))
 
 
 def placeholder_failed(responses: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
@@ -358,12 +382,10 @@ def wanted_rows(corpus: DataFrame, names: list[str]) -> DataFrame:
 
 def _asks(planned: DataFrame, block: Column, preamble: Column) -> DataFrame:
     """(ask, variant, nums, prompt) of each batch; `ask` is a digest of all that is asked: variant, numbers, prompt."""
-    batches = build_prompts(planned, block, preamble, by=["variant"], head=input_head)
-    nums = planned.groupBy("variant", "batch_id").agg(F.sort_array(F.collect_list("num")).alias("nums"))
+    batches = build_prompts(planned, block, preamble, by=["variant"], head=input_head, nums="nums")
     listed = F.concat_ws(",", F.transform("nums", lambda n: n.cast("string")))
-    joined = batches.join(nums, ["variant", "batch_id"])
     ask = F.sha2(F.concat_ws("\x1f", F.col("variant"), listed, F.col("prompt")), 256)
-    return joined.select(ask.alias("ask"), "variant", "nums", "prompt")
+    return batches.select(ask.alias("ask"), "variant", "nums", "prompt")
 
 
 def fill_missing(
@@ -394,7 +416,7 @@ def fill_missing(
     kept = have.where(~is_blank("generated_text")).select(
         "variant", "num", strip("generated_text").alias("text"), F.lit(0).alias("attempt")
     )
-    texts = kept
+    texts, news = kept, []
     sources = corpus.select("num", *[c for c in corpus.columns if c != "num"])
     for round_no in range(1, rounds + 1):
         pending = missing_rows(wanted, texts.select("variant", "num", F.col("text").alias("generated_text")), ["variant", "num"])
@@ -407,17 +429,32 @@ def fill_missing(
         for s in specs:
             lead = s.preamble if round_no == 1 else "\n".join(p for p in (s.preamble, retry_preamble) if p)
             preamble = F.when(F.col("variant") == s.name, lead).otherwise(preamble)
-        asked = materialise(_asks(planned, block, preamble), "asked")
-        answers = generate_into(store, asked, make_model, ["ask"], tasks=tasks, **options)
-        mine = answers.where("raw is not null").join(asked.select("ask", "variant", "nums"), "ask")
-        parsed = parse_rewrites(mine, "raw", ["ask", "variant", "nums"]).where(F.array_contains("nums", F.col("num")))
+        asks = _asks(planned, block, preamble)
+        answers = generate_into(store, asks, make_model, ["ask"], tasks=tasks, carry=["variant", "nums"], **options)
+        mine = answers.where("raw is not null")
+        parsed = parse_rewrites(mine, "raw", ["variant", "nums"]).where(F.array_contains("nums", F.col("num")))
         # Parsed once: the next round and the result read the texts, not the answers.
-        new = materialise(parsed.where(~is_blank("text")).select("variant", "num", "text"), "rewrites")
-        texts = texts.unionByName(new.withColumn("attempt", F.lit(round_no)))
-    best = best_attempt(texts, ["variant", "num"]).withColumnRenamed("text", "generated_text")
-    return wanted.join(best, ["variant", "num"], "left").withColumn(
-        "generated_text", F.coalesce("generated_text", F.lit(""))
-    )
+        new = materialise(parsed.where(~is_blank("text")).select("variant", "num", "text"), "rewrites", **PACKED)
+        news.append(new.withColumn("attempt", F.lit(round_no)))
+        texts = texts.unionByName(news[-1])
+    return _filled(wanted, kept, union_tables(news), ["variant", "num"]) if news else _best_filled(wanted, kept, ["variant", "num"])
+
+
+def _best_filled(wanted: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
+    best = best_attempt(texts, keys).withColumnRenamed("text", "generated_text")
+    return wanted.join(best, keys, "left").withColumn("generated_text", F.coalesce("generated_text", F.lit("")))
+
+
+def _filled(wanted: DataFrame, kept: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The wanted rows with their best text, '' without one. A new text that is the only one of a row that is wanted once
+    stays where it is, only its key moves; `new` holds wanted rows that are not in `kept`, and no blank text. Writes the
+    other keys."""
+    several = [rows.groupBy(*keys).count().where("count > 1").select(*keys) for rows in (new, wanted)]
+    repeated = materialise(union_tables(several).distinct(), "repeated")
+    single = new.join(repeated, keys, "left_anti")
+    rest = wanted.join(single.select(*keys), keys, "left_anti")
+    others = _best_filled(rest, kept.unionByName(new.join(repeated, keys, "left_semi")), keys)
+    return single.select(*keys, F.col("text").alias("generated_text")).unionByName(others)
 
 
 def sample_rows(catalogue: DataFrame, key: str, n: int = 20, seed: str = "0") -> DataFrame:

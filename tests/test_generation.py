@@ -183,6 +183,45 @@ def test_fill_resumes_and_retries(spark):
     assert (audit["A"]["total"], audit["A"]["filled"], audit["A"]["missing"]) == (7, 4, 3)
 
 
+def moves(df):
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return [word for word in ("Exchange", "Join", "Aggregate") if word in plan]
+
+
+def test_answers_of_a_run_are_read_where_they_lie(spark):
+    path = scratch_path(spark, "answers")
+    prompts = spark.range(30).select("id", F.lit("x").alias("more"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("prompt"))
+    answers = gn.generate_into(path, prompts, counting, ["id"], tasks=2, carry=["more"])
+    assert moves(answers) == [] and answers.columns == ["id", "more", "attempt", "raw", "error"]
+    again = gn.generate_into(path, prompts, counting, ["id"], tasks=2, carry=["more"])
+    assert sorted(again.collect()) == sorted(answers.collect())
+
+
+def test_jobs_do_not_grow_with_the_prompts(spark, tmp_path):
+    prompts = spark.range(gn.JOBS * 3).select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("prompt"))
+    rows = gn.generate_into(f"{tmp_path}/store", prompts, counting, ["id"], tasks=1, list_size=1).collect()
+    assert sorted(r["id"] for r in rows) == list(range(gn.JOBS * 3)) and {r["raw"].split()[1] for r in rows} == {"1"}
+    assert len({r["raw"].split()[0] for r in rows}) == gn.JOBS
+
+
+def test_fill_takes_answers_of_stores_without_columns_carried(spark):
+    options = dict(batch_size=3, rounds=1, backoff=0.0, tasks=2)
+    store, old = scratch_path(spark, "answers"), scratch_path(spark, "answers")
+    none = spark.createDataFrame([], "variant string, num long, generated_text string")
+    found = lambda path, model: sorted(gn.fill_missing(corpus_of(spark, 7), none, [gn.VariantSpec("A", "A")], model, store=path, **options).collect())
+    first = found(store, rewriter)
+    spark.read.parquet(store).select("ask", "request", "attempt", "raw", "error").write.parquet(old)
+    assert found(old, lambda: None) == first and any(r["generated_text"] for r in first)
+
+
+def test_fill_of_rows_that_come_twice(spark):
+    corpus = corpus_of(spark, 4).union(corpus_of(spark, 2))
+    existing = spark.createDataFrame([("A", 2, "kept"), ("A", 2, "kept")], "variant string, num long, generated_text string")
+    rows = gn.fill_missing(corpus, existing, [gn.VariantSpec("A", "A")], rewriter, store=scratch_path(spark, "answers"), rounds=1, tasks=2, backoff=0.0)
+    found = [(1, "A text 1"), (1, "A text 1"), (2, "kept"), (2, "kept"), (3, ""), (4, "")]
+    assert sorted((r["num"], r["generated_text"]) for r in rows.collect()) == found
+
+
 def test_sample_is_repeatable(spark):
     df = spark.range(100).select(F.col("id").cast("string").alias("op"))
     first = [r["op"] for r in gn.sample_rows(df, "op", 5, "s").collect()]
