@@ -98,18 +98,25 @@ def read_text_corpus(spark, sf):
     )
 
 
+def _write_by_language(spark, sf, value, name):
+    """A folder per language, its part files by name and the records in them ordered by id: written by ranges of ids, as one
+    task per language would take in a large part of the table."""
+    path = scratch_path(spark, name)
+    rows = texts(spark, sf, "documents").select("lang", "doc_id", value.alias("value"))
+    placed = rows.repartitionByRange("lang", "doc_id").sortWithinPartitions("lang", "doc_id")
+    placed.drop("doc_id").write.partitionBy("lang").text(path)
+    return f"{path}/*/*.txt"
+
+
 def _written_lines(spark, sf):
-    """A file per language, ordered by id: English records by their own names, French ones spelled `Text` and followed by
+    """A folder per language, ordered by id: English records by their own names, French ones spelled `Text` and followed by
     a comma, Spanish ones without number or header; German lines are cut off behind the text."""
     lang, text = F.col("lang"), F.col("text")
     whole = F.to_json(F.struct(F.col("doc_id").alias("num"), F.col("source").alias("title"), text.alias("text"), F.lit("sn3B").alias("sn")))
     french = F.concat(F.to_json(F.struct(text.alias("Text"), F.col("doc_id").cast("string").alias("Num"))), F.lit(","))
     cut = F.concat(F.lit("broken "), F.col("doc_id").cast("string"), F.lit(' {"text": "'))
     line = F.when(lang == "en", whole).when(lang == "fr", french).when(lang == "de", cut).otherwise(F.to_json(F.struct(text.alias("text"))))
-    path = scratch_path(spark, "lines")
-    rows = texts(spark, sf, "documents").select("lang", "doc_id", line.alias("value"))
-    rows.repartition("lang").sortWithinPartitions("lang", "doc_id").drop("doc_id").write.partitionBy("lang").text(path)
-    return path
+    return _write_by_language(spark, sf, line, "lines")
 
 
 @query(
@@ -120,7 +127,7 @@ def _written_lines(spark, sf):
           CASE lang WHEN 'en' THEN 'SN3b' ELSE '' END AS sn, '' AS de FROM p""",
 )
 def read_json_lines(spark, sf):
-    rows = tables.read_json_lines(spark, f"{_written_lines(spark, sf)}/*/*.txt")
+    rows = tables.read_json_lines(spark, _written_lines(spark, sf), folders=True)
     return rows.select(
         F.regexp_extract("path", r"lang=(\w+)", 1).alias("lang"), "num", "header", "text",
         F.array_join("sn_codes", ",").alias("sn"), F.array_join("de_codes", ",").alias("de"),
@@ -129,15 +136,7 @@ def read_json_lines(spark, sf):
 
 @query("read_json_lines_rejects", """SELECT 'broken ' || doc_id || ' {"text": "' AS line FROM documents WHERE lang = 'de'""")
 def read_json_lines_rejects(spark, sf):
-    return tables.read_json_lines_rejects(spark, f"{_written_lines(spark, sf)}/*/*.txt").select("line")
-
-
-def _file_per_language(spark, sf, value):
-    """One file per language, its records ordered by id."""
-    path = scratch_path(spark, "files")
-    rows = texts(spark, sf, "documents").select("lang", "doc_id", value.alias("value"))
-    rows.repartition("lang").sortWithinPartitions("lang", "doc_id").drop("doc_id").write.partitionBy("lang").text(path)
-    return f"{path}/*/*.txt"
+    return tables.read_json_lines_rejects(spark, _written_lines(spark, sf), folders=True).select("line")
 
 
 def _lang():
@@ -151,7 +150,7 @@ def _lang():
 )
 def read_text_blocks(spark, sf):
     value = F.concat(F.lit("\n Text "), F.col("doc_id").cast("string"), F.lit(" – "), "source", F.lit("\n"), "text")
-    return large_texts.read_text_blocks(spark, _file_per_language(spark, sf, value)).select(_lang(), "num", "header", "text")
+    return large_texts.read_text_blocks(spark, _write_by_language(spark, sf, value, "files"), folders=True).select(_lang(), "num", "header", "text")
 
 
 @query(
@@ -164,7 +163,7 @@ def read_sections(spark, sf):
         F.lit("\\subsubsection*{"), "source", F.lit("}"), tx.strip("text"), F.lit("\n\\subset "), F.col("doc_id").cast("string"),
         F.lit("\n\\subsection{empty}\n\\subsections are none"),
     )
-    return large_texts.read_sections(spark, _file_per_language(spark, sf, value)).select(_lang(), "num", "header", "text")
+    return large_texts.read_sections(spark, _write_by_language(spark, sf, value, "files"), folders=True).select(_lang(), "num", "header", "text")
 
 
 @query(
@@ -173,7 +172,7 @@ def read_sections(spark, sf):
 )
 def read_segments(spark, sf):
     value = F.concat(F.lit(" >||< \n>||<"), "text", F.lit("\n"))
-    return large_texts.read_segments(spark, _file_per_language(spark, sf, value)).select(_lang(), "X", "segment")
+    return large_texts.read_segments(spark, _write_by_language(spark, sf, value, "files"), folders=True).select(_lang(), "X", "segment")
 
 
 @query(
@@ -192,10 +191,7 @@ def read_xml_texts(spark, sf):
         F.lit("<part><text sn='sn5'"), head, F.lit(">"), escaped, F.lit("</text></part>\n<text name='n"), key,
         F.lit("'>inner <b>DE2</b> tail</text>"),
     )
-    path = scratch_path(spark, "xml")
-    rows = texts(spark, sf, "documents").select("lang", "doc_id", value.alias("value"))
-    rows.repartition("lang").sortWithinPartitions("lang", "doc_id").drop("doc_id").write.partitionBy("lang").text(path)
-    found = tables.read_xml_texts(spark, f"{path}/*/*.txt")
+    found = tables.read_xml_texts(spark, _write_by_language(spark, sf, value, "xml"), folders=True)
     return found.select(
         F.regexp_extract("path", r"lang=(\w+)", 1).alias("lang"), "num", "header", "text",
         F.array_join("sn_codes", ",").alias("sn"), F.array_join("de_codes", ",").alias("de"),

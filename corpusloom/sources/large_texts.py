@@ -15,10 +15,11 @@ SECTION_START = "\\sub"
 _SECTION_REST = SECTION_NAME.removeprefix("sub")
 
 
-def _lines(spark: SparkSession, path: str | list[str], line_end: str | None = None) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str], line_end: str | None = None, folders: bool = False) -> DataFrame:
     """(path, block, row, line), written; all lines of a file are Latin-1 when one of them is no valid UTF-8."""
-    raw = materialise(_text_lines(spark, path, line_end).withColumn("valid", F.is_valid_utf8("line")), "lines")
-    latin = raw.where("not valid").select("path").distinct().withColumn("latin", F.lit(True))
+    raw = materialise(_text_lines(spark, path, line_end, folders).withColumn("valid", F.is_valid_utf8("line")), "lines")
+    # Written, so that the planner sees that it is small and moves no line to its path.
+    latin = materialise(raw.where("not valid").select("path").distinct(), "latin").withColumn("latin", F.lit(True))
     text = F.when(F.col("latin"), F.decode(F.col("line").cast("binary"), "ISO-8859-1")).otherwise(F.col("line"))
     return raw.join(latin, "path", "left").select("path", "block", "row", _newlines(text).alias("line"))
 
@@ -85,41 +86,44 @@ def _parts(lines: DataFrame, joiner: str) -> DataFrame:
     return parts.where("not ends").select("path", "num", "part")
 
 
-def read_text_blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_text_blocks(spark: SparkSession, path: str | list[str], *, folders: bool = False) -> DataFrame:
     """(path, num, header, text) of `Text N – …` blocks in files of any size, as `parse_text_blocks` reads a whole file.
 
     Files are split for reading, and a block runs on over the borders of splits. A head stands in one line; a byte order
-    mark is skipped. Writes the lines.
+    mark is skipped. With `folders` a folder's part files, in name order, are one file; lines end with their part, blocks
+    run on. Writes the lines.
     """
     head = F.col("line").rlike(rf"(?i)\A{TEXT_HEAD}")
     bare = F.col("line").rlike(rf"(?i)\A{TEXT_HEAD}{WS}*\z")
-    lines = _lines(spark, path).select("*", is_blank("line").alias("blank"), head.alias("mark"), head.alias("head"), bare.alias("bare"))
+    lines = _lines(spark, path, folders=folders).select("*", is_blank("line").alias("blank"), head.alias("mark"), head.alias("head"), bare.alias("bare"))
     return _parts(lines, "\n").select("path", "num", F.inline(F.array(block_parts(F.col("part")))))
 
 
-def read_sections(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_sections(spark: SparkSession, path: str | list[str], *, folders: bool = False) -> DataFrame:
     """(path, num, header, text) of the LaTeX sub(sub)sections with a body, in files of any size; numbers count all sections.
 
     Files are split before `\\sub`, and as in `parse_sections` a section ends where the next section command begins. A
-    head's braces close before the next `\\sub`. Writes the pieces.
+    head's braces close before the next `\\sub`. With `folders` a folder's part files, in name order, are one file; a `\\sub`
+    lies within a part, sections run on. Writes the pieces.
     """
     line = F.col("line")
     # The first piece of a file has no `\sub` in front.
-    is_first = (F.col("block") == 0) & F.lag("row").over(Window.partitionBy("path", "block").orderBy("row")).isNull()
+    is_first = (F.col("block.start") == 0) & F.lag("row").over(Window.partitionBy("path", "block").orderBy("row")).isNull()
     command = ~F.col("is_first") & line.rlike(rf"\A{_SECTION_REST}")
     head = ~F.col("is_first") & line.rlike(rf"\A{_SECTION_REST}\*?\{{[^}}]*\}}")
     no = F.lit(False)
-    lines = _lines(spark, path, SECTION_START).withColumn("is_first", is_first)
-    lines = lines.select("path", "block", "row", "line", no.alias("blank"), command.alias("mark"), head.alias("head"), no.alias("bare"))
-    section = F.concat(F.lit(SECTION_START), "part")
-    rows = _parts(lines, SECTION_START).select("path", "num", F.inline(F.array(section_parts(section))))
+    lines = _lines(spark, path, SECTION_START, folders).withColumn("is_first", is_first)
+    whole = F.when(F.col("is_first"), line).otherwise(F.concat(F.lit(SECTION_START), line)).alias("line")
+    lines = lines.select("path", "block", "row", whole, no.alias("blank"), command.alias("mark"), head.alias("head"), no.alias("bare"))
+    rows = _parts(lines, "").select("path", "num", F.inline(F.array(section_parts(F.col("part")))))
     return rows.where("text <> ''")
 
 
-def read_segments(spark: SparkSession, path: str | list[str], marker: str = MARKER) -> DataFrame:
+def read_segments(spark: SparkSession, path: str | list[str], marker: str = MARKER, *, folders: bool = False) -> DataFrame:
     """(path, X, segment): the pieces between markers in files of any size, those that are not blank counted from 1.
 
-    Files are split at the marker. Writes the pieces.
+    Files are split at the marker. With `folders` a folder's part files, in name order, are one file; a segment ends with
+    its part. Writes the pieces.
     """
-    pieces = _lines(spark, path, marker).withColumn("segment", strip("line")).where("segment <> ''").drop("line")
+    pieces = _lines(spark, path, marker, folders).withColumn("segment", strip("line")).where("segment <> ''").drop("line")
     return _positions(materialise(pieces, "segments")).select("path", F.col("position").alias("X"), "segment")

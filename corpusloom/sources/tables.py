@@ -83,12 +83,16 @@ def read_text_corpus(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return files.select("path", F.inline(corpus_rows("content", name)))
 
 
-def _text_lines(spark: SparkSession, path: str | list[str], line_end: str | None = None) -> DataFrame:
-    """(path, block, row, line) of text files that are split for reading; (block, row) is the order within a file."""
+def _text_lines(spark: SparkSession, path: str | list[str], line_end: str | None = None, folders: bool = False) -> DataFrame:
+    """(path, block, row, line) of text files that are split for reading; (block, row) is the order within a file. With
+    `folders` a folder's part files, in name order, are one file, whose path is the folder's."""
     reader = spark.read.option("lineSep", line_end) if line_end else spark.read
     lines = reader.text(path).where("value is not null")
+    whole, part = F.col("_metadata.file_path"), F.lit("")
+    if folders:
+        whole, part = F.regexp_extract(whole, "^(.*)/", 1), F.col("_metadata.file_name")
     return lines.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        whole.alias("path"), F.struct(part.alias("part"), F.col("_metadata.file_block_start").alias("start")).alias("block"),
         F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"),
     )
 
@@ -96,7 +100,7 @@ def _text_lines(spark: SparkSession, path: str | list[str], line_end: str | None
 def _positions(records: DataFrame) -> DataFrame:
     """The records with `position`, from 1 in each file; only their keys are sorted."""
     places = renumber(records.select("path", "block", "row"), ["path", "block", "row"], "position")
-    first = places.groupBy("path").agg(F.min("position").alias("first"))
+    first = materialise(places.groupBy("path").agg(F.min("position").alias("first")), "first")
     numbered = places.join(first, "path").select("row", (F.col("position") - F.col("first") + 1).alias("position"))
     return records.join(numbered, "row")
 
@@ -108,34 +112,39 @@ def read_ordered_text(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(places.select("row", "line_no"), "row").select("line_no", "path", "line")
 
 
-def _json_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return json_lines(_text_lines(spark, path), "line")
+def _json_lines(spark: SparkSession, path: str | list[str], folders: bool) -> DataFrame:
+    return json_lines(_text_lines(spark, path, folders=folders), "line")
 
 
-def read_json_lines(spark: SparkSession, path: str | list[str], facets: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def read_json_lines(
+    spark: SparkSession, path: str | list[str], facets: dict[str, tuple[str, ...]] | None = None, *, folders: bool = False,
+) -> DataFrame:
     """(path, num, header, text, codes…) of JSON lines files of any size; a line is a record, a comma may follow it.
 
     Fields are spelled and completed as in `parse_json_texts`: a record's position among the objects of its file stands
-    in for number and header. Lines that hold no object are rows of `read_json_lines_rejects`. Writes the records.
+    in for number and header. Lines that hold no object are rows of `read_json_lines_rejects`. With `folders` a
+    folder's part files, in name order, are one file. Writes the records.
     """
-    records = materialise(_json_lines(spark, path).where("record is not null").drop("line"), "records")
+    records = materialise(_json_lines(spark, path, folders).where("record is not null").drop("line"), "records")
     row = json_record(F.col("record"), F.col("position"), facets)
     return placed_texts(_positions(records), row, facets or JSON_FACETS, ["path"])
 
 
-def read_json_lines_rejects(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, line) of the lines that are not blank and hold no JSON object."""
-    return _json_lines(spark, path).where("record is null").select("path", "line")
+def read_json_lines_rejects(spark: SparkSession, path: str | list[str], *, folders: bool = False) -> DataFrame:
+    """(path, line) of the lines that are not blank and hold no JSON object; with `folders` the path is the folder's."""
+    return _json_lines(spark, path, folders).where("record is null").select("path", "line")
 
 
-def read_xml_texts(spark: SparkSession, path: str | list[str], facets: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def read_xml_texts(
+    spark: SparkSession, path: str | list[str], facets: dict[str, tuple[str, ...]] | None = None, *, folders: bool = False,
+) -> DataFrame:
     """(path, num, header, text, codes…) of large XML files, which are split behind their `</text>` tags.
 
     Each `<text>` element is read as `parse_xml_texts` reads it, inner elements included; its position among the readable
-    elements of its file stands in for number and header. An element within another one is read alone. Writes the
-    elements.
+    elements of its file stands in for number and header. An element within another one is read alone. With `folders` a
+    folder's part files, in name order, are one file; no element crosses them. Writes the elements.
     """
-    lines = _text_lines(spark, path, "</text>")
+    lines = _text_lines(spark, path, "</text>", folders)
     element = F.regexp_extract("line", r"(?s)\A.*(<text(?=[\s>]).*)", 1)
     whole = lines.withColumn("line", F.when(element != "", F.concat(element, F.lit("</text>")))).where("line is not null")
     nodes = whole.withColumn("node", F.get(xml_nodes("line"), F.lit(0))).where("node is not null").drop("line")

@@ -4,6 +4,7 @@ import random
 from contextlib import contextmanager
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.operators import parsing as ps
 from corpusloom.sources import large_texts, tables
@@ -84,3 +85,50 @@ def test_texts_move_by_split_and_part(spark, tmp_path):
     write(tmp_path, "a.txt", "Text 1 – a\nb\n")
     plan = large_texts.read_text_blocks(spark, f"{tmp_path}/a.txt")._jdf.queryExecution().sparkPlan().toString()
     assert "SinglePartition" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("size", [23, 200])
+def test_part_files_of_a_folder_are_one_file(spark, tmp_path, size):
+    """Cut between lines, before a `\\sub` or behind a marker or a tag, the parts read as the whole."""
+    texts = {
+        "blocks": fuzz(3, BLOCK_PIECES, 40), "sections": "x" + fuzz(4, ["\\subsection*{h}", "\\subset", "body\n", "é "], 40) + ".",
+        "segments": fuzz(5, ["one\n", ">||<", " ", "é>"], 60), "xml": "".join(f"<text num='{i}'>t {i}</text>\n" for i in range(9)),
+        "json": "".join(f'{{"text": "t {i}"}}\nbroken {i}\n' for i in range(9)),
+    }
+    cut = {"blocks": "\n", "sections": "\\sub", "segments": ">||<", "xml": "</text>", "json": "\n"}
+    for name, text in texts.items():
+        pieces = text.split(cut[name])
+        before = ["" if i == 0 else cut[name] for i in range(len(pieces))] if name == "sections" else [""] * len(pieces)
+        behind = [cut[name] if name != "sections" and i < len(pieces) - 1 else "" for i in range(len(pieces))]
+        whole = [b + p + e for b, p, e in zip(before, pieces, behind, strict=True)]
+        for kind, parts in (("whole", [text]), ("parts", ["".join(whole[i : i + 7]) for i in range(0, len(whole), 7)])):
+            folder = tmp_path / name / kind
+            folder.mkdir(parents=True)
+            for i, part in enumerate(parts):
+                write(folder, f"part-{i:05d}.txt", part)
+    readers = {
+        "blocks": (large_texts.read_text_blocks, ("num", "header", "text")), "sections": (large_texts.read_sections, ("num", "header", "text")),
+        "segments": (large_texts.read_segments, ("X", "segment")), "xml": (tables.read_xml_texts, ("num", "header", "text")),
+        "json": (tables.read_json_lines, ("num", "header", "text")),
+    }
+    for name, (read, columns) in readers.items():
+        with split_size(spark, size):
+            found = [read(spark, f"{tmp_path}/{name}/{kind}/*.txt", folders=True) for kind in ("whole", "parts")]
+        one, several = ([r[1:] for r in rows(df, *columns)] for df in found)
+        assert several == one and one, name
+
+
+def test_a_language_is_written_by_several_tasks(spark, tmp_path):
+    from corpusloom.registry import sources
+
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang", "'src1' as source")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = sources._write_by_language(spark, str(tmp_path), F.col("text"), "files")
+        found = sources.read_text_blocks(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spark.read.text(path).inputFiles()) > 1
+    assert sorted(r["num"] for r in found) == list(range(1, 401))
+    assert {(r["num"], r["text"]) for r in found} == {(i + 1, f"text {i}") for i in range(400)}
