@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import xml.etree.ElementTree as ElementTree
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -338,6 +339,8 @@ def parse_json_texts(df: DataFrame, raw: str, keys: list[str], **options) -> Dat
 # --- XML ----------------------------------------------------------------------------------------------------------
 
 XML_NODES = "array<struct<body:string,attributes:map<string,string>>>"
+# Rows whose nodes are in Python at a time.
+XML_ROWS = 128
 
 
 def _text_nodes(payload: str | None) -> list[dict] | None:
@@ -363,8 +366,11 @@ def xml_nodes(c: Column | str) -> Column:
     better through `sources.read_xml_texts`, which splits them."""
 
     @F.pandas_udf(XML_NODES)
-    def nodes(payloads: pd.Series) -> pd.Series:
-        return payloads.map(_text_nodes)
+    def nodes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        # Nodes take several times their texts' room in Python, so few are there at a time, whatever the batch.
+        for payloads in batches:
+            for start in range(0, len(payloads), XML_ROWS):
+                yield payloads.iloc[start : start + XML_ROWS].map(_text_nodes)
 
     return nodes(_col(c))
 

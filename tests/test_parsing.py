@@ -135,3 +135,12 @@ def test_sample_files(spark):
         )
         assert found == sizes
         assert [r["c"] for r in pairs.orderBy("num").collect()] == codes
+
+
+def test_xml_nodes_are_made_in_slices(spark):
+    """More rows than a slice has give the same nodes in the same order, and the batch is not turned into nodes as a whole."""
+    df = spark.range(3 * ps.XML_ROWS + 5, numPartitions=1).selectExpr("id", "concat('<text>t', id, '</text>') as raw")
+    rows = ps.parse_xml_texts(df, "raw", ["id"])
+    assert [(r["id"], r["text"]) for r in rows.orderBy("id").collect()] == [(i, f"t{i}") for i in range(3 * ps.XML_ROWS + 5)]
+    # The number of Spark's Python functions from iterators to iterators.
+    assert ", 204" in rows._jdf.queryExecution().executedPlan().toString()
