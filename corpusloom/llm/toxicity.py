@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.arrow import map_rows
+from corpusloom.llm.arrow import map_rows, remembered
 from corpusloom.llm.bpe import batches_of
 from corpusloom.session import materialise
 
@@ -52,6 +53,8 @@ TOXIC_TEXTS, CLEAN_TEXTS = 1500, 3000
 # Sentences a text lends to training: those most like a landmark.
 SENTENCES = 16
 CANDIDATES = 4000
+# Characters of texts whose different words are looked at together, so many words at a time, and pairs whose kernel is.
+TEXT_CHARS, WORDS, TOGETHER = 1 << 22, 100_000, 2000
 SEED = 3
 
 
@@ -91,6 +94,13 @@ def kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECA
     return sum((level[i][j] for i in range(a) for j in range(b)), zero)
 
 
+@remembered
+def places(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All places i < j < k of a word of n letters."""
+    at = np.arange(n)
+    return np.nonzero((at[:, None, None] < at[:, None]) & (at[:, None] < at))
+
+
 class Landmarks:
     """The kernel with fixed landmarks. A word that lacks more than a quarter of a landmark's letters counts as 0."""
 
@@ -99,7 +109,26 @@ class Landmarks:
         ends = [BEGIN + (w[:-1] if w.endswith(OPEN) else w + END) for w in words]
         self.points = coded(ends, max(map(len, ends)))
         self.norms = np.sqrt(kernel(self.points, self.points))
-        self.letters = [np.unique(row[row > 2]) for row in self.points]
+        self.own = [row[row != 0] for row in self.points]
+        # All code points of landmarks have numbers from 1 on, 0 is any other.
+        self.alphabet = np.unique(np.concatenate(self.own))
+        self.numbers = np.zeros(int(self.alphabet[-1]) + 2, np.intp)
+        self.numbers[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
+        self.letters = np.zeros((len(self.alphabet) + 1, len(words)), np.float32)
+        for k, own in enumerate(self.own):
+            self.letters[self.numbers[own[own > 2]], k] = 1
+        self.codes, self.triples = zip(*[self._triples(own) for own in self.own])
+
+    def _triples(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(codes of the alphabet's numbers from 1 on in a landmark, 0 for those it lacks; weight of each triple of codes)."""
+        different = np.unique(own)
+        base = len(different) + 1
+        codes = np.zeros(len(self.alphabet) + 1, np.uint8)
+        codes[self.numbers[different]] = np.arange(1, base)
+        row = codes[self.numbers[own]].astype(np.intp)
+        i, j, k = places(len(row))
+        weights = DECAY ** (k - i + 1.0)
+        return codes, np.bincount((row[i] * base + row[j]) * base + row[k], weights, base**3).astype(np.float32)
 
     def among(self) -> np.ndarray:
         n = len(self.words)
@@ -107,40 +136,89 @@ class Landmarks:
         value = kernel(self.points[i], self.points[j]) / (self.norms[i] * self.norms[j])
         return (value**POWER).reshape(n, n).astype(np.float64)
 
-    def likeness(self, points: np.ndarray, landmark: int) -> np.ndarray:
-        """The normalised kernel of coded words with one landmark, by the letters it has."""
-        own = self.points[landmark]
-        own = own[own != 0]
-        shared = np.isin(points, own)
+    def most(self, codes: np.ndarray, n: np.ndarray, landmark: int) -> np.ndarray:
+        """What the normalised kernel of words (n codes each, without gaps) with the landmark is at most: the whole kernel by a
+        norm that is never above a word's own, as it leaves out that a triple may stand in a word twice."""
+        base, triples = int(self.codes[landmark].max()) + 1, self.triples[landmark]
+        out = np.zeros(len(codes))
+        for size in np.unique(n[n >= ORDER]).tolist():
+            i, j, k = places(size)
+            weights = (DECAY ** (k - i + 1.0)).astype(np.float32)
+            norm = np.sqrt((weights.astype(np.float64) ** 2).sum()) * self.norms[landmark]
+            mine = np.flatnonzero(n == size)
+            step = max(1, 100_000 // len(i))
+            for a in range(0, len(mine), step):
+                part = mine[a : a + step]
+                row = codes[part, :size].T.astype(np.intp)
+                both = row * base
+                out[part] = weights @ triples[(both[i] + row[j]) * base + row[k]] / norm
+        return out
+
+    def candidates(self, points: np.ndarray, numbers: np.ndarray, at: np.ndarray, landmark: int) -> tuple[np.ndarray, ...]:
+        """(rows, other letters between those that the landmark has, number of these letters, different letters) of the coded
+        words `at` that may reach `FLOOR` with it; many words have the same of its letters."""
+        codes = self.codes[landmark][numbers[at]]
+        shared = codes != 0
         n = shared.sum(axis=1)
-        width = points.shape[1]
+        width = codes.shape[1]
         first, last = shared.argmax(axis=1), width - 1 - shared[:, ::-1].argmax(axis=1)
-        order = np.argsort(~shared, axis=1, kind="stable")[:, : int(n.max(initial=1))]
-        letters = np.where(np.arange(order.shape[1]) < n[:, None], np.take_along_axis(points, order, axis=1), 0)
-        norms = np.sqrt(kernel(letters, letters)) * self.norms[landmark]
-        value = kernel(letters, np.broadcast_to(own, (len(letters), len(own)))) / np.maximum(norms, 1e-12)
-        return value * np.float32(GAP) ** (last - first + 1 - n).astype(np.float32)
+        gaps = last - first + 1 - n
+        together = np.arange(width) < n[:, None]
+        dense = np.zeros(together.shape, np.uint8)
+        dense[together] = codes[shared]
+        # Up to 15 codes of four bits are a number; longer words, and landmarks with more letters, stay apart.
+        key = dense[:, :15].astype(np.uint64) @ (np.uint64(1) << np.arange(0, 4 * min(width, 15), 4, dtype=np.uint64))
+        apart = np.flatnonzero((n > 15) | (codes.max(axis=1) > 15))
+        key[apart] = np.uint64(1 << 63) + apart.astype(np.uint64)
+        _, sample, which = np.unique(key, return_index=True, return_inverse=True)
+        most = self.most(dense[sample], n[sample], landmark)
+        rows = np.flatnonzero(most[which] * GAP**gaps >= 0.999 * FLOOR ** (1 / POWER))
+        used, which = np.unique(which[rows], return_inverse=True)
+        sample = sample[used]
+        letters = np.zeros((len(sample), PIECE + 2), np.uint32)
+        letters[:, :width][together[sample]] = points[at[sample]][shared[sample]]
+        return at[rows], gaps[rows], which, letters
+
+    def likeness(self, letters: np.ndarray, landmark: np.ndarray) -> np.ndarray:
+        """The normalised kernel of letters with landmarks, pair by pair."""
+        out = np.zeros(len(letters), np.float32)
+        n = (letters != 0).sum(axis=1)
+        order = np.argsort(n, kind="stable")
+        for a in range(0, len(order), TOGETHER):
+            part = order[a : a + TOGETHER]
+            mine = letters[part, : n[part[-1]]]
+            norms = np.sqrt(kernel(mine, mine)) * self.norms[landmark[part]]
+            out[part] = kernel(mine, self.points[landmark[part]]) / np.maximum(norms, 1e-12)
+        return out
 
     def pairs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, landmark, normalised kernel) where it is not 0."""
+        """(word, landmark, kernel value) where it is `FLOOR` at least."""
         word, landmark, value = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
         sizes = np.array([len(w) for w in words])
-        for low, high in zip((0, 8, 12, 16), (8, 12, 16, PIECE + 2)):
+        allowed = self.letters.sum(axis=0) - self.letters.sum(axis=0) // 4
+        for low, high in zip((0, 12), (12, PIECE + 2)):
             mine = np.flatnonzero((sizes > low) & (sizes <= high))
-            if not len(mine):
-                continue
-            points = coded([words[i] for i in mine], high)
-            has = {c: (points == c).any(axis=1) for c in np.unique(np.concatenate(self.letters)).tolist()}
-            for k, letters in enumerate(self.letters):
-                lacks = sum((~has[c]).astype(np.int8) for c in letters.tolist())
-                near = np.flatnonzero(lacks <= len(letters) // 4)
-                for a in range(0, len(near), 20_000):
-                    part = near[a : a + 20_000]
-                    found = self.likeness(points[part], k)
-                    some = np.flatnonzero(found > 0)
-                    word.append(mine[part[some]])
-                    landmark.append(np.full(len(some), k))
-                    value.append(found[some] ** POWER)
+            for a in range(0, len(mine), WORDS):
+                part = mine[a : a + WORDS]
+                points = coded([words[i] for i in part], high)
+                numbers = self.numbers[np.minimum(points, len(self.numbers) - 1)]
+                has = np.zeros((len(part), len(self.alphabet) + 1), np.float32)
+                has[np.arange(len(part))[:, None], numbers] = 1
+                near = (has @ self.letters >= allowed).T
+                found, different = [], 0
+                for k in np.flatnonzero(near.any(axis=1)).tolist():
+                    rows, gaps, which, letters = self.candidates(points, numbers, np.flatnonzero(near[k]), k)
+                    found.append((part[rows], np.full(len(rows), k), gaps, different + which, letters, np.full(len(letters), k)))
+                    different += len(letters)
+                if not different:
+                    continue
+                # The exact kernel of the few that are left, of all landmarks together.
+                row, k, gaps, which, letters, theirs = map(np.concatenate, zip(*found))
+                reached = (self.likeness(letters, theirs)[which] * np.float32(GAP) ** gaps.astype(np.float32)) ** POWER
+                high_enough = reached >= FLOOR
+                word.append(row[high_enough])
+                landmark.append(k[high_enough])
+                value.append(reached[high_enough])
         return np.concatenate(word), np.concatenate(landmark), np.concatenate(value)
 
 
@@ -176,7 +254,8 @@ def tokens(text: str) -> list[str]:
 
 
 # A sentence ends behind a word of two letters at least, so that letters which stand alone stay together.
-_END = re.compile(r"(?<=\w\w)(?:[^\w\s]*\n+|[^\w\s]*[.!?][^\w\s]*\s+)")
+# It begins with what is no letter, so that the search runs over words at once.
+_END = re.compile(r"\W(?<=\w\w\W)(?:(?<=\n)\n*|(?<=[^\w\s])(?:[^\w\s]*\n+|(?:(?<=[.!?])|[^\w\s]*[.!?])[^\w\s]*\s+))")
 
 
 def sentences(texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -195,24 +274,48 @@ def pieces(word: str) -> list[str]:
     return [word[i : i + PIECE] for i in [*range(0, len(word) - PIECE, STRIDE), len(word) - PIECE]]
 
 
+def words_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(different words, number of a word, number of a text): a pair for every word that `tokens` gives of a text."""
+    cut = [t.lower().split() for t in texts]
+    flat = list(chain.from_iterable(cut))
+    owner = np.repeat(np.arange(len(texts)), [len(c) for c in cut])
+    seen = {t: i for i, t in enumerate(dict.fromkeys(flat))}
+    at = np.fromiter(map(seen.__getitem__, flat), np.int64, len(flat))
+    cleaned = [t if t.isalpha() else "".join(filter(str.isalpha, t)) for t in seen]
+    different = {w: i for i, w in enumerate(dict.fromkeys(cleaned))}
+    number = np.fromiter(map(different.__getitem__, cleaned), np.int64, len(cleaned))[at]
+    length = np.fromiter(map(len, different), np.int64, len(different))[number]
+    # A run goes on until a longer word or the next text; pieces without letters are not part of it.
+    run = np.cumsum(length > 2) + owner
+    short = np.flatnonzero((length > 0) & (length <= 2))
+    short = short[np.bincount(run[short], minlength=1)[run[short]] > 2]
+    words, more, theirs = list(different), [], []
+    for mine in np.split(short, np.flatnonzero(np.diff(run[short])) + 1) if len(short) else []:
+        for word in _joined([words[i] for i in number[mine].tolist()]):
+            more.append(different.setdefault(word, len(different)))
+            theirs.append(owner[mine[0]])
+    return list(different), np.r_[number, np.array(more, np.int64)], np.r_[owner, np.array(theirs, np.int64)]
+
+
 def kernel_rows(texts: list[str], landmarks: Landmarks) -> np.ndarray:
     """The best value of the words of each text, here a sentence, for each landmark; values below `FLOOR` count as 0."""
     out = np.zeros((len(texts), len(landmarks.words)), np.float32)
-    words = [tokens(t) for t in texts]
-    different = [w for w in set().union(*words) if len(w) >= ORDER]
+    words, number, text = words_of(texts)
+    different = [i for i, w in enumerate(words) if len(w) >= ORDER]
     if not different:
         return out
-    cut = [pieces(w) for w in different]
-    owner = np.repeat(np.arange(len(different)), [len(c) for c in cut])
+    cut = [pieces(words[i]) for i in different]
+    owner = np.repeat(different, [len(c) for c in cut])
     piece, landmark, value = landmarks.pairs([p for c in cut for p in c])
-    high = value >= FLOOR
-    table = np.zeros((len(different), len(landmarks.words)), np.float32)
-    np.maximum.at(table, (owner[piece[high]], landmark[high]), value[high])
-    like = {different[i]: i for i in np.flatnonzero(table.any(axis=1))}
-    for i, mine in enumerate(words):
-        found = [like[w] for w in like.keys() & set(mine)] if len(like) < len(mine) else [like[w] for w in set(mine) if w in like]
-        if found:
-            out[i] = table[found].max(axis=0)
+    order = np.argsort(owner[piece], kind="stable")
+    many = np.bincount(owner[piece], minlength=len(words))
+    begins = np.cumsum(many) - many
+    # Each occurrence of a word brings all its values.
+    found = np.flatnonzero(many[number] > 0)
+    each = many[number[found]]
+    ends = np.cumsum(each)
+    at = order[np.arange(each.sum()) + np.repeat(begins[number[found]] - ends + each, each)]
+    np.maximum.at(out.reshape(-1), np.repeat(text[found], each) * out.shape[1] + landmark[at], value[at])
     return out
 
 
@@ -398,7 +501,7 @@ def train(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
         mine = Landmarks(landmarks)
         for batch in batches:
             listed, labels = batch["text"].tolist(), batch["__label"].to_numpy()
-            for a, b in batches_of(listed):
+            for a, b in batches_of(listed, TEXT_CHARS):
                 cut, begins = sentences(listed[a:b])
                 found = kernel_rows(cut, mine)
                 best = [found[i:j] for i, j in zip(begins, begins[1:])]
@@ -436,7 +539,7 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
             texts = batch["text"].fillna("").tolist()
             found = np.full(len(texts), model.bias)
             if space is not None:
-                for a, b in batches_of(texts):
+                for a, b in batches_of(texts, TEXT_CHARS):
                     found[a:b] = logits(texts[a:b], model, space)
             scores = 1 / (1 + np.exp(-np.clip(found, -30, 30)))
             yield np.arange(len(texts)), pd.DataFrame({"score": scores, "predicted": (scores >= 0.5).astype(np.int32)})

@@ -114,6 +114,55 @@ def test_likeness_against_plain_python():
     assert np.allclose(toxicity.kernel_rows(words, toxicity.Landmarks(marks)), expected, atol=1e-4)
 
 
+def test_words_of_many_texts_are_those_of_each():
+    rnd = random.Random(4)
+    parts = ["a", "b.", "é", "12", "-", "ab", "c", "The", "the,", "word", "i.d.i.o.t", "ß", "\n", "\u2003"]
+    texts = ["", " ", "i d i o t", "ab c ab", "a 1 b - c"] + [" ".join(rnd.choices(parts, k=rnd.randint(0, 14))) for _ in range(400)]
+    words, number, text = toxicity.words_of(texts)
+    got = [set() for _ in texts]
+    for n, i in zip(number.tolist(), text.tolist()):
+        got[i].add(words[n])
+    assert got == [set(toxicity.tokens(t)) for t in texts] and len(set(words)) == len(words)
+    assert toxicity.words_of([])[0] == [] and toxicity.words_of([""])[0] == []
+
+
+def test_sentences_end_behind_words():
+    rule = re.compile(r"(?<=\w\w)(?:[^\w\s]*\n+|[^\w\s]*[.!?][^\w\s]*\s+)")
+    rnd = random.Random(7)
+    texts = ["Ab cd. Ef (gh!) ij", "i. d. i. o. t", "ab\n\ncd?\" \n e", ""]
+    texts += ["".join(rnd.choices('ab1_.!?,"\n\t  \u0085é-', k=rnd.randint(0, 14))) for _ in range(20_000)]
+    found, begins = toxicity.sentences(texts)
+    assert [found[i:j] for i, j in zip(begins, begins[1:])] == [rule.split(t) for t in texts]
+
+
+def test_the_kernel_is_computed_only_for_pairs_that_may_reach_the_floor(monkeypatch):
+    rnd = random.Random(6)
+    space = toxicity.Landmarks(["pathetic", "stupid", "worthless", "lostra-", "chlla-", "idiot"])
+    words = sorted({"".join(rnd.choices("aeioutsrlhpdwc", k=rnd.randint(3, 20))) for _ in range(2000)} | {"idxiot", "aaaaaa" * 4})
+    points = toxicity.coded(["\x01" + w + "\x02" for w in words], toxicity.PIECE + 2)
+    plain, near = [], 0
+    for k, own in enumerate(space.points):
+        own = own[own != 0]
+        for row in points:
+            row = row[row != 0]
+            letters = set(own.tolist()) - {1, 2}
+            if len(letters - set(row.tolist())) > len(letters) // 4:
+                continue
+            near += 1
+            at = np.flatnonzero(np.isin(row, own))
+            shared = row[at][None, :]
+            value = toxicity.kernel(shared, own[None, :]) / (np.sqrt(toxicity.kernel(shared, shared)) * space.norms[k])
+            value = (value * np.float32(toxicity.GAP) ** np.float32(at[-1] - at[0] + 1 - len(at))) ** toxicity.POWER
+            plain.append(float(value[0]))
+    counted = []
+    real = toxicity.kernel
+    monkeypatch.setattr(toxicity, "kernel", lambda s, t, *rest: counted.append(len(s)) or real(s, t, *rest))
+    _, _, values = space.pairs(["\x01" + w + "\x02" for w in words])
+    assert sorted(values.tolist()) == pytest.approx(sorted(v for v in plain if v >= toxicity.FLOOR), rel=1e-5)
+    # Two kernels a pair; and few calls, each of which goes over all letters: none a landmark.
+    assert sum(counted) < near and len(counted) <= 4
+
+
 def test_least_errors():
     margins, y = np.array([0.0, 1.0, 2.0, 3.0, 3.0]), np.array([-1, 1, -1, 1, 1])
     assert toxicity.least_errors(margins, y) == 0.5 and toxicity.least_errors(margins, -np.ones(5)) == 4.0
