@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.text import blank_to_null, build_title, clean_body, is_blank, latex_escape, let, strip, to_integer
-from corpusloom.operators.alignment import renumber
+from corpusloom.operators.alignment import join_null_safe, renumber
 from corpusloom.session import materialise
 
 # Titles and ids of the catch-all chapters.
@@ -17,6 +24,9 @@ ALL_TEXTS_ID, ALL_TEXTS_TITLE = "All_Texts", "All Texts"
 LAST_CHAPTER = 2**31 - 1
 ORPHANS_CHAPTER = 2**31
 
+# Themes in one list of a keyword, and counts that a task holds at a time.
+THEMES, PLACES = 1000, 2**20
+
 
 def theme_members(assignments: DataFrame) -> DataFrame:
     """Distinct (theme, num); blank themes and ids that are no integers are skipped."""
@@ -158,15 +168,90 @@ def complete_variants(variants: DataFrame, text: str = "generated_text") -> Data
 def keyword_themes(items: DataFrame, text_tokens: Column, keys: list[str], themes: DataFrame) -> DataFrame:
     """The theme (theme, keyword) sharing most distinct keywords with each item; ties go to the first name.
 
-    Items without any keyword are absent.
+    Items without any keyword are absent; rows with equal keys count together. A keyword brings the numbers of its themes as
+    lists, and the counts of an item are one row from then on: tasks add up rows that follow each other, whatever their
+    number, so that a task holds what it sorts, an item's list once. Keys are of atomic types.
     """
+    numbered = materialise(renumber(themes.select("theme").distinct(), ["theme"], "__number", start=0), "themes")
+    pairs = join_null_safe(themes.select("theme", "keyword").distinct(), numbered, ["theme"])
+    block = F.floor(F.col("__number") / THEMES)
+    listed = F.collect_list(F.col("__number").cast("int")).alias("__themes")
+    catalogue = materialise(pairs.groupBy("keyword", block).agg(listed).select("keyword", "__themes"), "keywords")
     words = items.select(*keys, F.explode(F.array_distinct(text_tokens)).alias("keyword"))
-    catalogue = materialise(themes.select("theme", "keyword").distinct(), "keywords")
-    hits = words.join(catalogue, "keyword").groupBy(*keys, "theme").agg(
-        F.count(F.lit(1)).alias("score")
-    )
-    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("theme").alias("theme"))).alias("b")
-    return hits.groupBy(*keys).agg(best).select(*keys, "b.theme", (-F.col("b.s")).alias("score"))
+    ones = F.array_repeat(F.lit(1).cast("long"), F.size("__themes")).alias("__counts")
+    hits = words.join(catalogue, "keyword").select(*keys, "__themes", ones)
+    fields = [T.StructField(k, items.schema[k].dataType) for k in keys]
+    counts = [T.StructField("__themes", T.ArrayType(T.IntegerType())), T.StructField("__counts", T.ArrayType(T.LongType()))]
+    once = hits.mapInArrow(partial(_added, keys=keys, best=False), T.StructType(fields + counts))
+    together = once.repartition(*keys).sortWithinPartitions(*keys)
+    winner = [T.StructField("__number", T.IntegerType()), T.StructField("score", T.LongType())]
+    best = together.mapInArrow(partial(_added, keys=keys, best=True), T.StructType(fields + winner))
+    return best.join(numbered, "__number").select(*keys, "theme", "score")
+
+
+def _added(batches: Iterator[pa.RecordBatch], keys: list[str], best: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (keys, themes, counts) of equal keys that follow each other as one, with each theme once; or, of `best`, (keys,
+    theme, count) with the highest count, of equal ones the first theme."""
+    left = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if left is not None:
+            rows = pa.concat_tables([left.cast(rows.schema), rows])
+        rows = rows.combine_chunks()
+        if not len(rows):
+            continue
+        begins = np.flatnonzero(np.r_[True, _changes(rows, keys)])
+        # The last rows may go on in the next batch.
+        if len(begins) > 1:
+            yield from _sums(rows.slice(0, begins[-1]), begins[:-1], keys, best)
+        (left,) = (pa.Table.from_batches([b]) for b in _sums(rows.slice(begins[-1]), np.array([0]), keys, False))
+    if left is not None:
+        yield from _sums(left, np.array([0]), keys, best)
+
+
+def _changes(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """Whether each row but the first has other keys than the one before it; a null equals a null."""
+    changed = np.zeros(len(rows) - 1, bool)
+    for k in keys:
+        before, here = rows[k].slice(0, len(rows) - 1), rows[k].slice(1)
+        same = pc.fill_null(pc.equal(before, here), False)
+        same = pc.or_(same, pc.and_(pc.is_null(before, nan_is_null=True), pc.is_null(here, nan_is_null=True)))
+        changed |= ~same.to_numpy()
+    return changed
+
+
+def _sums(rows: pa.Table, begins: np.ndarray, keys: list[str], best: bool) -> Iterator[pa.RecordBatch]:
+    themes, counts = (rows[c].combine_chunks() for c in ("__themes", "__counts"))
+    flat, n = themes.flatten().to_numpy(), counts.flatten().to_numpy()
+    sizes = pc.list_value_length(themes).to_numpy()
+    ends = np.cumsum(sizes)[np.r_[begins[1:], len(rows)] - 1]
+    # Each group of rows has a place for each theme; few groups at a time.
+    many = int(flat.max()) + 1
+    step = max(1, PLACES // many)
+    found = []
+    for a in range(0, len(begins), step):
+        low, high = ends[a - 1] if a else 0, ends[min(a + step, len(begins)) - 1]
+        lengths = np.diff(np.r_[low, ends[a : a + step]])
+        place = np.repeat(np.arange(len(lengths)), lengths) * many + flat[low:high]
+        # Counts are far below 2^53, so that sums of doubles are exact.
+        total = np.bincount(place, n[low:high], len(lengths) * many).reshape(len(lengths), many)
+        if best:
+            top = total.argmax(axis=1)
+            found.append((top, total[np.arange(len(total)), top]))
+        else:
+            group, theme = np.nonzero(total)
+            found.append((np.bincount(group, minlength=len(lengths)), theme, total[group, theme]))
+    first = [rows[k].combine_chunks().take(pa.array(begins)) for k in keys]
+    if best:
+        theme, score = map(np.concatenate, zip(*found))
+        made = [pa.array(theme.astype(np.int32)), pa.array(score.astype(np.int64))]
+        names = ["__number", "score"]
+    else:
+        lengths, theme, score = map(np.concatenate, zip(*found))
+        offsets = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
+        made = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (theme.astype(np.int32), score.astype(np.int64))]
+        names = ["__themes", "__counts"]
+    yield pa.RecordBatch.from_arrays([*first, *made], [*keys, *names])
 
 
 # --- the book -----------------------------------------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Sources and sinks: file order, partitions, runs; chapters and the book; the reader; streams; plans."""
 
 import glob
+import random
 import sys
 
 import pytest
@@ -260,3 +261,47 @@ def test_from_raw_answers_to_narratives(spark, tmp_path):
     documents = tables.read_json_document(spark, f"{tmp_path}/c.json", schemas.CHAPTERS_JSON)
     listed = ch.chapter_members(documents, spark.range(1, 4).withColumnRenamed("id", "num")).collect()
     assert sorted((r["title"], r["num"]) for r in listed) == [("A", 2), ("B", 1)]
+
+
+def test_keyword_themes_against_plain_python(spark, monkeypatch):
+    rnd = random.Random(1)
+    words = [f"w{i}" for i in range(12)]
+    items = [(rnd.choice([*range(40), None]), rnd.choice(["x", None]), " ".join(rnd.choices(words, k=rnd.randint(0, 6)))) for _ in range(150)]
+    items += [(7, "x", None), (99, "x", "nothing known"), (5, None, "w1 " * 500)]
+    themes = [(rnd.choice(["b", "a", "é", "c", None]), rnd.choice([*words, None])) for _ in range(40)]
+
+    expected = {}
+    for a, b, text in items:
+        for word in set((text or "").split()):
+            for theme in {t for t, k in themes if k == word}:
+                found = expected.setdefault((a, b), {})
+                found[theme] = found.get(theme, 0) + 1
+    first = lambda t: (t is not None, (t or "").encode())
+    expected = sorted(((*k, *min(v.items(), key=lambda x: (-x[1], first(x[0])))) for k, v in expected.items()), key=repr)
+
+    docs = spark.createDataFrame(items, "a long, b string, text string").repartition(3)
+    catalogue = spark.createDataFrame(themes, "theme string, keyword string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for listed, places in ((1000, 2**20), (2, 4)):
+            monkeypatch.setattr(ch, "THEMES", listed)
+            monkeypatch.setattr(ch, "PLACES", places)
+            got = ch.keyword_themes(docs, F.split("text", " "), ["a", "b"], catalogue)
+            assert sorted(map(tuple, got.collect()), key=repr) == expected
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got.dtypes == [("a", "bigint"), ("b", "string"), ("theme", "string"), ("score", "bigint")]
+    assert ch.keyword_themes(docs.limit(0), F.split("text", " "), ["a"], catalogue).collect() == []
+    assert ch.keyword_themes(docs, F.split("text", " "), ["a"], catalogue.limit(0)).collect() == []
+
+
+def test_themes_of_an_item_are_one_row(spark):
+    items = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(20))) for i in range(300)], "num long, text string")
+    themes = spark.range(50).crossJoin(spark.range(20).withColumnRenamed("id", "j")).select(
+        F.concat(F.lit("t"), "id").alias("theme"), F.concat(F.lit("w"), "j").alias("keyword")
+    )
+    found = ch.keyword_themes(items, F.split("text", " "), ["num"], themes)
+    # Nothing groups by item and theme: there are as many such groups as items times themes.
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["theme"], r["score"]) for r in found.collect()} == {("t0", 20)} and found.count() == 300
